@@ -1,0 +1,7 @@
+"""Runnable queries over the data tables, grouped by subject."""
+
+from panelwright.catalog import (  # noqa: F401
+    cleaning,
+    panels,
+)
+from panelwright.catalog.registry import REGISTRY  # noqa: F401

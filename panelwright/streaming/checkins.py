@@ -11,7 +11,7 @@ from panelwright.functions.numeric import adherence_band, adherence_share, clamp
 
 LAST_STEP = 12
 INPUT = (
-    "entity_id long, month int, weight double, height double, smear_tb_lamp int, "
+    "request_id long, entity_id long, month int, weight double, height double, smear_tb_lamp int, "
     "xpert_mtb_rif int, monthly_doses_taken int, monthly_missed_doses int, "
     "failure_probability double, timestamp long"
 )
@@ -44,7 +44,7 @@ def _validate(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFr
     last, doses = state.get if state.exists else (None, 0)
     last = None if last is None or last < 0 else last
     frame = pd.concat(list(batches), ignore_index=True)
-    frame = frame.sort_values(["month", "timestamp"], kind="stable", na_position="last")
+    frame = frame.sort_values(["month", "timestamp", "request_id"], kind="stable", na_position="last")
     verdicts = []
     for row in frame.itertuples(index=False):
         ok, reason, expected = _judge(row, last)
@@ -109,12 +109,12 @@ def validated_batch(df: DataFrame) -> DataFrame:
     base = df.withColumn(
         "_own", F.when(out_of_range, "month_out_of_range").when(no_doses, "doses_required")
     )
-    order = Window.partitionBy("entity_id", "month").orderBy("timestamp")
+    order = Window.partitionBy("entity_id", "month").orderBy("timestamp", "request_id")
     ok = base.filter("_own is null")
     firsts = ok.withColumn("_n", F.row_number().over(order)).filter("_n = 1")
     w = Window.partitionBy("entity_id").orderBy("month")
     chain = firsts.select(
-        "entity_id", "month", "timestamp",
+        "entity_id", "month", F.col("request_id").alias("_winner"),
         F.coalesce("monthly_doses_taken", F.lit(0)).cast("long").alias("_taken"),
         (month - F.row_number().over(w)).alias("_island"),
         F.min("month").over(Window.partitionBy("entity_id")).alias("_first"),
@@ -122,10 +122,16 @@ def validated_batch(df: DataFrame) -> DataFrame:
     accepted = chain.filter(
         (F.col("_first") <= 1) & (F.col("_island") == F.col("_first") - 1)
     ).select(
-        "entity_id", "month", "timestamp",
-        (F.sum("_taken").over(w) - F.col("_taken")).alias("prior_doses"),
-        F.lit(True).alias("accepted"),
+        "entity_id", "month", "_winner", (F.sum("_taken").over(w) - F.col("_taken")).alias("prior_doses")
+    )
+    joined = base.join(accepted, ["entity_id", "month"], "left")
+    won = F.coalesce(F.col("_own").isNull() & (F.col("_winner") == F.col("request_id")), F.lit(False))
+    reason = (
+        F.when(F.col("_own").isNotNull(), F.col("_own"))
+        .when(~won & F.col("_winner").isNotNull(), "duplicate_or_past")
+        .when(~won, "unexpected_month")
+    )
+    return joined.select(
+        *df.columns, won.alias("accepted"), reason.alias("reason"),
+        F.when(won, F.col("prior_doses")).alias("prior_doses"),
     )
-    return base.join(accepted, ["entity_id", "month", "timestamp"], "left").withColumn(
-        "accepted", F.coalesce("accepted", F.lit(False))
-    ).drop("_own")

@@ -82,6 +82,8 @@ def upsert_sink(spark: SparkSession, table_path: str, key: str = "id", buckets:
     buckets its keys fall in; new content is written aside first and a batch replayed after
     a failure gives the same table.
     """
+    from zlib import crc32
+
     from pyspark.errors import AnalysisException
 
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
@@ -97,7 +99,7 @@ def upsert_sink(spark: SparkSession, table_path: str, key: str = "id", buckets:
         except AnalysisException:
             current = None
         merged = merge_records(current, updates, key)
-        aside = f"{ensure_checkpoint_dir(session)}/upsert-{batch_id}-{abs(hash(table_path))}"
+        aside = f"{ensure_checkpoint_dir(session)}/upsert-{crc32(table_path.encode())}-{batch_id}"
         merged.write.mode("overwrite").partitionBy("_bucket").parquet(aside)
         session.read.parquet(aside).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic"
