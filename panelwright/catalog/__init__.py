@@ -1,7 +1,12 @@
 """Runnable queries over the data tables, grouped by subject."""
 
 from panelwright.catalog import (  # noqa: F401
+    attribution,
     cleaning,
+    evaluation,
+    missing,
     panels,
+    profiles,
+    statistics,
 )
 from panelwright.catalog.registry import REGISTRY  # noqa: F401

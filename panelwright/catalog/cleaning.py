@@ -286,7 +286,7 @@ def normalize_terms(spark, folder):
 @query("P23", "P26", sql="""
 SELECT o_orderkey,
        CASE WHEN o_orderstatus = 'F' THEN 'Filipino' WHEN o_orderstatus = 'O' THEN 'Korean' END AS nationality,
-       CASE WHEN o_orderstatus = 'F' THEN 41 WHEN 2025 - year(o_orderdate) BETWEEN 0 AND 28 THEN 2025 - year(o_orderdate) END AS age
+       CAST(CASE WHEN o_orderstatus = 'F' THEN 41 WHEN 2025 - year(o_orderdate) BETWEEN 0 AND 28 THEN 2025 - year(o_orderdate) END AS INTEGER) AS age
 FROM orders""")
 def fill_from_second_column(spark, folder):
     first = pick("o_orderstatus", {"F": "filipino "}, "N/A")

@@ -197,11 +197,11 @@ def entity_observed_means(spark, folder):
 @query("J2", sql=f"""
 WITH {ORDER_PANEL}, {CUSTOMER_STATIC}, means AS (
   SELECT entity_id, {", ".join(f"avg({m}) AS {m}_mean" for m in ORDER_METRICS)} FROM order_panel GROUP BY 1)
-SELECT s.entity_id, s.outcome, {", ".join(f"round(m.{m}_mean, 6) AS {m}_mean" for m in ORDER_METRICS)}
+SELECT s.entity_id, s.outcome, {", ".join(f"round(m.{m}_mean, 6) AS {m}_mean" for m in ORDER_METRICS[1:])}
 FROM static s LEFT JOIN means m ON m.entity_id = s.entity_id""")
 def static_join_means(spark, folder):
     means = order_panel(spark, folder).groupBy("entity_id").agg(
-        *[F.round(F.avg(m), 6).alias(f"{m}_mean") for m in ORDER_METRICS]
+        *[F.round(F.avg(m), 6).alias(f"{m}_mean") for m in ORDER_METRICS[1:]]
     )
     return P.join_static(customer_static(spark, folder).select("entity_id", "outcome"), means, "entity_id")
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from panelwright.operators.neighbours import distinct_vectors, knn_join
 from panelwright.operators.ordering import hash_order, row_numbers
@@ -164,12 +166,9 @@ def noise_copies(
     return grown.withColumn(vector, jittered)
 
 
-@F.pandas_udf("double")
-def _beta_draw(a, b, key):
+@F.pandas_udf(T.DoubleType())
+def _beta_draw(a: pd.Series, b: pd.Series, key: pd.Series) -> pd.Series:
     """Beta(a, b) per row from a generator seeded by the row's key."""
-    import numpy as np
-    import pandas as pd
-
     return pd.Series(
         [np.random.default_rng(int(k) & (2**63 - 1)).beta(x, y) for x, y, k in zip(a, b, key)]
     )

@@ -6,7 +6,8 @@ import math
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from panelwright.functions.numeric import clip
 from panelwright.operators.ordering import (
@@ -68,11 +69,9 @@ def step_correlation(
     return table.select(*number, "r", "n")
 
 
-@F.pandas_udf("double")
-def _t_tail(r, n):
+@F.pandas_udf(T.DoubleType())
+def _t_tail(r: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided t test of a correlation, for tables with one row per coefficient."""
-    import pandas as pd
-
     return pd.Series([_correlation_p(a, b) for a, b in zip(r, n)])
 
 
