@@ -5,8 +5,10 @@ from panelwright.catalog import (  # noqa: F401
     cleaning,
     evaluation,
     missing,
+    modelling,
     panels,
     profiles,
     statistics,
+    streams,
 )
 from panelwright.catalog.registry import REGISTRY  # noqa: F401

@@ -44,20 +44,24 @@ def explanation_claims(spark, folder):
 
 def _text_claims_sql():
     feats = [(w, w.lower()) for w in ("that", "and", "Age", "Sex", "Dates", "Height")]
-    up = "|".join(p.replace(" ", "\\s") if False else p for p in ("higher", "the", "increase"))
-    down = "lower|in|decrease"
+    up, down = "higher|the|increase", "lower|in|decrease"
     rows = " UNION ALL ".join(
         f"SELECT doc_id, '{n}' AS feature, strpos(lower(text), '{w}') AS position, lower(text) AS t FROM documents "
         f"WHERE contains(lower(text), '{w}')" for n, w in feats
     )
+
+    def has(words):
+        edge = "[^\\p{L}\\p{N}_]"
+        return f"regexp_matches(c, '(^|{edge})(?:{words})($|{edge})')"
+
     return f"""
 WITH m AS ({rows}), c AS (
   SELECT doc_id, feature, position, substr(t, GREATEST(1, position - 250),
          position + length(feature) + 250 - GREATEST(1, position - 250)) AS c FROM m)
-SELECT doc_id, feature, position, CASE WHEN regexp_matches(c, '\\b(?:{up})\\b') THEN 'increase'
-       WHEN regexp_matches(c, '\\b(?:{down})\\b') THEN 'decrease' WHEN regexp_matches(c, '\\b(?:of)\\b') THEN 'mixed' END AS direction,
-       CASE WHEN regexp_matches(c, '\\bst\\b') THEN 'strong' ELSE 'unspecified' END AS magnitude
-FROM c WHERE regexp_matches(c, '\\b(?:{up}|{down}|of)\\b')"""
+SELECT doc_id, feature, CAST(position AS INTEGER) AS position, CASE WHEN {has(up)} THEN 'increase'
+       WHEN {has(down)} THEN 'decrease' WHEN {has("of")} THEN 'mixed' END AS direction,
+       CASE WHEN {has("st")} THEN 'strong' ELSE 'unspecified' END AS magnitude
+FROM c WHERE {has(up)} OR {has(down)} OR {has("of")}"""
 
 
 @query("E7", sql=_text_claims_sql())

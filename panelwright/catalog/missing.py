@@ -178,7 +178,7 @@ def train_only_fit(spark, folder):
 
 @query("T-1", "M4", sql=f"""
 WITH {CUSTOMER_STATIC}
-{" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, CASE WHEN count(*) >= 10 THEN round(corr({a}, {b}), 6) END AS r, count(*) AS n FROM static WHERE {a} IS NOT NULL AND {b} IS NOT NULL" for a, b in combinations(_N, 2))}""")
+{" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, CASE WHEN count(*) >= 10 AND NOT isnan(corr({a}, {b})) THEN round(corr({a}, {b}), 6) END AS r, count(*) AS n FROM static WHERE {a} IS NOT NULL AND {b} IS NOT NULL" for a, b in combinations(_N, 2))}""")
 def pearson_pairwise_complete(spark, folder):
     from panelwright.operators.stats import pearson_pairs
 

@@ -38,7 +38,9 @@ def _escaped(phrase: str) -> str:
 
 
 def _any(phrases: Sequence[str]) -> str:
-    return r"\b(?:" + "|".join(_escaped(p) for p in phrases) + r")\b"
+    """Any phrase as whole words; letters of every script count as word characters."""
+    word = r"[\p{L}\p{N}_]"
+    return f"(?<!{word})(?:" + "|".join(_escaped(p) for p in phrases) + f")(?!{word})"
 
 
 def claims(

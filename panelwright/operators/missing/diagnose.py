@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelwright.operators.ordering import attach, medians
 from panelwright.operators.profile import one_pass, step_missing_rate
-from panelwright.operators.stats import chi2_tail, correlation_p, group_spearman
+from panelwright.operators.stats import chi2_tail, correlation_p, group_spearman, safe_corr
 
-PATTERN_CHUNK = 150
+PATTERN_CHUNK = 60
 
 
 def mcar_statistic(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -96,14 +96,14 @@ def missingness_correlation(
         cells = []
         for c, p in pairs[at : at + PATTERN_CHUNK]:
             x = F.coalesce(F.col(p).cast("double"), F.col(f"_m.{p}"))
-            r = F.when(F.max(f"_obs.{p}") > 0.5, F.abs(F.corr(F.col(c).isNull().cast("double"), x)))
+            r = F.when(F.max(f"_obs.{p}") > 0.5, F.abs(safe_corr(F.col(c).isNull().cast("double"), x)))
             cells.append(
                 F.struct(F.lit(c).alias("column"), F.lit(p).alias("predictor"), r.alias("r"),
                          F.count_if(F.col(c).isNull()).alias("gaps"))
             )
         rows = wide.agg(F.array(*cells).alias("_rows")).select(F.inline("_rows"))
         out = rows if out is None else out.unionByName(rows)
-    scored = out.filter("gaps > 0").withColumn("r", F.when(~F.isnan("r"), F.col("r")))
+    scored = out.filter("gaps > 0")
     ordered = F.array_sort(
         F.collect_list(
             F.when(

@@ -49,12 +49,14 @@ def fit_classifier(
 
 def score(model: PipelineModel, df: DataFrame, name: str = "probability") -> DataFrame:
     """Positive-class probability (margin through a sigmoid where the model has none)."""
-    out = model.transform(df)
+    made = ("probability", "rawPrediction", "prediction")
+    kept = [c for c in df.columns if c not in (*made, name)]
+    out = model.transform(df.select(*kept))
     if "probability" in out.columns:
         p = vector_to_array("probability")[1]
     else:
         p = sigmoid(vector_to_array("rawPrediction")[1])
-    return out.select(*df.columns, p.alias(name))
+    return out.select(*kept, p.alias(name))
 
 
 def score_foreign(
@@ -92,8 +94,9 @@ def prediction_table(
 
 def fit_platt(df: DataFrame, logit: str, label: str) -> tuple[float, float]:
     """Slope and intercept of a logistic curve through the validation logits."""
-    vectors = VectorAssembler(inputCols=[logit], outputCol="_x").transform(df)
-    n = df.count()
+    pairs = df.select(logit, label)
+    vectors = VectorAssembler(inputCols=[logit], outputCol="_x").transform(pairs)
+    n = pairs.count()
     model = LogisticRegression(
         featuresCol="_x", labelCol=label, regParam=1.0 / max(n, 1), standardization=False
     ).fit(vectors)

@@ -18,6 +18,14 @@ from panelwright.operators.windows import by_step
 PAIR_CHUNK = 120
 
 
+def safe_corr(x: Column, y: Column) -> Column:
+    """Pearson r over complete pairs; null where a side is constant, which built-in corr
+    answers with a division error in ANSI mode."""
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    return F.try_divide(F.covar_pop(x, y), spread)
+
+
 def pearson_pairs(
     df: DataFrame, columns: Sequence[str], min_obs: int = 10, pairs: Sequence[tuple[str, str]] | None = None
 ) -> DataFrame:
@@ -29,7 +37,7 @@ def pearson_pairs(
         for a, b in todo[at : at + PAIR_CHUNK]:
             x, y = F.col(a).cast("double"), F.col(b).cast("double")
             n = F.count_if(x.isNotNull() & y.isNotNull())
-            r = F.when(n >= min_obs, F.corr(x, y))
+            r = F.when(n >= min_obs, safe_corr(x, y))
             cells.append(
                 F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("r"), n.alias("n"))
             )
@@ -48,7 +56,7 @@ def lag_correlation(
         F.col(metric).alias("now"),
         F.when(F.lag(step).over(w) == F.col(step) - 1, F.lag(metric).over(w)).alias("before"),
     ).filter("now is not null and before is not null")
-    table = pairs.groupBy(step).agg(F.count(F.lit(1)).alias("n"), F.corr("before", "now").alias("r"))
+    table = pairs.groupBy(step).agg(F.count(F.lit(1)).alias("n"), safe_corr(F.col("before"), F.col("now")).alias("r"))
     table = table.filter(F.col("n") >= min_pairs)
     p = correlation_p(F.col("r"), F.col("n"))
     return table.select(
@@ -195,7 +203,7 @@ def group_spearman(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
     ry = average_ranks(df, y, [by]).select(by, F.col(y), F.col("avg_rank").alias("ry"))
     rx = average_ranks(df, x, [by]).select(by, F.col(x), F.col("avg_rank").alias("rx"))
     ranked = null_safe_join(null_safe_join(df.select(by, x, y), rx, [by, x]), ry, [by, y])
-    return ranked.groupBy(by).agg(F.corr("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n"))
+    return ranked.groupBy(by).agg(safe_corr(F.col("rx"), F.col("ry")).alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def cramers_v(
