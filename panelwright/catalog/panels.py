@@ -15,6 +15,7 @@ from panelwright.sources.cases import child_array, nested_documents, search_enti
 from panelwright.sources.tables import read_table
 
 _SEEN = "coalesce(doses, missed, adherence, weight, reading, smear)"
+_MEANS = [m for m in METRICS if m != "weight"]
 _HIST = "OVER (PARTITION BY entity_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 
@@ -185,13 +186,13 @@ def trend_rollup(spark, folder):
 @query("A13", sql=f"""
 WITH {EVENT_PANEL}
 SELECT entity_id,
-       {", ".join(f"round(avg({m}) FILTER (WHERE step <= 7), 6) AS mean_{m}" for m in METRICS)},
+       {", ".join(f"round(avg({m}) FILTER (WHERE step <= 7), 6) AS mean_{m}" for m in _MEANS)},
        coalesce(max(step) FILTER (WHERE step <= 7 AND {_SEEN} IS NOT NULL), -1) AS last_step,
        count(*) FILTER (WHERE step <= 7 AND {_SEEN} IS NOT NULL) AS steps_observed
 FROM panel GROUP BY entity_id""")
 def entity_observed_means(spark, folder):
-    table = entity_observation(event_panel(spark, folder), METRICS, "entity_id")
-    return table.withColumns({f"mean_{m}": r6(f"mean_{m}") for m in METRICS})
+    table = entity_observation(event_panel(spark, folder), METRICS, "entity_id").drop("mean_weight")
+    return table.withColumns({f"mean_{m}": r6(f"mean_{m}") for m in _MEANS})
 
 
 @query("J2", sql=f"""

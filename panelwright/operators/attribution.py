@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from panelwright.functions.text import feature_family, feature_group
 from panelwright.operators.evaluate import binary_metrics, rank_metrics
-from panelwright.operators.ordering import row_numbers
+from panelwright.operators.ordering import hash_bucket, row_numbers
 from panelwright.operators.windows import last_rows, share_of_total
 
 EPSILON = 1e-6
@@ -79,7 +79,7 @@ def shuffled_column(
         h = F.xxhash64(F.col(entity), F.col("feature"), F.col("repeat"), F.lit(seed + salt))
         return row_numbers(
             grid.withColumn("_h", h), ["_h", entity], "_r", key,
-            bucket=F.shiftright("_h", 52).cast("int"),
+            bucket=hash_bucket("_h"),
         )
 
     source = ranked("from", 0).select(*key, "_r", F.col("value").alias("new_value"))

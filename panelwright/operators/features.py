@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelwright import fixed_values as V
 from panelwright.operators.missing.fill import carry_forward, numeric_columns
-from panelwright.operators.ordering import hash_order, medians, modes, row_numbers
+from panelwright.operators.ordering import hash_bucket, hash_order, medians, modes, row_numbers
 from panelwright.operators.panel import one_hot, vocabulary
 from panelwright.operators.profile import one_pass
 from panelwright.operators.windows import prefix_features
@@ -70,13 +70,11 @@ def stratified_split(
     The order is a hash, ranked in hash buckets, so a class holding most of the table is
     spread over all tasks.
     """
-    digest, bucket = hash_order(entity, seed=seed)
+    digest, _ = hash_order(entity, seed=seed)
     ordered = df.select(entity, label, digest.alias("_h"))
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     ranked = row_numbers(
-        ordered, ["_h", entity], "_rank", [label], bucket=F.shiftright("_h", 52).cast("int")
+        ordered, ["_h", entity], "_rank", [label], bucket=hash_bucket("_h"), size="_n"
     )
-    joined = ranked.join(counts, label)
     edge = F.round(F.col("_n") * train)
     edge2 = F.round(F.col("_n") * (train + validation))
     split = (
@@ -84,14 +82,14 @@ def stratified_split(
         .when(F.col("_rank") <= edge2, "validation")
         .otherwise("test")
     )
-    return joined.select(entity, label, split.alias("split"))
+    return ranked.select(entity, label, split.alias("split"))
 
 
 def stratified_folds(df: DataFrame, entity: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
     digest, _ = hash_order(entity, seed=seed)
     ordered = df.select(entity, label, digest.alias("_h"))
     ranked = row_numbers(
-        ordered, ["_h", entity], "_rank", [label], bucket=F.shiftright("_h", 52).cast("int")
+        ordered, ["_h", entity], "_rank", [label], bucket=hash_bucket("_h")
     )
     return ranked.select(entity, label, ((F.col("_rank") - 1) % k).cast("int").alias("fold"))
 

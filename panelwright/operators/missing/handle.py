@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelwright.operators.missing import chained, diagnose, fill, route
 from panelwright.operators.missing.route import RouteConfig
+from panelwright.operators.models import with_class_weights
+from panelwright.operators.profile import class_balance
 
 
 @dataclass
@@ -48,17 +50,16 @@ def importance_ranking(
         .filter(F.col(label).isNotNull())
     )
     ready = fill.fill_central(flat, features).fillna(0.0, features)
-    classes = flat.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    facts = classes.agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("k")).first()
+    facts = class_balance(flat, label).agg(
+        F.sum("count").alias("n"), F.count(F.lit(1)).alias("k")
+    ).first()
     if (facts["n"] or 0) < min_rows or facts["k"] < 2:
         return None
-    weighted = ready.join(classes, label).withColumn(
-        "_w", F.lit(facts["n"] / facts["k"]) / F.col("_n")
-    )
+    weighted = with_class_weights(ready, label)
     indexed = StringIndexer(inputCol=label, outputCol="_label").fit(weighted).transform(weighted)
     vectors = VectorAssembler(inputCols=features, outputCol="_x").transform(indexed)
     model = RandomForestClassifier(
-        featuresCol="_x", labelCol="_label", weightCol="_w", numTrees=trees, maxDepth=5, seed=seed
+        featuresCol="_x", labelCol="_label", weightCol="_weight", numTrees=trees, maxDepth=5, seed=seed
     ).fit(vectors)
     rows = [
         ("panel" if at >= len(static_columns) else "static",

@@ -13,6 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelwright.functions.numeric import clamp_probability, confidence_pct, risk_band, sigmoid
+from panelwright.operators.ordering import keyed_values
 from panelwright.operators.profile import class_balance
 
 
@@ -33,8 +34,11 @@ def classifier(kind: str, label: str, weighted: bool = True, seed: int = 42, **o
 
 
 def with_class_weights(df: DataFrame, label: str) -> DataFrame:
-    weights = class_balance(df, label).select(label, F.col("weight").alias("_weight"))
-    return df.join(weights, label)
+    """Adds ``_weight`` = n / (classes * class size); unlabelled rows are left out."""
+    weights = keyed_values(class_balance(df, label), label, "weight")
+    return df.filter(F.col(label).isNotNull()).withColumn(
+        "_weight", F.try_element_at(weights, F.col(label))
+    )
 
 
 def fit_classifier(

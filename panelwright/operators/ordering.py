@@ -28,16 +28,34 @@ def _locate(value: Column, bounds: Column, buckets: int) -> Column:
 
 
 def with_quantile_bucket(
-    df: DataFrame, order: str, by: Sequence[str] = (), buckets: int = BUCKETS
+    df: DataFrame,
+    order: str,
+    by: Sequence[str] = (),
+    buckets: int = BUCKETS,
+    few_groups: bool = False,
+    counts: Sequence[str] = (),
 ) -> DataFrame:
-    """Adds a bucket number that grows with ``order`` and splits each group evenly."""
+    """Adds a bucket number that grows with ``order`` and splits each group evenly.
+
+    With ``few_groups`` (the caller knows the groups, such as a list of columns) the bounds
+    of all groups travel as one map and the rows stay where they are; otherwise they are
+    joined on. ``counts`` names non-negative columns the caller reads as well: mentioning
+    them here makes the bounds come from the very exchange the rows come from, so Spark
+    reuses it instead of aggregating the table a second time.
+    """
+    source = df.filter(sum((F.col(c) for c in counts), F.lit(0)) >= 0) if counts else df
     probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     bounds = F.percentile_approx(order, probs, buckets * 40).alias("_bounds")
-    if by:
-        keyed = df.groupBy(*by).agg(bounds)
-        df = null_safe_join(df, keyed, by)
+    if by and few_groups:
+        keyed = source.groupBy(*by).agg(bounds)
+        table = keyed.agg(F.map_from_entries(F.collect_list(F.struct(F.struct(*by), "_bounds"))))
+        df = df.withColumn("_all", table.scalar()).withColumn(
+            "_bounds", F.try_element_at(F.col("_all"), F.struct(*by))
+        ).drop("_all")
+    elif by:
+        df = null_safe_join(df, source.groupBy(*by).agg(bounds), by)
     else:
-        df = df.withColumn("_bounds", df.agg(bounds).scalar())
+        df = df.withColumn("_bounds", source.agg(bounds).scalar())
     return df.withColumn(
         _BUCKET, F.coalesce(_locate(F.col(order), F.col("_bounds"), buckets), F.lit(0))
     ).drop("_bounds")
@@ -63,8 +81,10 @@ def prefix_sums(
     by: Sequence[str] = (),
     bucket: Column | None = None,
     buckets: int = BUCKETS,
+    few_groups: bool = False,
 ) -> DataFrame:
-    """Adds ``before_x`` (sum of x over earlier rows) and ``total_x`` for each x in ``sums``.
+    """Adds ``before_x`` (sum of x over earlier rows) and ``total_x`` for each x in ``sums``,
+    which are counts.
 
     ``order`` must be unique inside a group, so aggregate ties first. ``bucket`` may give a
     bucket number that never decreases along ``order``; otherwise quantiles of the first
@@ -72,7 +92,7 @@ def prefix_sums(
     """
     by = list(by)
     if bucket is None:
-        cut = with_quantile_bucket(df, order[0], by, buckets)
+        cut = with_quantile_bucket(df, order[0], by, buckets, few_groups, sums)
     else:
         cut = df.withColumn(_BUCKET, bucket)
     totals = cut.groupBy(*by, _BUCKET).agg(*[F.sum(s).alias(s) for s in sums])
@@ -106,17 +126,24 @@ def row_numbers(
     name: str = "row_number",
     by: Sequence[str] = (),
     bucket: Column | None = None,
+    size: str | None = None,
 ) -> DataFrame:
-    """Dense 1-based position inside the group along a unique order."""
+    """Dense 1-based position inside the group along a unique order, and the group's size."""
     one = df.withColumn("_one", F.lit(1).cast("long"))
     out = prefix_sums(one, order, ["_one"], by, bucket)
-    return out.select(*df.columns, (F.col("before__one") + 1).alias(name))
+    extra = [F.col("total__one").alias(size)] if size else []
+    return out.select(*df.columns, (F.col("before__one") + 1).alias(name), *extra)
+
+
+def hash_bucket(digest: str | Column) -> Column:
+    """Bucket number along a 64-bit hash: its leading bits, so buckets follow its order."""
+    return F.shiftright(digest, 64 - HASH_BITS).cast("int")
 
 
 def hash_order(*key: str, seed: int = 0) -> tuple[Column, Column]:
     """A reproducible random order over ``key``, with the bucket number it implies."""
     digest = F.xxhash64(*[F.col(k) for k in key], F.lit(seed))
-    return digest, F.shiftright(digest, 64 - HASH_BITS).cast("int")
+    return digest, hash_bucket(digest)
 
 
 def average_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -162,7 +189,7 @@ def exact_quantiles(
         .groupBy(*keys, "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    placed = prefix_sums(counts, ["value"], ["n"], keys, buckets=buckets)
+    placed = prefix_sums(counts, ["value"], ["n"], keys, buckets=buckets, few_groups=not by)
     last = F.col("total_n") - 1
     picks = []
     for name, p in probs.items():
@@ -207,6 +234,15 @@ def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return counts.agg(*best)
 
 
+def keyed_values(table: DataFrame, key: str, value: str) -> Column:
+    """A table of few keys as a map column (scalar subquery): a lookup without a join.
+
+    For keys known to be few, such as classes or column names. A join on them would gather
+    a large table in as many tasks as there are keys.
+    """
+    return table.agg(F.map_from_entries(F.collect_list(F.struct(key, value)))).scalar()
+
+
 def attach(df: DataFrame, fit: DataFrame, name: str) -> DataFrame:
     """Adds a one-row fit table to every row as a struct column, as a scalar subquery."""
     return df.withColumn(name, fit.select(F.struct(*fit.columns)).scalar())

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from panelwright.operators.ordering import exact_quantiles, long_values
+from panelwright.operators.ordering import exact_quantiles, keyed_values, long_values
 
 CHUNK = 300
 
@@ -287,7 +287,6 @@ def histogram(
     df: DataFrame, columns: Sequence[str], bins: int = 30
 ) -> DataFrame:
     """Equal-width counts and densities per measure between its own extremes."""
-    rows = long_values(df, columns)
     limits = one_pass(
         df,
         columns,
@@ -297,9 +296,12 @@ def histogram(
             "n": lambda c: F.count(c),
         },
     )
+    facts = keyed_values(limits.select("column", F.struct("low", "high", "n").alias("f")), "column", "f")
+    rows = long_values(df, columns).withColumn("_f", F.try_element_at(facts, F.col("column")))
+    rows = rows.select("column", "value", "_f.low", "_f.high", "_f.n")
     width = (F.col("high") - F.col("low")) / bins
     at = F.floor((F.col("value") - F.col("low")) / F.when(width > 0, width))
-    placed = rows.join(limits, "column").withColumn(
+    placed = rows.withColumn(
         "bin", F.least(F.coalesce(at, F.lit(0)), F.lit(bins - 1)).cast("int")
     )
     counted = placed.groupBy("column", "bin", "low", "high", "n").agg(

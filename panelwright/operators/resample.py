@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from panelwright.operators.neighbours import distinct_vectors, knn_join
-from panelwright.operators.ordering import hash_order, row_numbers
+from panelwright.operators.ordering import hash_bucket, hash_order, row_numbers
 
 
 def uniform(*key: Column, seed: int = 0) -> Column:
@@ -68,7 +68,7 @@ def interpolate_minority(
     need = want - have
     ranked = row_numbers(
         rows.select("id", "vec", hash_order("id", seed=seed)[0].alias("_h")), ["_h", "id"], "_r",
-        bucket=F.shiftright("_h", 52).cast("int"),
+        bucket=hash_bucket("_h"),
     )
     per_row = F.lit(need // have) + (F.col("_r") <= need % have).cast("int")
     draws = (
@@ -186,7 +186,7 @@ def mixup_pairs(
     ranked = row_numbers(
         df.select(F.col(identity).alias("id"), F.col(vector).cast("array<double>").alias("vec"),
                   digest.alias("_h")),
-        ["_h", "id"], "_r", bucket=F.shiftright("_h", 52).cast("int"),
+        ["_h", "id"], "_r", bucket=hash_bucket("_h"),
     ).select("id", "vec", "_r")
     n = ranked.agg(F.count(F.lit(1))).scalar()
     draws = ranked.select(
