@@ -30,6 +30,12 @@ class RegisterLayout:
         return [*self.core, *[f"M{i}_{b}" for i in range(self.steps) for b in self.block]]
 
 
+def plain_path(c: Column | str) -> Column:
+    """File metadata comes percent-encoded; a plus sign in it is a plus sign."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+
+
 def file_facts(file_name: Column, aliases: Mapping[str, str] = V.FACILITY_ALIASES) -> list[Column]:
     """facility and data_year from a file name; year is null when none is written in it."""
     stem = F.regexp_replace(file_name, r"\.csv$", "")
@@ -52,7 +58,8 @@ def file_catalog(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.text(
         folder, wholetext=False, pathGlobFilter="*.csv"
     ).select(
-        "_metadata.file_path", "_metadata.file_name", "_metadata.file_block_start",
+        plain_path("_metadata.file_path").alias("file_path"),
+        plain_path("_metadata.file_name").alias("file_name"), "_metadata.file_block_start",
         F.col("value"), F.monotonically_increasing_id().alias("_at"),
     ).filter("file_block_start = 0")
     # Header rows are the first lines of a file; only lines up to the second non-empty one count.
@@ -129,7 +136,7 @@ def read_layout(spark: SparkSession, layout: RegisterLayout) -> DataFrame:
     for i, name in enumerate(layout.block):
         second = second & (F.trim(F.col(f"_c{at + i}")) == name)
     is_header = F.coalesce(header & marker, F.lit(False)) | F.coalesce(second, F.lit(False))
-    data = raw.select("*", F.col("_metadata.file_name").alias("source_file")).filter(
+    data = raw.select("*", plain_path("_metadata.file_name").alias("source_file")).filter(
         ~is_header & ~_all_blank(raw_names)
     )
     cells = [
@@ -155,7 +162,7 @@ def read_yearly(
     """Yearly CSV files named ``..._{year}.csv``: trimmed names, sentinel to null, a ``year``
     column, and header rows repeated among the data removed."""
     heads = spark.read.text(folder, pathGlobFilter="*_[0-9][0-9][0-9][0-9].csv").select(
-        "_metadata.file_path", "_metadata.file_block_start",
+        plain_path("_metadata.file_path").alias("file_path"), "_metadata.file_block_start",
         F.monotonically_increasing_id().alias("_at"), "value",
     ).filter("file_block_start = 0")
     first = heads.groupBy("file_path").agg(F.min_by("value", "_at").alias("head"))
