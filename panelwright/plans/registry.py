@@ -47,19 +47,25 @@ PANEL_PARSERS = {
 
 
 def parse_static(df: DataFrame) -> DataFrame:
-    """Typed, repaired, bounded and harmonised columns; every column is optional."""
+    """Typed, repaired, bounded and harmonised columns; every column is optional.
+
+    Dates are repaired in steps of their own: each repair mentions its date several times,
+    and nesting them would multiply the expression.
+    """
     have = set(df.columns)
     year = F.col("data_year") if "data_year" in have else F.lit(2025)
-    out = {c: D.parse_mixed_date(F.col(c)) for c in DATE_COLUMNS if c in have}
-    if "date_of_birth" in out:
-        out["date_of_birth"] = D.fix_birth_year(out["date_of_birth"], year)
-    for c in CLINICAL_DATES:
-        if c in out:
-            out[c] = D.fix_future_year(out[c], year)
-    if "treatment_start_date" in out and "date_of_diagnosis" in out:
-        out["treatment_start_date"] = D.enforce_order(
-            out["treatment_start_date"], out["date_of_diagnosis"]
-        )
+    dates = [c for c in DATE_COLUMNS if c in have]
+    if dates:
+        df = df.withColumns({c: F.trim(F.regexp_replace(c, r"[^0-9/\-]+$", "")) for c in dates})
+        df = df.withColumns({c: D.parse_mixed_date(F.col(c)) for c in dates})
+        repaired = {c: D.fix_future_year(F.col(c), year) for c in CLINICAL_DATES if c in have}
+        if "date_of_birth" in have:
+            repaired["date_of_birth"] = D.fix_birth_year(F.col("date_of_birth"), year)
+        df = df.withColumns(repaired)
+    if "treatment_start_date" in have and "date_of_diagnosis" in have:
+        order = D.enforce_order(F.col("treatment_start_date"), F.col("date_of_diagnosis"))
+        df = df.withColumn("treatment_start_date", order)
+    out = {}
     if "weight" in have:
         out["weight_kg"] = P.parse_measure(F.col("weight"), "kg")
         out["weight"] = T.with_unit(out["weight_kg"], "kg")

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import csv
 import io
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from panelwright import fixed_values as V
+from panelwright.session import ensure_checkpoint_dir
 
 MAX_COLUMNS = 2000
+BOM = "\ufeff"
 CSV_OPTIONS = {"header": "false", "encoding": "UTF-8", "multiLine": "true", "quote": '"', "escape": '"'}
 
 
@@ -73,7 +76,7 @@ def file_catalog(spark: SparkSession, folder: str) -> DataFrame:
     text = F.array_join(F.transform("_l", lambda s: s["value"]), "\n")
     return head.select(
         F.col("file_path").alias("path"), F.col("file_name").alias("source_file"),
-        *file_facts(F.col("file_name")), F.regexp_replace(text, "^﻿", "").alias("head"),
+        *file_facts(F.col("file_name")), F.regexp_replace(text, f"^{BOM}", "").alias("head"),
     )
 
 
@@ -125,7 +128,7 @@ def read_layout(spark: SparkSession, layout: RegisterLayout) -> DataFrame:
     schema = T.StructType([T.StructField(n, T.StringType()) for n in raw_names])
     raw = spark.read.options(**CSV_OPTIONS).schema(schema).csv(list(layout.paths))
     names = layout.names
-    first = F.regexp_replace(F.coalesce(F.trim("_c0"), F.lit("")), "^﻿", "")
+    first = F.regexp_replace(F.coalesce(F.trim("_c0"), F.lit("")), f"^{BOM}", "")
     header = (first == (layout.core[0] if not layout.core[0].startswith("col_") else ""))
     marker = F.lit(True)
     for i, name in enumerate(layout.core[1:4], start=1):
@@ -145,19 +148,43 @@ def read_layout(spark: SparkSession, layout: RegisterLayout) -> DataFrame:
     return data.select(*cells, "source_file", *file_facts(F.col("source_file")))
 
 
-def read_registers(spark: SparkSession, folder: str) -> DataFrame:
-    """All register files of a folder as one wide table of text columns."""
-    out = None
-    for layout in layouts(file_catalog(spark, folder)):
-        part = read_layout(spark, layout)
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    if out is None:
-        raise FileNotFoundError(f"no register files with a year in their name under {folder}")
-    return out
+def land(frames: Iterable[DataFrame], path: str, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Frames of differing columns written as one Parquet table and read back merged.
+
+    CSV is parsed once, later jobs read columns, and a column one frame lacks is absent
+    from its files rather than a null column in a plan: unions with dozens of those slow
+    the optimiser down.
+    """
+    spark = None
+    for at, frame in enumerate(frames):
+        spark = frame.sparkSession
+        frame.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{path}/layout={at}")
+    if spark is None:
+        raise FileNotFoundError(f"nothing to land in {path}")
+    return spark.read.option("mergeSchema", "true").parquet(path).drop("layout")
+
+
+def _landing(spark: SparkSession, landing: str | None) -> str:
+    return landing or f"{ensure_checkpoint_dir(spark)}/landing-{uuid4().hex}"
+
+
+def read_registers(spark: SparkSession, folder: str, landing: str | None = None) -> DataFrame:
+    """All register files of a folder as one wide table of text columns.
+
+    The table is landed as Parquet by year under ``landing``, or in the session's shared
+    checkpoint folder.
+    """
+    found = layouts(file_catalog(spark, folder))
+    frames = (read_layout(spark, layout) for layout in found)
+    return land(frames, _landing(spark, landing), ["data_year"])
 
 
 def read_yearly(
-    spark: SparkSession, folder: str, sentinel: str = "No Data", header_column: str | None = None
+    spark: SparkSession,
+    folder: str,
+    sentinel: str = "No Data",
+    header_column: str | None = None,
+    landing: str | None = None,
 ) -> DataFrame:
     """Yearly CSV files named ``..._{year}.csv``: trimmed names, sentinel to null, a ``year``
     column, and header rows repeated among the data removed."""
@@ -168,21 +195,22 @@ def read_yearly(
     first = heads.groupBy("file_path").agg(F.min_by("value", "_at").alias("head"))
     groups: dict[str, list[str]] = {}
     for row in first.collect():
-        groups.setdefault(row["head"].lstrip("﻿"), []).append(row["file_path"])
-    out = None
-    for head, paths in sorted(groups.items()):
+        groups.setdefault(row["head"].lstrip(BOM), []).append(row["file_path"])
+
+    def frame(head: str, paths: list[str]) -> DataFrame:
         names = [n.strip() for n in next(csv.reader([head]))]
         schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
-        raw = spark.read.options(**{**CSV_OPTIONS, "header": "true", "enforceSchema": "true"}).schema(schema).csv(sorted(paths))
+        options = {**CSV_OPTIONS, "header": "true", "enforceSchema": "true"}
+        raw = spark.read.options(**options).schema(schema).csv(sorted(paths))
         cells = [
             F.when(F.trim(f"_c{i}") != sentinel, F.col(f"_c{i}")).alias(n) for i, n in enumerate(names)
         ]
         year = F.regexp_extract("_metadata.file_name", r"_(\d{4})\.csv$", 1).cast("int")
-        part = raw.select(*cells, year.alias("year"))
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    if out is None:
-        raise FileNotFoundError(f"no yearly files under {folder}")
-    return drop_repeated_headers(out, header_column) if header_column else out
+        data = raw.select(*cells, year.alias("year"))
+        return drop_repeated_headers(data, header_column) if header_column in names else data
+
+    frames = (frame(head, paths) for head, paths in sorted(groups.items()))
+    return land(frames, _landing(spark, landing))
 
 
 def drop_repeated_headers(df: DataFrame, column: str) -> DataFrame:
