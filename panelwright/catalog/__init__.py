@@ -4,6 +4,7 @@ from panelwright.catalog import (  # noqa: F401
     attribution,
     cleaning,
     evaluation,
+    files,
     missing,
     modelling,
     panels,

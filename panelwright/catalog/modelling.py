@@ -11,21 +11,24 @@ from panelwright.operators.features import features_at_step as at_step, stratifi
 from panelwright.operators.missing.fill import fill_central
 from panelwright.operators.panel import panel_to_wide
 from panelwright.operators.stats import scale_fit, standardize
+from panelwright.session import cut_lineage
 from panelwright.sources.tables import read_table
 
 _DOC = ["length", "lang_en", "lang_de", "lang_fr", "words", "lines"]
 
 
 def document_features(spark, folder):
-    """Labelled documents with plain text features."""
+    """Labelled documents with plain text features, written once: fits and scorings pass over
+    a few numbers per document many times and must not read the texts each time."""
     documents = read_table(spark, folder, "documents")
     labels = read_table(spark, folder, "labels")
     flags = [(F.col("lang") == x).cast("double").alias(f"lang_{x}") for x in ("en", "de", "fr")]
-    return documents.join(labels, "doc_id").select(
+    rows = documents.join(labels, "doc_id").select(
         "doc_id", F.col("quality").alias("label"), F.log1p("n_chars").alias("length"), *flags,
         F.size(F.split("text", r"\s+")).cast("double").alias("words"),
         F.size(F.split("text", "\n")).cast("double").alias("lines"),
     )
+    return cut_lineage(rows)
 
 
 def _split_documents(spark, folder):
@@ -259,3 +262,14 @@ def wide_panel_scores(spark, folder):
     rows = wide.withColumn("label", (total > 16).cast("int"))
     model = M.fit_classifier(rows, names, "label", "logistic")
     return M.score(model, rows).select("entity_id", "label", r6("probability").alias("probability"))
+
+
+@query("R1", "R2", "M16", "T-6", "X3", "F5", "P29")
+def model_inputs(spark, folder):
+    """Customers with a recorded outcome and their order panel as one training table."""
+    from panelwright.plans.model_inputs import prepare_model_inputs
+
+    static = customer_static(spark, folder).select("entity_id", "balance", "segment", "outcome")
+    made = prepare_model_inputs(static, order_panel(spark, folder), "entity_id", ["n_orders", "filled"])
+    keep = ["mean_n_orders", "trend_filled", "balance", "segment_BUILDING", "n_orders__missing"]
+    return made.table.select("entity_id", "step", "label", "split", *[c for c in keep if c in made.table.columns])

@@ -62,17 +62,24 @@ def binary_metrics(
     )
 
 
-def _by_score(df: DataFrame, label: str, score: str, by: Sequence[str]) -> DataFrame:
+def _by_score(
+    df: DataFrame, label: str, score: str, by: Sequence[str], few_groups: bool = True
+) -> DataFrame:
     """Distinct scores with positives and negatives, at and below each score."""
     counts = df.groupBy(*by, F.col(score).alias("_score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
-    return prefix_sums(counts, ["_score"], ["pos", "neg"], by)
+    return prefix_sums(counts, ["_score"], ["pos", "neg"], by, few_groups=few_groups and bool(by))
 
 
-def rank_metrics(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
-    """Exact ROC-AUC and average precision per group; null where one class is absent."""
-    placed = _by_score(df, label, score, by)
+def rank_metrics(
+    df: DataFrame, label: str, score: str, by: Sequence[str] = (), few_groups: bool = True
+) -> DataFrame:
+    """Exact ROC-AUC and average precision per group; null where one class is absent.
+
+    ``few_groups`` fits steps, folds, splits or features; turn it off to group by entity.
+    """
+    placed = _by_score(df, label, score, by, few_groups)
     concordant = F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)
     tp = F.col("total_pos") - F.col("before_pos")
     fp = F.col("total_neg") - F.col("before_neg")
@@ -120,6 +127,31 @@ def grid(low: int = 10, high: int = 90) -> list[float]:
     return [i / 100 for i in range(low, high + 1)]
 
 
+def _thresholds_passed(score: Column, thresholds: Sequence[float]) -> Column:
+    """How many of the sorted thresholds the score reaches.
+
+    On an even grid a division finds the place and its two neighbours settle rounding;
+    any other list is searched by halving.
+    """
+    size = len(thresholds)
+    bounds = F.array(*[F.lit(t) for t in thresholds])
+    step = (thresholds[-1] - thresholds[0]) / (size - 1) if size > 1 else 1.0
+    even = all(abs(t - thresholds[0] - i * step) < step / 4 for i, t in enumerate(thresholds))
+    if not even:
+        halvings = F.array(*[F.lit(1 << i) for i in range(size.bit_length() - 1, -1, -1)])
+        return F.aggregate(
+            halvings,
+            F.lit(0),
+            lambda at, jump: at
+            + F.when(score >= F.get(bounds, at + jump - 1), jump).otherwise(0),
+        )
+    near = F.floor((score - thresholds[0]) / step).cast("int") + 1
+    near = F.least(F.greatest(near, F.lit(0)), F.lit(size))
+    up = F.coalesce(score >= F.get(bounds, near), F.lit(False)).cast("int")
+    down = F.coalesce(score < F.get(bounds, near - 1), F.lit(False)).cast("int")
+    return near + up - down
+
+
 def threshold_table(
     df: DataFrame,
     label: str,
@@ -138,13 +170,7 @@ def threshold_table(
     thresholds = sorted(thresholds or grid())
     bounds = F.array(*[F.lit(t) for t in thresholds])
     size = len(thresholds)
-    halvings = F.array(*[F.lit(1 << i) for i in range(size.bit_length() - 1, -1, -1)])
-    passed = F.aggregate(
-        halvings,
-        F.lit(0),
-        lambda at, step: at
-        + F.when(F.col(score) >= F.get(bounds, at + step - 1), step).otherwise(0),
-    )
+    passed = _thresholds_passed(F.col(score), thresholds)
     bins = df.groupBy(*by, passed.alias("_i")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )

@@ -17,18 +17,31 @@ CASE_SCHEMA = T.StructType(
 )
 
 
-def read_cases(spark: SparkSession, folder: str, mode: str = "artifact", require_values: bool = False) -> DataFrame:
+def read_cases(
+    spark: SparkSession,
+    folder: str,
+    mode: str = "artifact",
+    require_values: bool = False,
+    lines: bool = False,
+    pattern: str | None = None,
+) -> DataFrame:
     """(case_id, explanation, attributions, timestamp) from ``case_*`` or ``runtime_*`` files.
 
-    The id defaults to the file's stem. With ``require_values`` a case without attributions
-    stops the job, naming its file.
+    One case per file, or one per line with ``lines``: millions of cases are better kept as
+    lines of few files. The id defaults to the file's stem. With ``require_values`` a case
+    without attributions stops the job, naming its file.
     """
     prefix = {"artifact": "case", "runtime": "runtime"}.get(mode)
     if prefix is None:
         raise ValueError("mode must be 'artifact' or 'runtime'")
+    options = {
+        "multiLine": "false" if lines else "true",
+        "pathGlobFilter": pattern or f"{prefix}_*.json",
+        "mode": "PERMISSIVE",
+    }
     raw = (
         spark.read.schema(CASE_SCHEMA)
-        .options(multiLine="true", pathGlobFilter=f"{prefix}_*.json", mode="PERMISSIVE")
+        .options(**options)
         .json(folder)
         .select("*", F.regexp_replace("_metadata.file_name", r"\.json$", "").alias("_stem"))
     )

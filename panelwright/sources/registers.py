@@ -52,17 +52,25 @@ def file_facts(file_name: Column, aliases: Mapping[str, str] = V.FACILITY_ALIASE
     ]
 
 
-def file_catalog(spark: SparkSession, folder: str) -> DataFrame:
+def _source_name(by_folder: bool) -> Column:
+    """Name a file is known by: its own, or that of the ``source=`` folder holding its parts."""
+    if by_folder:
+        return plain_path(F.regexp_extract("_metadata.file_path", r"/source=([^/]+)/", 1))
+    return plain_path("_metadata.file_name")
+
+
+def file_catalog(spark: SparkSession, folder: str, by_folder: bool = False) -> DataFrame:
     """(path, source_file, facility, data_year, head) of every CSV file in a folder.
 
     ``head`` is the text of the two header rows. Files are listed and opened by tasks, one
-    file per row; nothing but the header text leaves them.
+    file per row; nothing but the header text leaves them. With ``by_folder`` a source is a
+    folder ``source=name`` of part files that each carry the two header rows.
     """
     files = spark.read.text(
-        folder, wholetext=False, pathGlobFilter="*.csv"
+        folder, wholetext=False, pathGlobFilter="*.csv", recursiveFileLookup=by_folder
     ).select(
         plain_path("_metadata.file_path").alias("file_path"),
-        plain_path("_metadata.file_name").alias("file_name"), "_metadata.file_block_start",
+        _source_name(by_folder).alias("file_name"), "_metadata.file_block_start",
         F.col("value"), F.monotonically_increasing_id().alias("_at"),
     ).filter("file_block_start = 0")
     # Header rows are the first lines of a file; only lines up to the second non-empty one count.
@@ -122,7 +130,7 @@ def _all_blank(columns: Sequence[str]) -> Column:
     return F.coalesce(*[F.expr(f"nullif(trim(`{c}`), '')") for c in columns]).isNull()
 
 
-def read_layout(spark: SparkSession, layout: RegisterLayout) -> DataFrame:
+def read_layout(spark: SparkSession, layout: RegisterLayout, by_folder: bool = False) -> DataFrame:
     """Data rows of the files of one layout, all text, with provenance columns."""
     raw_names = [f"_c{i}" for i in range(layout.width)]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in raw_names])
@@ -139,7 +147,7 @@ def read_layout(spark: SparkSession, layout: RegisterLayout) -> DataFrame:
     for i, name in enumerate(layout.block):
         second = second & (F.trim(F.col(f"_c{at + i}")) == name)
     is_header = F.coalesce(header & marker, F.lit(False)) | F.coalesce(second, F.lit(False))
-    data = raw.select("*", plain_path("_metadata.file_name").alias("source_file")).filter(
+    data = raw.select("*", _source_name(by_folder).alias("source_file")).filter(
         ~is_header & ~_all_blank(raw_names)
     )
     cells = [
@@ -168,14 +176,16 @@ def _landing(spark: SparkSession, landing: str | None) -> str:
     return landing or f"{ensure_checkpoint_dir(spark)}/landing-{uuid4().hex}"
 
 
-def read_registers(spark: SparkSession, folder: str, landing: str | None = None) -> DataFrame:
+def read_registers(
+    spark: SparkSession, folder: str, landing: str | None = None, by_folder: bool = False
+) -> DataFrame:
     """All register files of a folder as one wide table of text columns.
 
     The table is landed as Parquet by year under ``landing``, or in the session's shared
     checkpoint folder.
     """
-    found = layouts(file_catalog(spark, folder))
-    frames = (read_layout(spark, layout) for layout in found)
+    found = layouts(file_catalog(spark, folder, by_folder))
+    frames = (read_layout(spark, layout, by_folder) for layout in found)
     return land(frames, _landing(spark, landing), ["data_year"])
 
 
@@ -185,10 +195,17 @@ def read_yearly(
     sentinel: str = "No Data",
     header_column: str | None = None,
     landing: str | None = None,
+    by_folder: bool = False,
 ) -> DataFrame:
     """Yearly CSV files named ``..._{year}.csv``: trimmed names, sentinel to null, a ``year``
-    column, and header rows repeated among the data removed."""
-    heads = spark.read.text(folder, pathGlobFilter="*_[0-9][0-9][0-9][0-9].csv").select(
+    column, and header rows repeated among the data removed.
+
+    With ``by_folder`` a year is a folder ``year=2015`` of part files with a header each.
+    """
+    glob = "*.csv" if by_folder else "*_[0-9][0-9][0-9][0-9].csv"
+    year_in_path = r"/year=(\d{4})/" if by_folder else r"_(\d{4})\.csv$"
+    listing = {"pathGlobFilter": glob, "recursiveFileLookup": by_folder}
+    heads = spark.read.text(folder, **listing).select(
         plain_path("_metadata.file_path").alias("file_path"), "_metadata.file_block_start",
         F.monotonically_increasing_id().alias("_at"), "value",
     ).filter("file_block_start = 0")
@@ -205,7 +222,7 @@ def read_yearly(
         cells = [
             F.when(F.trim(f"_c{i}") != sentinel, F.col(f"_c{i}")).alias(n) for i, n in enumerate(names)
         ]
-        year = F.regexp_extract("_metadata.file_name", r"_(\d{4})\.csv$", 1).cast("int")
+        year = F.regexp_extract("_metadata.file_path", year_in_path, 1).cast("int")
         data = raw.select(*cells, year.alias("year"))
         return drop_repeated_headers(data, header_column) if header_column in names else data
 
