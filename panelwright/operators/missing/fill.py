@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from panelwright import fixed_values as V
 from panelwright.functions.numeric import clip
 from panelwright.operators.ordering import attach, medians, modes
+from panelwright.operators.profile import one_pass
 from panelwright.operators.windows import forward_fill, repair_monotone
 
 NUMERIC = ("double", "float", "integer", "long", "short", "byte")
@@ -32,14 +33,15 @@ def add_indicators(df: DataFrame, columns: Sequence[str], prefix: str = "is_miss
 
 
 def fill_central(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:
-    """Median for numeric columns, most frequent value for text, ``Unknown`` if none exists."""
+    """Median for numeric columns, most frequent value for text; zero or ``Unknown`` for a
+    column without a single observed value."""
     fit_on = df if fit_on is None else fit_on
     numbers = numeric_columns(df, columns)
     texts = [c for c in columns if c not in numbers]
     if numbers:
         df = attach(df, medians(fit_on, numbers), "_median")
         df = df.withColumns(
-            {c: F.coalesce(F.col(c).cast("double"), F.col(f"_median.{c}")) for c in numbers}
+            {c: F.coalesce(F.col(c).cast("double"), F.col(f"_median.{c}"), F.lit(0.0)) for c in numbers}
         ).drop("_median")
     if texts:
         df = attach(df, modes(fit_on, texts), "_mode")
@@ -69,11 +71,17 @@ def indicator_fill_panel(
     return fill_central(carry_forward(marked, columns, entity, step), columns)
 
 
-def safety_fill(df: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
-    """Last resort for gaps that survived every pathway."""
-    columns = [f.name for f in df.schema if f.name not in skip
-               and f.dataType.typeName() in (*NUMERIC, "string")]
-    return fill_central(df, columns)
+def residual_gaps(df: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
+    """(column, missing) of the columns that still have gaps, from one pass."""
+    columns = [c for c in df.columns if c not in skip]
+    return one_pass(df, columns, {"missing": lambda c: F.count_if(c.isNull())}).filter("missing > 0")
+
+
+def safety_fill(df: DataFrame, skip: Sequence[str] = (), columns: Sequence[str] | None = None) -> DataFrame:
+    """Last resort for gaps that survived every pathway, in all columns or those given."""
+    fillable = [f.name for f in df.schema if f.name not in skip
+                and f.dataType.typeName() in (*NUMERIC, "string")]
+    return fill_central(df, [c for c in fillable if columns is None or c in columns])
 
 
 def clip_static(static: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ class MissingResult:
     decisions: DataFrame
     mcar: dict
     counts: dict = field(default_factory=dict)
+    residual: dict = field(default_factory=dict)
 
 
 def importance_ranking(
@@ -49,7 +50,7 @@ def importance_ranking(
         .join(means, entity, "left")
         .filter(F.col(label).isNotNull())
     )
-    ready = fill.fill_central(flat, features).fillna(0.0, features)
+    ready = fill.fill_central(flat, features)
     facts = class_balance(flat, label).agg(
         F.sum("count").alias("n"), F.count(F.lit(1)).alias("k")
     ).first()
@@ -81,12 +82,13 @@ def handle_missing(
     step: str = "step",
     config: RouteConfig = RouteConfig(),
     imputer: str = "forest",
-    max_rounds: int = 5,
+    max_rounds: int | None = 5,
     trees: int = 100,
 ) -> MissingResult:
     """Diagnose, rank, route, treat (drop, listwise, indicator, impute) and fill what is left.
 
     Only the decision table (one row per column) reaches the driver: it decides the schema.
+    ``max_rounds=None`` lets the missing rate set the number of imputation rounds.
     """
     static_columns, panel_columns = list(static_columns), list(panel_columns)
     features = [c for c in static_columns if c != label]
@@ -104,6 +106,9 @@ def handle_missing(
     plan = decisions.collect()
     report = static.sparkSession.createDataFrame(plan, decisions.schema)
 
+    rates = [r["missing_rate_pct"] / 100 for r in plan if r["pathway"] == route.IMPUTE]
+    max_rounds = max_rounds or chained.iteration_count(max(rates, default=0.0))
+
     def chosen(source: str, pathway: str) -> list[str]:
         return sorted(r["column"] for r in plan if r["source"] == source and r["pathway"] == pathway)
 
@@ -128,9 +133,15 @@ def handle_missing(
     counts: dict[str, int] = {}
     for r in plan:
         counts[r["pathway"]] = counts.get(r["pathway"], 0) + 1
-    left = fill.safety_fill(static, skip=[entity]), fill.safety_fill(panel, skip=[entity, step])
+    left = {}
+    for name, frame, keys in (("static", static, [entity]), ("panel", panel, [entity, step])):
+        left[name] = {r["column"]: r["missing"] for r in fill.residual_gaps(frame, keys).collect()}
+    if left["static"]:
+        static = fill.safety_fill(static, [entity], list(left["static"]))
+    if left["panel"]:
+        panel = fill.safety_fill(panel, [entity, step], list(left["panel"]))
     return MissingResult(
-        fill.clip_static(left[0]), fill.clip_panel(left[1], entity, step), report, mcar, counts
+        fill.clip_static(static), fill.clip_panel(panel, entity, step), report, mcar, counts, left
     )
 
 

@@ -12,11 +12,20 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BUCKETS = 256
+FEWEST_BUCKETS, MOST_BUCKETS = 256, 4096
 HASH_BITS = 12
 _BUCKET = "_bucket"
 
 
+def bucket_count(df: DataFrame) -> int:
+    """Buckets for the order axis: about one per shuffle partition, as a power of two."""
+    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = FEWEST_BUCKETS
+    while size < min(wanted, MOST_BUCKETS):
+        size *= 2
+    return size
+
+
 def _locate(value: Column, bounds: Column, buckets: int) -> Column:
     """Number of bounds below ``value``: a binary search over a sorted array column."""
     halvings = F.array(*[F.lit(1 << i) for i in range((buckets - 1).bit_length() - 1, -1, -1)])
@@ -31,7 +40,7 @@ def with_quantile_bucket(
     df: DataFrame,
     order: str,
     by: Sequence[str] = (),
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
     few_groups: bool = False,
     counts: Sequence[str] = (),
 ) -> DataFrame:
@@ -43,6 +52,7 @@ def with_quantile_bucket(
     them here makes the bounds come from the very exchange the rows come from, so Spark
     reuses it instead of aggregating the table a second time.
     """
+    buckets = buckets or bucket_count(df)
     source = df.filter(sum((F.col(c) for c in counts), F.lit(0)) >= 0) if counts else df
     probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     bounds = F.percentile_approx(order, probs, buckets * 40).alias("_bounds")
@@ -80,7 +90,7 @@ def prefix_sums(
     sums: Sequence[str],
     by: Sequence[str] = (),
     bucket: Column | None = None,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
     few_groups: bool = False,
 ) -> DataFrame:
     """Adds ``before_x`` (sum of x over earlier rows) and ``total_x`` for each x in ``sums``,
@@ -176,7 +186,7 @@ def exact_quantiles(
     columns: Sequence[str],
     probs: Mapping[str, float],
     by: Sequence[str] = (),
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles, one row per (by..., column).
 
@@ -205,9 +215,26 @@ def exact_quantiles(
     return found.select(*keys, "n", *out)
 
 
-def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row holding the exact median of each column under its own name."""
-    table = exact_quantiles(df, columns, {"median": 0.5})
+def approx_quantiles(
+    df: DataFrame,
+    columns: Sequence[str],
+    probs: Mapping[str, float],
+    by: Sequence[str] = (),
+    accuracy: int = 10000,
+) -> DataFrame:
+    """The same table from one pass of mergeable sketches: rank error within 1 / accuracy."""
+    wanted = F.array(*[F.lit(p) for p in probs.values()])
+    sketched = long_values(df, columns, by).groupBy(*by, "column").agg(
+        F.count(F.lit(1)).alias("n"), F.percentile_approx("value", wanted, accuracy).alias("_q")
+    )
+    return sketched.select(
+        *by, "column", "n", *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)]
+    )
+
+
+def medians(df: DataFrame, columns: Sequence[str], exact: bool = True) -> DataFrame:
+    """One row holding the median of each column under its own name."""
+    table = (exact_quantiles if exact else approx_quantiles)(df, columns, {"median": 0.5})
     return table.agg(
         *[F.max(F.when(F.col("column") == c, F.col("median"))).alias(c) for c in columns]
     )

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelwright.fixed_values import PANEL_STEPS
+from panelwright.operators.ordering import row_numbers
 
 WIDE_COLUMN = re.compile(r"^m(\d+)_(.+)$")
 
@@ -133,12 +134,14 @@ def vocabulary(df: DataFrame, column: str, limit: int = 1000) -> list[str]:
 
 
 def label_codes(df: DataFrame, column: str) -> DataFrame:
-    """(value, code): zero-based alphabetical codes of the column's values."""
-    from panelwright.operators.ordering import row_numbers
+    """(value, code): zero-based alphabetical codes of the column's values.
 
+    The first six bytes of a value as a number follow its order and cut the value axis.
+    """
     values = df.select(F.col(column).alias("value")).filter("value is not null").distinct()
-    bucket = F.coalesce(F.ascii(F.col("value")), F.lit(0))
-    return row_numbers(values, ["value"], "code", bucket=bucket).select(
+    head = F.rpad(F.hex(F.substring(F.encode("value", "UTF-8"), 1, 6)), 12, "0")
+    keyed = values.withColumn("_head", F.conv(head, 16, 10).cast("double"))
+    return row_numbers(keyed, ["_head", "value"], "code").select(
         "value", (F.col("code") - 1).cast("int").alias("code")
     )
 
