@@ -169,7 +169,7 @@ _ROLL = f"""
 {ATTRIBUTIONS}, g AS (
   SELECT case_id, CASE WHEN feature IN ('Age', 'Body_Weight', 'Vital_Signs') THEN 'Profile'
          WHEN feature IN ('Treatment_Adherence', 'Missed_Doses') THEN 'Dosing' ELSE 'Laboratory' END AS "group", value FROM attributions),
-rolled AS (SELECT case_id, "group", round(sum(value), 5) AS signed_sum, round(sum(abs(value)), 5) AS abs_sum, count(*) AS members,
+rolled AS (SELECT case_id, "group", round(sum(value), 5) + 0.0::DOUBLE AS signed_sum, round(sum(abs(value)), 5) AS abs_sum, count(*) AS members,
        CASE WHEN sum(value) > 1e-6 THEN '+' WHEN sum(value) < -1e-6 THEN '-' ELSE 'mixed' END AS sign FROM g GROUP BY 1, 2)"""
 
 

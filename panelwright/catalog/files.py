@@ -97,7 +97,7 @@ def yearly_files(spark, folder):
 
 @query("S12", "S11", "P39", sql=f"""
 WITH {ATTRIBUTIONS}
-SELECT CAST(case_id AS VARCHAR) AS case_id, feature, round(value, 6) AS value FROM attributions
+SELECT CAST(case_id AS VARCHAR) AS case_id, feature, value FROM attributions
 WHERE case_id IN (SELECT o_orderkey FROM orders)""")
 def case_files(spark, folder):
     path = _folder(spark)

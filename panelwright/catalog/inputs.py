@@ -188,6 +188,6 @@ attributions AS (
   SELECT l_orderkey AS case_id,
          list_extract(['Treatment_Adherence', 'Body_Weight', 'Age', 'Xpert_Result', 'Missed_Doses',
                        'Smear_Result', 'Vital_Signs'], l_linenumber) AS feature,
-         round(sum((l_discount - 0.05::DOUBLE) * l_quantity + l_tax), 6) AS value
+         round(sum((l_discount - 0.05::DOUBLE) * l_quantity + l_tax), 6) + 0.0::DOUBLE AS value
   FROM lineitem GROUP BY 1, 2)
 """

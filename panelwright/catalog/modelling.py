@@ -128,7 +128,7 @@ WITH {EVENT_PANEL}
 SELECT entity_id, step, {_STEP_SQL}, round(avg(coalesce(doses, 0)) OVER w, 6) AS mean_doses,
        round(stddev_pop(coalesce(doses, 0)) OVER w, 6) AS std_doses, min(coalesce(doses, 0)) OVER w AS min_doses,
        max(coalesce(doses, 0)) OVER w AS max_doses,
-       round(CASE WHEN stddev_pop(coalesce(doses, 0)) OVER w > 1e-8 THEN coalesce(regr_slope(coalesce(doses, 0), step) OVER w, 0) ELSE 0 END, 6) AS trend_doses,
+       round(CASE WHEN stddev_pop(coalesce(doses, 0)) OVER w > 1e-8 THEN coalesce(regr_slope(coalesce(doses, 0), step) OVER w, 0) ELSE 0 END, 6) + 0.0::DOUBLE AS trend_doses,
        coalesce(doses, 0) AS latest_doses, step AS months_available
 FROM panel WINDOW w AS (PARTITION BY entity_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def step_features(spark, folder):

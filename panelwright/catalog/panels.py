@@ -112,7 +112,7 @@ def _prefix_sql(m):
        round(avg({m}) {_HIST}, 6) AS mean_{m}, round(stddev_pop({m}) {_HIST}, 6) AS std_{m},
        min({m}) {_HIST} AS min_{m}, max({m}) {_HIST} AS max_{m},
        round(CASE WHEN stddev_pop({m}) {_HIST} > 1e-8
-             THEN coalesce(regr_slope({m}, step) {_HIST}, 0) ELSE 0 END, 6) AS trend_{m},
+             THEN coalesce(regr_slope({m}, step) {_HIST}, 0) ELSE 0 END, 6) + 0.0::DOUBLE AS trend_{m},
        {m} AS latest_{m}"""
 
 
