@@ -226,8 +226,9 @@ def case_validation(spark, folder):
     return table.withColumn("issues", F.array_join("issues", ","))
 
 
-@query("E12", "S11")
+@query("E12", "S11", sql="SELECT 'sighted' AS condition, count(*) AS cases, '5' AS top_k FROM orders")
 def case_documents(spark, folder):
     rows = attributions(spark, folder)
     documents = sinks.case_documents(explanations(spark, folder), A.roll_up(rows, _groups(rows)), "sighted")
-    return sinks.run_manifest(documents, {"top_k": "5"})
+    manifest = sinks.run_manifest(documents, {"top_k": "5"})
+    return manifest.select("condition", "cases", F.col("settings")["top_k"].alias("top_k"))

@@ -50,8 +50,26 @@ def dropout_correlation(spark, folder):
     return group_spearman(rates, "step", "missing_rate", "column").withColumn("rho", r6("rho"))
 
 
-@query("M3")
+# With thirteen steps a rank correlation above 0.6 is always significant at 0.05.
+_RHO = """
+rates AS (SELECT "column", step, avg(CASE WHEN gap THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS rate FROM long GROUP BY 1, 2),
+r AS (SELECT "column", rank() OVER (PARTITION BY "column" ORDER BY step) AS x,
+        rank() OVER (PARTITION BY "column" ORDER BY rate) + (count(*) OVER (PARTITION BY "column", rate) - 1) / 2.0::DOUBLE AS y FROM rates),
+rho AS (SELECT "column", CASE WHEN corr(x, y) > 0.6 THEN 'MNAR_dropout' ELSE 'random' END AS pattern FROM r GROUP BY 1)"""
+
+
+@query("M3", sql=f"""
+WITH {EVENT_PANEL}, long AS (
+  SELECT step, unnest(['doses', 'reading', 'weight']) AS "column",
+         unnest([doses IS NULL, reading IS NULL, weight IS NULL]) AS gap FROM panel), {_RHO}
+SELECT * FROM rho""")
 def dropout_pattern(spark, folder):
+    table = diagnose.dropout_pattern(event_panel(spark, folder), ["doses", "reading", "weight"])
+    return table.select("column", "pattern")
+
+
+@query("M3")
+def dropout_significance(spark, folder):
     return diagnose.dropout_pattern(event_panel(spark, folder), ["doses", "reading", "weight"])
 
 
@@ -81,12 +99,38 @@ def _diagnosed(spark, folder):
     return diagnose.classify_mechanism(found, is_mcar=False)
 
 
-@query("M5")
+_S = (*_N, "segment", "outcome")
+_MECHANISM = f"""
+{CUSTOMER_STATIC}, {ORDER_PANEL}, f AS (SELECT *, {_FILLED} FROM static), c AS ({_CORRS}),
+links AS (SELECT col, round(coalesce(max(CASE WHEN ok AND NOT isnan(r) THEN r END), 0), 4) AS max_abs_corr FROM c WHERE gaps > 0 GROUP BY 1),
+long AS (SELECT step, unnest([{", ".join(f"'{m}'" for m in ORDER_METRICS)}]) AS "column",
+                unnest([{", ".join(f"{m} IS NULL" for m in ORDER_METRICS)}]) AS gap FROM order_panel), {_RHO},
+flat AS (SELECT unnest([{", ".join(f"'{m}'" for m in _S)}]) AS "column", unnest([{", ".join(f"{m} IS NULL" for m in _S)}]) AS gap FROM static),
+found AS (
+  SELECT 'static' AS source, "column", avg(CAST(gap AS INTEGER)) AS missing_rate, 'N/A' AS pattern, max(max_abs_corr) AS max_abs_corr
+  FROM flat LEFT JOIN links ON col = "column" GROUP BY 2 HAVING count(*) FILTER (WHERE gap) > 0
+  UNION ALL
+  SELECT 'panel', l."column", avg(CAST(gap AS INTEGER)), max(pattern), NULL FROM long l JOIN rho ON rho."column" = l."column"
+  GROUP BY 2 HAVING count(*) FILTER (WHERE gap) > 0),
+judged AS (SELECT *, CASE WHEN pattern = 'MNAR_dropout' THEN 'MNAR' WHEN max_abs_corr > 0.3 THEN 'MAR' ELSE 'MNAR' END AS mechanism FROM found)"""
+
+
+@query("M5", sql=f"""
+WITH {_MECHANISM}
+SELECT source, "column", round(missing_rate, 6) AS missing_rate, pattern, max_abs_corr, mechanism FROM judged""")
 def mechanism(spark, folder):
-    return _diagnosed(spark, folder)
-
-
-@query("M7", "M18", "S11")
+    return _diagnosed(spark, folder).withColumn("missing_rate", r6("missing_rate"))
+
+
+@query("M7", "M18", "S11", sql=f"""
+WITH {_MECHANISM}, routed AS (
+  SELECT *, CASE WHEN source = 'static' AND missing_rate > 0.8 THEN 'drop' WHEN mechanism = 'MAR' THEN 'impute' ELSE 'indicator' END AS pathway,
+         printf('%.1f%%', missing_rate * 100) AS pct FROM judged)
+SELECT source, "column", round(missing_rate * 100, 2) AS missing_rate_pct, mechanism, pattern AS temporal_pattern, pathway,
+       CASE WHEN pathway = 'drop' THEN 'Dropped: ' || pct || ' missing, above the hard threshold.'
+            WHEN pathway = 'impute' THEN 'Imputed: ' || pct || ' missing, explained by observed columns.'
+            WHEN pattern = 'MNAR_dropout' THEN 'Indicator and fill: missing rate climbs with the step (dropout).'
+            ELSE 'Indicator and fill: mechanism ' || mechanism || ', ' || pct || ' missing.' END AS rationale FROM routed""")
 def route_columns(spark, folder):
     n = customer_static(spark, folder).count()
     return route.rationale(route.route_columns(_diagnosed(spark, folder), None, n))

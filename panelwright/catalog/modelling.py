@@ -3,7 +3,9 @@ have no SQL side; tests check their properties instead."""
 
 from pyspark.sql import functions as F
 
-from panelwright.catalog.inputs import EVENT_PANEL, METRICS, customer_static, event_panel, order_panel, r6
+from panelwright.catalog.inputs import (
+    CUSTOMER_STATIC, EVENT_PANEL, METRICS, ORDER_PANEL, customer_static, event_panel, order_panel, r6,
+)
 from panelwright.catalog.registry import query
 from panelwright.operators import attribution as A, models as M, resample as R
 from panelwright.operators.evaluate import per_step_evaluation, rank_metrics
@@ -136,10 +138,24 @@ def step_features(spark, folder):
     return table.withColumns({c: r6(c) for c in ("mean_doses", "std_doses", "trend_doses")})
 
 
-@query("R1", "J1")
+def _at_step_sql(m):
+    return ", ".join([
+        *[f"max(CASE WHEN step = {i} THEN {m} END) AS M{i}_{m}" for i in range(7)],
+        f"round(avg({m}), 6) AS mean_{m}, round(stddev_pop({m}), 6) AS std_{m}, min({m}) AS min_{m}, max({m}) AS max_{m}",
+        f"round(CASE WHEN stddev_pop({m}) > 1e-8 THEN regr_slope({m}, step) ELSE 0 END, 6) + 0.0::DOUBLE AS trend_{m}",
+        f"max(CASE WHEN step = 6 THEN {m} END) AS latest_{m}",
+    ])
+
+
+@query("R1", "J1", sql=f"""
+WITH {ORDER_PANEL}, z AS (SELECT entity_id, step, coalesce(n_orders, 0) AS n_orders, coalesce(urgent, 0) AS urgent FROM order_panel WHERE step <= 6),
+f AS (SELECT entity_id, {_at_step_sql("n_orders")}, {_at_step_sql("urgent")}, max(step) AS months_available FROM z GROUP BY 1)
+SELECT c_custkey AS entity_id, CAST(c_nationkey AS DOUBLE) AS nation, f.* EXCLUDE (entity_id) FROM customer LEFT JOIN f ON f.entity_id = c_custkey""")
 def features_at_step(spark, folder):
     static = customer_static(spark, folder).select("entity_id", "nation")
-    return at_step(order_panel(spark, folder), static, ["n_orders", "filled"], "entity_id", 6)
+    table = at_step(order_panel(spark, folder), static, ["n_orders", "urgent"], "entity_id", 6)
+    noisy = [c for c in table.columns if c.startswith(("mean_", "std_", "trend_"))]
+    return table.withColumns({c: r6(c) for c in noisy})
 
 
 @query("R13", "R17", "R1")
@@ -201,13 +217,22 @@ def _vectors(spark, folder):
     )
 
 
-@query("R4", "J12")
+@query("R4", "J12", sql="""
+WITH n AS (SELECT count(*) FILTER (WHERE label = 0) AS small, count(*) FILTER (WHERE label <> 0) AS large FROM embeddings)
+SELECT 0 AS label, false AS synthetic, large AS rows FROM n UNION ALL SELECT 1, false, small FROM n
+UNION ALL SELECT 1, true, large - small FROM n""")
 def smote_balance(spark, folder):
     grown = R.interpolate_minority(_vectors(spark, folder), "embedding", "label", "vec_id", minority=1)
     return grown.groupBy("label", "synthetic").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("R5", "J12")
+@query("R5", "J12", sql="""
+WITH v AS (SELECT vec_id, embedding, CASE WHEN label = 0 THEN 1 ELSE 0 END AS label FROM embeddings),
+d AS (
+  SELECT a.vec_id, a.label, b.label AS other, row_number() OVER (PARTITION BY a.vec_id ORDER BY
+           list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: pow(p[1]::DOUBLE - p[2]::DOUBLE, 2))), b.vec_id) AS n
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id)
+SELECT vec_id, label FROM d WHERE n <= 3 GROUP BY 1, 2 HAVING count(*) FILTER (WHERE other <> label) = 0""")
 def enn_clean(spark, folder):
     return R.edited_neighbours(_vectors(spark, folder), "embedding", "label", "vec_id").select("vec_id", "label")
 
@@ -226,7 +251,9 @@ def nearest_neighbours(spark, folder):
     return knn_join(points, points, 3).withColumn("distance", r6("distance"))
 
 
-@query("R6")
+@query("R6", sql="""
+SELECT vec_id, CAST(copy AS INTEGER) AS copy, 'noise' AS kind FROM embeddings, (SELECT unnest(range(1, 6)) AS copy) WHERE label = 0
+UNION ALL SELECT vec_id, CAST(copy AS INTEGER), 'mixup' FROM embeddings, (SELECT unnest(range(1, 3)) AS copy) WHERE label = 0""")
 def noise_and_mixup(spark, folder):
     minority = _vectors(spark, folder).filter("label = 1")
     noisy = R.noise_copies(minority, "embedding", "vec_id", static_from=32).select("vec_id", "copy")
@@ -234,13 +261,20 @@ def noise_and_mixup(spark, folder):
     return noisy.withColumn("kind", F.lit("noise")).unionByName(mixed.withColumn("kind", F.lit("mixup")))
 
 
-@query("R8", "T-6")
+@query("R8", "T-6", sql=f"""
+WITH {CUSTOMER_STATIC}, tr AS (SELECT * FROM static WHERE outcome IN ('Cured', 'Died')),
+m AS (SELECT (SELECT quantile_cont(balance, 0.5) FROM tr) AS mb, (SELECT quantile_cont(credit, 0.5) FROM tr) AS mc,
+      (SELECT segment FROM tr WHERE segment IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS ms),
+f AS (SELECT entity_id, coalesce(balance, mb) AS b, coalesce(credit, mc) AS c, coalesce(segment, ms) AS segment, outcome FROM static, m),
+t AS (SELECT avg(b) AS ab, stddev_pop(b) AS sb, avg(c) AS ac, stddev_pop(c) AS sc FROM f WHERE outcome IN ('Cured', 'Died'))
+SELECT entity_id, round((b - ab) / sb, 6) + 0.0::DOUBLE AS balance, round((c - ac) / sc, 6) + 0.0::DOUBLE AS credit, segment, outcome FROM f, t""")
 def tabular_preprocess(spark, folder):
     static = customer_static(spark, folder).select("entity_id", "balance", "credit", "segment", "outcome")
     train = static.filter(F.col("outcome").isin("Cured", "Died"))
     filled = fill_central(static, ["balance", "credit", "segment"], fit_on=train)
     fit = scale_fit(filled.filter(F.col("outcome").isin("Cured", "Died")), ["balance", "credit"])
-    return standardize(filled, fit, ["balance", "credit"])
+    scaled = standardize(filled, fit, ["balance", "credit"])
+    return scaled.withColumns({"balance": r6("balance"), "credit": r6("credit")})
 
 
 @query("R7", sql=f"""

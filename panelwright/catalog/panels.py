@@ -256,7 +256,10 @@ def dense_row_ids(spark, folder):
     return dense_ids(read_table(spark, folder, "orders").select("o_orderkey"), "o_orderkey")
 
 
-@query("S13", "J10")
+@query("S13", "J10", sql=f"""
+WITH {EVENT_PANEL}, kinds AS (SELECT entity_id, step, string_agg(DISTINCT event_type, '+' ORDER BY event_type) AS seen FROM bins GROUP BY 1, 2)
+SELECT c.entity_id, count(*) AS records, string_agg(c.step || ':' || CAST(c.doses AS INTEGER) || ':' || seen, '|' ORDER BY c.step) AS document
+FROM cells c JOIN kinds k ON k.entity_id = c.entity_id AND k.step = c.step GROUP BY 1""")
 def nested_entity_documents(spark, folder):
     """One document per user: step records, and the event kinds seen per step as attachments."""
     cells = event_cells(spark, folder)
@@ -265,9 +268,17 @@ def nested_entity_documents(spark, folder):
         F.array_sort(F.collect_list("event_type")).alias("attachments")
     )
     records = cells.join(attached, ["entity_id", "step"], "left")
-    child = child_array(records, "entity_id", ["step"], ["doses", "missed", "weight", "attachments"], "records")
+    child = child_array(records, "entity_id", ["step"], ["doses", "attachments"], "records")
     people = cells.select("entity_id").distinct()
-    return nested_documents(people, "entity_id", [child])
+    documents = nested_documents(people, "entity_id", [child])
+
+    def line(r):
+        return F.concat_ws(":", r["step"], r["doses"].cast("int"), F.array_join(r["attachments"], "+"))
+
+    return documents.select(
+        "entity_id", F.size("records").cast("long").alias("records"),
+        F.array_join(F.transform("records", line), "|").alias("document"),
+    )
 
 
 @query("F10", sql="""
