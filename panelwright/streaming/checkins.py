@@ -21,41 +21,50 @@ FLAGGED = (
 )
 VERDICT = f"{INPUT}, accepted boolean, reason string, expected_month int, prior_doses long"
 STATE = "last_month int, doses long"
+REPEATED = "repeated"
 
 
-def _judge(row, last: int | None) -> tuple[bool, str | None, int]:
-    """Acceptance of one check-in given the last accepted month of its entity."""
-    month = row.month
-    expected = (0 if month == 0 else 1) if last is None else last + 1
-    if pd.isna(month) or not 0 <= month <= LAST_STEP:
-        return False, "month_out_of_range", expected
-    if month > 0 and (pd.isna(row.monthly_doses_taken) or pd.isna(row.monthly_missed_doses)):
-        return False, "doses_required", expected
-    if last is not None and month <= last:
-        # Accepted months run without gaps from 0 or 1, so a month not after the last one
-        # exists already, except month 0 of an entity that began at month 1.
-        return False, "duplicate_or_past", expected
-    if month != expected:
-        return False, "unexpected_month", expected
-    return True, None, expected
+def _settle_early(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Verdicts that need no history, before any shuffle.
+
+    Marks rows that fail on their own and, inside an Arrow batch, rows of a month another
+    row of the entity precedes: neither can be accepted. What is left of a busy entity is
+    at most one row per month and batch.
+    """
+    for batch in batches:
+        month = batch["month"]
+        lacking = batch["monthly_doses_taken"].isna() | batch["monthly_missed_doses"].isna()
+        early = pd.Series(None, index=batch.index, dtype="object")
+        early[(month > 0) & lacking] = "doses_required"
+        early[~month.between(0, LAST_STEP)] = "month_out_of_range"
+        open_rows = batch[early.isna()].sort_values(["timestamp", "request_id"], kind="stable")
+        again = open_rows.duplicated(["entity_id", "month"])
+        early.loc[again.index[again]] = REPEATED
+        yield batch.assign(early=early)
 
 
 def _validate(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    last, doses = state.get if state.exists else (None, 0)
-    last = None if last is None or last < 0 else last
+    last, doses = state.get if state.exists else (-1, 0)
     frame = pd.concat(list(batches), ignore_index=True)
-    frame = frame.sort_values(["month", "timestamp", "request_id"], kind="stable", na_position="last")
+    frame = frame.sort_values(["month", "timestamp", "request_id"], kind="stable")
+    again = frame.duplicated("month")
     verdicts = []
-    for row in frame.itertuples(index=False):
-        ok, reason, expected = _judge(row, last)
-        verdicts.append((ok, reason, expected, doses))
-        if ok:
-            last = int(row.month)
+    for row, repeated in zip(frame.itertuples(index=False), again):
+        month = int(row.month)
+        expected = last + 1 if last >= 0 else min(month, 1)
+        if last >= 0 and month <= last and not repeated:
+            reason = "duplicate_or_past"
+        elif repeated:
+            reason = REPEATED
+        else:
+            reason = None if month == expected else "unexpected_month"
+        verdicts.append((reason is None, reason, expected, doses))
+        if reason is None:
+            last = month
             doses += 0 if pd.isna(row.monthly_doses_taken) else int(row.monthly_doses_taken)
-    state.update((-1 if last is None else last, doses))
-    out = frame.reset_index(drop=True)
+    state.update((last, doses))
     extra = pd.DataFrame(verdicts, columns=["accepted", "reason", "expected_month", "prior_doses"])
-    yield pd.concat([out, extra], axis=1)
+    yield pd.concat([frame.reset_index(drop=True), extra], axis=1)
 
 
 def validated_stream(stream: DataFrame) -> DataFrame:
@@ -66,9 +75,15 @@ def validated_stream(stream: DataFrame) -> DataFrame:
     typed = stream.selectExpr(
         *[f"cast({c.split()[0]} as {c.split()[1]}) as {c.split()[0]}" for c in INPUT.split(", ")]
     )
-    return typed.groupBy("entity_id").applyInPandasWithState(
+    marked = typed.mapInPandas(_settle_early, f"{INPUT}, early string")
+    settled = marked.filter("early is not null").select(
+        *typed.columns, F.lit(False).alias("accepted"), F.col("early").alias("reason"),
+        F.lit(None).cast("int").alias("expected_month"), F.lit(None).cast("long").alias("prior_doses"),
+    )
+    judged = marked.filter("early is null").drop("early").groupBy("entity_id").applyInPandasWithState(
         _validate, VERDICT, STATE, "append", "NoTimeout"
     )
+    return judged.unionByName(settled)
 
 
 def derived_fields(verdicts: DataFrame) -> DataFrame:
@@ -97,7 +112,7 @@ def validated_batch(df: DataFrame) -> DataFrame:
     """The same verdicts for a complete table, with joins and windows only.
 
     Rows that fail on their own are judged alone. Of the others, the first of each
-    (entity, month) competes; a month is accepted while months run without a gap from 0
+    (entity, month) competes and later ones are repeats; a month is accepted while months run without a gap from 0
     or 1. An entity contributes at most 13 competing months, so its window stays short
     however many repeats it sent.
     """
@@ -119,16 +134,18 @@ def validated_batch(df: DataFrame) -> DataFrame:
         (month - F.row_number().over(w)).alias("_island"),
         F.min("month").over(Window.partitionBy("entity_id")).alias("_first"),
     )
-    accepted = chain.filter(
-        (F.col("_first") <= 1) & (F.col("_island") == F.col("_first") - 1)
-    ).select(
-        "entity_id", "month", "_winner", (F.sum("_taken").over(w) - F.col("_taken")).alias("prior_doses")
+    unbroken = (F.col("_first") <= 1) & (F.col("_island") == F.col("_first") - 1)
+    # Accepted months open the chain, so a running sum up to one of them sees only accepted rows.
+    months = chain.select(
+        "entity_id", "month", F.col("_winner").alias("_first_id"), unbroken.alias("_ok"),
+        (F.sum("_taken").over(w) - F.col("_taken")).alias("prior_doses"),
     )
-    joined = base.join(accepted, ["entity_id", "month"], "left")
-    won = F.coalesce(F.col("_own").isNull() & (F.col("_winner") == F.col("request_id")), F.lit(False))
+    joined = base.join(months, ["entity_id", "month"], "left")
+    mine = F.col("_own").isNull() & (F.col("_first_id") == F.col("request_id"))
+    won = F.coalesce(mine & F.col("_ok"), F.lit(False))
     reason = (
         F.when(F.col("_own").isNotNull(), F.col("_own"))
-        .when(~won & F.col("_winner").isNotNull(), "duplicate_or_past")
+        .when(F.col("_first_id") != F.col("request_id"), REPEATED)
         .when(~won, "unexpected_month")
     )
     return joined.select(

@@ -11,34 +11,49 @@ from panelwright.functions.numeric import trend_class
 from panelwright.session import ensure_checkpoint_dir
 
 ALERT = "entity_id long, latest double, previous double, timestamp long"
-ALERT_STATE = "latest double, previous double, timestamp long, seen int"
+ALERT_STATE = "latest double, latest_at long, previous double, previous_at long"
+ROW = "entity_id long, failure_probability double, timestamp long"
+
+
+def _newest_two(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """At most two rows per entity leave an Arrow batch: older ones cannot show."""
+    for batch in batches:
+        ordered = batch.sort_values("timestamp", kind="stable")
+        yield ordered.groupby("entity_id", sort=False).tail(2)
 
 
 def _follow(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    latest, previous, at, seen = state.get if state.exists else (0.0, 0.0, -1, 0)
+    known = []
+    if state.exists:
+        latest, latest_at, previous, previous_at = state.get
+        known = [(latest_at, latest)] + ([(previous_at, previous)] if previous_at >= 0 else [])
+        known.reverse()
     for batch in batches:
-        for row in batch.sort_values("timestamp", kind="stable").itertuples(index=False):
-            if row.timestamp >= at:
-                previous, latest, at = latest, float(row.failure_probability), int(row.timestamp)
-                seen += 1
-    state.update((latest, previous, at, seen))
+        known += list(zip(batch["timestamp"].astype(int), batch["failure_probability"].astype(float)))
+        known = sorted(known, key=lambda pair: pair[0])[-2:]
+    at, latest = known[-1]
+    previous_at, previous = known[-2] if len(known) > 1 else (-1, 0.0)
+    state.update((latest, int(at), previous, int(previous_at)))
     yield pd.DataFrame(
         {
             "entity_id": [key[0]],
             "latest": [latest],
-            "previous": [previous if seen > 1 else None],
-            "timestamp": [at],
+            "previous": [previous if previous_at >= 0 else None],
+            "timestamp": [int(at)],
         }
     ).astype({"previous": "float64"})
 
 
 def risk_alerts(stream: DataFrame) -> DataFrame:
-    """Latest and previous risk per entity with the trend, re-emitted when it changes."""
+    """Latest and previous risk per entity with the trend, re-emitted when rows arrive.
+
+    Late rows count by their timestamp, not by their arrival.
+    """
     rows = stream.selectExpr(
         "cast(entity_id as long) entity_id",
         "cast(failure_probability as double) failure_probability",
         "cast(timestamp as long) timestamp",
-    )
+    ).mapInPandas(_newest_two, ROW)
     followed = rows.groupBy("entity_id").applyInPandasWithState(
         _follow, ALERT, ALERT_STATE, "update", "NoTimeout"
     )

@@ -68,12 +68,14 @@ def test_stream_in_one_batch_equals_batch(spark, mess, tmp_path):
 
 def test_stream_over_batches_keeps_state(spark, tmp_path):
     first = [row(2, 1, 1, 20, 5), row(1, 1, 0, None, None)]
-    second = [row(3, 1, 1), row(4, 1, 3), row(5, 1, 2, 9, 1), row(6, 1, 2)]
+    second = [row(3, 1, 1), row(4, 1, 4), row(5, 1, 2, 9, 1), row(6, 1, 2), row(7, 1, 13), row(8, 1, 5, None)]
     stream = batches_to_stream(spark, tmp_path, [first, second], C.INPUT)
     verdicts = run_memory(C.validated_stream(stream), "verdicts_two", "append")
     got = {r["request_id"]: r for r in verdicts.collect()}
-    assert [got[i]["accepted"] for i in range(1, 7)] == [True, True, False, False, True, False] or got[4]["accepted"]
-    assert got[3]["reason"] == "duplicate_or_past" and got[5]["prior_doses"] == 20
+    assert [got[i]["accepted"] for i in range(1, 9)] == [True, True, False, False, True, False, False, False]
+    assert {i: got[i]["reason"] for i in (3, 4, 6, 7, 8)} == {
+        3: "duplicate_or_past", 4: "unexpected_month", 6: "repeated", 7: "month_out_of_range", 8: "doses_required"}
+    assert got[5]["prior_doses"] == 20 and got[4]["expected_month"] == 3
     derived = {r["request_id"]: r for r in C.derived_fields(verdicts).collect()}
     assert derived[2]["pct_adherence"] == 0.8 and derived[2]["adherence"] == "partial"
     assert derived[5]["cumulative_doses_taken"] == 29 and derived[1]["is_missing_monthly_doses_taken"] == 1
@@ -88,13 +90,13 @@ def test_zero_doses_and_clamped_risk(spark):
 
 def test_risk_alerts(spark, tmp_path):
     schema = "entity_id long, failure_probability double, timestamp long"
-    stream = batches_to_stream(spark, tmp_path, [[(1, 0.9, 5), (1, 0.2, 1)], [(1, 0.3, 9), (2, 0.5, 1)]], schema)
+    stream = batches_to_stream(spark, tmp_path, [[(1, 0.9, 5), (1, 0.2, 1), (1, 0.1, 0)], [(1, 0.3, 9), (2, 0.5, 1), (1, 0.8, 7)]], schema)
     rows = run_memory(L.risk_alerts(stream), "alerts", "update").collect()
     last = {}
     for r in rows:
         if r["timestamp"] >= last.get(r["entity_id"], (None, -1))[1]:
-            last[r["entity_id"]] = (r["trend"], r["timestamp"])
-    assert last[1] == ("improving", 9) and last[2] == (None, 1)
+            last[r["entity_id"]] = (r["trend"], r["timestamp"], r["previous"])
+    assert last[1] == ("improving", 9, 0.8) and last[2] == (None, 1, None)
 
 
 def test_daily_intake_counts_each_event_once(spark, tmp_path):
