@@ -16,6 +16,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from panelwright.session import cut_lineage
+
 BLOCK_ROWS = 4096
 
 
@@ -61,8 +63,12 @@ def knn_join(
             yield batch
 
     placed_schema = "vid long, vec array<double>, cell int, reach double"
-    q = queries.select("vid", "vec").mapInPandas(place, placed_schema)
-    s = points.select("vid", "vec").mapInPandas(place, placed_schema)
+    # Placed once and kept: the summaries and the join below all start from here.
+    s = cut_lineage(points.select("vid", "vec").mapInPandas(place, placed_schema))
+    if queries is points:
+        q = s
+    else:
+        q = cut_lineage(queries.select("vid", "vec").mapInPandas(place, placed_schema))
 
     # Summaries of bounded size: per cell its query radius and its k+1 points nearest the pivot.
     radius = np.zeros(cells)
@@ -74,7 +80,7 @@ def knn_join(
     closest: dict[int, list[float]] = {}
     for r in near.select("cell", "reach").collect():
         closest.setdefault(r["cell"], []).append(r["reach"])
-    total = points.count()
+    total = s.count()
     apart = _distances(centre, centre)
     bound = np.full(cells, np.inf)
     for i in range(cells):

@@ -187,11 +187,12 @@ def exact_quantiles(
     probs: Mapping[str, float],
     by: Sequence[str] = (),
     buckets: int | None = None,
+    few_groups: bool = False,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles, one row per (by..., column).
 
     The built-in exact ``percentile`` keeps every distinct value of a group in one task;
-    this version never does.
+    this version never does. ``few_groups`` says that ``by`` has a short list of values.
     """
     keys = [*by, "column"]
     counts = (
@@ -199,7 +200,7 @@ def exact_quantiles(
         .groupBy(*keys, "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    placed = prefix_sums(counts, ["value"], ["n"], keys, buckets=buckets, few_groups=not by)
+    placed = prefix_sums(counts, ["value"], ["n"], keys, buckets=buckets, few_groups=few_groups or not by)
     last = F.col("total_n") - 1
     picks = []
     for name, p in probs.items():

@@ -116,8 +116,11 @@ def crosstab(
     return wide.select(rows, *shares)
 
 
-def quartiles(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    return exact_quantiles(df, columns, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by)
+def quartiles(
+    df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), few_groups: bool = False
+) -> DataFrame:
+    probs = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    return exact_quantiles(df, columns, probs, by, few_groups=few_groups)
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
