@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from panelwright.session import cut_lineage
 
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 2048
 
 
 def distinct_vectors(df: DataFrame, vector: str, identity: str) -> DataFrame:
@@ -40,6 +40,26 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _block_candidates(
+    x: np.ndarray, y: np.ndarray, qid: np.ndarray, pid: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, exact distance) of every pair that may be among a row's k nearest.
+
+    One matrix product gives all squared distances up to rounding; pairs within the
+    rounding bound of the k-th are kept and measured exactly.
+    """
+    sx, sy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    rough = sx[:, None] + sy[None, :] - 2.0 * (x @ y.T)
+    rough[qid[:, None] == pid[None, :]] = np.inf
+    take = min(k, rough.shape[1])
+    kth = np.partition(rough, take - 1, axis=1)[:, take - 1]
+    slack = 1e-12 * (x.shape[1] + 4) * (sx + sy.max())
+    row, col = np.nonzero(rough <= (kth + 2 * slack)[:, None])
+    finite = np.isfinite(rough[row, col])
+    row, col = row[finite], col[finite]
+    return row, col, np.sqrt(((x[row] - y[col]) ** 2).sum(axis=1))
+
+
 def knn_join(
     queries: DataFrame, points: DataFrame, k: int, pivots: int = 32, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
@@ -124,20 +144,15 @@ def knn_join(
     def block_best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if len(a) == 0 or len(b) == 0:
             return pd.DataFrame({"qid": [], "pid": [], "distance": []})
-        b = b.sort_values("vid")
-        ids = b["vid"].to_numpy()
-        d = _distances(np.stack(a["vec"].to_numpy()), np.stack(b["vec"].to_numpy()))
-        d[a["vid"].to_numpy()[:, None] == ids[None, :]] = np.inf
-        take = min(k, d.shape[1])
-        best = np.argsort(d, axis=1, kind="stable")[:, :take]
-        out = pd.DataFrame(
-            {
-                "qid": np.repeat(a["vid"].to_numpy(), take),
-                "pid": ids[best].ravel(),
-                "distance": np.take_along_axis(d, best, axis=1).ravel(),
-            }
-        )
-        return out[np.isfinite(out["distance"])]
+        qid, pid = a["vid"].to_numpy(), b["vid"].to_numpy()
+        x = np.stack(a["vec"].to_numpy()).astype("float64")
+        y = np.stack(b["vec"].to_numpy()).astype("float64")
+        row, col, dist = _block_candidates(x, y, qid, pid, k)
+        order = np.lexsort((pid[col], dist, row))
+        row, col, dist = row[order], col[order], dist[order]
+        first = np.searchsorted(row, row, side="left")
+        best = np.arange(len(row)) - first < k
+        return pd.DataFrame({"qid": qid[row[best]], "pid": pid[col[best]], "distance": dist[best]})
 
     local = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
         block_best, "qid long, pid long, distance double"

@@ -55,7 +55,7 @@ def with_quantile_bucket(
     buckets = buckets or bucket_count(df)
     source = df.filter(sum((F.col(c) for c in counts), F.lit(0)) >= 0) if counts else df
     probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    bounds = F.percentile_approx(order, probs, buckets * 40).alias("_bounds")
+    bounds = F.percentile_approx(order, probs, buckets * 10).alias("_bounds")
     if by and few_groups:
         keyed = source.groupBy(*by).agg(bounds)
         table = keyed.agg(F.map_from_entries(F.collect_list(F.struct(F.struct(*by), "_bounds"))))
@@ -101,11 +101,21 @@ def prefix_sums(
     order column decide.
     """
     by = list(by)
+    narrow = set(df.columns) <= {*by, *order, *sums}
     if bucket is None:
         cut = with_quantile_bucket(df, order[0], by, buckets, few_groups, sums)
     else:
         cut = df.withColumn(_BUCKET, bucket)
-    totals = cut.groupBy(*by, _BUCKET).agg(*[F.sum(s).alias(s) for s in sums])
+    if narrow:
+        # Totals and rows both start from this exchange; counting the order columns keeps
+        # its columns the same for both, so that Spark runs it once.
+        cut = cut.repartition(*by, _BUCKET)
+        same = [F.count(c).alias(f"_same_{c}") for c in order]
+        totals = cut.groupBy(*by, _BUCKET).agg(*[F.sum(s).alias(s) for s in sums], *same)
+        totals = totals.filter(sum((F.col(f"_same_{c}") for c in order), F.lit(0)) >= 0)
+    else:
+        # Wide rows: their totals combine on the map side and shuffle a few rows only.
+        totals = cut.groupBy(*by, _BUCKET).agg(*[F.sum(s).alias(s) for s in sums])
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
     earlier = group.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(

@@ -53,9 +53,8 @@ def test_scans_read_only_what_is_used(spark, name, columns):
 
 
 def test_filters_reach_the_scan(spark):
-    assert "IsNotNull(o_orderstatus)" in plan_of(spark, "scan_cleanup") or "o_orderstatus" in plan_of(spark, "scan_cleanup")
-    plan = plan_of(spark, "split_membership")
-    assert "PushedFilters" in plan
+    plan = plan_of(spark, "label_and_range_filters")
+    assert "GreaterThanOrEqual(c_nationkey,2)" in plan and "LessThanOrEqual(c_nationkey,22)" in plan
 
 
 @pytest.mark.parametrize("name", ["quartiles", "auc_rank", "spearman"])
