@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from panelwright.catalog.inputs import (
-    CUSTOMER_STATIC, EVENT_PANEL, METRICS, SCORED_LINES, STATIC_NUMBERS, customer_static,
-    event_panel, r6, scored_lines,
+    CUSTOMER_STATIC, EVENT_PANEL, SCORED_LINES, STATIC_NUMBERS, customer_static, event_panel, r6,
+    scored_lines,
 )
 from panelwright.catalog.registry import query
 from panelwright.operators import panel as P, profile as A

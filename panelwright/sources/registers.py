@@ -105,7 +105,11 @@ def parse_head(head: str, first_step: str = V.FIRST_STEP_HEADER) -> tuple[tuple,
 
 
 def layouts(catalog: DataFrame) -> list[RegisterLayout]:
-    """One layout per distinct header signature, over files whose name carries a year."""
+    """One layout per distinct header signature, over files whose name carries a year.
+
+    The driver gets a path and two header lines per file, as much as Spark's own file
+    listing keeps there.
+    """
     found: dict[tuple, list[str]] = {}
     for row in catalog.filter("data_year is not null").select("path", "head").collect():
         found.setdefault(parse_head(row["head"]), []).append(row["path"])
