@@ -16,8 +16,6 @@ from panelwright.session import ensure_checkpoint_dir
 BLANK = "\\x20\\x09-\\x0D"
 #: Words between blanks, as a Java and a Python pattern alike.
 BLANK_WORD = f"[^{BLANK}]+"
-#: Lower-cases A-Z only, whatever the locale.
-ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def landed(df: DataFrame, name: str) -> DataFrame:
@@ -30,6 +28,11 @@ def landed(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ascii_lower(text: str) -> str:
+    """``text`` with A-Z, and nothing else, in lower case."""
+    return text.lower() if text.isascii() else text.encode().lower().decode()
+
+
 def word_count(text: Column) -> Column:
     """Number of words between blanks; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(BLANK_WORD)).cast("long"), F.lit(0).cast("long"))

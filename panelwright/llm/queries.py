@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import mixing, sharding, token_counts
+from panelwright.llm import licences, metric_join, mixing, secrets, sharding, token_counts
 from panelwright.llm.common import word_count
 from panelwright.sources.tables import read_table
 
@@ -15,11 +15,43 @@ SHARDS = [f"shard-{i:03d}" for i in range(64)]
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, base phrases and covered licence templates of every document."""
+    docs = licences.scan_licences(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    starts = F.transform("licences.base", lambda b: b["start"])
+    spans = F.transform("licences.spans", lambda s: s["label"])
+    base = F.transform("licences.base", lambda b: b["label"])
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    best = F.array_max(F.transform("licences.spans", lambda s: s["coverage"]))
+    return docs.select(
+        "doc_id", F.col("licences.n_words").alias("n_words"), F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        joined(base).alias("base_labels"), joined(F.concat(base, spans)).alias("labels"),
+        F.when(F.size(base) > 0, 1.0).otherwise(F.coalesce(best, F.lit(0.0))).alias("score"),
+    )
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slot and shard of every document."""
     return sharding.place(read_table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
 
 
+def _written(spans) -> object:
+    lines = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string")))
+    return F.array_join(lines, ",")
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: base counts and digest, and all spans."""
+    docs = secrets.find_secrets(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda s: s["no"] < len(secrets.BASE))
+    return docs.select(
+        "doc_id", *[number(r.kind).alias(f"n_{r.kind}") for r in secrets.BASE],
+        F.sha2(_written(base), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"),
+    )
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -48,9 +80,18 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every embedding among those of its label."""
+    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return metric_join.range_join(rows, "vec_id", "embedding", "label").select("vec_id", "n_links", "component_id", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licences": op1_licences,
     "op5_sharding": op5_sharding,
+    "op6_secrets": op6_secrets,
     "op7_mixing": op7_mixing,
     "op8_token_counts": op8_token_counts,
+    "op9_embeddings": op9_embeddings,
 }
 SQL: dict[str, str] = {}
