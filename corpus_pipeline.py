@@ -5,12 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import mixing, sharding
+from panelwright.llm import decontaminate, mixing, odd_sketches, sharding
 from panelwright.llm.common import landed, word_count
 from panelwright.llm.queries import SHARDS
 from panelwright.sources.tables import read_table
 
 
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near-duplicates stays: the one with the smallest id.
+
+    Shingles of five words and a similarity of 0.8, the pipeline's default. Rows equal in id and
+    text are one; rows without words are no one's duplicates.
+    """
+    found = odd_sketches.near_duplicates(docs, "doc_id", "text", percent=80, width=5)
+    stay = found.filter("kept").select(F.col("id").alias("_id"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("_d"), "text")
+    keyed = odd_sketches.text_keys(keyed, "text")
+    same = keyed["_d"].eqNullSafe(stay["_id"]) & (keyed["t1"] == stay["_t1"]) & (keyed["t2"] == stay["_t2"])
+    once = keyed.join(stay.distinct(), same, "left_semi").dropDuplicates(["_d", "t1", "t2"])
+    return once.select("row.*")
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark passage."""
+    items = read_table(spark, sf_dir, "benchmark")
+    found = decontaminate.find_leaks(docs, "text", items, "item_id", "text", out="_leaks")
+    return found.filter(F.size("_leaks") == 0).select(*docs.columns)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as the mix of sources takes them: none, once or twice each."""
     return mixing.mix(docs, "source", word_count(F.col("text")), ["doc_id", "text"]).select(*docs.columns)
@@ -21,7 +43,7 @@ def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.place(docs, "doc_id", SHARDS)
 
 
-STAGES = [("mixing", mixed), ("sharding", sharded)]
+STAGES = [("near-duplicates", deduplicated), ("decontamination", decontaminated), ("mixing", mixed), ("sharding", sharded)]
 
 #: Trained scores and seeded draws are not expressible in SQL.
 ORACLE_SQL = None

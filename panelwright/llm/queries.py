@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import licences, metric_join, mixing, secrets, sharding, token_counts
+from panelwright.llm import (
+    decontaminate,
+    licences,
+    metric_join,
+    mixing,
+    odd_sketches,
+    secrets,
+    sharding,
+    token_counts,
+)
 from panelwright.llm.common import word_count
 from panelwright.sources.tables import read_table
 
@@ -31,6 +40,22 @@ def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages that documents hold: one row per document and passage."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = read_table(spark, sf_dir, "benchmark")
+    found = decontaminate.find_leaks(docs, "text", items, "item_id", "text")
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select(
+        "doc_id", F.col("leak.item").alias("item_id"), *[F.col(f"leak.{c}").alias(c) for c in ("start", "stop", "edits", "windows")])
+
+
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle count and component of every document."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = odd_sketches.near_duplicates(docs, "doc_id", "text")
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slot and shard of every document."""
     return sharding.place(read_table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
@@ -88,6 +113,8 @@ def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licences": op1_licences,
+    "op2_decontamination": op2_decontamination,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_sharding": op5_sharding,
     "op6_secrets": op6_secrets,
     "op7_mixing": op7_mixing,
