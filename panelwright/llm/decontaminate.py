@@ -166,6 +166,14 @@ class Windows:
         ]
 
 
+def _search(shared, shape: str):
+    def leaks(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield pd.Series([shared.value.leaks(t) for t in part], dtype=object)
+
+    return F.pandas_udf(leaks, shape)
+
+
 def find_leaks(
     docs: DataFrame, text: str, benchmark: DataFrame, item: str, passage: str, width: int = 100, rate: float = 0.1,
     out: str = "leaks",
@@ -193,11 +201,5 @@ def find_leaks(
     for k in range(blocks):
         own = passages.filter(F.pmod(F.xxhash64("item", "passage"), F.lit(blocks)) == k).collect()
         shared = spark.sparkContext.broadcast(Windows.of([(r.item, r.passage) for r in own], width, rate))
-
-        def search(parts: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            for part in parts:
-                yield pd.Series([shared.value.leaks(t) for t in part], dtype=object)
-
-        search.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-        found.append(F.pandas_udf(search, shape)(F.col(text)))
+        found.append(_search(shared, shape)(F.col(text)))
     return docs.withColumn(out, F.concat(*found))
