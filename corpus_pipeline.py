@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import decontaminate, mixing, odd_sketches, sharding
+from panelwright.llm import decontaminate, mixing, odd_sketches, sharding, toxicity
 from panelwright.llm.common import landed, word_count
 from panelwright.llm.queries import SHARDS
 from panelwright.sources.tables import read_table
 
 
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network, trained on the labelled ones, doesn't call toxic."""
+    fitted = toxicity.fit(docs, "doc_id", "text", read_table(spark, sf_dir, "labels"), "toxic")
+    return toxicity.score(docs, "text", fitted, "_toxic").filter("_toxic < 0.5").select(*docs.columns)
+
+
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates stays: the one with the smallest id.
 
@@ -43,7 +49,13 @@ def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.place(docs, "doc_id", SHARDS)
 
 
-STAGES = [("near-duplicates", deduplicated), ("decontamination", decontaminated), ("mixing", mixed), ("sharding", sharded)]
+STAGES = [
+    ("toxicity", not_toxic),
+    ("near-duplicates", deduplicated),
+    ("decontamination", decontaminated),
+    ("mixing", mixed),
+    ("sharding", sharded),
+]
 
 #: Trained scores and seeded draws are not expressible in SQL.
 ORACLE_SQL = None

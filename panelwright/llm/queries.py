@@ -16,6 +16,7 @@ from panelwright.llm import (
     secrets,
     sharding,
     token_counts,
+    toxicity,
 )
 from panelwright.llm.common import word_count
 from panelwright.sources.tables import read_table
@@ -49,6 +50,16 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("leak.item").alias("item_id"), *[F.col(f"leak.{c}").alias(c) for c in ("start", "stop", "edits", "windows")])
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a network that the labelled rows train."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    fitted = toxicity.fit(docs, "doc_id", "text", read_table(spark, sf_dir, "labels"), "toxic")
+    scored = toxicity.score(docs, "text", fitted)
+    return scored.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle count and component of every document."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -114,6 +125,7 @@ def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licences": op1_licences,
     "op2_decontamination": op2_decontamination,
+    "op3_toxicity": op3_toxicity,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_sharding": op5_sharding,
     "op6_secrets": op6_secrets,
