@@ -15,6 +15,7 @@ from panelwright.llm import (
     odd_sketches,
     secrets,
     sharding,
+    suffix_runs,
     token_counts,
     toxicity,
 )
@@ -122,6 +123,14 @@ def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_join.range_join(rows, "vec_id", "embedding", "label").select("vec_id", "n_links", "component_id", "kept")
 
 
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of every document repeated strings of 200 bytes cover, and the digest of the rest."""
+    docs = suffix_runs.without_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return docs.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licences": op1_licences,
     "op2_decontamination": op2_decontamination,
@@ -132,5 +141,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixing": op7_mixing,
     "op8_token_counts": op8_token_counts,
     "op9_embeddings": op9_embeddings,
+    "op10_suffixes": op10_suffixes,
 }
 SQL: dict[str, str] = {}
