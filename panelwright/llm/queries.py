@@ -15,6 +15,7 @@ from panelwright.llm import (
     odd_sketches,
     secrets,
     sharding,
+    sql,
     suffix_runs,
     token_counts,
     toxicity,
@@ -143,4 +144,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_embeddings": op9_embeddings,
     "op10_suffixes": op10_suffixes,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_near_duplicates": sql.near_duplicates(),
+    "op5_sharding": sql.shard_places(SHARDS),
+    "op6_secrets": sql.secret_spans(),
+    "op9_embeddings": sql.EMBEDDINGS,
+    "op10_suffixes": sql.repeats(),
+}
