@@ -264,7 +264,8 @@ def near_duplicates(
 
     named = rows.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = landed(named.select("id", "t1", "t2", "n_shingles", "component"), "named")
-    lowest = named.filter("component is not null").groupBy("component").agg(F.min("id").alias("lowest"))
+    # Landed, so that the join below has an exchange on either side and Spark can split a large group.
+    lowest = landed(named.filter("component is not null").groupBy("component").agg(F.min("id").alias("lowest")), "lowest")
     out = named.join(lowest, "component", "left")
     component = F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("lowest"))
     return out.select("id", "t1", "t2", "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
