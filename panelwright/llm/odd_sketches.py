@@ -15,6 +15,7 @@ between components is missed.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -204,53 +205,73 @@ def near_duplicates(
         return named.join(light, "node").join(nodes.select("node", "bands"), "node")
 
     def proposals(every: bool):
-        def propose(part: pd.DataFrame) -> pd.DataFrame:
+        def propose(part: pd.DataFrame, first: np.ndarray) -> Iterator[tuple]:
+            """Pairs of the groups of rows that begin at ``first``."""
             bits, n, used = _bits(part["sketch"]), part["n"].to_numpy(), part["used"].to_numpy()
-            code = pd.factorize(part["component"])[0]
-            bands = np.stack(part["bands"].to_numpy())
-            band, far = int(part["band"].iloc[0]), part["p"].iloc[0] != part["q"].iloc[0]
-            block, name = part["i"].to_numpy(), part["node"].to_numpy()
-            xs, ys, scores = [], [], []
-            for x in range(len(part)):
-                y = np.flatnonzero(code[x + 1:] != code[x]) + x + 1
-                if far:
-                    y = y[block[y] != block[x]]
-                y = y[100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])]
-                if not len(y):
+            code, bands = pd.factorize(part["component"])[0], np.stack(part["bands"].to_numpy())
+            band, block, name = part["band"].to_numpy(), part["i"].to_numpy(), part["node"].to_numpy()
+            far = (part["p"] != part["q"]).to_numpy()
+            for lo, hi in zip(first, [*first[1:], len(part)]):
+                xs, ys, scores = [], [], []
+                for x in range(lo, hi - 1):
+                    y = np.flatnonzero(code[x + 1:hi] != code[x]) + x + 1
+                    if far[lo]:
+                        y = y[block[y] != block[x]]
+                    y = y[100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])]
+                    if len(y):
+                        s = similarity(np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1), n[x], n[y], used[x], used[y])
+                        y, s = y[s >= low], s[s >= low]
+                    if len(y) and every and band[lo]:  # a pair belongs to the first band that it shares
+                        own = ~(bands[y, :band[lo]] == bands[x, :band[lo]]).any(axis=1)
+                        y, s = y[own], s[own]
+                    if len(y):
+                        xs.append(np.full(len(y), x))
+                        ys.append(y)
+                        scores.append(s)
+                if not xs:
                     continue
-                s = similarity(np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1), n[x], n[y], used[x], used[y])
-                y, s = y[s >= low], s[s >= low]
-                if every and band:  # a pair belongs to the first band that it shares
-                    first = ~(bands[y, :band] == bands[x, :band]).any(axis=1)
-                    y, s = y[first], s[first]
-                xs.append(np.full(len(y), x))
-                ys.append(y)
-                scores.append(s)
-            if not xs:
-                return pd.DataFrame({"a": [], "b": []}, dtype=object)
-            x, y, s = np.concatenate(xs), np.concatenate(ys), np.concatenate(scores)
-            if not every:  # the tree that joins the components at the highest estimates
-                top, order = list(range(code.max() + 1)), []
-
-                def root(c: int) -> int:
-                    while top[c] != c:
-                        top[c] = c = top[top[c]]
-                    return c
-
-                for k in np.argsort(-s, kind="stable"):
-                    u, v = root(code[x[k]]), root(code[y[k]])
-                    if u != v:
-                        top[u] = v
-                        order.append(k)
-                x, y = x[order], y[order]
-            a, b = name[x], name[y]
-            swap = np.array([p > q for p, q in zip(a, b)], bool)
-            return pd.DataFrame({"a": np.where(swap, b, a), "b": np.where(swap, a, b)})
-
-        return propose
+                pairs = zip(np.concatenate(xs).tolist(), np.concatenate(ys).tolist())
+                if not every:  # the tree that joins the components at the highest estimates
+                    pairs, top = list(pairs), {}
+
+                    def root(c: int) -> int:
+                        while top.setdefault(c, c) != c:
+                            top[c] = c = top[top[c]]
+                        return c
+
+                    best = [pairs[k] for k in np.argsort(-np.concatenate(scores), kind="stable")]
+                    pairs = []
+                    for x, y in best:
+                        u, v = root(code[x]), root(code[y])
+                        if u != v:
+                            top[u] = v
+                            pairs.append((x, y))
+                for x, y in pairs:
+                    yield min(name[x], name[y]), max(name[x], name[y])
+
+        def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """Whole groups of the sorted rows; the last of a batch waits for the next batch."""
+            rest = None
+            for frame in chain(filter(len, frames), [None]):
+                if frame is None:
+                    frame, rest = rest, None
+                    if frame is None:
+                        return
+                    ends = True
+                else:
+                    frame, ends = frame if rest is None else pd.concat([rest, frame], ignore_index=True), False
+                key = frame[["band", "bucket", "p", "q"]].to_numpy()
+                first = np.append(0, np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1)
+                if not ends:
+                    rest, frame, first = frame.iloc[first[-1]:], frame.iloc[:first[-1]].reset_index(drop=True), first[:-1]
+                if len(first):
+                    yield pd.DataFrame(propose(frame, first), columns=["a", "b"])
+
+        return walk
 
     for every in (False, True):
-        pairs = mixed().groupBy("band", "bucket", "p", "q").applyInPandas(proposals(every), "a binary, b binary").distinct()
+        dealt = mixed().repartition("band", "bucket", "p", "q").sortWithinPartitions("band", "bucket", "p", "q")
+        pairs = dealt.mapInPandas(proposals(every), "a binary, b binary").distinct()
         pairs = landed(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         more = landed(confirmed(pairs, judged=True), "links")
         if more.isEmpty():
