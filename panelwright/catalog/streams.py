@@ -132,8 +132,27 @@ def entity_upsert_stream(spark, folder):
     q = (
         rows.writeStream.trigger(availableNow=True)
         .option("checkpointLocation", f"{base}/state")
-        .foreachBatch(L.upsert_sink(spark, f"{base}/table", "id"))
+        .foreachBatch(L.upsert_sink(spark, f"{base}/table", "id", tie="event_id"))
         .start()
     )
     q.awaitTermination()
     return spark.read.parquet(f"{base}/table").select("id", "name", "updated_at")
+
+
+@query("T3", sql="""
+WITH u AS (SELECT user_id AS id, event_type AS name, epoch_us(ts) // 1000 AS t, event_id,
+  row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000 DESC, event_id DESC) AS n FROM events)
+SELECT id, max(CASE WHEN n = 1 THEN name END) AS name, max(t) AS updated_at, min(t) AS created_at FROM u GROUP BY 1""")
+def entity_upsert_any_order(spark, folder):
+    """Two batches of which the second holds the older updates: the newest still wins."""
+    t = F.unix_millis(F.col("ts").cast("timestamp"))
+    rows = read_table(spark, folder, "events").select(
+        F.col("user_id").alias("id"), F.col("event_type").alias("name"), t.alias("created_at"),
+        t.alias("updated_at"), "event_id",
+    )
+    middle = rows.agg(F.avg("updated_at")).first()[0]
+    table = f"{ensure_checkpoint_dir(spark)}/upsert-{uuid4().hex}/table"
+    sink = L.upsert_sink(spark, table, "id", tie="event_id")
+    sink(rows.filter(F.col("updated_at") >= middle), 0)
+    sink(rows.filter(F.col("updated_at") < middle), 1)
+    return spark.read.parquet(table).select("id", "name", "updated_at", "created_at")

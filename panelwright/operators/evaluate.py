@@ -63,7 +63,7 @@ def binary_metrics(
 
 
 def _by_score(
-    df: DataFrame, label: str, score: str, by: Sequence[str], few_groups: bool = True
+    df: DataFrame, label: str, score: str, by: Sequence[str], few_groups: bool = False
 ) -> DataFrame:
     """Distinct scores with positives and negatives, at and below each score."""
     counts = df.groupBy(*by, F.col(score).alias("_score")).agg(
@@ -73,11 +73,11 @@ def _by_score(
 
 
 def rank_metrics(
-    df: DataFrame, label: str, score: str, by: Sequence[str] = (), few_groups: bool = True
+    df: DataFrame, label: str, score: str, by: Sequence[str] = (), few_groups: bool = False
 ) -> DataFrame:
     """Exact ROC-AUC and average precision per group; null where one class is absent.
 
-    ``few_groups`` fits steps, folds, splits or features; turn it off to group by entity.
+    ``few_groups`` says that the groups are a short list, such as steps, folds or splits.
     """
     placed = _by_score(df, label, score, by, few_groups)
     concordant = F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)

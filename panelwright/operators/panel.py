@@ -22,6 +22,9 @@ def densify(
 ) -> DataFrame:
     """Every step of every entity, unobserved ones with null metrics.
 
+    ``steps`` is the domain: rows outside it are not part of the result, and
+    :func:`steps_outside` counts them.
+
     ``observed`` holds one row per (entity, step), so an entity gathers at most one cell
     per step however many raw rows it had. The result stays partitioned by entity, which
     the per-entity windows downstream reuse without another shuffle.
@@ -36,22 +39,35 @@ def densify(
     return exploded.select(entity, step, *[found[m].alias(m) for m in metrics])
 
 
+def steps_outside(observed: DataFrame, step: str, steps: Sequence[int] = PANEL_STEPS) -> DataFrame:
+    """(step, rows): what a domain of steps leaves out, null steps included."""
+    inside = F.coalesce(F.col(step).isin(list(steps)), F.lit(False))
+    return observed.filter(~inside).groupBy(step).agg(F.count(F.lit(1)).alias("rows"))
+
+
 def wide_metrics(columns: Sequence[str]) -> list[str]:
     found = {m.group(2) for m in map(WIDE_COLUMN.match, columns) if m}
     return sorted(found)
 
 
 def wide_to_panel(
-    df: DataFrame, entity: str, steps: Sequence[int] = PANEL_STEPS, step: str = "step"
+    df: DataFrame, entity: str, steps: Sequence[int] | None = None, step: str = "step"
 ) -> tuple[DataFrame, DataFrame]:
-    """(static, panel): ``m{i}_{metric}`` columns become one row per step, map-side only."""
+    """(static, panel): ``m{i}_{metric}`` columns become one row per step, map-side only.
+
+    The steps are those of ``PANEL_STEPS`` and every other one that a column names. An explicit
+    ``steps`` must name them all too: a column is never dropped without a word.
+    """
     metrics = wide_metrics(df.columns)
     static = df.select(*[c for c in df.columns if not WIDE_COLUMN.match(c)])
     present = set(df.columns)
-    types = {
-        m: next(df.schema[f"m{s}_{m}"].dataType for s in range(1000) if f"m{s}_{m}" in present)
-        for m in metrics
-    }
+    named = [m for m in map(WIDE_COLUMN.match, df.columns) if m]
+    types = {m.group(2): df.schema[m.group(0)].dataType for m in reversed(named)}
+    found = {int(m.group(1)) for m in named}
+    if steps is None:
+        steps = sorted({*PANEL_STEPS, *found})
+    elif found - set(steps):
+        raise ValueError(f"columns of steps {sorted(found - set(steps))} are outside the steps asked for")
 
     def cell(s: int, m: str) -> Column:
         name = f"m{s}_{m}"

@@ -71,7 +71,7 @@ def interpolate_minority(
     per_row = F.lit(need // have) + (F.col("_r") <= need % have).cast("int")
     draws = (
         ranked.filter(per_row > 0)
-        .select("id", "vec", F.explode(F.sequence(F.lit(1), per_row)).alias("draw"))
+        .select("id", "vec", "_r", F.explode(F.sequence(F.lit(1), per_row)).alias("draw"))
         .join(points.select("vec", "vid", F.col("copies").alias("own")), "vec")
         .join(slots, F.col("vid") == F.col("qid"), "left")
     )
@@ -88,8 +88,11 @@ def interpolate_minority(
     )["vec"]
     other = F.when(place <= 0, F.col("vec")).otherwise(F.coalesce(reached, F.col("vec")))
     u = uniform(F.col("id"), F.col("draw"), seed=seed + 7)
-    mixed = draws.select("id", "draw", "vec", other.alias("other"), u.alias("u")).select(
-        (-F.abs(F.xxhash64("id", "draw")) - 1).alias("sample_id"),
+    # Below every id in use, and one for each pair of row and draw.
+    lowest = min(0, base.agg(F.min("sample_id")).first()[0] or 0)
+    fresh = F.lit(lowest) - ((F.col("draw") - 1) * F.lit(have).cast("long") + F.col("_r"))
+    mixed = draws.select(fresh.alias("sample_id"), "vec", other.alias("other"), u.alias("u")).select(
+        "sample_id",
         F.lit(minority).alias("label"),
         F.zip_with("vec", "other", lambda a, b: a + F.col("u") * (b - a)).alias("vec"),
         F.lit(True).alias("synthetic"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from panelwright import fixed_values as V
 from panelwright.functions import categories as C, dates as D, numeric as N, parsing as P, text as T
@@ -113,12 +113,17 @@ def parse_panel(df: DataFrame) -> DataFrame:
 def clean_registers(raw: DataFrame, entity: str = "patient_id", key: str = "source_file") -> tuple[DataFrame, DataFrame]:
     """Raw register rows to (static, panel).
 
-    The entity id is a hash of the row's full content and file, so it does not depend on
-    how the files were read; identifier columns stay and are flagged by policy later.
+    The entity id is a hash of the row's full content and file with the row's number among
+    those of that hash, so it does not depend on how the files were read, and equal rows, or
+    rows whose hashes collide, are entities of their own. Identifier columns stay and are
+    flagged by policy later.
     """
     named = T.standardize_columns(raw)
-    ident = F.xxhash64(*[F.col(c) for c in sorted(named.columns)])
-    typed = parse_panel(parse_static(named.withColumn(entity, ident)))
+    content = [F.col(c) for c in sorted(named.columns)]
+    named = named.withColumns({"_ident": F.xxhash64(*content), "_second": F.xxhash64(F.lit(1), *content)})
+    number = F.row_number().over(Window.partitionBy("_ident").orderBy("_second"))
+    numbered = named.withColumn(entity, F.concat_ws("-", F.hex("_ident"), number.cast("string")))
+    typed = parse_panel(parse_static(numbered.drop("_ident", "_second")))
     return wide_to_panel(typed, entity)
 
 

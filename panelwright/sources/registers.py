@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from panelwright import fixed_values as V
 from panelwright.session import ensure_checkpoint_dir
 
-MAX_COLUMNS = 2000
 BOM = "\ufeff"
 CSV_OPTIONS = {"header": "false", "encoding": "UTF-8", "multiLine": "true", "quote": '"', "escape": '"'}
 
@@ -93,8 +92,6 @@ def parse_head(head: str, first_step: str = V.FIRST_STEP_HEADER) -> tuple[tuple,
     rows = list(csv.reader(io.StringIO(head)))
     top = [h.strip() for h in rows[0]]
     sub = [h.strip() for h in rows[1]] if len(rows) > 1 else []
-    if len(top) > MAX_COLUMNS:
-        raise ValueError(f"over {MAX_COLUMNS} columns in one file")
     at = top.index(first_step) if first_step in top else len(top)
     core = tuple(h or f"col_{i}" for i, h in enumerate(top[:at]))
     later = [i for i, h in enumerate(top) if i > at and h]
@@ -165,15 +162,16 @@ def land(frames: Iterable[DataFrame], path: str, partition_by: Sequence[str] = (
 
     CSV is parsed once, later jobs read columns, and a column one frame lacks is absent
     from its files rather than a null column in a plan: unions with dozens of those slow
-    the optimiser down.
+    the optimiser down. Each call writes into a folder of its own below ``path`` and reads
+    only that, so what an earlier run left there never comes back.
     """
-    spark = None
+    spark, run = None, f"{path}/run-{uuid4().hex}"
     for at, frame in enumerate(frames):
         spark = frame.sparkSession
-        frame.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{path}/layout={at}")
+        frame.write.partitionBy(*partition_by).parquet(f"{run}/layout={at}")
     if spark is None:
         raise FileNotFoundError(f"nothing to land in {path}")
-    return spark.read.option("mergeSchema", "true").parquet(path).drop("layout")
+    return spark.read.option("mergeSchema", "true").parquet(run).drop("layout")
 
 
 def _landing(spark: SparkSession, landing: str | None) -> str:

@@ -77,20 +77,33 @@ def latest_per_key(df: DataFrame, key: str, order: Sequence[Column]) -> DataFram
     return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def merge_records(current: DataFrame | None, updates: DataFrame, key: str = "id") -> DataFrame:
-    """Insert or update by key: the last update wins, the first creation time is kept."""
-    fresh = latest_per_key(updates, key, [F.desc("updated_at")])
-    if current is None:
-        return fresh
-    kept = current.join(fresh.select(key), key, "left_anti")
-    created = current.select(key, F.col("created_at").alias("_created"))
-    moved = fresh.join(created, key, "left").withColumn(
-        "created_at", F.coalesce("_created", "created_at")
-    ).drop("_created")
-    return kept.unionByName(moved.select(*current.columns))
-
-
-def upsert_sink(spark: SparkSession, table_path: str, key: str = "id", buckets: int = 64):
+def merge_records(
+    current: DataFrame | None, updates: DataFrame, key: str = "id", tie: str | None = None
+) -> DataFrame:
+    """One row per key, whatever the batches: the newest by ``updated_at`` over table and
+    updates, with the earliest ``created_at`` of them all.
+
+    Of rows equally new the one with the greater ``tie`` wins, then the one with the greater
+    content hash, so the order in which batches arrive makes no difference.
+    """
+    rows = updates if current is None else current.unionByName(updates.select(*current.columns))
+    content = F.xxhash64(*[F.col(c) for c in sorted(rows.columns) if c != "created_at"])
+    ties = [F.desc_nulls_last(tie)] if tie else []
+    newest = latest_per_key(rows, key, [F.desc_nulls_last("updated_at"), *ties, content.desc()])
+    created = rows.groupBy(F.col(key).alias("_key")).agg(F.min("created_at").alias("_created"))
+    joined = newest.join(created, newest[key].eqNullSafe(created["_key"]), "left")
+    return joined.withColumn("created_at", F.col("_created")).select(*newest.columns)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path is there; any other trouble with it is the caller's error to see."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(target)
+
+
+def upsert_sink(
+    spark: SparkSession, table_path: str, key: str = "id", buckets: int = 64, tie: str | None = None
+):
     """foreachBatch function keeping one Parquet row per key under ``table_path``.
 
     The table is stored in hash buckets as partition folders. A batch rewrites only the
@@ -99,8 +112,6 @@ def upsert_sink(spark: SparkSession, table_path: str, key: str = "id", buckets:
     """
     from zlib import crc32
 
-    from pyspark.errors import AnalysisException
-
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -109,11 +120,13 @@ def upsert_sink(spark: SparkSession, table_path: str, key: str = "id", buckets:
         touched = [r[0] for r in updates.select("_bucket").distinct().collect()]
         if not touched:
             return
-        try:
-            current = session.read.parquet(table_path).filter(F.col("_bucket").isin(touched))
-        except AnalysisException:
-            current = None
-        merged = merge_records(current, updates, key)
+        current = None
+        if _exists(session, table_path):
+            table = session.read.parquet(table_path)
+            if "_bucket" not in table.columns:
+                raise ValueError(f"{table_path} is not a table of this sink: it has no _bucket folders")
+            current = table.filter(F.col("_bucket").isin(touched))
+        merged = merge_records(current, updates, key, tie)
         aside = f"{ensure_checkpoint_dir(session)}/upsert-{crc32(table_path.encode())}-{batch_id}"
         merged.write.mode("overwrite").partitionBy("_bucket").parquet(aside)
         session.read.parquet(aside).write.mode("overwrite").option(

@@ -104,3 +104,14 @@ def test_one_hot_unseen_is_zero(spark):
     df = spark.createDataFrame([("a",), ("z",), (None,)], "x string")
     rows = [tuple(r) for r in P.one_hot(df, "x", ["a", "b"]).collect()]
     assert rows == [(1.0, 0.0), (0.0, 0.0), (0.0, 0.0)]
+
+
+def test_no_step_is_dropped_in_silence(spark):
+    wide = spark.createDataFrame([(1, 2.0, 3.0, 4.0)], "id int, m0_a double, m13_a double, m1200_b double")
+    _, long = P.wide_to_panel(wide, "id")
+    assert {(r["step"], r["a"], r["b"]) for r in long.filter("a is not null or b is not null").collect()} == {
+        (0, 2.0, None), (13, 3.0, None), (1200, None, 4.0)}
+    with pytest.raises(ValueError):
+        P.wide_to_panel(wide, "id", steps=range(13))
+    seen = spark.createDataFrame([(1, 3), (1, 15), (2, None)], "id int, step int")
+    assert {tuple(r) for r in P.steps_outside(seen, "step").collect()} == {(15, 1), (None, 1)}

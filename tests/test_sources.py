@@ -144,3 +144,17 @@ def test_nested_documents(spark):
     notes = spark.createDataFrame([(1, 2, "b"), (1, 1, "a")], "id int, t int, v string")
     docs = {r["id"]: r["notes"] for r in C.nested_documents(people, "id", [C.child_array(notes, "id", ["t"], ["v"], "notes")]).collect()}
     assert [tuple(x) for x in docs[1]] == [(1, "a"), (2, "b")] and docs[2] is None
+
+
+def test_landing_twice_keeps_the_runs_apart(spark, tmp_path):
+    a, b = spark.createDataFrame([(1,)], "a int"), spark.createDataFrame([(2, 3)], "a int, b int")
+    first = R.land([a, b], str(tmp_path / "land"))
+    second = R.land([a], str(tmp_path / "land"))
+    assert first.count() == 2 and [tuple(r) for r in second.collect()] == [(1,)]
+
+
+def test_equal_register_rows_are_entities_of_their_own(spark, folder):
+    rows = R.read_registers(spark, folder)
+    static, panel = plan.clean_registers(rows.unionByName(rows))
+    assert static.select("patient_id").distinct().count() == 6 and panel.count() == 78
+    assert panel.groupBy("patient_id", "step").count().filter("count > 1").count() == 0

@@ -121,3 +121,24 @@ def test_upsert_keeps_creation_and_survives_replay(spark, tmp_path):
     assert got == {1: ("a2", 10, 50), 2: ("b", 11, 11), 3: ("c", 51, 51)}
     assert L.merge_records(None, two, "id").filter("id = 1").first()["name"] == "a2"
     assert spark.read.parquet(str(tmp_path / "people")).groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").count() == 0
+
+
+def test_upsert_order_of_batches_makes_no_difference(spark, tmp_path):
+    schema = "id long, name string, created_at long, updated_at long"
+    new, old = spark.createDataFrame([(1, "new", 60, 60)], schema), spark.createDataFrame([(1, "old", 30, 30)], schema)
+    tie = spark.createDataFrame([(1, "tie", 20, 60)], schema)
+    results = []
+    for name, batches in (("a", (new, old, tie)), ("b", (tie, old, new))):
+        sink = L.upsert_sink(spark, str(tmp_path / name), "id", buckets=2)
+        for i, batch in enumerate(batches):
+            sink(batch, i)
+        results.append(spark.read.parquet(str(tmp_path / name)).drop("_bucket").collect())
+    assert results[0] == results[1] and results[0][0]["created_at"] == 20 and results[0][0]["updated_at"] == 60
+
+
+def test_upsert_refuses_a_table_without_buckets(spark, tmp_path):
+    rows = spark.createDataFrame([(2, "b", 11, 11)], "id long, name string, created_at long, updated_at long")
+    rows.write.parquet(str(tmp_path / "plain"))
+    with pytest.raises(ValueError):
+        L.upsert_sink(spark, str(tmp_path / "plain"), "id")(rows, 0)
+    assert spark.read.parquet(str(tmp_path / "plain")).count() == 1
