@@ -330,7 +330,8 @@ def repeated_spans(docs: DataFrame, text: str, length: int = 200) -> DataFrame:
                         names=["d", "t1", "t2", "start"])
 
         windows = landed(keyed.mapInArrow(list_windows, "d binary, t1 long, t2 long, start long"), "windows")
-        twice = windows.groupBy("d").agg(F.count("*").alias("n")).filter("n > 1").select("d")
+        # Landed, so that the join has an exchange on either side and Spark can split a frequent digest.
+        twice = landed(windows.groupBy("d").agg(F.count("*").alias("n")).filter("n > 1").select("d"), "twice")
         more = windows.join(twice, "d").select("t1", "t2", "start", (F.col("start") + length).alias("stop"))
         spans = spans.unionByName(more)
 
