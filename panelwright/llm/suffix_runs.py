@@ -194,7 +194,8 @@ def repeated(prefix: np.ndarray, lefts: list[bytes], low: np.ndarray, length: in
     return out
 
 
-ANCHOR = "h long, t1 long, t2 long, place int, first int, last int"
+#: ``at`` packs an anchor's place, how far before it its first window starts, and how many follow.
+ANCHOR = "h long, t1 long, t2 long, at long"
 RUN = "part int, prefix binary, sizes binary, rests binary, low binary, left_sizes binary, lefts binary, number binary, places binary"
 
 
@@ -236,12 +237,11 @@ def repeated_spans(docs: DataFrame, text: str, length: int = 200) -> DataFrame:
             lines = []
             for t1, t2, value in zip(*(c.to_pylist() for c in batch.columns)):
                 h, place, first, last = anchors(np.frombuffer(value.encode(), np.uint8), length)
-                lines.append((h.view(np.int64), np.full(len(h), t1), np.full(len(h), t2), place, first, last))
-            columns = [np.concatenate(c) for c in zip(*lines)] if lines else []
-            if columns:
-                kinds = [pa.int64()] * 3 + [pa.int32()] * 3
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c.astype(k.to_pandas_dtype())) for c, k in zip(columns, kinds)], names=["h", "t1", "t2", "place", "first", "last"])
+                at = place << 32 | place - first << 16 | last - first
+                lines.append((h.view(np.int64), np.full(len(h), t1), np.full(len(h), t2), at))
+            if lines:
+                columns = [pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*lines)]
+                yield pa.RecordBatch.from_arrays(columns, names=["h", "t1", "t2", "at"])
 
     listed = landed(keyed.mapInArrow(list_anchors, ANCHOR), "anchors")
     counts = landed(listed.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
@@ -252,7 +252,7 @@ def repeated_spans(docs: DataFrame, text: str, length: int = 200) -> DataFrame:
     warm = counts.filter(F.col("n") <= limit).select("h")
     chosen = (
         listed.join(warm, "h").groupBy("t1", "t2")
-        .agg(F.collect_set(F.struct("place", "first", "last", "h")).alias("anchors"))
+        .agg(F.collect_set(F.struct("at", "h")).alias("anchors"))
     )
     packed = keyed.withColumn("text", _pack("text"))
 
@@ -267,7 +267,8 @@ def repeated_spans(docs: DataFrame, text: str, length: int = 200) -> DataFrame:
             for t1, t2, value, own in zip(frame["t1"], frame["t2"], frame["text"], frame["anchors"]):
                 data = unpack(value)
                 for a in own:
-                    place, first, last = a["place"], a["first"], a["last"]
+                    place, before, follow = a["at"] >> 32, a["at"] >> 16 & 0xFFFF, a["at"] & 0xFFFF
+                    first, last = place - before, place - before + follow
                     # The suffix, what its windows hold to its left, and the least that they hold there.
                     key = (data[place:last + length], data[first:place], place - last)
                     runs.setdefault(a["h"] % parts, {}).setdefault(key, []).append((t1, t2, place))
