@@ -140,7 +140,7 @@ def route_columns(spark, folder):
 def importance_ranking(spark, folder):
     return handle.importance_ranking(
         customer_static(spark, folder), order_panel(spark, folder), list(_N), list(ORDER_METRICS),
-        "entity_id", "outcome", trees=20,
+        "entity_id", "outcome",
     )
 
 
@@ -168,17 +168,17 @@ def drop_sparse_columns(spark, folder):
 @query("M11")
 def chained_impute(spark, folder):
     static = customer_static(spark, folder).select("entity_id", "balance", "credit", "nation", "score")
-    return chained.chained_impute(static, ["balance", "credit", "score"], ["nation"], kind="linear", max_rounds=3)
+    return chained.chained_impute(static, ["balance", "credit", "score"], ["nation"], kind="linear")
 
 
 @query("M14")
 def legacy_fill(spark, folder):
     static = customer_static(spark, folder).select("entity_id", "balance", "credit", "segment")
     panel = order_panel(spark, folder).select("entity_id", "step", "n_orders", "filled")
-    done, _ = chained.legacy_fill(
+    done, carried = chained.legacy_fill(
         static, panel, ["balance", "credit"], ["segment"], ["n_orders", "filled"], "entity_id"
     )
-    return done
+    return done.join(carried, "entity_id", "left")
 
 
 @query("M15", "X4", "P24")
@@ -195,10 +195,9 @@ def encoded_impute(spark, folder):
 def handle_missing(spark, folder):
     result = handle.handle_missing(
         customer_static(spark, folder), order_panel(spark, folder), "entity_id",
-        [*_N, "segment", "outcome"], list(ORDER_METRICS), label="outcome", imputer="linear",
-        max_rounds=2, trees=10,
+        [*_N, "segment", "outcome"], list(ORDER_METRICS), label="outcome", max_rounds=None,
     )
-    return result.static
+    return result.static.join(result.panel, "entity_id", "left")
 
 
 _TRAIN = "outcome IN ('Cured', 'Died')"

@@ -175,7 +175,7 @@ def permutation_importance(spark, folder):
     rows = document_features(spark, folder)
     model = M.fit_classifier(rows, _DOC, "label", "logistic")
     return A.permutation_importance(
-        rows, "doc_id", "label", _DOC, lambda df: M.score(model, df), repeats=5
+        rows, "doc_id", "label", _DOC, lambda df: M.score(model, df)
     )
 
 

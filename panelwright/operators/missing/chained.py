@@ -31,13 +31,15 @@ def chained_impute(
     columns: Sequence[str],
     context: Sequence[str] = (),
     kind: str = "forest",
-    max_rounds: int = 5,
+    max_rounds: int = 20,
     tolerance: float = 1e-3,
     seed: int = 42,
 ) -> DataFrame:
     """Fills ``columns`` by regressing each on the others, round after round.
 
     Starts from medians, refits on observed rows only, and leaves observed cells untouched.
+    All columns of a round are fitted on the state that the round before left, and one pass
+    applies all models: as many fits as columns, none of which repeats another's predictions.
     Each round ends in one reliable checkpoint, so the plan stays as long as one round and
     a lost executor costs one round. Rounds stop early once the imputed cells of a round
     move by less than ``tolerance`` of the column's spread.
@@ -54,18 +56,18 @@ def chained_impute(
     ).first()
     todo = [c for c in columns if first[was[c]] > 0]
     spread = {c: first[c] or 1.0 for c in todo}
-    for round_no in range(max_rounds if todo else 0):
-        nxt = state.withColumns({f"_old_{c}": F.col(c) for c in todo})
+    for _ in range(max_rounds if todo else 0):
+        nxt = state
         for at, c in enumerate(todo):
             inputs = [*[o for o in columns if o != c], *context]
             assembler = VectorAssembler(inputCols=inputs, outputCol="_x")
-            ready = assembler.transform(nxt)
-            train = ready.filter(~F.col(was[c])).select("_x", F.col(c).cast("double").alias("_y"))
-            model = make_regressor(kind, seed + 101 * round_no + at).fit(train)
-            guess = model.transform(ready)
-            nxt = guess.withColumn(
-                c, F.when(F.col(was[c]), F.col("_p")).otherwise(F.col(c))
-            ).drop("_x", "_p")
+            train = assembler.transform(state.filter(~F.col(was[c]))).select("_x", F.col(c).cast("double").alias("_y"))
+            model = make_regressor(kind, seed + at).fit(train)
+            nxt = model.transform(assembler.transform(nxt)).withColumnRenamed("_p", f"_new_{c}").drop("_x")
+        nxt = nxt.withColumns({
+            **{f"_old_{c}": F.col(c) for c in todo},
+            **{c: F.when(F.col(was[c]), F.col(f"_new_{c}")).otherwise(F.col(c)) for c in todo},
+        }).drop(*[f"_new_{c}" for c in todo])
         nxt = cut_lineage(nxt)
         moved = nxt.agg(
             *[
@@ -93,8 +95,8 @@ def legacy_fill(
 ) -> tuple[DataFrame, DataFrame]:
     """Older fill: linear chained equations, constants, modes and past-only fill."""
     constants = constants or {}
-    done = chained_impute(static, numeric, kind="linear", max_rounds=3)
+    done = chained_impute(static, numeric, kind="linear")
     done = done.fillna({c: v for c, v in constants.items() if c in done.columns})
     done = fill_central(done, [c for c in texts if c not in constants])
     carried = carry_forward(panel, panel_columns, entity, step)
-    return done, chained_impute(carried, panel_columns, context=[step], kind="linear", max_rounds=3)
+    return done, chained_impute(carried, panel_columns, context=[step], kind="linear")

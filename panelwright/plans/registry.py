@@ -172,7 +172,7 @@ def impute_encoded(
     texts: Sequence[str],
     bounds: Mapping[str, tuple[float, float]] | None = None,
     whole: Sequence[str] = (),
-    rounds: int = 3,
+    rounds: int = 20,
 ) -> DataFrame:
     """Text as codes, chained linear imputation, bounds and rounding, text back again."""
     tables = {c: label_codes(df, c) for c in texts}
