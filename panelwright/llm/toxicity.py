@@ -1,7 +1,7 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word's input is an embedding of its hash beside the mean embedding of the character n-grams
-inside it. Gated recurrent units read each window in both directions, attention pools their
+A word's input is an embedding of its hash beside the scaled sum of the embeddings of the
+character n-grams inside it. Gated recurrent units read each window in both directions, attention pools their
 states, and a logistic unit scores the window. All overlapping windows of a whole text are
 scored; a calibrated combination of them scores the document.
 """
@@ -19,12 +19,16 @@ from pyspark.sql import functions as F
 
 #: Words of a window, and from one window's start to the next.
 WINDOW, STEP = 64, 48
-WORD_ROWS, GRAM_ROWS, WIDTH, HIDDEN, ATTEND = 1 << 15, 1 << 15, 8, 8, 8
+WORD_ROWS, GRAM_ROWS, WIDTH, HIDDEN, ATTEND = 1 << 15, 1 << 16, 16, 8, 8
 WORD = re.compile(r"[^\W_]+")
 #: Documents of each label, and windows of a document, that training takes at most.
 SAMPLE_DOCS, SAMPLE_WINDOWS = 2000, 6
 
 
+#: Share of words whose own embedding is left out of a training step.
+DROPPED = 0.5
+
+
 def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
@@ -49,7 +53,7 @@ def gram_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         code = np.full(len(at), n, np.uint64)
         for i in range(n):
             code = code * np.uint64(0x100000001B3) + padded[at + i]
-        ids.append(((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(49)).astype(np.int64) % GRAM_ROWS)
+        ids.append(((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64) % GRAM_ROWS)
         whose.append(owner[at])
     ids, whose = np.concatenate(ids), np.concatenate(whose)
     order = np.argsort(whose, kind="stable")
@@ -61,11 +65,11 @@ def word_ids(words: list[str]) -> np.ndarray:
 
 
 def inputs(model: dict, words: list[str]) -> np.ndarray:
-    """One input row per word: its own embedding, and the mean of its n-grams'."""
+    """One input row per word: its own embedding, and its n-grams' sum over the root of their number."""
     grams, first = gram_ids(words)
     number = np.diff(np.append(first, len(grams)))
-    means = np.add.reduceat(model["grams"][grams], first, axis=0) / number[:, None]
-    return np.concatenate([model["words"][word_ids(words)], means], axis=1).astype(np.float32)
+    total = np.add.reduceat(model["grams"][grams], first, axis=0) / np.sqrt(number)[:, None]
+    return np.concatenate([model["words"][word_ids(words)], total], axis=1).astype(np.float32)
 
 
 def fresh(seed: int = 3) -> dict:
@@ -75,7 +79,7 @@ def fresh(seed: int = 3) -> dict:
         return (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
 
     model = {"words": np.zeros((WORD_ROWS, WIDTH), np.float32),
-             "grams": (0.3 * rng.standard_normal((GRAM_ROWS, WIDTH))).astype(np.float32)}
+             "grams": (0.1 * rng.standard_normal((GRAM_ROWS, WIDTH))).astype(np.float32)}
     for way in "fb":
         model |= {f"W{way}": dense(2 * WIDTH, 3 * HIDDEN), f"U{way}": dense(HIDDEN, 3 * HIDDEN),
                   f"c{way}": np.zeros(3 * HIDDEN, np.float32)}
@@ -161,7 +165,7 @@ def gradients(model: dict, x: np.ndarray, rows: np.ndarray, labels: np.ndarray)
     return out, d_x[1:], loss
 
 
-def train(windows: list[list[str]], labels: np.ndarray, epochs: int = 5, batch: int = 256, rate: float = 0.01, seed: int = 5) -> dict:
+def train(windows: list[list[str]], labels: np.ndarray, epochs: int = 4, batch: int = 256, rate: float = 0.01, seed: int = 5) -> dict:
     """The network fitted to labelled windows: Adam on the dense weights, Adagrad on embeddings."""
     model, rng = fresh(), np.random.default_rng(seed)
     dense = [k for k in model if k not in ("words", "grams")]
@@ -180,7 +184,12 @@ def train(windows: list[list[str]], labels: np.ndarray, epochs: int = 5, batch:
             if not known:
                 continue
             words = list(known)
-            grads, d_x, _ = gradients(model, inputs(model, words), rows, labels[own].astype(np.float32))
+            x = inputs(model, words)
+            # Some words go by their characters alone, so that these learn what forms have in common.
+            known_word = rng.random(len(words)) >= DROPPED
+            x[:, :WIDTH] *= known_word[:, None]
+            grads, d_x, _ = gradients(model, x, rows, labels[own].astype(np.float32))
+            d_x[:, :WIDTH] *= known_word[:, None]
             step += 1
             for k in dense:
                 first[k] = 0.9 * first[k] + 0.1 * grads[k]
@@ -190,7 +199,7 @@ def train(windows: list[list[str]], labels: np.ndarray, epochs: int = 5, batch:
             number = np.diff(np.append(begin, len(grams)))
             for table, ids, grad in (
                 ("words", word_ids(words), d_x[:, :WIDTH]),
-                ("grams", grams, np.repeat(d_x[:, WIDTH:] / number[:, None], number, axis=0)),
+                ("grams", grams, np.repeat(d_x[:, WIDTH:] / np.sqrt(number)[:, None], number, axis=0)),
             ):
                 rows_, inverse = np.unique(ids, return_inverse=True)
                 total = np.zeros((len(rows_), WIDTH), np.float32)
