@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.llm import decontaminate, mixing, odd_sketches, sharding, toxicity
-from panelwright.llm.common import landed, word_count
+from panelwright.llm.common import landed, small_batches, word_count
 from panelwright.llm.queries import SHARDS
 from panelwright.sources.tables import read_table
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network, trained on the labelled ones, doesn't call toxic."""
+    small_batches(spark)
     fitted = toxicity.fit(docs, "doc_id", "text", read_table(spark, sf_dir, "labels"), "toxic")
     return toxicity.score(docs, "text", fitted, "_toxic").filter("_toxic < 0.5").select(*docs.columns)
 
@@ -23,6 +24,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Shingles of five words and a similarity of 0.8, the pipeline's default. Rows equal in id and
     text are one; rows without words are no one's duplicates.
     """
+    small_batches(spark)
     found = odd_sketches.near_duplicates(docs, "doc_id", "text", percent=80, width=5)
     stay = found.filter("kept").select(F.col("id").alias("_id"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"))
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("_d"), "text")
@@ -34,6 +36,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passage."""
+    small_batches(spark)
     items = read_table(spark, sf_dir, "benchmark")
     found = decontaminate.find_leaks(docs, "text", items, "item_id", "text", out="_leaks")
     return found.filter(F.size("_leaks") == 0).select(*docs.columns)

@@ -20,16 +20,21 @@ from panelwright.llm import (
     token_counts,
     toxicity,
 )
-from panelwright.llm.common import word_count
+from panelwright.llm.common import small_batches, word_count
 from panelwright.sources.tables import read_table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 TOKENIZER = "word_bpe_49k.json"
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    small_batches(spark)
+    return read_table(spark, sf_dir, "documents").select("doc_id", *columns)
+
+
 def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words, base phrases and covered licence templates of every document."""
-    docs = licences.scan_licences(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    docs = licences.scan_licences(documents(spark, sf_dir, "text"), "text")
     starts = F.transform("licences.base", lambda b: b["start"])
     spans = F.transform("licences.spans", lambda s: s["label"])
     base = F.transform("licences.base", lambda b: b["label"])
@@ -45,7 +50,7 @@ def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages that documents hold: one row per document and passage."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir, "text")
     items = read_table(spark, sf_dir, "benchmark")
     found = decontaminate.find_leaks(docs, "text", items, "item_id", "text")
     return found.select("doc_id", F.explode("leaks").alias("leak")).select(
@@ -54,7 +59,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document by a network that the labelled rows train."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir, "text")
     fitted = toxicity.fit(docs, "doc_id", "text", read_table(spark, sf_dir, "labels"), "toxic")
     scored = toxicity.score(docs, "text", fitted)
     return scored.select(
@@ -64,14 +69,14 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle count and component of every document."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir, "text")
     found = odd_sketches.near_duplicates(docs, "doc_id", "text")
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slot and shard of every document."""
-    return sharding.place(read_table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
+    return sharding.place(documents(spark, sf_dir), "doc_id", SHARDS)
 
 
 def _written(spans) -> object:
@@ -81,7 +86,7 @@ def _written(spans) -> object:
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: base counts and digest, and all spans."""
-    docs = secrets.find_secrets(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    docs = secrets.find_secrets(documents(spark, sf_dir, "text"), "text")
     number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     base = F.filter("spans", lambda s: s["no"] < len(secrets.BASE))
     return docs.select(
@@ -92,7 +97,7 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = documents(spark, sf_dir, "source", "text")
     drawn = mixing.draw(docs, "source", word_count(F.col("text")), ["doc_id", "text"])
     return drawn.select(
         "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
@@ -110,7 +115,7 @@ def tokenizer_spec(name: str = TOKENIZER) -> str:
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document, and whether it passes 2,048 tokens."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir, "text")
     counted = token_counts.count_tokens(docs, "text", tokenizer_spec())
     return counted.select(
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens",
@@ -126,7 +131,7 @@ def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of every document repeated strings of 200 bytes cover, and the digest of the rest."""
-    docs = suffix_runs.without_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    docs = suffix_runs.without_repeats(documents(spark, sf_dir, "text"), "text")
     return docs.select(
         "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -321,7 +321,8 @@ def fit(docs: DataFrame, id_: str, text: str, labels: DataFrame, label: str, sam
             yield pd.Series(out, dtype=object)
 
     rows = texts.filter("not tune").select("id", "y", spread("text").alias("windows")).toPandas().sort_values("id", kind="stable")
-    windows = [w.split(" ") for ws in rows["windows"] for w in ws]
+    pool: dict[str, str] = {}  # one object per word
+    windows = [[pool.setdefault(w, w) for w in window.split(" ")] for own in rows["windows"] for window in own]
     truth = np.repeat(rows["y"].to_numpy(), rows["windows"].map(len))
     if len(set(truth)) < 2:
         return None
