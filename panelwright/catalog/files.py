@@ -78,6 +78,29 @@ def register_catalog(spark, folder):
     )
 
 
+@query("S2", sql="""
+SELECT count(*) AS files, min(n_name || ' - ' || CASE WHEN c_acctbal < 4000 THEN '2023' ELSE '2024' END || '.csv') AS example
+FROM (SELECT DISTINCT n_name, c_acctbal < 4000 AS early, c_custkey % 4 AS part, min(c_acctbal) AS c_acctbal
+      FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey IN (SELECT o_custkey FROM orders) GROUP BY 1, 2, 3)""")
+def register_drift(spark, folder):
+    """Files per second header row: more than one line means that the files' blocks differ."""
+    path = _folder(spark)
+    write_registers(spark, folder, path)
+    return R.layout_drift(R.file_catalog(spark, path, by_folder=True)).select("files", "example")
+
+
+@query("S3", sql="""
+SELECT 'notes ' || n_nationkey || '.csv' AS source_file, 'no year in file name' AS reason FROM nation""")
+def register_rejects(spark, folder):
+    """Files whose name carries no year are left out of the table and listed."""
+    path = _folder(spark)
+    write_registers(spark, folder, path)
+    strays = read_table(spark, folder, "nation").select(
+        F.concat(F.lit("notes "), F.col("n_nationkey").cast("string"), F.lit(".csv")).alias("source"), "n_name")
+    strays.write.partitionBy("source").mode("append").csv(path)
+    return R.rejected_files(R.file_catalog(spark, path, by_folder=True)).distinct()
+
+
 @query("S4", "S7", "S10", sql="""
 SELECT o_orderkey, CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority END AS priority,
        CAST(year(o_orderdate) AS INTEGER) AS year FROM orders""")
