@@ -41,18 +41,22 @@ def _split_documents(spark, folder):
 
 def _outcome(spark, folder, kind, **options):
     rows = _split_documents(spark, folder)
-    model = M.fit_classifier(rows.filter("split = 'train'"), _DOC, "label", kind, **options)
+    train = rows.filter("split = 'train'")
+    if kind == "gbt":  # boosting stops once the validation part no longer gains
+        train = rows.filter("split <> 'test'").withColumn("_held", F.col("split") == "validation")
+        options["validationIndicatorCol"] = "_held"
+    model = M.fit_classifier(train, _DOC, "label", kind, **options)
     return M.score(model, rows).select("doc_id", "split", "label", r6("probability").alias("probability"))
 
 
 @query("R9", "R8", "R17")
 def gbt_outcome(spark, folder):
-    return _outcome(spark, folder, "gbt", maxIter=10)
+    return _outcome(spark, folder, "gbt", maxIter=200)
 
 
 @query("R9", "R17")
 def forest_outcome(spark, folder):
-    return _outcome(spark, folder, "forest", numTrees=20)
+    return _outcome(spark, folder, "forest", numTrees=200)
 
 
 @query("R9", "R17")
@@ -166,7 +170,7 @@ def panel_model_per_step(spark, folder):
     split = stratified_split(label, "entity_id", "label").select("entity_id", "split")
     rows = features.join(label, "entity_id").join(split, "entity_id")
     names = [c for c in features.columns if c.startswith(("mean_", "std_", "trend_", "latest_", "months_"))]
-    model = M.fit_classifier(rows.filter("split = 'train'"), names, "label", "forest", numTrees=20, maxDepth=5)
+    model = M.fit_classifier(rows.filter("split = 'train'"), names, "label", "forest", numTrees=200, maxDepth=5)
     return per_step_evaluation(M.score(model, rows.filter("split = 'test'")), "label", "probability", 0.5)
 
 
