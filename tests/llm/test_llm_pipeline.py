@@ -42,3 +42,17 @@ def test_each_stage_decides(spark, steps):
 
 def test_run_is_the_stages(spark):
     assert corpus_pipeline.run(spark, FOLDER).count() > 0
+
+
+@pytest.mark.parametrize("rows", [
+    [],
+    [(None, None, None, None, None), (1, "", "en", "a", 0), (1, "", "en", "a", 0), (2, "one two three four five six", None, None, 3),
+     (3, "one two three four five six", "en", "b", 3), (None, "long " * 30_000, "en", "b", 1)],
+])
+def test_stages_on_empty_and_odd_rows(spark, rows):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema)
+    for _, stage in corpus_pipeline.STAGES:
+        before, docs = docs, corpus_pipeline.landed(stage(spark, docs, FOLDER), "odd")
+    assert before.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert {r.doc_id for r in docs.collect()} <= {None, 1, 2} and (docs.count() > 0) == bool(rows)
