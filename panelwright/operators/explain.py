@@ -54,47 +54,42 @@ def claims(
     magnitudes: Sequence[tuple[str, str]] = V.MAGNITUDE_WORDS,
     context_chars: int = V.CLAIM_CONTEXT_CHARS,
 ) -> DataFrame:
-    """(case, feature, direction, magnitude, position, claim_no) stated in each text.
+    """(case, feature, direction, magnitude, position) stated in each text.
 
     A feature counts where it first occurs; the words around it give direction (increase
-    before decrease before mixed) and magnitude. The vocabulary is tested inside the row,
-    on the whole text, so nothing is multiplied before the mentions are known.
+    before decrease before mixed) and magnitude. The vocabulary is tested inside the row, on
+    the whole text; a mention takes only the words around it along, and the phrases are
+    sought in those once, before mentions become rows.
     """
     lowered = texts.select(F.col(case), F.lower(F.col(text)).alias("_t"))
-    mentions = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    F.col("_t").contains(name.lower()),
-                    F.struct(
-                        F.lit(name).alias("feature"),
-                        F.locate(name.lower(), F.col("_t")).alias("position"),
-                        F.lit(len(name)).alias("length"),
-                    ),
-                )
-                for name in vocabulary
-            ]
+
+    def mention(name: str) -> Column:
+        position = F.locate(name.lower(), F.col("_t"))
+        start = F.greatest(F.lit(1), position - context_chars)
+        around = F.substring("_t", start, position + len(name) + context_chars - start)
+        return F.when(
+            F.col("_t").contains(name.lower()),
+            F.struct(F.lit(name).alias("feature"), position.alias("position"), around.alias("around")),
         )
-    )
-    found = lowered.select(case, "_t", F.inline(mentions))
-    start = F.greatest(F.lit(1), F.col("position") - context_chars)
-    end = F.col("position") + F.col("length") + context_chars
-    around = found.select(
-        case, "feature", "position", F.substring("_t", start, end - start).alias("_c")
-    )
-    direction = (
-        F.when(F.col("_c").rlike(_any(increase)), "increase")
-        .when(F.col("_c").rlike(_any(decrease)), "decrease")
-        .when(F.col("_c").rlike(_any(mixed)), "mixed")
-    )
-    size = F.when(F.lit(False), "")
-    for word, label in magnitudes:
-        size = size.when(F.col("_c").rlike(_any([word])), label)
-    stated = around.select(
-        case, "feature", direction.alias("direction"),
-        size.otherwise("unspecified").alias("magnitude"), "position",
-    )
-    return stated.filter(F.col("direction").isNotNull())
+
+    def stated(found: Column) -> Column:
+        around = found["around"]
+        direction = (
+            F.when(around.rlike(_any(increase)), "increase")
+            .when(around.rlike(_any(decrease)), "decrease")
+            .when(around.rlike(_any(mixed)), "mixed")
+        )
+        size = F.when(F.lit(False), "")
+        for word, label in magnitudes:
+            size = size.when(around.rlike(_any([word])), label)
+        return F.struct(
+            found["feature"].alias("feature"), direction.alias("direction"),
+            F.when(direction.isNotNull(), size.otherwise("unspecified")).alias("magnitude"),
+            found["position"].alias("position"),
+        )
+
+    mentions = F.transform(F.array_compact(F.array(*[mention(name) for name in vocabulary])), stated)
+    return lowered.select(case, F.inline(F.filter(mentions, lambda m: m["direction"].isNotNull())))
 
 
 def coverage(claimed: DataFrame, cases: DataFrame, case: str, vocabulary_size: int = len(V.KNOWN_FEATURES)) -> DataFrame:
