@@ -55,36 +55,35 @@ def family_importance(importance: DataFrame) -> DataFrame:
     return share_of_total(summed, "importance")
 
 
-def shuffled_column(
+def shuffled_partner(
     df: DataFrame, entity: str, features: Sequence[str], repeats: int, seed: int = 42
 ) -> DataFrame:
-    """(feature, repeat, entity, new_value): each feature's values dealt to other entities.
+    """``df`` once per repeat, with ``repeat`` and the features of another row in ``_other``.
 
-    Values leave in one hash order and arrive in another; both orders are ranked in hash
-    buckets and met by an equi-join, so a shuffle of any size needs no single task.
+    Rows leave in one hash order and arrive in another, so a repeat deals every row's features
+    out exactly once. Both orders are ranked in hash buckets and met by an equi-join: a shuffle
+    of any size needs no single task, and rows times repeats is all that crosses the network.
     """
-    names = F.array(*[F.lit(f) for f in features])
-    grid = df.select(
-        entity,
-        F.posexplode(names).alias("_f", "feature"),
-        *[F.col(f).cast("double").alias(f"_v{i}") for i, f in enumerate(features)],
-    ).select(
-        entity, "feature",
-        F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"),
-        F.get(F.array(*[F.col(f"_v{i}") for i in range(len(features))]), F.col("_f")).alias("value"),
-    )
-    key = ["feature", "repeat"]
+    every = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")
+
+    def ranked(rows: DataFrame, salt: int) -> DataFrame:
+        h = F.xxhash64(F.col(entity), F.col("repeat"), F.lit(seed + salt))
+        return row_numbers(rows.withColumn("_h", h), ["_h", entity], "_r", ["repeat"], bucket=hash_bucket("_h")).drop("_h")
+
+    source = ranked(df.select(entity, *features, every), 0)
+    source = source.select("repeat", "_r", F.struct(*features).alias("_other"))
+    return ranked(df.select("*", every), 1).join(source, ["repeat", "_r"]).drop("_r")
 
-    def ranked(side: str, salt: int) -> DataFrame:
-        h = F.xxhash64(F.col(entity), F.col("feature"), F.col("repeat"), F.lit(seed + salt))
-        return row_numbers(
-            grid.withColumn("_h", h), ["_h", entity], "_r", key,
-            bucket=hash_bucket("_h"),
-        )
 
-    source = ranked("from", 0).select(*key, "_r", F.col("value").alias("new_value"))
-    target = ranked("to", 1).select(*key, "_r", entity)
-    return target.join(source, [*key, "_r"]).select(*key, entity, "new_value")
+def shuffled_column(
+    df: DataFrame, entity: str, features: Sequence[str], repeats: int, seed: int = 42
+) -> DataFrame:
+    """(feature, repeat, entity, new_value): each feature's values dealt to other entities."""
+    values = F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.col("_other")[f].cast("double").alias("new_value")) for f in features
+    ])
+    dealt = shuffled_partner(df, entity, features, repeats, seed)
+    return dealt.select("repeat", entity, F.inline(values)).select("feature", "repeat", entity, "new_value")
 
 
 def permutation_importance(
@@ -99,16 +98,16 @@ def permutation_importance(
 ) -> DataFrame:
     """Mean / sd AUC drop and mean F1 drop per feature, over shuffles across entities.
 
-    ``scorer`` adds a ``probability`` column. All shuffles are scored as one long table.
+    ``scorer`` adds a ``probability`` column. A repeat deals out whole rows once; each feature
+    in turn takes its dealt value inside the task, and all are scored as one long table.
     """
-    dealt = shuffled_column(df, entity, features, repeats, seed)
-    permuted = dealt.join(df, entity)
-    for f in features:
-        permuted = permuted.withColumn(
-            f, F.when(F.col("feature") == f, F.col("new_value")).otherwise(F.col(f))
-        )
+    dealt = shuffled_partner(df, entity, features, repeats, seed)
+    permuted = dealt.withColumn("feature", F.explode(F.array(*[F.lit(f) for f in features])))
+    permuted = permuted.withColumns({
+        f: F.when(F.col("feature") == f, F.col("_other")[f]).otherwise(F.col(f)) for f in features
+    })
     keys = ["feature", "repeat"]
-    scored = scorer(permuted.drop("new_value"))
+    scored = scorer(permuted.drop("_other"))
     base = scorer(df)
     base_auc = rank_metrics(base, label, "probability").select("roc_auc").scalar()
     base_f1 = binary_metrics(base, label, "probability", threshold).select("f1").scalar()
