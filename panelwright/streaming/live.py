@@ -95,10 +95,16 @@ def merge_records(
     return joined.withColumn("created_at", F.col("_created")).select(*newest.columns)
 
 
+def _on_store(spark: SparkSession, path: str):
+    """The path and the file system it lies in, as Hadoop objects."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     """Whether the path is there; any other trouble with it is the caller's error to see."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(target)
+    target, store = _on_store(spark, path)
+    return store.exists(target)
 
 
 def upsert_sink(
@@ -132,5 +138,7 @@ def upsert_sink(
         session.read.parquet(aside).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic"
         ).partitionBy("_bucket").parquet(table_path)
+        staged, store = _on_store(session, aside)
+        store.delete(staged, True)
 
     return write
