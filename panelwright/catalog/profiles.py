@@ -177,6 +177,17 @@ def date_anomalies(spark, folder):
     })
 
 
+@query("A14", sql="""
+SELECT 'ordered' AS earlier, 'shipped' AS later, count(*) FILTER (WHERE o_orderdate IS NOT NULL AND l_shipdate IS NOT NULL) AS compared,
+       count(*) FILTER (WHERE l_shipdate < o_orderdate) AS violations
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey""")
+def date_order_violations(spark, folder):
+    orders = read_table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
+    rows = read_table(spark, folder, "lineitem").select("l_orderkey", "l_shipdate").join(orders, "l_orderkey")
+    dates = {"ordered": F.col("o_orderdate"), "shipped": F.col("l_shipdate")}
+    return A.order_violations(rows, dates, [("ordered", "shipped")])
+
+
 @query("A15", "M12", sql=f"""
 WITH {CUSTOMER_STATIC}, m AS (
   SELECT (SELECT segment FROM static WHERE segment IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS seg,

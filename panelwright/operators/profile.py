@@ -254,6 +254,21 @@ def date_anomalies(
     return df.agg(F.array(*rows).alias("_rows")).select(F.inline("_rows"))
 
 
+def order_violations(
+    df: DataFrame, dates: Mapping[str, Column], pairs: Sequence[tuple[str, str]]
+) -> DataFrame:
+    """(earlier, later, compared, violations) per pair of dates that must follow each other."""
+    rows = [
+        F.struct(
+            F.lit(a).alias("earlier"), F.lit(b).alias("later"),
+            F.count_if(dates[a].isNotNull() & dates[b].isNotNull()).alias("compared"),
+            F.count_if(dates[b] < dates[a]).alias("violations"),
+        )
+        for a, b in pairs
+    ]
+    return df.agg(F.array(*rows).alias("_rows")).select(F.inline("_rows"))
+
+
 def class_balance(df: DataFrame, label: str) -> DataFrame:
     """Counts, majority/minority ratio and balanced class weights, one row per class."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("count")).filter(F.col(label).isNotNull())
