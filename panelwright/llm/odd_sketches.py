@@ -4,7 +4,8 @@ Bands of MinHash values propose pairs. Odd sketches judge them: each shingle set
 samples (one permutation, the least value of each of 1,024 bins) are folded into a bitmap by
 parity, so the bitmaps of two sets differ, by XOR, in about as many bits as their samples do;
 that count estimates a high similarity with a deviation near 0.012. What lies clearly below the
-bound is let go, all else is confirmed on the full sets.
+bound is let go, all else is confirmed on the full sets. Of small sets, where one shingle more can
+move the estimate far, only what the count rules out for certain is let go.
 
 No group is expanded into its pairs. A band's bucket first proposes its members' pairs with one
 of them. Buckets that still hold several components then propose, by sketch, the pairs that
@@ -27,6 +28,8 @@ from panelwright.llm.common import components, landed, mix64
 
 BANDS, ROWS = 25, 5
 BINS, BITS = 1024, 2048
+#: Pairs with a set of fewer shingles are let go by a bound that holds for certain.
+SMALL = 512
 #: Members of a bucket that are compared in one task with as many others.
 BLOCK = 1024
 #: Text keys (about 40 bytes each) up to this many are broadcast, more are shuffled.
@@ -99,6 +102,21 @@ def similarity(different: np.ndarray, n: np.ndarray, m: np.ndarray, used: np.nda
     return j
 
 
+def may_link(
+    different: np.ndarray, n: np.ndarray, m: np.ndarray, used: np.ndarray, used2: np.ndarray, percent: int, margin: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated similarity of pairs, and whether a pair may reach ``percent``.
+
+    A bin whose samples differ holds a shingle of one set alone and changes two bits at most, so
+    half the differing bits are no more than the shingles that are not common. Pairs that link
+    have at most ``(100 - percent) / (100 + percent)`` of both sets' sizes of these. That rule
+    loses no pair; with many shingles a bin it rules out little, so larger sets go by estimate.
+    """
+    score = similarity(different, n, m, used, used2)
+    certain = different.astype(np.int64) * (100 + percent) <= 2 * (100 - percent) * (n + m)
+    return score, np.where(np.minimum(n, m) < SMALL, certain, score >= percent / 100 - margin)
+
+
 def _bits(sketches: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
 
@@ -117,9 +135,9 @@ def near_duplicates(
     rows share are one node; very long texts are taken whole; an empty table stays empty.
 
     Pairs that link share a band with a chance over 1 - 1e-6 each. Pairs whose estimate lies
-    ``margin``, over five deviations, below the bound are not confirmed.
+    ``margin``, over five deviations, below the bound are not confirmed; with a set of under
+    ``SMALL`` shingles, only pairs that cannot link (see :func:`may_link`).
     """
-    low = percent / 100 - margin
     keyed = text_keys(docs.select(F.col(id_).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")), "text")
 
     @F.pandas_udf("n_shingles long, node binary, bands array<long>")
@@ -158,12 +176,12 @@ def near_duplicates(
     sets = landed(texts.dropDuplicates(["node"]).select("node", full("text").alias("f")).select("node", "f.*"), "sets")
     light = sets.select("node", "n", "used", "sketch")
 
-    @F.pandas_udf("double")
-    def estimate(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series, used: pd.Series, used2: pd.Series) -> pd.Series:
+    @F.pandas_udf("boolean")
+    def near(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series, used: pd.Series, used2: pd.Series) -> pd.Series:
         if not len(a):
-            return pd.Series([], dtype="float64")
+            return pd.Series([], dtype="bool")
         different = np.bitwise_count(_bits(a) ^ _bits(b)).sum(axis=1)
-        return pd.Series(similarity(different, n.to_numpy(), m.to_numpy(), used.to_numpy(), used2.to_numpy()))
+        return pd.Series(may_link(different, n.to_numpy(), m.to_numpy(), used.to_numpy(), used2.to_numpy(), percent, margin)[1])
 
     @F.pandas_udf("boolean")
     def linked(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -182,8 +200,7 @@ def near_duplicates(
         if not judged:
             pairs = pairs.join(side(light, "a"), "a").join(side(light, "b"), "b")
             pairs = pairs.filter(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
-            near = estimate("a_sketch", "b_sketch", "a_n", "b_n", "a_used", "b_used") >= low
-            pairs = pairs.filter(near).select("a", "b")
+            pairs = pairs.filter(near("a_sketch", "b_sketch", "a_n", "b_n", "a_used", "b_used")).select("a", "b")
         pairs = pairs.join(side(sets.select("node", "shingles"), "a"), "a").join(side(sets.select("node", "shingles"), "b"), "b")
         return pairs.filter(linked("a_shingles", "b_shingles")).select("a", "b")
 
@@ -219,8 +236,9 @@ def near_duplicates(
                         y = y[block[y] != block[x]]
                     y = y[100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])]
                     if len(y):
-                        s = similarity(np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1), n[x], n[y], used[x], used[y])
-                        y, s = y[s >= low], s[s >= low]
+                        different = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1)
+                        s, may = may_link(different, n[x], n[y], used[x], used[y], percent, margin)
+                        y, s = y[may], s[may]
                     if len(y) and every and band[lo]:  # a pair belongs to the first band that it shares
                         own = ~(bands[y, :band[lo]] == bands[x, :band[lo]]).any(axis=1)
                         y, s = y[own], s[own]

@@ -91,6 +91,21 @@ def test_odd_sketches_estimate_high_similarity():
     assert max(errors) < 0.05
 
 
+@pytest.mark.parametrize(("percent", "common", "a", "b"), [
+    (85, 6, 1, 0), (85, 12, 1, 1), (85, 17, 2, 1), (85, 34, 3, 3), (80, 4, 1, 0), (80, 8, 1, 1), (80, 20, 3, 2)])
+def test_no_pair_of_small_sets_is_lost(percent, common, a, b):
+    rng, pairs, n = np.random.default_rng(2), 8000, common + a
+    x = rng.integers(0, 2**63, (pairs, n + b), dtype=np.uint64)
+    one = [odd_sketches.odd_sketch(r[:n]) for r in x]
+    two = [odd_sketches.odd_sketch(np.delete(r, np.s_[common:n])) for r in x]
+    bits, used = (odd_sketches._bits([s for s, _ in own]) for own in (one, two)), [np.array([u for _, u in own]) for own in (one, two)]
+    different = np.bitwise_count(np.bitwise_xor(*bits)).sum(axis=1)
+    score, may = odd_sketches.may_link(different, np.full(pairs, n), np.full(pairs, common + b), *used, percent, 0.07)
+    assert may.all() and (common > 20 or (score < percent / 100 - 0.07).any())
+    far = odd_sketches.may_link(np.full(1, 2 * n), *(np.full(1, n),) * 4, percent, 0.07)[1]
+    assert not far.any()
+
+
 def test_targets_reshare_the_excess():
     got = mixing.targets([100, 10, 50], [5, 2, 1], 240, 2)
     assert sum(got) == pytest.approx(240) and got[1] == 20 and all(t <= 2 * s for t, s in zip(got, [100, 10, 50]))
