@@ -292,14 +292,10 @@ def near_duplicates(
         pairs = dealt.mapInPandas(proposals(every), "a binary, b binary").distinct()
         pairs = landed(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         more = landed(confirmed(pairs, judged=True), "links")
-        if more.isEmpty():
-            if pairs.isEmpty():
-                break
-            tried = tried.unionByName(pairs)
-            continue
         tried = tried.unionByName(pairs)
-        links = links.unionByName(more)
-        groups = components(links)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            groups = components(links)
 
     named = rows.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = landed(named.select("id", "t1", "t2", "n_shingles", "component"), "named")

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from panelwright.llm import metric_join, mixing, odd_sketches, suffix_runs
@@ -75,6 +76,24 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch, block):
     assert odd_sketches.near_duplicates(docs.limit(0), "doc_id", "text").count() == 0
 
 
+def test_cross_pairs_are_tried_though_the_forest_holds_none(spark, monkeypatch):
+    def one_bucket(shingles):
+        return np.zeros(odd_sketches.BANDS, np.int64)
+
+    def pivot_first(different, n, m, used, used2, percent, margin):
+        return np.where(n != m, 0.9, 0.86) + 0 * different, different >= 0
+
+    monkeypatch.setattr(odd_sketches, "band_keys", one_bucket)
+    monkeypatch.setattr(odd_sketches, "may_link", pivot_first)
+    both, node = [f"c{i}" for i in range(46)], lambda text: xxhash.xxh3_128_digest(odd_sketches.Shingler(1)(text).tobytes())
+    a, b = (" ".join(both + [f"{x}{i}" for i in range(4)]) for x in "ab")
+    pivots = (" ".join(both[:40] + [f"{k}p{i}" for i in range(12)]) for k in range(1000))
+    p = next(t for t in pivots if node(t) < min(node(a), node(b)))
+    docs = spark.createDataFrame([(1, a), (2, b), (3, p)], "doc_id long, text string")
+    got = {r.id: r.component_id for r in odd_sketches.near_duplicates(docs, "doc_id", "text", width=1).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
 def test_odd_sketches_estimate_high_similarity():
     rng = np.random.default_rng(1)
     errors = []
