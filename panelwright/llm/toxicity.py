@@ -3,7 +3,9 @@
 A word's input is an embedding of its hash beside the scaled sum of the embeddings of the
 character n-grams inside it. Gated recurrent units read each window in both directions, attention pools their
 states, and a logistic unit scores the window. All overlapping windows of a whole text are
-scored; a calibrated combination of them scores the document.
+scored; a calibrated combination of them scores the document. A word over 48 bytes, as a run of
+text without blanks is, counts as several words: pieces that overlap so that each n-gram of the
+run is whole in one of them, alike in training and scoring.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 WINDOW, STEP = 64, 48
 WORD_ROWS, GRAM_ROWS, WIDTH, HIDDEN, ATTEND = 1 << 15, 1 << 16, 16, 8, 8
 WORD = re.compile(r"[^\W_]+")
+#: Bytes of a word at most, and characters that two pieces of a longer one share.
+LONGEST, SHARED = 48, 4
 #: Documents of each label, and windows of a document, that training takes at most.
 SAMPLE_DOCS, SAMPLE_WINDOWS = 2000, 6
 
@@ -29,8 +33,19 @@ SAMPLE_DOCS, SAMPLE_WINDOWS = 2000, 6
 DROPPED = 0.5
 
 
+def cut(word: str) -> list[str]:
+    """The word, or its overlapping pieces of ``LONGEST`` bytes at most, whole characters each."""
+    if len(word.encode("utf-8", "surrogatepass")) <= LONGEST:
+        return [word]
+    size = LONGEST // len(max(word).encode("utf-8", "surrogatepass"))  # the last code point is the widest
+    return [word[at:at + size] for at in range(0, len(word) - SHARED, size - SHARED)]
+
+
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    words = WORD.findall((text or "").lower())
+    if max(map(len, words), default=0) <= LONGEST // 4:
+        return words
+    return [p for w in words for p in (cut(w) if len(w) > LONGEST // 4 else (w,))]
 
 
 def starts_of(n: int) -> range:
@@ -40,7 +55,7 @@ def starts_of(n: int) -> range:
 
 def gram_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the character n-grams (3 and 5 bytes, edges marked) of all words, and each word's first."""
-    marked = [b"\x02" + w.encode("utf-8", "surrogatepass")[:48] + b"\x03" for w in words]
+    marked = [b"\x02" + w.encode("utf-8", "surrogatepass") + b"\x03" for w in words]
     flat = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
     sizes = np.array([len(m) for m in marked])
     ends = np.cumsum(sizes)
@@ -251,10 +266,10 @@ class Scorer:
         for k, text in enumerate(texts):
             out.append([])
             words = words_of(text)
-            if len(self.known) > self.size:
-                flush()
-                self._clear()
             for part in range(0, len(words), STEP * 1024):  # long texts go through in parts
+                if len(self.known) > self.size:
+                    flush()
+                    self._clear()
                 rows = self._rows(words[part:part + STEP * 1024 + WINDOW - STEP])
                 for s in starts_of(len(rows)):
                     if part and s + part >= max(1, len(words) - (WINDOW - STEP)):
@@ -317,7 +332,7 @@ def fit(docs: DataFrame, id_: str, text: str, labels: DataFrame, label: str, sam
                 starts = np.array(starts_of(len(words)))
                 if len(starts) > SAMPLE_WINDOWS:
                     starts = starts[np.linspace(0, len(starts) - 1, SAMPLE_WINDOWS).astype(int)]
-                out.append([" ".join(w[:48] for w in words[s:s + WINDOW]) for s in starts])
+                out.append([" ".join(words[s:s + WINDOW]) for s in starts])
             yield pd.Series(out, dtype=object)
 
     rows = texts.filter("not tune").select("id", "y", spread("text").alias("windows")).toPandas().sort_values("id", kind="stable")

@@ -239,6 +239,30 @@ def test_long_text_scores_as_its_windows():
     assert len(whole) == len(toxicity.starts_of(len(words))) and np.allclose(whole[-12:], apart, atol=1e-4)
 
 
+@pytest.mark.parametrize("run", ["".join(f"{i:02x}" for i in range(90)), "".join(chr(0x4E00 + i) for i in range(100)), "ab\u00e9\U00020000" * 30], ids=["ascii", "wide", "mixed"])
+def test_each_n_gram_of_a_long_run_is_whole_in_a_word(run):
+    words = toxicity.words_of(f"Short {run}, end")
+    raw, pieces = run.encode(), [w.encode() for w in words[1:-1]]
+    assert words[0] == "short" and words[-1] == "end" and max(map(len, pieces)) <= 48
+    assert all(any(raw[i:i + 5] in p for p in pieces) for i in range(len(raw) - 4))
+    assert toxicity.words_of("a" * 48) == ["a" * 48]
+
+
+def test_the_end_of_a_long_run_changes_the_score():
+    scorer = toxicity.Scorer(toxicity.fresh())
+    for plain, other in (("x" * 100, "x" * 60 + "vile" * 10), ("\u597d" * 40, "\u597d" * 20 + "\u574f" * 20)):
+        a, b = scorer.logits([plain, other])
+        assert not np.array_equal(a, b)
+
+
+def test_long_runs_train_as_they_score(spark):
+    rows = [(i, "\u597d" * (40 + i % 50) + ("\u574f\u4eba" * 3 + "\u597d" * 9) * (i % 2)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fitted = toxicity.fit(docs, "doc_id", "text", docs.selectExpr("doc_id", "doc_id % 2 as toxic"), "toxic")
+    held = toxicity.score(docs, "text", fitted).filter(toxicity.held_out(docs["doc_id"])).collect()
+    assert held and sum((r.score >= 0.5) == (r.doc_id % 2 == 1) for r in held) / len(held) > 0.9
+
+
 def test_toxicity_learns_and_scores_odd_rows(spark):
     rng = np.random.default_rng(7)
     plain = [f"word{i}" for i in range(60)]
