@@ -2,8 +2,9 @@
 
 The automaton holds every run of words of every licence template and base phrase. A text is
 streamed through it word by word: the state tells the longest run that ends here and occurs in
-some template. Runs that can grow no further and are long enough are chained, in template
-order, into spans; a span that covers enough of its template carries the template's label.
+some template. For each template, the runs that can grow no further in it, though the text may go
+on like another one, and that are long enough are chained, in template order, into spans; a span
+that covers enough of its template carries the template's label.
 """
 
 from __future__ import annotations
@@ -144,10 +145,32 @@ class Scanner:
                     found.append(own[s])
                 s = self.auto.link[s]
             self.hits.append(found)
-
-    def _chain(self, open_: dict, spans: list, end: int, length: int, state: int) -> None:
-        for t, at in self.auto.ends[state].items():
-            if t < self.n_base or length < min(self.least, self.auto.sizes[t]):
+        # Of each state and template, the longest run that ends there and is in the template:
+        # (template, place of its last word, state); it is the state's own or one of its suffixes'.
+        self.runs: list[list[tuple[int, int, int]]] = []
+        for state in range(len(self.auto.length)):
+            nearest, s = {}, state
+            while s > 0:
+                for t, at in self.auto.ends[s].items():
+                    if t >= self.n_base and t not in nearest:
+                        nearest[t] = (t, at, s)
+                s = self.auto.link[s]
+            self.runs.append([r for r in nearest.values() if self.auto.length[r[2]] >= min(self.least, self.auto.sizes[r[0]])])
+        self.over: dict[tuple[int, int | None], list[tuple[int, int, int]]] = {}
+
+    def _ended(self, state: int, c: int | None) -> list[tuple[int, int, int]]:
+        """Those of a state's runs that don't go on in their own template with the word ``c``."""
+        found = self.over.get((state, c))
+        if found is None:
+            following, ends = self.auto.next, self.auto.ends
+            found = [r for r in self.runs[state] if c not in following[r[2]] or r[0] not in ends[following[r[2]][c]]]
+            self.over[state, c] = found
+        return found
+
+    def _chain(self, open_: dict, spans: list, end: int, longest: int, state: int, c: int | None) -> None:
+        for t, at, own in self._ended(state, c):
+            length = longest if own == state else self.auto.length[own]
+            if length < min(self.least, self.auto.sizes[t]):
                 continue
             begin = end - length + 1
             span = open_.get(t)
@@ -167,21 +190,19 @@ class Scanner:
     def scan(self, text: str | None) -> tuple:
         """``n_words, base [(label, start)], spans [(label, start, stop, coverage)]``."""
         code, following, link, size = self.auto.words.get, self.auto.next, self.auto.link, self.auto.length
-        hits, base, spans, open_ = self.hits, [], [], {}
+        hits, runs, base, spans, open_ = self.hits, self.runs, [], [], {}
         state = length = 0
         n = 0
         for piece in pieces(text or "", BETWEEN):
             words = split_words(piece)
             for i, word in enumerate(words, n):
                 c = code(word)
+                if runs[state]:
+                    self._chain(open_, spans, i - 1, length, state, c)
                 if c is None:
-                    if length >= 2:
-                        self._chain(open_, spans, i - 1, length, state)
                     state = length = 0
                     continue
                 if c not in following[state]:
-                    if length >= 2:
-                        self._chain(open_, spans, i - 1, length, state)
                     while state and c not in following[state]:
                         state = link[state]
                         length = size[state]
@@ -192,8 +213,7 @@ class Scanner:
                 if hits[state]:
                     base += [(label, i - k + 1) for label, k in hits[state] if length >= k]
             n += len(words)
-        if length >= 2:
-            self._chain(open_, spans, n - 1, length, state)
+        self._chain(open_, spans, n - 1, length, state, None)
         for t, span in open_.items():
             self._close(t, span, spans)
         return n, base, sorted(spans, key=lambda s: (s[1], s[2], s[0]))

@@ -72,6 +72,31 @@ def test_licence_template_with_a_gap():
     assert scanner.scan("permission is hereby given to any person")[2] == []
 
 
+@pytest.mark.parametrize("after", ["", 'the', '(the "License") other', '(the "License"); you may', "x the"])
+def test_licence_template_that_goes_on_like_a_longer_one(after):
+    scanner = licences.Scanner(0.6, 4, 8)
+    _, _, spans = scanner.scan(f"was Licensed under the Apache License, Version 2.0 {after} text")
+    assert spans == [("apache_text", 1, 9, 1.0)]
+
+
+def test_licence_template_inside_another_run(monkeypatch):
+    monkeypatch.setattr(licences, "TEMPLATES", {"long": ["a b c d e f g h i j k l m n"], "inner": ["d e f g h"], "fork": ["e f g h z y"]})
+    scanner = licences.Scanner(0.6, 4, 8)
+    assert scanner.scan("d e f g h i x")[2] == [("inner", 0, 5, 1.0), ("fork", 1, 5, 4 / 6)]
+    assert scanner.scan("c d e f g h z y")[2] == [("inner", 1, 6, 1.0), ("fork", 2, 8, 1.0)]
+    whole = scanner.scan("a b c d e f g h i j k l m n")[2]
+    assert whole == [("long", 0, 14, 1.0), ("inner", 3, 8, 1.0), ("fork", 4, 8, 4 / 6)]
+
+
+def test_each_template_in_full_is_found_before_any_word():
+    scanner = licences.Scanner(0.6, 4, 8)
+    known = sorted(scanner.auto.words)
+    for label, own in licences.TEMPLATES.items():
+        for size, text in ((len(licences.split_words(t)), t) for t in own):
+            for word in known:
+                assert any(s[0] == label and s[2] - s[1] >= size and s[3] == 1 for s in scanner.scan(f"{text} {word} x")[2])
+
+
 def test_leaks_exact_edited_and_clean(spark):
     passage = "the quick brown fox jumps over a lazy dog and then returns to the den where it sleeps until the morning comes again"
     edited = passage.replace("lazy", "lzy").replace("returns", "retuurns").upper()
