@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.sql import DataFrame, functions as F
 
 from panelwright import fixed_values as V
@@ -15,6 +17,10 @@ from panelwright.operators.profile import one_pass
 from panelwright.operators.windows import prefix_features
 
 
+#: Distinct values up to which a text column becomes one indicator column per value.
+WIDE = 1000
+
+
 def drop_policy(df: DataFrame, extra: Sequence[str] = (), static_removed: bool = True) -> DataFrame:
     """Without identifiers, outcome-time and late fields; the policy is a list of names."""
     names = {*V.LEAKAGE_COLUMNS, *extra}
@@ -109,12 +115,15 @@ def dense_ids(df: DataFrame, key: str, name: str = "no", start: int = 0) -> Data
 class TrainFit:
     """Fill values, indicators and vocabularies learnt from training rows only.
 
-    Holds one value per column: what a fitted model object holds, not data.
+    Holds one value per column: what a fitted model object holds, not data. A text column of
+    over ``WIDE`` values becomes one sparse vector column ``<column>_onehot``, in alphabetical
+    order, instead of a column per value; unseen values are all zeros in both.
     """
 
     fills: dict = field(default_factory=dict)
     indicators: list = field(default_factory=list)
     vocabularies: dict = field(default_factory=dict)
+    encoders: dict = field(default_factory=dict)
     entity: str | None = None
     step: str | None = None
 
@@ -141,6 +150,12 @@ class TrainFit:
             for c in texts:
                 common = None if row is None else row[c]
                 fit.fills[c] = "Unknown" if common is None or rates[c] > unknown_above else common
+                if train.select(c).distinct().limit(WIDE + 2).filter(F.col(c).isNotNull()).count() > WIDE:
+                    codes = StringIndexer(
+                        inputCol=c, outputCol=f"{c}__code", stringOrderType="alphabetAsc", handleInvalid="keep")
+                    flags = OneHotEncoder(inputCol=f"{c}__code", outputCol=f"{c}_onehot")
+                    fit.encoders[c] = Pipeline(stages=[codes, flags]).fit(train.select(c).fillna({c: fit.fills[c]}))
+                    continue
                 seen = vocabulary(train, c)
                 fit.vocabularies[c] = sorted({*seen, fit.fills[c]} if rates[c] > 0 else seen)
         return fit
@@ -155,4 +170,6 @@ class TrainFit:
         out = out.fillna(self.fills)
         for c, values in self.vocabularies.items():
             out = one_hot(out, c, values)
+        for c, encoder in self.encoders.items():
+            out = encoder.transform(out).drop(c, f"{c}__code")
         return out

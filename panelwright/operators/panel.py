@@ -141,11 +141,9 @@ def one_hot(df: DataFrame, column: str, vocabulary: Sequence[str]) -> DataFrame:
     return df.select(*[c for c in df.columns if c != column], *flags)
 
 
-def vocabulary(df: DataFrame, column: str, limit: int = 1000) -> list[str]:
-    """Sorted distinct values. A column with more than ``limit`` is not one to one-hot."""
-    rows = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{column} has over {limit} values; encode it as codes instead")
+def vocabulary(df: DataFrame, column: str) -> list[str]:
+    """Sorted distinct values."""
+    rows = df.select(column).filter(F.col(column).isNotNull()).distinct().collect()
     return sorted(r[0] for r in rows)
 
 

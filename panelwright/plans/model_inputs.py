@@ -61,7 +61,7 @@ def prepare_model_inputs(
         .join(split.select(entity, "split"), entity)
     )
     features = [c for c in table.columns if c not in (entity, step, "label", "split")]
-    prefixes = tuple(f"{c}_" for c in static_fit.vocabularies)
+    prefixes = tuple(f"{c}_" for c in [*static_fit.vocabularies, *static_fit.encoders])
     scaled = [c for c in features if not S.is_binary_name(c, prefixes)]
     table = cut_lineage(table)
     fit = S.scale_fit(table.filter("split = 'train'"), scaled)

@@ -92,6 +92,17 @@ def test_train_fit_uses_training_rows_only(spark):
     assert rows[1] == {"x": 100.0, "x__missing": 0.0, "t__missing": 1.0, "t_a": 1.0, "t_b": 0.0}
 
 
+def test_train_fit_encodes_a_wide_text_column(spark):
+    train = spark.createDataFrame([(f"v{i:05d}",) for i in range(1500)] + [(None,), ("v00007",)], "t string")
+    fit = X.TrainFit.learn(train, ["t"])
+    other = spark.createDataFrame([("v00003",), ("zz",), (None,)], "t string")
+    out = fit.apply(other)
+    assert out.columns == ["t__missing", "t_onehot"]
+    seen, unseen, gap = (r.t_onehot for r in out.collect())
+    assert (seen.size, list(seen.indices), list(seen.values)) == (1500, [3], [1.0])
+    assert (unseen.size, list(unseen.indices)) == (1500, []) and list(gap.indices) == [7]
+
+
 def test_train_fit_of_an_empty_column_is_zero(spark):
     train = spark.createDataFrame([(None,), (None,)], "x double")
     assert [r["x"] for r in X.TrainFit.learn(train, ["x"]).apply(train).collect()] == [0.0, 0.0]
