@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +11,12 @@ from pyspark.sql import functions as F
 from panelwright.llm import (
     decontaminate,
     licences,
+    merkle,
     metric_join,
     mixing,
     odd_sketches,
+    pca_clusters,
+    pivot_search,
     secrets,
     sharding,
     sql,
@@ -137,6 +141,33 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and witness of every document, and the root that a tampered fifth of them gives."""
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs = documents(spark, sf_dir, *fields[1:])
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, merkle.leaf_digest([*map(F.col, fields[:-1]), lower]))
+    found = merkle.manifest(docs, "doc_id", "source", fields, {"tampered": tampered})
+    folded = merkle.folded(F.coalesce("tampered", "leaf"), F.col("proof"), F.col("path"))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), folded.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five largest integer products with each fiftieth embedding."""
+    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return pivot_search.top_products(rows, "vec_id", "embedding", F.col("vec_id") % 50 == 0)
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every embedding around 16 centroids after three rounds."""
+    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    start = F.sha2(F.concat(F.lit("1:"), F.col("vec_id").cast("string")), 256)
+    return pca_clusters.clusters(rows, "embedding", start).select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licences": op1_licences,
     "op2_decontamination": op2_decontamination,
@@ -148,6 +179,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_embeddings": op9_embeddings,
     "op10_suffixes": op10_suffixes,
+    "op11_manifest": op11_manifest,
+    "op12_nearest": op12_nearest,
+    "op13_clusters": op13_clusters,
 }
 SQL: dict[str, str] = {
     "op4_near_duplicates": sql.near_duplicates(),
@@ -155,4 +189,7 @@ SQL: dict[str, str] = {
     "op6_secrets": sql.secret_spans(),
     "op9_embeddings": sql.EMBEDDINGS,
     "op10_suffixes": sql.repeats(),
+    "op11_manifest": sql.manifest(),
+    "op12_nearest": sql.NEAREST,
+    "op13_clusters": sql.clusters(),
 }

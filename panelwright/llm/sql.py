@@ -107,3 +107,94 @@ runs as (
     from sized left join removed using (r)
 )
 select doc_id, n as n_bytes, n_removed, n_spans, sha256(unhex(rest)) as kept_sha256 from kept"""
+
+
+def manifest(fan: int = 16, inside: int = 6, above: int = 4) -> str:
+    """``inside`` levels of leaves in a source and ``above`` levels of sources at most."""
+    part = "coalesce(octet_length({0}::varchar::blob)::varchar || ':' || {0}::varchar, '-')"
+    text = "coalesce(octet_length(encode({0}))::varchar || ':' || {0}, '-')"
+    heads = [part.format("doc_id"), text.format("source"), text.format("lang"), part.format("n_chars")]
+    lower = f"case when coalesce(crc % 5 = 0, false) then {ASCII_LOWER.format('text')} else text end"
+    leaf = " || ".join([*heads, text.format("text")])
+    other = " || ".join([*heads, text.format(f"({lower})")])
+
+    def levels(name: str, most: int) -> str:
+        out = []
+        for k in range(most):
+            run = f"over (partition by g, p // {fan} order by p rows between"
+            out.append(f"""{name}s{k} as (
+    select g, p, c, coalesce(string_agg(d, '') {run} unbounded preceding and 1 preceding), '') as a,
+        coalesce(string_agg(d, '') {run} 1 following and unbounded following), '') as b from (select *, count(*) over (partition by g) as c from {name}{k})
+), {name}{k + 1} as (
+    select g, p // {fan} as p, case when any_value(c) = 1 then any_value(d) else sha256(string_agg(d, '' order by p)) end as d
+    from (select *, count(*) over (partition by g) as c from {name}{k}) group by g, p // {fan})""")
+        return ",\n".join(out)
+
+    def climb(name: str, most: int, rows: str, group: str, place: str) -> tuple[str, str]:
+        out, last = [], rows
+        for k in range(most):
+            out.append(f"""{name}f{k} as (
+    select l.* replace (case when s.c > 1 then sha256(s.a || l.cur || s.b) else l.cur end as cur,
+        case when s.c > 1 then l.proof || s.a || s.b else l.proof end as proof)
+    from {last} l join {name}s{k} s on l.{group} = s.g and l.{place} // {fan**k} = s.p)""")
+            last = f"{name}f{k}"
+        return ",\n".join(out), last
+
+    low, last = climb("t", inside, "leaves", "g", "p")
+    high, end = climb("u", above, "tops", "one", "q")
+    return f"""
+with docs as (
+    select *, xor(4294967295, list_reduce([4294967295::bigint] || [ord(x)::bigint for x in string_split(doc_id::varchar, '')],
+        lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0]::bigint[], lambda y, z: xor(y >> 1, 3988292384 * (y & 1))))) as crc from documents
+), hashed as (
+    select doc_id, coalesce('=' || source, '') as g, sha256({leaf}) as leaf, sha256({other}) as other from docs
+), leaves as (
+    select *, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 as p, other as cur, '' as proof from hashed
+), t0 as (select g, p, leaf as d from leaves),
+{levels("t", inside)},
+subroots as (select g, d as subroot, '' as one, row_number() over (order by encode(g)) - 1 as q from t{inside}),
+u0 as (select '' as g, q as p, subroot as d from subroots),
+{levels("u", above)},
+{low},
+tops as (select {last}.*, s.subroot, s.one, s.q from {last} join subroots s using (g)),
+{high}
+select doc_id, leaf, subroot, (select d from u{above}) as root, sha256(proof) as proof_sha256, cur as folded_root,
+    cur = (select d from u{above}) as verified from {end}"""
+
+
+NEAREST = """
+with rows as (select row_number() over () as r, vec_id, embedding::double[] as e from embeddings),
+good as (
+    select r, vec_id, [floor(256 * x) for x in e] as v from rows
+    where e is not null and not list_contains([x is null for x in e], true) and not list_contains([isfinite(x) for x in e], false)
+), scored as (
+    select a.r, a.vec_id as query_id, b.vec_id, b.r as other, list_inner_product(a.v, b.v)::bigint as score
+    from good a join good b on a.vec_id % 50 = 0 and a.r <> b.r and len(a.v) = len(b.v)
+)
+select query_id, row_number() over (partition by r order by score desc, vec_id nulls last, other)::int as rank, vec_id, score
+from scored qualify rank <= 5"""
+
+
+def clusters(size: int = 64, k: int = 16, rounds: int = 3, factor: int = 64) -> str:
+    far = "list_inner_product(x.v, x.v) + list_inner_product(c.v, c.v) - 2 * list_inner_product(x.v, c.v)"
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"n{i} as (select r, min([{far}, c.k]) as best from kept x, c{i} c group by r)")
+        if i < rounds:
+            steps.append(f"""m{i} as (
+    select k, list(f order by i) as v from (
+        select best[2] as k, i, floor(sum(x.v[i]) / count(*)) as f from kept x join n{i} using (r), (select unnest(range(1, {size} + 1)) as i) group by all
+    ) group by k
+), c{i + 1} as (select c.k, coalesce(m.v, c.v) as v from c{i} c left join m{i} m using (k))""")
+    return f"""
+with rows as (select row_number() over () as r, vec_id, embedding::double[] as e from embeddings),
+kept as (
+    select r, vec_id, [floor({factor} * x) for x in e] as v from rows
+    where len(e) = {size} and not list_contains([x is null for x in e], true) and not list_contains([isfinite(x) for x in e], false)
+), c0 as (
+    select row_number() over (order by sha256('1:' || vec_id) nulls last, v) - 1 as k, v from kept qualify k < {k}
+), {", ".join(steps)},
+named as (select k, sha256(array_to_string([x::bigint for x in v], ',')) as centroid_sha256 from c{rounds})
+select vec_id, k::int as cluster, best[1]::bigint as distance, sum(best[1]) over (partition by k)::bigint as cluster_inertia,
+    sum(best[1]) over ()::bigint as inertia, centroid_sha256
+from kept join n{rounds} using (r) join named on k = best[2]"""
