@@ -8,14 +8,15 @@ bound is let go, all else is confirmed on the full sets. Of small sets, where on
 move the estimate far, only what the count rules out for certain is let go.
 
 No group is expanded into its pairs. A band's bucket first proposes its members' pairs with one
-of them. Buckets that still hold several components then propose, by sketch, the pairs that
-would best join these, and at last every cross pair that the sketches leave possible, so no link
-between components is missed.
+of them. Buckets that still hold several components go, with their members' full sets, to tasks
+that judge every cross pair by sketch and confirm what is left on the spot. Only links that
+join components leave such a task, fewer than it has members, and no link between components is
+missed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -30,10 +31,10 @@ BANDS, ROWS = 25, 5
 BINS, BITS = 1024, 2048
 #: Pairs with a set of fewer shingles are let go by a bound that holds for certain.
 SMALL = 512
-#: Members of a bucket that are compared in one task with as many others.
-BLOCK = 1024
-#: Text keys (about 40 bytes each) up to this many are broadcast, more are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Members of a bucket that are compared in one task with as many others, and shingles of these.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 19
+#: Text keys up to this many bytes are broadcast, more are shuffled; bytes of one key.
+BROADCAST_BYTES, KEY_BYTES = 16 << 20, 40
 
 _rng = np.random.default_rng(4)
 FACTORS = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -121,6 +122,65 @@ def _bits(sketches: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
 
 
+def _block_joins(part: pd.DataFrame, percent: int, margin: float) -> Iterator[tuple]:
+    """Links, as pairs of components, that join the components of one block's members.
+
+    A cross pair is judged by sketch in the first band that both sets share and then confirmed on
+    the full sets; pairs whose components have been joined already are not.
+    """
+    bits, n, used = _bits(part["sketch"]), part["n"].to_numpy(), part["used"].to_numpy()
+    root, names = pd.factorize(part["component"])
+    first = root.copy()
+    bands, band, block = np.stack(part["bands"].to_numpy()), part["band"].iat[0], part["i"].to_numpy()
+    far = part["p"].iat[0] != part["q"].iat[0]
+    codes = held = None
+    for x in range(len(part) - 1):
+        y = np.flatnonzero(root[x + 1:] != root[x]) + x + 1
+        if far:
+            y = y[block[y] != block[x]]
+        y = y[100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])]
+        if len(y) and band:  # a pair belongs to the first band that it shares
+            y = y[~(bands[y, :band] == bands[x, :band]).any(axis=1)]
+        if len(y):
+            different = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1)
+            y = y[may_link(different, n[x], n[y], used[x], used[y], percent, margin)[1]]
+        if not len(y):
+            continue
+        if codes is None:  # shingles numbered once per block, so that common ones are counted by a lookup
+            ends = np.cumsum(n)
+            flat = np.unique(np.concatenate([np.frombuffer(v, np.uint64) for v in part["shingles"]]), return_inverse=True)[1]
+            codes, held = np.split(flat, ends[:-1]), np.zeros(flat.max() + 1, np.int64)
+        held[codes[x]] = 1
+        common = np.add.reduceat(held[np.concatenate([codes[k] for k in y])], np.append(0, np.cumsum(n[y])[:-1]))
+        held[codes[x]] = 0
+        for k in y[100 * common >= percent * (n[x] + n[y] - common)]:
+            if root[k] != root[x]:
+                yield names[first[x]], names[first[k]]
+                root[root == root[k]] = root[x]
+
+
+def _joins(percent: int, margin: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Whole blocks of the sorted rows; the last of a batch waits for the next batch."""
+        rest = None
+        for frame in chain(filter(len, frames), [None]):
+            last = frame is None
+            frame = rest if last else frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+            if frame is None:
+                return
+            key = frame[["band", "bucket", "p", "q"]].to_numpy()
+            starts = np.append(0, np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist()
+            ends = [*starts[1:], len(frame)]
+            if not last:
+                rest = frame.iloc[starts[-1]:]
+                starts, ends = starts[:-1], ends[:-1]
+            pairs = [x for a, b in zip(starts, ends) for x in _block_joins(frame.iloc[a:b], percent, margin)]
+            if pairs:
+                yield pd.DataFrame(pairs, columns=["a", "b"])
+
+    return walk
+
+
 def near_duplicates(
     docs: DataFrame, id_: str, text: str, percent: int = 85, width: int = 3, margin: float = 0.07
 ) -> DataFrame:
@@ -152,15 +212,15 @@ def near_duplicates(
 
     rows = landed(keyed.withColumn("o", outline("text")).select("id", "t1", "t2", "o.*"), "outlines")
     nodes = rows.filter("node is not null").groupBy("node").agg(
-        F.min(F.struct("t1", "t2")).alias("t"), F.first("bands").alias("bands"))
-    buckets = nodes.select("node", "t", F.posexplode("bands").alias("band", "bucket"))
+        F.min(F.struct("t1", "t2")).alias("t"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size"))
+    buckets = nodes.select("node", "t", "size", F.posexplode("bands").alias("band", "bucket"))
     pivots = buckets.groupBy("band", "bucket").agg(F.count("*").alias("members"), F.min("node").alias("pivot"))
     buckets = landed(buckets.join(pivots.filter("members > 1"), ["band", "bucket"]), "buckets")
 
     needed = buckets.groupBy("node").agg(F.first("t").alias("t")).select("node", "t.*")
     needed = landed(needed, "needed")
     texts = keyed.select("t1", "t2", "text").join(
-        F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed, ["t1", "t2"])
+        F.broadcast(needed) if needed.count() * KEY_BYTES <= BROADCAST_BYTES else needed, ["t1", "t2"])
 
     @F.pandas_udf("n long, used int, sketch binary, shingles binary")
     def full(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -195,109 +255,33 @@ def near_duplicates(
     def side(frame: DataFrame, name: str) -> DataFrame:
         return frame.select(*[F.col(c).alias(name if c == "node" else f"{name}_{c}") for c in frame.columns])
 
-    def confirmed(pairs: DataFrame, judged: bool) -> DataFrame:
-        """Pairs ``a, b`` that link: judged by sketch, unless they are so already, then in full."""
-        if not judged:
-            pairs = pairs.join(side(light, "a"), "a").join(side(light, "b"), "b")
-            pairs = pairs.filter(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
-            pairs = pairs.filter(near("a_sketch", "b_sketch", "a_n", "b_n", "a_used", "b_used")).select("a", "b")
-        pairs = pairs.join(side(sets.select("node", "shingles"), "a"), "a").join(side(sets.select("node", "shingles"), "b"), "b")
-        return pairs.filter(linked("a_shingles", "b_shingles")).select("a", "b")
-
     tried = buckets.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    tried = landed(tried, "tried")
-    links = landed(confirmed(tried, judged=False), "links")
-    groups = components(links)
-
-    def mixed() -> DataFrame:
-        """Members of the buckets that hold several components, dealt to blocks of pairs."""
-        named = buckets.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        several = named.groupBy("band", "bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-        named = named.join(several.filter("x != y").drop("x", "y"), ["band", "bucket"])
-        named = named.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-        named = named.withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        # A member of block i meets block j in task (min, max): each pair of blocks has one task.
-        named = named.withColumn("j", F.explode(F.expr("sequence(0, blocks - 1)")))
-        named = named.select("band", "bucket", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "node", "component")
-        return named.join(light, "node").join(nodes.select("node", "bands"), "node")
-
-    def proposals(every: bool):
-        def propose(part: pd.DataFrame, first: np.ndarray) -> Iterator[tuple]:
-            """Pairs of the groups of rows that begin at ``first``."""
-            bits, n, used = _bits(part["sketch"]), part["n"].to_numpy(), part["used"].to_numpy()
-            code, bands = pd.factorize(part["component"])[0], np.stack(part["bands"].to_numpy())
-            band, block, name = part["band"].to_numpy(), part["i"].to_numpy(), part["node"].to_numpy()
-            far = (part["p"] != part["q"]).to_numpy()
-            for lo, hi in zip(first, [*first[1:], len(part)]):
-                xs, ys, scores = [], [], []
-                for x in range(lo, hi - 1):
-                    y = np.flatnonzero(code[x + 1:hi] != code[x]) + x + 1
-                    if far[lo]:
-                        y = y[block[y] != block[x]]
-                    y = y[100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])]
-                    if len(y):
-                        different = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1)
-                        s, may = may_link(different, n[x], n[y], used[x], used[y], percent, margin)
-                        y, s = y[may], s[may]
-                    if len(y) and every and band[lo]:  # a pair belongs to the first band that it shares
-                        own = ~(bands[y, :band[lo]] == bands[x, :band[lo]]).any(axis=1)
-                        y, s = y[own], s[own]
-                    if len(y):
-                        xs.append(np.full(len(y), x))
-                        ys.append(y)
-                        scores.append(s)
-                if not xs:
-                    continue
-                pairs = zip(np.concatenate(xs).tolist(), np.concatenate(ys).tolist())
-                if not every:  # the tree that joins the components at the highest estimates
-                    pairs, top = list(pairs), {}
-
-                    def root(c: int) -> int:
-                        while top.setdefault(c, c) != c:
-                            top[c] = c = top[top[c]]
-                        return c
-
-                    best = [pairs[k] for k in np.argsort(-np.concatenate(scores), kind="stable")]
-                    pairs = []
-                    for x, y in best:
-                        u, v = root(code[x]), root(code[y])
-                        if u != v:
-                            top[u] = v
-                            pairs.append((x, y))
-                for x, y in pairs:
-                    yield min(name[x], name[y]), max(name[x], name[y])
-
-        def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            """Whole groups of the sorted rows; the last of a batch waits for the next batch."""
-            rest = None
-            for frame in chain(filter(len, frames), [None]):
-                if frame is None:
-                    frame, rest = rest, None
-                    if frame is None:
-                        return
-                    ends = True
-                else:
-                    frame, ends = frame if rest is None else pd.concat([rest, frame], ignore_index=True), False
-                key = frame[["band", "bucket", "p", "q"]].to_numpy()
-                first = np.append(0, np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1)
-                if not ends:
-                    rest, frame, first = frame.iloc[first[-1]:], frame.iloc[:first[-1]].reset_index(drop=True), first[:-1]
-                if len(first):
-                    yield pd.DataFrame(propose(frame, first), columns=["a", "b"])
-
-        return walk
-
-    for every in (False, True):
-        dealt = mixed().repartition("band", "bucket", "p", "q").sortWithinPartitions("band", "bucket", "p", "q")
-        pairs = dealt.mapInPandas(proposals(every), "a binary, b binary").distinct()
-        pairs = landed(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        more = landed(confirmed(pairs, judged=True), "links")
-        tried = tried.unionByName(pairs)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            groups = components(links)
+    pairs = tried.join(side(light, "a"), "a").join(side(light, "b"), "b")
+    pairs = pairs.filter(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
+    pairs = landed(pairs.filter(near("a_sketch", "b_sketch", "a_n", "b_n", "a_used", "b_used")).select("a", "b"), "pairs")
+    full_sets = sets.select("node", "shingles")
+    pairs = pairs.join(side(full_sets, "a"), "a").join(side(full_sets, "b"), "b")
+    groups = components(landed(pairs.filter(linked("a_shingles", "b_shingles")).select("a", "b"), "links"))
+
+    # Buckets that hold several components; of those with the same members, that of the first band.
+    named = buckets.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = named.groupBy("band", "bucket").agg(
+        F.min("component").alias("x"), F.max("component").alias("y"), F.sum("size").alias("shingles"), F.count("*").alias("m"),
+        F.bit_xor(F.xxhash64("node")).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("i")).filter("x != y")
+    several = several.groupBy("m", "h", "i", "shingles").agg(F.min(F.struct("band", "bucket")).alias("own")).select(
+        "own.*", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    dealt = named.select("node", "component", "band", "bucket").join(several, ["band", "bucket"])
+    dealt = dealt.withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # A member of block i meets block j in task (min, max): each pair of blocks has one task.
+    dealt = dealt.withColumn("j", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.select("band", "bucket", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "node", "component")
+    dealt = dealt.join(sets, "node").join(nodes.select("node", "bands"), "node").drop("node")
+    dealt = dealt.repartition("band", "bucket", "p", "q").sortWithinPartitions("band", "bucket", "p", "q")
+    joins = dealt.mapInPandas(_joins(percent, margin), "a binary, b binary").distinct()
+    joined = components(landed(joins, "joins")).select(F.col("node").alias("component"), F.col("component").alias("into"))
 
     named = rows.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = named.join(joined, "component", "left").withColumn("component", F.coalesce("into", "component"))
     named = landed(named.select("id", "t1", "t2", "n_shingles", "component"), "named")
     # Landed, so that the join below has an exchange on either side and Spark can split a large group.
     lowest = landed(named.filter("component is not null").groupBy("component").agg(F.min("id").alias("lowest")), "lowest")

@@ -60,9 +60,10 @@ def sets_of(text):
     return set(zip(words, words[1:], words[2:])) if len(words) > 2 else ({tuple(words)} if words else set())
 
 
-@pytest.mark.parametrize("block", [1024, 3])
-def test_near_duplicates_against_all_pairs(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "shingles"), [(1024, 1 << 19), (3, 1 << 19), (1024, 300)])
+def test_near_duplicates_against_all_pairs(spark, monkeypatch, block, shingles):
     monkeypatch.setattr(odd_sketches, "BLOCK", block)
+    monkeypatch.setattr(odd_sketches, "BLOCK_SHINGLES", shingles)
     rows = near_rows()
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, kept int")
     got = odd_sketches.near_duplicates(docs, "doc_id", "text").collect()
@@ -94,6 +95,37 @@ def test_cross_pairs_are_tried_though_the_forest_holds_none(spark, monkeypatch):
     assert got == {1: 1, 2: 1, 3: 3}
 
 
+def short_near_copies(n):
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(2000)}" for _ in range(60)]
+    rows = []
+    for i in range(n):
+        own = list(words)
+        for _ in range(rng.choice([1, 2, 2])):
+            own[rng.randrange(60)] = f"x{rng.randrange(99999)}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+def test_rows_between_steps_grow_with_a_group_not_its_square(spark, monkeypatch):
+    put, land = {}, odd_sketches.landed
+
+    def counted(df, name):
+        out = land(df, name)
+        put.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(odd_sketches, "landed", counted)
+    for n in (300, 1200):
+        rows = short_near_copies(n)
+        got = {r.id: r.component_id for r in odd_sketches.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+        sets = [sets_of(t) for _, t in rows]
+        links = [(i, j) for i in range(n) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+        assert [got[i] for i in range(n)] == reach(list(range(n)), links)
+    assert put["joins"][1] < 1200
+    assert all(b <= 6 * a + 100 for a, b in put.values())
+
+
 def test_odd_sketches_estimate_high_similarity():
     rng = np.random.default_rng(1)
     errors = []
