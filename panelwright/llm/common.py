@@ -35,6 +35,14 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores added what no column of ``df`` is called."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(text: str) -> str:
     """``text`` with A-Z, and nothing else, in lower case."""
     return text.lower() if text.isascii() else text.encode().lower().decode()

@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 
 from panelwright.llm.common import landed
 
-#: Block tables up to this many rows (about 32 bytes each) are broadcast, larger ones shuffled.
-BROADCAST_ROWS = 500_000
-#: Columns that the operator adds.
-HELPERS = ("_size", "_source_size", "_target", "_shards", "_u", "_s", "_block")
+#: Block tables up to this many bytes are broadcast, larger ones shuffled; bytes of a block's row.
+BROADCAST_BYTES, ROW_BYTES = 16 << 20, 64
+#: Leading bits of a row's hash by which the cut block of a source is cut again.
+CUT_BITS = 12
+#: Columns that a draw adds.
+RESULTS = ("_size", "_source_size", "_target", "_shards", "_u")
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], total: float, limit: float) -> list[float]:
@@ -91,15 +93,27 @@ def draw(
     taken more than ``limit`` times.
 
     The driver holds one line per source. A source's rows spread over ``blocks`` blocks, so a
-    source with a third of all rows is no hot key, and only the one block that a quota cuts is
-    ordered row by row. Null sizes count 0; an empty table gives an empty one; existing columns
-    pass through, except those named like the helper columns here.
+    source with a third of all rows is no hot key; of the one block that a quota cuts, only the
+    part where it ends, 1/4096 by the next bits, is ordered row by row. Null sizes count 0; an
+    empty table gives an empty one; columns named as the results are replaced, all others pass
+    through.
     """
+    drawn = _draw(docs, source, size, identity, weights, total, limit, shards, blocks, seed)
+    kept = [F.col(f"row.`{c}`") for c in docs.columns if c not in RESULTS]
+    return drawn.select(*kept, *RESULTS)
+
+
+def _draw(
+    docs: DataFrame, source: str, size: Column, identity: Sequence[Column], weights: Sequence[float] = (5, 2, 1),
+    total: float = 1.5, limit: int = 2, shards: int = 64, blocks: int = 4096, seed: int = 20_240,
+) -> DataFrame:
+    """:func:`draw` with the caller's columns in a struct ``row``, where no name can clash."""
     spark = docs.sparkSession
-    base = docs.drop(*HELPERS).withColumn("_u", F.xxhash64(F.lit(seed), *identity))
+    base = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{source}`").alias("_of"),
+        F.xxhash64(F.lit(seed), *identity).alias("_u"), F.coalesce(size.cast("long"), F.lit(0).cast("long")).alias("_size"))
     base = base.withColumn("_block", F.pmod("_u", F.lit(blocks)))
-    size = F.coalesce(size.cast("long"), F.lit(0).cast("long"))
-    stats = landed(base.groupBy(F.col(source).alias("_name"), "_block").agg(F.sum(size).alias("_words")), "blocks")
+    stats = landed(base.groupBy(F.col("_of").alias("_name"), "_block").agg(F.sum("_size").alias("_words")), "blocks")
     found = stats.groupBy("_name").agg(F.sum("_words").alias("n")).collect()
     found.sort(key=lambda r: (r._name is None, r._name or ""))
     sums = [r.n for r in found]
@@ -138,35 +152,51 @@ def draw(
         .select("_s", "shard", F.explode(F.expr("sequence(start, stop - 1)")).alias("seq"))
     )
     names = plan.select("_s", "_name", "_source_size", "_target")
-    keyed = base.join(names, F.col(source).eqNullSafe(F.col("_name")), "left").drop("_name")
-    # A source has one cut block at most; its units in order of their hash show where to stop.
-    cuts = F.broadcast(drawn.filter("cut is not null").select("_s", "_block", "cut"))
-    order = W.partitionBy("_s", "_block").orderBy("_u")
-    stop = (
-        keyed.join(cuts, ["_s", "_block"]).groupBy("_s", "_block", "_u", "cut").agg(F.sum(size).alias("n"))
-        .withColumn("mid", F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("n") / 2)
-        .groupBy("_s", "_block").agg(F.max(F.when(F.col("mid") < F.col("cut"), F.col("_u"))).alias("stop"))
-    )
+    keyed = base.join(names, F.col("_of").eqNullSafe(F.col("_name")), "left").drop("_name", "_of")
+    stop = _stops(keyed, drawn.filter("cut is not null").select("_s", "_block", "cut"))
     draws = landed(
         drawn.join(owned, ["_s", "seq"]).join(stop, ["_s", "_block"], "left").groupBy("_s", "_block")
         .agg(F.array_sort(F.collect_list(F.struct("e", "shard", F.col("cut").isNull().alias("whole"), "stop"))).alias("_draws")),
         "owners",
     )
-    if len(found) * blocks <= BROADCAST_ROWS:
+    if len(found) * blocks * ROW_BYTES <= BROADCAST_BYTES:
         draws = F.broadcast(draws)
     taken = F.expr("transform(filter(coalesce(_draws, array()), d -> d.whole or _u <= d.stop), d -> d.shard)")
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in HELPERS]
     return keyed.join(draws, ["_s", "_block"], "left").select(
-        *kept, size.alias("_size"), "_source_size", "_target", taken.alias("_shards"), "_u")
+        "row", "_size", "_source_size", "_target", taken.alias("_shards"), "_u")
+
 
+def _stops(keyed: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Per source's cut block the last hash whose unit lies in the quota by more than half.
 
-def mix(docs: DataFrame, source: str, size: Column, identity: Sequence[Column], *, seed: int = 20_240, **how) -> DataFrame:
-    """One row per copy taken, dealt to its shard and shuffled there; ``docs`` columns and ``_shard``.
+    Units lie in order of their hash. Sums by its leading bits show where the quota ends, and
+    only the units there are ordered one by one.
+    """
+    units = keyed.join(F.broadcast(cuts), ["_s", "_block"]).groupBy("_s", "_block", "cut", "_u").agg(F.sum("_size").alias("n"))
+    units = landed(units.withColumn("lead", F.shiftright("_u", 64 - CUT_BITS)), "units")
+    ahead = W.partitionBy("_s", "_block").orderBy("lead")
+    parts = units.groupBy("_s", "_block", "cut", "lead").agg(F.sum("n").alias("m"), F.max("_u").alias("top"))
+    parts = parts.withColumn("before", F.sum("m").over(ahead.rowsBetween(W.unboundedPreceding, 0)) - F.col("m"))
+    parts = parts.withColumn("earlier", F.lag("top").over(ahead)).filter("before < cut")
+    ends = parts.groupBy("_s", "_block").agg(F.max_by(F.struct("lead", "before", "earlier"), "lead").alias("x")).select("_s", "_block", "x.*")
+    order = W.partitionBy("_s", "_block").orderBy("_u").rowsBetween(W.unboundedPreceding, 0)
+    inside = units.join(F.broadcast(ends), ["_s", "_block", "lead"]).withColumn(
+        "mid", F.col("before") + F.sum("n").over(order) - F.col("n") / 2)
+    return inside.groupBy("_s", "_block").agg(
+        F.coalesce(F.max(F.when(F.col("mid") < F.col("cut"), F.col("_u"))), F.max("earlier")).alias("stop"))
+
+
+def mix(
+    docs: DataFrame, source: str, size: Column, identity: Sequence[Column], *, seed: int = 20_240, shard: str = "_shard", **how
+) -> DataFrame:
+    """One row per copy taken, dealt to its shard and shuffled there; ``docs`` columns and ``shard``.
 
-    Arguments and defined results as for :func:`draw`.
+    Arguments and defined results as for :func:`draw`; a column named ``shard`` is replaced, all
+    others pass through.
     """
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != "_shard"]
-    copies = draw(docs, source, size, identity, seed=seed, **how).select(*kept, "_u", F.posexplode("_shards").alias("_copy", "_shard"))
+    kept = [F.col(f"row.`{c}`") for c in docs.columns if c != shard]
+    copies = _draw(docs, source, size, identity, seed=seed, **how).select("row", "_u", F.posexplode("_shards").alias("_copy", "_shard"))
     place = F.xxhash64(F.lit(seed + 1), "_u", "_copy")
     n = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    return copies.repartition(int(n), "_shard", F.pmod(place, F.lit(16))).sortWithinPartitions("_shard", place).drop("_u", "_copy")
+    dealt = copies.repartition(int(n), "_shard", F.pmod(place, F.lit(16))).sortWithinPartitions("_shard", place)
+    return dealt.select(*kept, F.col("_shard").alias(shard))

@@ -184,13 +184,14 @@ def _joins(percent: int, margin: float) -> Callable[[Iterator[pd.DataFrame]], It
 def near_duplicates(
     docs: DataFrame, id_: str, text: str, percent: int = 85, width: int = 3, margin: float = 0.07
 ) -> DataFrame:
-    """One row per row of ``docs``: ``id, t1, t2, n_shingles, component_id, kept``.
+    """One row per row of ``docs``: ``id, t1, t2, n_shingles, component_id, kept, first``.
 
     ``t1, t2`` are xxhash64 digests of the text (see :func:`text_keys`), which with the id find
     the row again. Sets of distinct ``width``-word shingles (A-Z lowered, words between ASCII
     blanks; all words as one shingle if there are fewer) link if 100 times the intersection is
     at least ``percent`` times the union. ``component_id`` is the smallest id reachable, null
-    ids aside; ``kept`` marks the row that bears it. Null, empty and blank texts have no
+    ids aside; ``kept`` marks the rows that bear it, ``first`` the one row of the component (and
+    its repetitions) that comes first by id, null ids last, then ``t1, t2``. Null, empty and blank texts have no
     shingles and link with nothing. Repeated rows, equal sets and texts that a third of all
     rows share are one node; very long texts are taken whole; an empty table stays empty.
 
@@ -284,10 +285,13 @@ def near_duplicates(
     named = named.join(joined, "component", "left").withColumn("component", F.coalesce("into", "component"))
     named = landed(named.select("id", "t1", "t2", "n_shingles", "component"), "named")
     # Landed, so that the join below has an exchange on either side and Spark can split a large group.
-    lowest = landed(named.filter("component is not null").groupBy("component").agg(F.min("id").alias("lowest")), "lowest")
+    line = F.struct(F.col("id").isNull().alias("none"), "id", "t1", "t2")
+    lowest = landed(named.filter("component is not null").groupBy("component").agg(F.min(line).alias("lowest")), "lowest")
     out = named.join(lowest, "component", "left")
-    component = F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("lowest"))
-    return out.select("id", "t1", "t2", "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    component = F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("lowest.id"))
+    first = F.col("component").isNull() | line.eqNullSafe(F.col("lowest"))
+    return out.select("id", "t1", "t2", "n_shingles", component.alias("component_id"),
+                      F.col("id").eqNullSafe(component).alias("kept"), first.alias("first"))
 
 
 def text_keys(docs: DataFrame, text: str) -> DataFrame:

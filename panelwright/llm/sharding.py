@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.llm.common import free_name
+
 
 def _number(name: str, salt: str) -> int:
     return int(hashlib.md5(f"{salt}:{name}".encode()).hexdigest()[:15], 16)
@@ -64,10 +66,9 @@ def place(
     ``shard`` are replaced; all others, null or not, pass through; empty tables stay empty.
     """
     owner = fill_table(shards, slots, turns)
+    at, name = free_name(docs, "_slot"), free_name(docs, "_shard")
     table = docs.sparkSession.createDataFrame(
-        pd.DataFrame({"_slot": np.arange(slots, dtype=np.int32), "_shard": np.array(shards, object)[owner]}),
-        "_slot int, _shard string",
-    )
-    placed = docs.withColumn("_slot", slot_of(F.col(key), slots)).join(F.broadcast(table), "_slot")
+        pd.DataFrame({at: np.arange(slots, dtype=np.int32), name: np.array(shards, object)[owner]}), f"`{at}` int, `{name}` string")
+    placed = docs.withColumn(at, slot_of(F.col(f"`{key}`"), slots)).join(F.broadcast(table), at)
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in (slot, shard)]
-    return placed.select(*kept, F.col("_slot").alias(slot), F.col("_shard").alias(shard))
+    return placed.select(*kept, F.col(at).alias(slot), F.col(name).alias(shard))
