@@ -21,8 +21,8 @@ from panelwright.llm.common import components, landed
 
 #: Vectors that a cell should hold, and pivots in all (which bounds what is broadcast).
 CELL, MOST_PIVOTS = 1024, 32_768
-#: Rows of a cell that one task compares with as many others.
-BLOCK = 2048
+#: Rows of a cell that one task compares with as many others, and rows measured against all pivots at once.
+BLOCK, STEP = 2048, 256
 SLACK = 1e-9
 
 
@@ -75,6 +75,7 @@ def range_join(rows: DataFrame, id_: str, vector: str, label: str, cosine: float
     sizes = classes.groupBy("g", "len").agg(F.count("*").alias("m")).filter(F.col("m") > CELL)
     total = sizes.agg(F.sum("m")).first()[0] or 0
     cell = max(CELL, -(-total // MOST_PIVOTS))
+    sizes = sizes.filter(F.col("m") > cell)  # so that there are no more than twice MOST_PIVOTS in all
     order = W.partitionBy("g", "len").orderBy("h")
     # Candidates by hash, about four times as many as needed, so that only they are ranked.
     drawn = (
@@ -93,14 +94,19 @@ def range_join(rows: DataFrame, id_: str, vector: str, label: str, cosine: float
         p = table.value[group]
         return np.sqrt(np.maximum(0, 2 - 2 * (unit(vectors) @ p.T)))
 
-    def homes(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def steps(parts: Iterable[pd.DataFrame]) -> Iterator[tuple]:
         for part in parts:
             for group, own in part.groupby(["g", "len"], sort=False):
-                home, ball = np.zeros(len(own), np.int64), np.zeros(len(own))
-                if group in table.value:
-                    d = distances(group, list(own["v"]))
-                    home, ball = d.argmin(axis=1), d.min(axis=1)
-                yield pd.DataFrame({"g": own["g"], "len": own["len"], "home": home, "ball": ball, "m": 1})
+                for at in range(0, len(own), STEP):
+                    yield group, own.iloc[at:at + STEP].reset_index(drop=True)
+
+    def homes(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group, own in steps(parts):
+            home, ball = np.zeros(len(own), np.int64), np.zeros(len(own))
+            if group in table.value:
+                d = distances(group, list(own["v"]))
+                home, ball = d.argmin(axis=1), d.min(axis=1)
+            yield pd.DataFrame({"g": own["g"], "len": own["len"], "home": home, "ball": ball, "m": 1})
 
     kind = classes.schema["g"].dataType.simpleString()
     element = classes.schema["v"].dataType.simpleString()
@@ -115,21 +121,20 @@ def range_join(rows: DataFrame, id_: str, vector: str, label: str, cosine: float
     known = spark.sparkContext.broadcast(known)
 
     def place(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for group, own in part.groupby(["g", "len"], sort=False):
-                own = own.reset_index(drop=True)
-                if group not in table.value:
-                    yield own.assign(cell=0, home=True)[["g", "len", "v", "c", "n", "cell", "home"]]
-                    continue
-                p, d = table.value[group], distances(group, list(own["v"]))
-                home = d.argmin(axis=1)
-                ball = np.array([known.value.get((*group, i), (-1.0, 0))[0] for i in range(len(p))])
-                between = np.sqrt(np.maximum(0, 2 - 2 * (p @ p.T)))[home]
-                plane = (d * d - d[np.arange(len(d)), home][:, None] ** 2) <= 2 * radius * between + SLACK
-                visit = (ball >= 0)[None, :] & (d <= ball[None, :] + radius) & plane
-                visit[np.arange(len(d)), home] = True
-                at, to = np.nonzero(visit)
-                yield own.iloc[at].assign(cell=to, home=to == home[at])[["g", "len", "v", "c", "n", "cell", "home"]]
+        for group, own in steps(parts):
+            if group not in table.value:
+                yield own.assign(cell=0, home=True)[["g", "len", "v", "c", "n", "cell", "home"]]
+                continue
+            p, d = table.value[group], distances(group, list(own["v"]))
+            home = d.argmin(axis=1)
+            ball = np.array([known.value.get((*group, i), (-1.0, 0))[0] for i in range(len(p))])
+            used, at = np.unique(home, return_inverse=True)
+            between = np.sqrt(np.maximum(0, 2 - 2 * (p[used] @ p.T)))[at]
+            plane = (d * d - d[np.arange(len(d)), home][:, None] ** 2) <= 2 * radius * between + SLACK
+            visit = (ball >= 0)[None, :] & (d <= ball[None, :] + radius) & plane
+            visit[np.arange(len(d)), home] = True
+            at, to = np.nonzero(visit)
+            yield own.iloc[at].assign(cell=to, home=to == home[at])[["g", "len", "v", "c", "n", "cell", "home"]]
 
     members = classes.select("g", "len", "v", "c", "n").mapInPandas(
         place, f"g {kind}, len int, v {element}, c long, n long, cell int, home boolean")
