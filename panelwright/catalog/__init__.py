@@ -11,5 +11,6 @@ from panelwright.catalog import (  # noqa: F401
     profiles,
     statistics,
     streams,
+    validation,
 )
 from panelwright.catalog.registry import REGISTRY  # noqa: F401

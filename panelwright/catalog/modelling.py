@@ -170,7 +170,7 @@ def panel_model_per_step(spark, folder):
     split = stratified_split(label, "entity_id", "label").select("entity_id", "split")
     rows = features.join(label, "entity_id").join(split, "entity_id")
     names = [c for c in features.columns if c.startswith(("mean_", "std_", "trend_", "latest_", "months_"))]
-    model = M.fit_classifier(rows.filter("split = 'train'"), names, "label", "forest", numTrees=200, maxDepth=5)
+    model = M.fit_classifier(rows.filter("split = 'train'"), names, "label", "forest", numTrees=200)
     return per_step_evaluation(M.score(model, rows.filter("split = 'test'")), "label", "probability", 0.5)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier,
+    GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -18,18 +18,20 @@ from panelwright.operators.profile import class_balance
 
 
 def classifier(kind: str, label: str, weighted: bool = True, seed: int = 42, **options):
-    """One of ``gbt``, ``forest``, ``logistic``, ``svm`` over the ``_x`` vector."""
+    """One of ``gbt``, ``forest``, ``logistic``, ``svm``, ``bayes`` over the ``_x`` vector."""
     base = {"featuresCol": "_x", "labelCol": label}
     if weighted:
         base["weightCol"] = "_weight"
     if kind == "gbt":
-        return GBTClassifier(**{**base, "maxIter": 20, "maxDepth": 4, "stepSize": 0.1, "seed": seed, **options})
+        return GBTClassifier(**{**base, "maxIter": 20, "maxDepth": 6, "stepSize": 0.1, "seed": seed, **options})
     if kind == "forest":
-        return RandomForestClassifier(**{**base, "numTrees": 50, "maxDepth": 8, "seed": seed, **options})
+        return RandomForestClassifier(**{**base, "numTrees": 50, "maxDepth": 12, "seed": seed, **options})
     if kind == "logistic":
         return LogisticRegression(**{**base, "regParam": 0.01, "maxIter": 50, **options})
     if kind == "svm":
         return LinearSVC(**{**base, "regParam": 0.01, "maxIter": 30, **options})
+    if kind == "bayes":
+        return NaiveBayes(**{**base, "modelType": "gaussian", **options})
     raise ValueError(f"unknown classifier {kind!r}")
 
 
