@@ -230,6 +230,29 @@ def smote_balance(spark, folder):
     return grown.groupBy("label", "synthetic").agg(F.count(F.lit(1)).alias("rows"))
 
 
+_DRAW = "(('0x' || substr(md5(concat_ws(':', id, draw, {seed})), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
+
+@query("R4", "J12", sql=f"""
+WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings WHERE label = 0),
+n AS (SELECT count(*) FILTER (WHERE label = 0) AS have, count(*) FILTER (WHERE label <> 0) - count(*) FILTER (WHERE label = 0) AS need,
+             least(5, count(*) FILTER (WHERE label = 0) - 1) AS k, least(0, min(vec_id)) AS lowest FROM embeddings),
+r AS (SELECT *, row_number() OVER (ORDER BY ('0x' || substr(md5(concat_ws(':', id, 42)), 1, 15))::BIGINT, id) AS r FROM v),
+d AS (SELECT r.*, n.*, unnest(range(1, need // have + CASE WHEN r <= need % have THEN 2 ELSE 1 END)) AS draw FROM r, n),
+near AS (
+  SELECT a.id, b.e AS other, row_number() OVER (PARTITION BY a.id ORDER BY
+    list_sum(list_transform(list_zip(a.e, b.e), lambda p: pow(p[1] - p[2], 2))), b.id) AS place FROM v a JOIN v b ON a.id <> b.id),
+p AS (SELECT *, floor({_DRAW.format(seed=42)} * k)::BIGINT + 1 AS place, {_DRAW.format(seed=49)} AS u FROM d)
+SELECT lowest - ((draw - 1) * have + r) AS sample_id,
+  array_to_string([round(1e6 * (z[1] + u * (z[2] - z[1])))::BIGINT for z in list_zip(e, other)], ',') AS vec
+FROM p JOIN near USING (id, place)""")
+def smote_vectors(spark, folder):
+    """Every interpolated vector, in millionths, by draws that SQL repeats."""
+    grown = R.interpolate_minority(_vectors(spark, folder), "embedding", "label", "vec_id", minority=1)
+    shown = F.array_join(F.transform("vec", lambda x: F.round(x * 1e6).cast("long").cast("string")), ",")
+    return grown.filter("synthetic").select("sample_id", shown.alias("vec"))
+
+
 @query("R5", "J12", sql="""
 WITH v AS (SELECT vec_id, embedding, CASE WHEN label = 0 THEN 1 ELSE 0 END AS label FROM embeddings),
 d AS (

@@ -1,16 +1,18 @@
 """Exact k-nearest-neighbour join over vectors.
 
-Points are placed in the cell of their nearest pivot. Distances to pivots bound how far a
-cell's k-th neighbour can be, and by the triangle inequality only points inside that bound
-travel to the cell (the pivot-based kNN join of Lu et al., 2012). Cells are cut into
-blocks on both sides, so a crowded cell is many tasks; every block keeps its k best only.
-Identical vectors are joined once and carry their multiplicity, so a crowd of copies costs
-as much as one point.
+Points lie in the cells of a two-level tree of pivots that grows with the table; a crowded cell
+is cut into rings by distance from its pivot, so every block of points is a spherical shell. A
+query first looks into its own block. The k-th distance found there is its own bound, and by
+the triangle inequality it then visits only the shells that this bound reaches: groups of cells
+are ruled out by their ball, cells and rings by theirs. Blocks keep a query's k best only.
+Identical vectors are joined once and carry their multiplicity, so a crowd of copies costs as
+much as one point.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -18,7 +20,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from panelwright.session import cut_lineage
 
-BLOCK_ROWS = 2048
+#: Points that a cell should hold, points of one block, queries that meet a block in one task.
+CELL_ROWS, BLOCK_ROWS, QUERY_ROWS = 512, 2048, 4096
+#: Bytes of all pivots, which every task gets, and rings of one cell.
+PIVOT_BYTES, MOST_RINGS = 32 << 20, 64
+#: Share of the distances involved that rounding may cost.
+SLACK = 1e-9
+PLACED = "vid long, vec array<double>, cell int, reach double"
 
 
 def distinct_vectors(df: DataFrame, vector: str, identity: str) -> DataFrame:
@@ -28,11 +36,6 @@ def distinct_vectors(df: DataFrame, vector: str, identity: str) -> DataFrame:
     )
 
 
-def _pivots(points: DataFrame, n: int) -> np.ndarray:
-    rows = points.select("vec").orderBy(F.xxhash64("vid"), "vid").limit(n).collect()
-    return np.array([r["vec"] for r in rows], dtype="float64")
-
-
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     out = np.empty((len(a), len(b)))
     for i, row in enumerate(a):
@@ -40,6 +43,104 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype("float64")
+
+
+@dataclass
+class Tree:
+    """Pivots, grouped by the nearest of a few of them, and what is known of each cell."""
+
+    pivots: np.ndarray
+    tops: np.ndarray
+    members: list[np.ndarray]
+    rings: list[np.ndarray] | None = None
+    radius: np.ndarray | None = None
+    salts: np.ndarray | None = None
+    reach: np.ndarray | None = None
+
+    @classmethod
+    def over(cls, pivots: np.ndarray) -> Tree:
+        tops = pivots[: max(1, round(len(pivots) ** 0.5))]
+        own = _distances(pivots, tops).argmin(axis=1)
+        return cls(pivots, tops, [np.flatnonzero(own == t) for t in range(len(tops))])
+
+    def locate(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cell of each row and its distance from the cell's pivot."""
+        cell, reach = np.zeros(len(x), np.int32), np.zeros(len(x))
+        top = _distances(x, self.tops).argmin(axis=1)
+        for t in np.unique(top):
+            rows = np.flatnonzero(top == t)
+            d = _distances(x[rows], self.pivots[self.members[t]])
+            cell[rows], reach[rows] = self.members[t][d.argmin(axis=1)], d.min(axis=1)
+        return cell, reach
+
+    def know(self, sizes: np.ndarray, radius: np.ndarray, bounds: dict[int, list[float]], block: int) -> None:
+        """Takes in sizes and radii of the cells and quantiles of the distances in crowded ones."""
+        self.radius, self.salts, self.rings = radius, np.ones(len(sizes), np.int64), []
+        for c, n in enumerate(sizes):
+            wanted = -(-int(n) // block)
+            rings = 1
+            while rings < min(wanted, MOST_RINGS):
+                rings *= 2
+            cuts = np.array(bounds[c])[MOST_RINGS // rings - 1 :: MOST_RINGS // rings] if rings > 1 else np.empty(0)
+            self.rings.append(np.unique(cuts[: rings - 1]))
+            # Tied distances fall into one ring, which may then hold the whole cell.
+            heavy = rings > 1 and len(self.rings[-1]) < rings - 1
+            self.salts[c] = wanted if heavy else max(1, -(-wanted // rings))
+        apart = [np.sqrt(((self.pivots[m] - self.tops[t]) ** 2).sum(axis=1)) for t, m in enumerate(self.members)]
+        self.reach = np.array([(a + radius[m]).max() if len(m) else 0.0 for a, m in zip(apart, self.members)])
+
+    def block_of(self, vid: np.ndarray, cell: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ring = np.array([np.searchsorted(self.rings[c], r) for c, r in zip(cell, reach)], np.int32)
+        salt = (vid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % self.salts[cell].astype(np.uint64)
+        return ring, salt.astype(np.int32)
+
+    def visits(self, x: np.ndarray, limit: float) -> Iterator[tuple[int, int]]:
+        """(cell, ring) of the shells that hold points within ``limit`` of ``x``."""
+        wide = limit * (1 + SLACK)
+        far = np.sqrt(((self.tops - x) ** 2).sum(axis=1))
+        for t in np.flatnonzero(far - self.reach <= wide + SLACK * (far + self.reach)):
+            cells = self.members[t]
+            d = np.sqrt(((self.pivots[cells] - x) ** 2).sum(axis=1))
+            near = d - self.radius[cells] <= wide + SLACK * (d + self.radius[cells])
+            for c, away in zip(cells[near], d[near]):
+                edges = self.rings[c]
+                low, high = np.append(0.0, edges), np.append(edges, self.radius[c])
+                slack = wide + SLACK * (away + high)
+                for r in np.flatnonzero((away - high <= slack) & (low - away <= slack)):
+                    yield int(c), int(r)
+
+
+def pivot_tree(points: DataFrame, n: int, block: int) -> tuple[Tree, DataFrame]:
+    """A tree over ``n`` pivots of least hash, and the points placed in it (written once)."""
+    rows = points.select("vec").orderBy(F.xxhash64("vid"), "vid").limit(n).collect()
+    tree = Tree.over(np.array([r["vec"] for r in rows], dtype="float64"))
+    placed = cut_lineage(points.select("vid", "vec").mapInPandas(_placer(tree), PLACED))
+    cells = len(tree.pivots)
+    sizes, radius = np.zeros(cells, dtype="int64"), np.zeros(cells)
+    for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("r")).collect():
+        sizes[r["cell"]], radius[r["cell"]] = r["n"], r["r"]
+    bounds = {}
+    if (sizes > block).any():
+        crowded = placed.join(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block), "cell")
+        shares = F.array(*[F.lit(i / MOST_RINGS) for i in range(1, MOST_RINGS)])
+        cut = crowded.groupBy("cell").agg(F.percentile_approx("reach", shares, 1000).alias("b"))
+        bounds = {r["cell"]: r["b"] for r in cut.collect()}
+    tree.know(sizes, radius, bounds, block)
+    return tree, placed
+
+
+def _placer(tree: Tree):
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                cell, reach = tree.locate(_matrix(batch["vec"]))
+                yield batch.assign(cell=cell, reach=reach)
+
+    return place
+
+
 def _block_candidates(
     x: np.ndarray, y: np.ndarray, qid: np.ndarray, pid: np.ndarray, k: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,102 +161,108 @@ def _block_candidates(
     return row, col, np.sqrt(((x[row] - y[col]) ** 2).sum(axis=1))
 
 
+def _best(queries: pd.DataFrame, points: pd.DataFrame, k: int) -> pd.DataFrame:
+    """(qid, pid, distance): each query's k nearest of the points, ties to the smaller pid."""
+    if not len(queries) or not len(points):
+        return pd.DataFrame({"qid": [], "pid": [], "distance": []})
+    qid, pid = queries["vid"].to_numpy(), points["vid"].to_numpy()
+    row, col, dist = _block_candidates(_matrix(queries["vec"]), _matrix(points["vec"]), qid, pid, k)
+    order = np.lexsort((pid[col], dist, row))
+    row, col, dist = row[order], col[order], dist[order]
+    best = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k
+    return pd.DataFrame({"qid": qid[row[best]], "pid": pid[col[best]], "distance": dist[best]})
+
+
+def seeded(queries: DataFrame, points: DataFrame, k: int, cells: int | None, block: int) -> tuple[Tree, DataFrame, DataFrame]:
+    """The tree, the points in blocks, and each query with what its own block holds.
+
+    A query's ``limit`` is its k-th distance there, infinite if the block has fewer points.
+    """
+    n = points.count()
+    width = points.agg(F.max(F.size("vec"))).first()[0] or 1
+    most = max(1, PIVOT_BYTES // (8 * width))
+    tree, placed = pivot_tree(points, cells or min(most, max(1, n // CELL_ROWS), max(1, int(4 * n**0.5))), block)
+    tree_ = points.sparkSession.sparkContext.broadcast(tree)
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                ring, salt = tree_.value.block_of(*(batch[c].to_numpy() for c in ("vid", "cell", "reach")))
+                yield batch.assign(ring=ring, salt=salt)[[*batch.columns.drop("reach"), "ring", "salt"]]
+
+    schema = "vid long, vec array<double>, cell int, ring int, salt int"
+    blocks = placed.mapInPandas(deal, schema)
+    both = blocks.withColumns({"asks": F.lit(queries is points), "there": F.lit(True)})
+    if queries is not points:
+        asking = queries.select("vid", "vec").mapInPandas(_placer(tree), PLACED).mapInPandas(deal, schema)
+        both = both.unionByName(asking.withColumns({"asks": F.lit(True), "there": F.lit(False)}))
+
+    def look(part: pd.DataFrame) -> pd.DataFrame:
+        mine = part[part["asks"]]
+        near = _best(mine, part[part["there"]], k)
+        own = near.groupby("qid").agg(pid=("pid", list), distance=("distance", list))
+        out = mine.drop(columns=["asks", "there"]).merge(own, left_on="vid", right_index=True, how="left")
+        for c in ("pid", "distance"):
+            out[c] = pd.Series([v if isinstance(v, list) else [] for v in out[c]], out.index, dtype=object)
+        out["limit"] = [v[k - 1] if len(v) >= k else np.inf for v in out["distance"]]
+        out["limit"] = out["limit"].astype("float64")
+        return out
+
+    seeds = both.groupBy("cell", "ring", "salt").applyInPandas(
+        look, f"{schema}, pid array<long>, distance array<double>, limit double")
+    return tree, blocks, cut_lineage(seeds)
+
+
+def routed(tree: Tree, seeds: DataFrame) -> DataFrame:
+    """(vid, vec, limit, cell, ring, salt): a row per query and block that it still has to visit."""
+    tree_ = seeds.sparkSession.sparkContext.broadcast(tree)
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            at, to = [], []
+            known = tree_.value
+            own = list(zip(batch["cell"], batch["ring"], batch["salt"]))
+            for i, (vec, limit) in enumerate(zip(batch["vec"], batch["limit"])):
+                for c, r in known.visits(np.asarray(vec, dtype="float64"), limit):
+                    new = [(c, r, s) for s in range(int(known.salts[c])) if (c, r, s) != own[i]]
+                    at += [i] * len(new)
+                    to += new
+            if at:
+                out = batch.iloc[at][["vid", "vec", "limit"]].reset_index(drop=True)
+                out[["cell", "ring", "salt"]] = np.array(to, np.int32)
+                yield out
+
+    return seeds.select("vid", "vec", "limit", "cell", "ring", "salt").mapInPandas(
+        route, "vid long, vec array<double>, limit double, cell int, ring int, salt int")
+
+
 def knn_join(
-    queries: DataFrame, points: DataFrame, k: int, pivots: int = 32, block_rows: int = BLOCK_ROWS
+    queries: DataFrame, points: DataFrame, k: int, cells: int | None = None, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """(qid, pid, distance, rank): the exact ``k`` nearest other points of every query.
 
     Both frames have ``vid`` (long) and ``vec`` (array<double>), unique by vid; a query
-    never matches its own vid. Ties go to the smaller pid.
+    never matches its own vid. Ties go to the smaller pid. ``cells`` defaults to one per
+    ``CELL_ROWS`` points and at most about the square root of the table.
     """
-    centre = _pivots(points, pivots)
-    if len(centre) == 0:
+    if points.isEmpty():
         return queries.sparkSession.createDataFrame([], "qid long, pid long, distance double, rank int")
-    cells = len(centre)
+    tree, blocks, seeds = seeded(queries, points, k, cells, block_rows)
+    visits = cut_lineage(routed(tree, seeds))
+    keys = ["cell", "ring", "salt"]
+    guests = visits.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("parts"))
+    asked = visits.join(guests, keys).withColumn("part", F.pmod(F.xxhash64("vid"), F.col("parts")).cast("int"))
+    held = blocks.join(guests, keys).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch) == 0:
-                continue
-            d = _distances(np.stack(batch["vec"].to_numpy()).astype("float64"), centre)
-            batch["cell"] = d.argmin(axis=1).astype("int32")
-            batch["reach"] = d.min(axis=1)
-            yield batch
-
-    placed_schema = "vid long, vec array<double>, cell int, reach double"
-    # Placed once and kept: the summaries and the join below all start from here.
-    s = cut_lineage(points.select("vid", "vec").mapInPandas(place, placed_schema))
-    if queries is points:
-        q = s
-    else:
-        q = cut_lineage(queries.select("vid", "vec").mapInPandas(place, placed_schema))
-
-    # Summaries of bounded size: per cell its query radius and its k+1 points nearest the pivot.
-    radius = np.zeros(cells)
-    sizes = np.zeros(cells, dtype="int64")
-    for r in q.groupBy("cell").agg(F.max("reach").alias("r"), F.count(F.lit(1)).alias("n")).collect():
-        radius[r["cell"]], sizes[r["cell"]] = r["r"], r["n"]
-    order = Window.partitionBy("cell").orderBy("reach", "vid")
-    near = s.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k + 1)
-    closest: dict[int, list[float]] = {}
-    for r in near.select("cell", "reach").collect():
-        closest.setdefault(r["cell"], []).append(r["reach"])
-    total = s.count()
-    apart = _distances(centre, centre)
-    bound = np.full(cells, np.inf)
-    for i in range(cells):
-        upper = sorted(radius[i] + apart[i, j] + d for j, ds in closest.items() for d in ds)
-        if len(upper) > k:
-            bound[i] = upper[k]
-    q_blocks = np.maximum(1, -(-sizes // block_rows))
-    p_blocks = max(1, -(-total // block_rows))
-    slack = 1e-9
-
-    def route_queries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            cell = batch["cell"].to_numpy()
-            batch["qb"] = (batch["vid"].to_numpy() % q_blocks[cell]).astype("int32")
-            for pb in range(p_blocks):
-                yield batch.assign(pb=np.int32(pb))[["cell", "qb", "pb", "vid", "vec"]]
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = _best(a, b, k)
+        limit = found["qid"].map(dict(zip(a["vid"], a["limit"])))
+        return found[(found["distance"] <= limit * (1 + SLACK)).to_numpy(dtype=bool)]
 
-    def route_points(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch) == 0:
-                continue
-            away = _distances(np.stack(batch["vec"].to_numpy()).astype("float64"), centre)
-            for i in range(cells):
-                if sizes[i] == 0:
-                    continue
-                inside = away[:, i] - radius[i] <= bound[i] + slack
-                if not inside.any():
-                    continue
-                part = batch.loc[inside, ["vid", "vec"]]
-                for qb in range(int(q_blocks[i])):
-                    yield part.assign(
-                        cell=np.int32(i), qb=np.int32(qb),
-                        pb=(part["vid"].to_numpy() % p_blocks).astype("int32"),
-                    )[["cell", "qb", "pb", "vid", "vec"]]
-
-    routed_schema = "cell int, qb int, pb int, vid long, vec array<double>"
-    keys = ["cell", "qb", "pb"]
-    left = q.mapInPandas(route_queries, routed_schema)
-    right = s.mapInPandas(route_points, routed_schema)
-
-    def block_best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if len(a) == 0 or len(b) == 0:
-            return pd.DataFrame({"qid": [], "pid": [], "distance": []})
-        qid, pid = a["vid"].to_numpy(), b["vid"].to_numpy()
-        x = np.stack(a["vec"].to_numpy()).astype("float64")
-        y = np.stack(b["vec"].to_numpy()).astype("float64")
-        row, col, dist = _block_candidates(x, y, qid, pid, k)
-        order = np.lexsort((pid[col], dist, row))
-        row, col, dist = row[order], col[order], dist[order]
-        first = np.searchsorted(row, row, side="left")
-        best = np.arange(len(row)) - first < k
-        return pd.DataFrame({"qid": qid[row[best]], "pid": pid[col[best]], "distance": dist[best]})
-
-    local = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        block_best, "qid long, pid long, distance double"
-    )
+    columns = ["vid", "vec", "limit", *keys, "part"]
+    local = asked.select(*columns).groupBy(*keys, "part").cogroup(held.select("vid", "vec", *keys, "part").groupBy(*keys, "part")).applyInPandas(
+        meet, "qid long, pid long, distance double")
+    first = seeds.select(F.col("vid").alias("qid"), F.inline(F.arrays_zip("pid", "distance")))
     w = Window.partitionBy("qid").orderBy("distance", "pid")
-    return local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    every = first.unionByName(local)
+    return every.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelwright.operators.neighbours import distinct_vectors, knn_join
 from panelwright.operators.ordering import hash_bucket, hash_order, row_numbers
@@ -16,6 +14,17 @@ def uniform(*key: Column, seed: int = 0) -> Column:
     return F.shiftrightunsigned(digest, 11).cast("double") / float(1 << 53)
 
 
+def digest_place(*key: Column, seed: int = 0, digits: int = 15) -> Column:
+    """The first hex digits of the MD5 of the key's text and the seed, as a number."""
+    text = F.concat_ws(":", *[k.cast("string") for k in key], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
+
+
+def digest_uniform(*key: Column, seed: int = 0) -> Column:
+    """Draw from [0, 1) that any engine with MD5 repeats."""
+    return digest_place(*key, seed=seed, digits=13).cast("double") / float(1 << 52)
+
+
 def gaussian(*key: Column, seed: int = 0) -> Column:
     """Reproducible standard normal draw (Box-Muller)."""
     u = F.greatest(uniform(*key, seed=seed), F.lit(1e-300))
@@ -64,10 +73,7 @@ def interpolate_minority(
     )
     # Draws per row: every minority row gets want // have, the first rows one more.
     need = want - have
-    ranked = row_numbers(
-        rows.select("id", "vec", hash_order("id", seed=seed)[0].alias("_h")), ["_h", "id"], "_r",
-        bucket=hash_bucket("_h"),
-    )
+    ranked = row_numbers(rows.select("id", "vec", digest_place(F.col("id"), seed=seed).alias("_h")), ["_h", "id"], "_r")
     per_row = F.lit(need // have) + (F.col("_r") <= need % have).cast("int")
     draws = (
         ranked.filter(per_row > 0)
@@ -75,7 +81,7 @@ def interpolate_minority(
         .join(points.select("vec", "vid", F.col("copies").alias("own")), "vec")
         .join(slots, F.col("vid") == F.col("qid"), "left")
     )
-    place = F.floor(uniform(F.col("id"), F.col("draw"), seed=seed) * k) + 1 - (F.col("own") - 1)
+    place = F.floor(digest_uniform(F.col("id"), F.col("draw"), seed=seed) * k) + 1 - (F.col("own") - 1)
     reached = F.aggregate(
         F.col("near"),
         F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("array<double>").alias("vec")),
@@ -87,7 +93,7 @@ def interpolate_minority(
         ),
     )["vec"]
     other = F.when(place <= 0, F.col("vec")).otherwise(F.coalesce(reached, F.col("vec")))
-    u = uniform(F.col("id"), F.col("draw"), seed=seed + 7)
+    u = digest_uniform(F.col("id"), F.col("draw"), seed=seed + 7)
     # Below every id in use, and one for each pair of row and draw.
     lowest = min(0, base.agg(F.min("sample_id")).first()[0] or 0)
     fresh = F.lit(lowest) - ((F.col("draw") - 1) * F.lit(have).cast("long") + F.col("_r"))
@@ -167,12 +173,15 @@ def noise_copies(
     return grown.withColumn(vector, jittered)
 
 
-@F.pandas_udf(T.DoubleType())
-def _beta_draw(a: pd.Series, b: pd.Series, key: pd.Series) -> pd.Series:
-    """Beta(a, b) per row from a generator seeded by the row's key."""
-    return pd.Series(
-        [np.random.default_rng(int(k) & (2**63 - 1)).beta(x, y) for x, y, k in zip(a, b, key)]
-    )
+def beta(a: float, b: float, *key: Column, seed: int = 0, tries: int = 24) -> Column:
+    """Reproducible Beta(a, b) draw: the first of ``tries`` pairs of powers of uniform draws whose
+    sum is at most one (Johnk's rule). For a and b up to 1, over half of all pairs are accepted."""
+    def one(got: Column, i: Column) -> Column:
+        x, y = F.pow(uniform(*key, i, seed=seed), F.lit(1 / a)), F.pow(uniform(*key, i, seed=seed + 1), F.lit(1 / b))
+        return F.coalesce(got, F.when((x + y <= 1) & (x + y > 0), x / (x + y)))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(tries)), F.lit(None).cast("double"), one)
+    return F.coalesce(found, F.lit(a / (a + b)))
 
 
 def mixup_pairs(
@@ -196,7 +205,7 @@ def mixup_pairs(
     hop = F.floor(uniform(F.col("id"), F.col("draw"), seed=seed + 3) * (F.col("_n") - 1)) + 1
     aimed = draws.withColumn("_to", F.pmod(F.col("_r") - 1 + hop, F.col("_n")) + 1)
     partners = ranked.select(F.col("_r").alias("_to"), F.col("vec").alias("other"), F.col("id").alias("partner"))
-    weight = _beta_draw(F.lit(alpha), F.lit(alpha), F.xxhash64("id", "draw", F.lit(seed)))
+    weight = beta(alpha, alpha, F.col("id"), F.col("draw"), seed=seed + 11)
     paired = aimed.join(partners, "_to").withColumn("weight", weight)
     return paired.select(
         "id", "draw", "partner", "weight",

@@ -24,10 +24,11 @@ def spark_points(spark, points):
     return spark.createDataFrame(rows, "id long, vec array<double>, label int")
 
 
-@pytest.mark.parametrize("pivots, block", [(1, 4096), (6, 4096), (6, 20)])
-def test_join_is_exact(spark, points, pivots, block):
+@pytest.mark.parametrize("cells, block", [(None, 4096), (9, 4096), (6, 8), (1, 20)])
+def test_join_is_exact(spark, points, cells, block, monkeypatch):
+    monkeypatch.setattr(N, "QUERY_ROWS", 4 * block)
     distinct = N.distinct_vectors(spark_points(spark, points), "vec", "id")
-    got = N.knn_join(distinct, distinct, 4, pivots=pivots, block_rows=block).toPandas()
+    got = N.knn_join(distinct, distinct, 4, cells=cells, block_rows=block).toPandas()
     local = distinct.toPandas()
     assert local["copies"].max() >= 80
     x = np.stack(local["vec"].to_numpy())
@@ -40,6 +41,31 @@ def test_join_is_exact(spark, points, pivots, block):
         assert list(mine["rank"]) == [1, 2, 3, 4]
 
 
+def test_queries_of_their_own(spark):
+    rng = np.random.default_rng(2)
+    x, q = rng.normal(size=(150, 2)), rng.normal(size=(40, 2)) * 3
+    frame = lambda m, at: spark.createDataFrame([(at + i, [float(v) for v in r]) for i, r in enumerate(m)], "vid long, vec array<double>")
+    got = N.knn_join(frame(q, 1000), frame(x, 0), 3, cells=12, block_rows=16).toPandas()
+    for i, row in enumerate(q):
+        d = np.sqrt(((x - row) ** 2).sum(axis=1))
+        mine = got[got["qid"] == 1000 + i].sort_values("rank")
+        assert mine["pid"].tolist() == np.argsort(d, kind="stable")[:3].tolist()
+    few = N.knn_join(frame(q, 1000), frame(x[:2], 0), 3).toPandas()
+    assert len(few) == 80 and N.knn_join(frame(q, 1000), frame(x, 0).limit(0), 3).count() == 0
+
+
+def test_a_query_visits_no_more_blocks_of_a_larger_table(spark, monkeypatch):
+    monkeypatch.setattr(N, "CELL_ROWS", 32)
+    copies = {}
+    for n in (1500, 6000):
+        x = np.random.default_rng(1).random((n, 2))
+        frame = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vid long, vec array<double>")
+        tree, _, seeds = N.seeded(frame, frame, 3, None, 2048)
+        assert len(tree.pivots) == n // 32
+        copies[n] = N.routed(tree, seeds).count() / n
+    assert copies[6000] < 1.2 * copies[1500] and copies[1500] < 8
+
+
 def neighbours_of(points, i, k):
     x = np.stack(points["vec"].to_numpy())
     d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
