@@ -82,6 +82,63 @@ def checkin_stream(spark, folder):
     )
 
 
+def entity_register(spark, folder):
+    """Customers as the register: a fifth is missing, a third has records of two months."""
+    seen = F.col("c_custkey") % 3 == 0
+    return read_table(spark, folder, "customer").filter("c_custkey % 5 <> 0").select(
+        F.col("c_custkey").alias("entity_id"), F.when(seen, 1).otherwise(-1).alias("last_month"),
+        F.when(seen, F.col("c_nationkey")).otherwise(0).cast("long").alias("doses"),
+        F.when(seen, F.abs("c_acctbal") / 10000).alias("probability"),
+    )
+
+
+_REGISTERED = """
+base AS (
+  SELECT event_id AS request_id, user_id AS entity_id, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 2 AS INTEGER) AS month,
+         epoch_us(ts) // 1000 AS timestamp, value / 100 AS p, CASE WHEN event_type <> 'error' THEN CAST(floor(value) AS INTEGER) % 31 END AS taken FROM events),
+known AS (SELECT c_custkey AS entity_id, CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE -1 END AS last, CASE WHEN c_custkey % 3 = 0 THEN c_nationkey ELSE 0 END AS doses,
+  CASE WHEN c_custkey % 3 = 0 THEN abs(c_acctbal) / 10000 END AS before FROM customer WHERE c_custkey % 5 <> 0),
+j AS (SELECT b.*, k.last, k.doses, k.before, CASE WHEN k.entity_id IS NULL THEN 'unknown_entity' WHEN month NOT BETWEEN 0 AND 12 THEN 'month_out_of_range'
+        WHEN month > 0 AND taken IS NULL THEN 'doses_required' END AS own FROM base b LEFT JOIN known k USING (entity_id)),
+c AS (SELECT *, row_number() OVER (PARTITION BY entity_id, month ORDER BY timestamp, request_id) AS rn FROM j WHERE own IS NULL),
+f AS (SELECT *, month <= last AS past, month - row_number() OVER (PARTITION BY entity_id, month <= last ORDER BY month) AS island,
+        min(month) OVER (PARTITION BY entity_id, month <= last) AS lo FROM c WHERE rn = 1),
+ok AS (SELECT *, doses + sum(coalesce(taken, 0)) OVER (PARTITION BY entity_id ORDER BY month) - coalesce(taken, 0) AS prior
+       FROM f WHERE NOT past AND island = lo - 1 AND CASE WHEN last >= 0 THEN lo = last + 1 ELSE lo <= 1 END),
+verdicts AS (
+  SELECT j.request_id, ok.request_id IS NOT NULL AS accepted, CAST(ok.prior AS BIGINT) AS prior_doses,
+    CASE WHEN j.own IS NOT NULL THEN j.own WHEN f.request_id IS NULL THEN 'repeated' WHEN f.past THEN 'duplicate_or_past'
+         WHEN ok.request_id IS NULL THEN 'unexpected_month' END AS reason
+  FROM j LEFT JOIN f ON f.request_id = j.request_id LEFT JOIN ok ON ok.request_id = j.request_id)"""
+
+
+@query("T1", "W11", sql=f"WITH {_REGISTERED} SELECT * FROM verdicts")
+def checkin_register(spark, folder):
+    """Check-ins against the register as one batch: verdict and reason."""
+    rows = as_checkins(read_table(spark, folder, "events"))
+    verdicts = C.validated_batch(rows, entity_register(spark, folder))
+    return verdicts.select("request_id", "accepted", "prior_doses", "reason")
+
+
+@query("T1", "W11", sql=f"WITH {_REGISTERED} SELECT * FROM verdicts")
+def checkin_register_stream(spark, folder):
+    """The same as a stream whose state starts from the register."""
+    out = drain(C.registered_stream(as_checkins(event_stream(spark, folder)), entity_register(spark, folder)), "append")
+    return out.select("request_id", "accepted", F.when(F.col("accepted"), F.col("prior_doses")).alias("prior_doses"), "reason")
+
+
+@query("T1", "W4", sql=f"""
+WITH {_REGISTERED}, 
+l AS (SELECT *, coalesce(lag(p) OVER (PARTITION BY entity_id ORDER BY month), before) AS q0 FROM ok),
+b AS (SELECT request_id, month, least(0.95, greatest(0, p)) AS p, CASE WHEN q0 IS NOT NULL THEN least(0.95, greatest(0, q0)) END AS q FROM l)
+SELECT request_id, month, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS label, round(p, 6) AS failure_probability, round(q, 6) AS previous_probability, round(p - q, 6) AS change FROM b""")
+def checkin_predictions(spark, folder):
+    """Prediction rows of the accepted check-ins of the stream, each with the one before."""
+    out = drain(C.registered_stream(as_checkins(event_stream(spark, folder)), entity_register(spark, folder)), "append")
+    made = C.prediction_rows(out)
+    return made.select("request_id", "month", "label", *[F.round(c, 6).alias(c) for c in ("failure_probability", "previous_probability", "change")])
+
+
 @query("T2", "W7", "P31", "P32", "P34", sql=f"""
 WITH {_CHECKINS}
 SELECT request_id, round(CAST(taken AS DOUBLE) / (taken + 3), 6) AS pct_adherence,

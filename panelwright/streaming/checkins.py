@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from panelwright.functions.numeric import adherence_band, adherence_share, clamp_probability
 
@@ -21,7 +22,11 @@ FLAGGED = (
 )
 VERDICT = f"{INPUT}, accepted boolean, reason string, expected_month int, prior_doses long"
 STATE = "last_month int, doses long"
-REPEATED = "repeated"
+REPEATED, UNKNOWN = "repeated", "unknown_entity"
+#: What the register knows of an entity before its check-ins: -1 and null where there is no record.
+REGISTER = "entity_id long, last_month int, doses long, probability double"
+JUDGED = f"{VERDICT}, previous_probability double"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _settle_early(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -43,9 +48,8 @@ def _settle_early(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.assign(early=early)
 
 
-def _validate(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    last, doses = state.get if state.exists else (-1, 0)
-    frame = pd.concat(list(batches), ignore_index=True)
+def _judge(frame: pd.DataFrame, last: int, doses: int) -> tuple[pd.DataFrame, int, int]:
+    """Verdicts of an entity's rows in month order, and its last month and doses after them."""
     frame = frame.sort_values(["month", "timestamp", "request_id"], kind="stable")
     again = frame.duplicated("month")
     verdicts = []
@@ -62,9 +66,123 @@ def _validate(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFr
         if reason is None:
             last = month
             doses += 0 if pd.isna(row.monthly_doses_taken) else int(row.monthly_doses_taken)
-    state.update((last, doses))
     extra = pd.DataFrame(verdicts, columns=["accepted", "reason", "expected_month", "prior_doses"])
-    yield pd.concat([frame.reset_index(drop=True), extra], axis=1)
+    return pd.concat([frame.reset_index(drop=True), extra], axis=1), last, doses
+
+
+def _validate(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    last, doses = state.get if state.exists else (-1, 0)
+    verdicts, last, doses = _judge(pd.concat(list(batches), ignore_index=True), last, doses)
+    state.update((last, doses))
+    yield verdicts
+
+
+class RegisteredCheckins(StatefulProcessor):
+    """Judges check-ins of entities that the register holds; others are rejected.
+
+    Per entity the state is its progress (last month and doses) and its latest predictions. With
+    ``grows``, entities may be registered in the same batch, after their first check-ins.
+    """
+
+    def __init__(self, grows: bool = False):
+        self.grows = grows
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.progress = handle.getValueState("progress", "last_month int, doses long")
+        self.recent = handle.getListState("recent", "month int, probability double")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self._register(initialState)
+
+    def _register(self, known: pd.DataFrame) -> None:
+        """Progress of an entity that is new here; of several records the furthest counts."""
+        if self.progress.exists():
+            return
+        row = known.sort_values(["last_month", "doses"], na_position="first").iloc[-1]
+        last = -1 if pd.isna(row["last_month"]) else int(row["last_month"])
+        self.progress.update((last, 0 if pd.isna(row["doses"]) else int(row["doses"])))
+        if not pd.isna(row["probability"]):
+            self.recent.put([(last, float(row["probability"]))])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known, waiting = self.progress.exists(), []
+        for batch in rows:
+            new, mine = batch[batch["registers"]], batch[~batch["registers"]]
+            if len(new):
+                self._register(new)
+                known = True
+            if not known and not self.grows:
+                yield self._settled(mine, UNKNOWN)
+                continue
+            waiting.append(mine)
+            if known:  # rows that need no history leave at once, so a busy entity is never held whole
+                for part in waiting:
+                    early = part[part["early"].notna()]
+                    if len(early):
+                        yield self._settled(early, early["early"])
+                waiting = [part[part["early"].isna()] for part in waiting]
+        rest = pd.concat(waiting, ignore_index=True) if waiting else None
+        if rest is None or not len(rest):
+            return
+        if not known:
+            yield self._settled(rest, UNKNOWN)
+            return
+        last, doses = self.progress.get()
+        verdicts, last, doses = _judge(rest, last, doses)
+        self.progress.update((last, doses))
+        recent = [(r[0], r[1]) for r in self.recent.get()] if self.recent.exists() else []
+        previous = []
+        for accepted, month, p in zip(verdicts["accepted"], verdicts["month"], verdicts["failure_probability"]):
+            previous.append(recent[-1][1] if recent else None)
+            if accepted and not pd.isna(p):
+                recent.append((int(month), float(p)))
+        if recent:
+            self.recent.put(recent[-3:])
+        yield verdicts.assign(previous_probability=pd.Series(previous, dtype="float64"))[_names(JUDGED)]
+
+    @staticmethod
+    def _settled(part: pd.DataFrame, reason) -> pd.DataFrame:
+        out = part.assign(accepted=False, reason=reason, expected_month=None, prior_doses=None, previous_probability=None)
+        return out[_names(JUDGED)]
+
+    def close(self) -> None:
+        pass
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def registered_stream(stream: DataFrame, register: DataFrame, registrations: DataFrame | None = None) -> DataFrame:
+    """Verdicts of a stream of check-ins against the register, with the previous prediction.
+
+    ``register`` (see ``REGISTER``) becomes the state before the first row, so it is read once
+    and never joined to a batch; ``registrations``, a stream of the same columns, adds entities
+    later. An unknown entity is the first reason to reject; the others are as in
+    :func:`validated_stream`. Rows with a null entity are unknown.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    typed = stream.selectExpr(*[f"cast({n} as {k}) as {n}" for n, k in (c.split() for c in INPUT.split(", "))])
+    marked = typed.mapInPandas(_settle_early, f"{INPUT}, early string")
+    extra = {"registers": F.lit(False), "last_month": F.lit(None).cast("int"), "doses": F.lit(None).cast("long"),
+             "probability": F.lit(None).cast("double")}
+    marked = marked.withColumns(extra)
+    known = [f"cast({n} as {k}) as {n}" for n, k in (c.split() for c in REGISTER.split(", "))]
+    if registrations is not None:
+        fresh = registrations.selectExpr(*known).withColumn("registers", F.lit(True))
+        missing = [f for f in marked.schema if f.name not in fresh.columns]
+        marked = marked.unionByName(fresh.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}))
+    return marked.groupBy("entity_id").transformWithStateInPandas(
+        RegisteredCheckins(registrations is not None), T.StructType.fromDDL(JUDGED), "append", "none",
+        register.filter("entity_id is not null").selectExpr(*known).groupBy("entity_id"))
+
+
+def prediction_rows(verdicts: DataFrame) -> DataFrame:
+    """One prediction per accepted check-in, with the change since the one before."""
+    p, before = clamp_probability(F.col("failure_probability")), clamp_probability(F.col("previous_probability"))
+    return verdicts.filter("accepted and failure_probability is not null").select(
+        "request_id", "entity_id", "month", (p >= 0.5).cast("int").alias("label"), p.alias("failure_probability"),
+        before.alias("previous_probability"), (p - before).alias("change"), "timestamp")
 
 
 def validated_stream(stream: DataFrame) -> DataFrame:
@@ -108,37 +226,47 @@ def with_derivations(df: DataFrame, taken: Column, missed: Column, prior: Column
     )
 
 
-def validated_batch(df: DataFrame) -> DataFrame:
+def validated_batch(df: DataFrame, register: DataFrame | None = None) -> DataFrame:
     """The same verdicts for a complete table, with joins and windows only.
 
     Rows that fail on their own are judged alone. Of the others, the first of each
-    (entity, month) competes and later ones are repeats; a month is accepted while months run without a gap from 0
-    or 1. An entity contributes at most 13 competing months, so its window stays short
-    however many repeats it sent.
+    (entity, month) competes and later ones are repeats; a month is accepted while months run
+    without a gap from 0 or 1, or from the last month that ``register`` (see ``REGISTER``)
+    holds. With a register, rows of entities that it lacks are rejected first. An entity
+    contributes at most 13 competing months, so its window stays short however many repeats
+    it sent.
     """
     month = F.col("month")
     out_of_range = ~F.coalesce(month.between(0, LAST_STEP), F.lit(False))
     no_doses = (month > 0) & (
         F.col("monthly_doses_taken").isNull() | F.col("monthly_missed_doses").isNull()
     )
-    base = df.withColumn(
-        "_own", F.when(out_of_range, "month_out_of_range").when(no_doses, "doses_required")
-    )
+    own = F.when(out_of_range, "month_out_of_range").when(no_doses, "doses_required")
+    if register is None:
+        base = df.withColumns({"_own": own, "_last": F.lit(-1), "_doses": F.lit(0).cast("long")})
+    else:
+        furthest = F.max(F.struct(F.coalesce("last_month", F.lit(-1)).alias("m"), F.coalesce("doses", F.lit(0)).alias("d")))
+        known = register.groupBy(F.col("entity_id").alias("_entity")).agg(furthest.alias("_known"))
+        base = df.join(known, F.col("entity_id") == F.col("_entity"), "left").withColumns({
+            "_own": F.when(F.col("_entity").isNull(), UNKNOWN).otherwise(own),
+            "_last": F.col("_known.m").cast("int"), "_doses": F.col("_known.d").cast("long")}).drop("_entity", "_known")
     order = Window.partitionBy("entity_id", "month").orderBy("timestamp", "request_id")
     ok = base.filter("_own is null")
     firsts = ok.withColumn("_n", F.row_number().over(order)).filter("_n = 1")
-    w = Window.partitionBy("entity_id").orderBy("month")
-    chain = firsts.select(
-        "entity_id", "month", F.col("request_id").alias("_winner"),
+    w = Window.partitionBy("entity_id", "_past").orderBy("month")
+    past = month <= F.col("_last")
+    chain = firsts.withColumn("_past", past).select(
+        "entity_id", "month", "_past", "_last", "_doses", F.col("request_id").alias("_winner"),
         F.coalesce("monthly_doses_taken", F.lit(0)).cast("long").alias("_taken"),
         (month - F.row_number().over(w)).alias("_island"),
-        F.min("month").over(Window.partitionBy("entity_id")).alias("_first"),
+        F.min("month").over(Window.partitionBy("entity_id", "_past")).alias("_first"),
     )
-    unbroken = (F.col("_first") <= 1) & (F.col("_island") == F.col("_first") - 1)
+    start = F.when(F.col("_last") >= 0, F.col("_first") == F.col("_last") + 1).otherwise(F.col("_first") <= 1)
+    unbroken = ~F.col("_past") & start & (F.col("_island") == F.col("_first") - 1)
     # Accepted months open the chain, so a running sum up to one of them sees only accepted rows.
     months = chain.select(
-        "entity_id", "month", F.col("_winner").alias("_first_id"), unbroken.alias("_ok"),
-        (F.sum("_taken").over(w) - F.col("_taken")).alias("prior_doses"),
+        "entity_id", "month", F.col("_winner").alias("_first_id"), unbroken.alias("_ok"), F.col("_past").alias("_over"),
+        (F.col("_doses") + F.sum("_taken").over(w) - F.col("_taken")).alias("prior_doses"),
     )
     joined = base.join(months, ["entity_id", "month"], "left")
     mine = F.col("_own").isNull() & (F.col("_first_id") == F.col("request_id"))
@@ -146,6 +274,7 @@ def validated_batch(df: DataFrame) -> DataFrame:
     reason = (
         F.when(F.col("_own").isNotNull(), F.col("_own"))
         .when(F.col("_first_id") != F.col("request_id"), REPEATED)
+        .when(F.col("_over"), "duplicate_or_past")
         .when(~won, "unexpected_month")
     )
     return joined.select(

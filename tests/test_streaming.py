@@ -82,6 +82,37 @@ def test_stream_over_batches_keeps_state(spark, tmp_path):
     assert derived[1]["adherence"] == "poor" and derived[1]["pct_adherence"] is None
 
 
+def test_check_ins_against_the_register(spark, tmp_path):
+    register = spark.createDataFrame([(1, -1, 0, None), (2, 3, 40, 0.4), (2, 1, 10, 0.3), (None, 1, 1, None)], C.REGISTER)
+    first = [row(1, 1, 0, None, None), row(2, 9, 0), row(3, 2, 4, 5, p=0.7), row(4, 2, 3), row(5, 9, 13), row(6, 2, 4), row(7, None, 0)]
+    second = [row(8, 1, 1, 7), row(9, 9, 1), row(10, 2, 5, None), row(11, 2, 5, 6, p=0.99), row(12, 2, 9)]
+    stream = batches_to_stream(spark, tmp_path, [first, second], C.INPUT)
+    verdicts = run_memory(C.registered_stream(stream, register), "registered", "append")
+    got = {r["request_id"]: r for r in verdicts.collect()}
+    assert {i: r["reason"] for i, r in got.items()} == {
+        1: None, 2: "unknown_entity", 3: None, 4: "duplicate_or_past", 5: "unknown_entity", 6: "repeated", 7: "unknown_entity",
+        8: None, 9: "unknown_entity", 10: "doses_required", 11: None, 12: "unexpected_month"}
+    assert got[3]["prior_doses"] == 40 and got[11]["prior_doses"] == 45 and got[8]["prior_doses"] == 0
+    made = {r["request_id"]: r for r in C.prediction_rows(verdicts).collect()}
+    assert sorted(made) == [1, 3, 8, 11] and made[3]["previous_probability"] == 0.4 and made[1]["previous_probability"] is None
+    assert made[11]["previous_probability"] == 0.7 and made[11]["failure_probability"] == 0.95 and made[11]["label"] == 1
+    batch = C.validated_batch(spark.createDataFrame(first, C.INPUT), register).collect()
+    want = {r["request_id"]: (got[r["request_id"]]["accepted"], got[r["request_id"]]["reason"]) for r in batch}
+    assert {r["request_id"]: (r["accepted"], r["reason"]) for r in batch} == want
+    assert {r["request_id"]: r["prior_doses"] for r in batch if r["accepted"]} == {1: 0, 3: 40}
+
+
+def test_entities_registered_while_the_stream_runs(spark, tmp_path):
+    rows = [[row(1, 5, 0), row(2, 6, 0)], [row(3, 5, 1), row(4, 6, 1)]]
+    stream = batches_to_stream(spark, tmp_path, rows, C.INPUT)
+    for i, batch in enumerate([[(6, 0, 3, None)], [(5, -1, 0, None)]]):
+        spark.createDataFrame(batch, C.REGISTER).coalesce(1).write.mode("append").parquet(str(tmp_path / "new"))
+    news = spark.readStream.schema(C.REGISTER).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "new"))
+    nobody = spark.createDataFrame([], C.REGISTER)
+    got = {r["request_id"]: r["reason"] for r in run_memory(C.registered_stream(stream, nobody, news), "growing", "append").collect()}
+    assert got == {1: "unknown_entity", 2: "duplicate_or_past", 3: None, 4: None}
+
+
 def test_zero_doses_and_clamped_risk(spark):
     df = spark.createDataFrame([row(1, 1, 0, 0, 0, p=2.0)], C.INPUT)
     got = C.derived_fields(C.validated_batch(df)).first()
