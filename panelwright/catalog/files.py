@@ -66,6 +66,40 @@ def register_files(spark, folder):
     return panel.join(static.select("entity_id", "facility", "data_year"), "entity_id")
 
 
+_STEPS = (0, 1, 13)
+
+
+@query("P3", "P4", "P5", "P18", "X1", "S7", sql="""
+WITH c AS (SELECT * FROM customer UNION ALL SELECT * FROM customer WHERE c_custkey % 3 = 0),
+r AS (SELECT c_custkey AS no, CAST(least(18 + c_custkey % 120, 110) AS BIGINT) AS age,
+        CASE c_custkey % 3 WHEN 0 THEN 'Male' WHEN 1 THEN 'Female' END AS sex, CAST(100 + c_nationkey AS DOUBLE) AS bp_systolic,
+        unnest(range(14))::INTEGER AS step FROM c)
+SELECT no, age, sex, bp_systolic, step,
+  CASE WHEN step IN (0, 1, 13) AND (no + step) % 5 <> 0 THEN least(180, 40 + (no + step) % 30 * 10)::DOUBLE END AS weight,
+  CASE WHEN step IN (0, 1, 13) THEN CASE WHEN (no + step) % 100 <= 1 THEN (no + step) % 100 ELSE (no + step) % 100 / 100.0::DOUBLE END END AS pct_adherence, count(*) AS entities
+FROM r GROUP BY ALL""")
+def clean_register_rows(spark, folder):
+    """Customers as raw register rows, some repeated and with a thirteenth month, cleaned."""
+    from panelwright.plans.registry import clean_registers
+
+    people = read_table(spark, folder, "customer")
+    people = people.unionByName(people.filter("c_custkey % 3 = 0"))
+    no = F.col("c_custkey")
+    weight = lambda s: F.when((no + s) % 5 != 0, F.concat((40 + (no + s) % 30 * 10).cast("string"), F.lit("kgs")))
+    raw = people.select(
+        no.cast("string").alias("No."), (18 + no % 120).cast("string").alias("Age"),
+        F.get(F.array(F.lit(" m "), F.lit("Female"), F.lit("4")), (no % 3).cast("int")).alias("Sex"),
+        F.concat((100 + F.col("c_nationkey")).cast("string"), F.lit(" / 80")).alias("Blood Pressure"),
+        *[weight(s).alias(f"M{s}_Weight") for s in _STEPS],
+        *[F.concat(((no + s) % 100).cast("string"), F.lit("%")).alias(f"M{s}_%Adherence") for s in _STEPS],
+        F.lit("x.csv").alias("source_file"),
+    )
+    static, panel = clean_registers(raw)
+    rows = static.select("patient_id", F.col("no").cast("long").alias("no"), "age", "sex", "bp_systolic").join(panel, "patient_id")
+    columns = ["no", "age", "sex", "bp_systolic", "step", "weight", "pct_adherence"]
+    return rows.groupBy(*columns).agg(F.count_distinct("patient_id").alias("entities"))
+
+
 @query("S3", "S2", sql="""
 SELECT n_name || ' - ' || CASE WHEN c_acctbal < 4000 THEN '2023' ELSE '2024' END || '.csv' AS source_file, n_name AS facility,
        CASE WHEN c_acctbal < 4000 THEN 2023 ELSE 2024 END AS data_year, count(DISTINCT c_custkey % 4) AS parts

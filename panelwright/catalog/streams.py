@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelwright.catalog.registry import query
 from panelwright.session import ensure_checkpoint_dir
 from panelwright.sources.tables import read_table
-from panelwright.streaming import checkins as C, live as L
+from panelwright.streaming import checkins as C, live as L, records as U
 
 
 def event_stream(spark, folder):
@@ -160,10 +160,10 @@ FROM r WHERE n <= 2 GROUP BY 1""")
 def risk_alert_stream(spark, folder):
     rows = event_stream(spark, folder).select(
         F.col("user_id").alias("entity_id"), (F.col("value") / 500).alias("failure_probability"),
-        F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"),
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"), "event_id",
     )
-    out = drain(L.risk_alerts(rows), "update")
-    last = L.latest_per_key(out, "entity_id", [F.desc("_batch")])
+    out = drain(L.risk_alerts(rows, "event_id"), "update")
+    last = U.latest_per_key(out, "entity_id", [F.desc("_batch")])
     return last.select("entity_id", F.round("latest", 6).alias("latest"), F.round("previous", 6).alias("previous"))
 
 
@@ -189,11 +189,11 @@ def entity_upsert_stream(spark, folder):
     q = (
         rows.writeStream.trigger(availableNow=True)
         .option("checkpointLocation", f"{base}/state")
-        .foreachBatch(L.upsert_sink(spark, f"{base}/table", "id", tie="event_id"))
+        .foreachBatch(U.upsert_sink(spark, f"{base}/table", "id", tie="event_id"))
         .start()
     )
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/table").select("id", "name", "updated_at")
+    return U.RecordTable(spark, f"{base}/table", "id", "event_id").read().select("id", "name", "updated_at")
 
 
 @query("T3", sql="""
@@ -201,7 +201,7 @@ WITH u AS (SELECT user_id AS id, event_type AS name, epoch_us(ts) // 1000 AS t,
   row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000 DESC, event_id DESC) AS n FROM events)
 SELECT id, max(CASE WHEN n = 1 THEN name END) AS name, max(t) AS updated_at, min(t) AS created_at FROM u GROUP BY 1""")
 def entity_upsert_any_order(spark, folder):
-    """Two batches of which the second holds the older updates: the newest still wins."""
+    """Batches of which later ones hold older updates, two folded in and one not: the newest wins."""
     t = F.unix_millis(F.col("ts").cast("timestamp"))
     rows = read_table(spark, folder, "events").select(
         F.col("user_id").alias("id"), F.col("event_type").alias("name"), t.alias("created_at"),
@@ -209,7 +209,8 @@ def entity_upsert_any_order(spark, folder):
     )
     middle = rows.agg(F.avg("updated_at")).first()[0]
     table = f"{ensure_checkpoint_dir(spark)}/upsert-{uuid4().hex}/table"
-    sink = L.upsert_sink(spark, table, "id", tie="event_id")
+    sink = U.upsert_sink(spark, table, "id", tie="event_id", fold_every=2, bucket_rows=1000)
     sink(rows.filter(F.col("updated_at") >= middle), 0)
-    sink(rows.filter(F.col("updated_at") < middle), 1)
-    return spark.read.parquet(table).select("id", "name", "updated_at", "created_at")
+    sink(rows.filter((F.col("updated_at") < middle) & (F.col("event_id") % 2 == 0)), 1)
+    sink(rows.filter((F.col("updated_at") < middle) & (F.col("event_id") % 2 == 1)), 2)
+    return U.RecordTable(spark, table, "id", "event_id").read().select("id", "name", "updated_at", "created_at")

@@ -72,7 +72,7 @@ def wide_to_panel(
     def cell(s: int, m: str) -> Column:
         name = f"m{s}_{m}"
         source = F.col(name) if name in present else F.lit(None)
-        return source.cast(types[m]).alias(m)
+        return source.try_cast(types[m]).alias(m)
 
     rows = [
         F.struct(F.lit(s).cast("int").alias(step), *[cell(s, m) for m in metrics])

@@ -10,7 +10,8 @@ from panelwright import fixed_values as V
 from panelwright.functions import categories as C, dates as D, numeric as N, parsing as P, text as T
 from panelwright.operators.missing.chained import chained_impute
 from panelwright.operators.missing.fill import fill_central
-from panelwright.operators.panel import decode, encode, label_codes, wide_metrics, wide_to_panel
+from panelwright.operators.panel import WIDE_COLUMN, decode, encode, label_codes, wide_to_panel
+from panelwright.session import cut_lineage
 
 DATE_COLUMNS = (
     "date_of_birth", "date_of_diagnosis", "date_of_notification", "treatment_start_date",
@@ -98,15 +99,12 @@ def parse_static(df: DataFrame) -> DataFrame:
 
 
 def parse_panel(df: DataFrame) -> DataFrame:
-    """Per-step columns of a wide table as bounded numbers."""
+    """Per-step columns of a wide table, of whatever step, as bounded numbers."""
     out = {}
-    for metric in wide_metrics(df.columns):
+    for found in filter(None, map(WIDE_COLUMN.match, df.columns)):
+        name, metric = found.group(0), found.group(2)
         parser = PANEL_PARSERS.get(metric, P.to_number)
-        low, high = V.PANEL_BOUNDS.get(metric, (None, None))
-        for step in V.PANEL_STEPS:
-            name = f"m{step}_{metric}"
-            if name in df.columns:
-                out[name] = N.clip(parser(F.col(name)), low, high)
+        out[name] = N.clip(parser(F.col(name)), *V.PANEL_BOUNDS.get(metric, (None, None)))
     return df.withColumns(out) if out else df
 
 
@@ -118,13 +116,27 @@ def clean_registers(raw: DataFrame, entity: str = "patient_id", key: str = "sour
     rows whose hashes collide, are entities of their own. Identifier columns stay and are
     flagged by policy later.
     """
-    named = T.standardize_columns(raw)
-    content = [F.col(c) for c in sorted(named.columns)]
-    named = named.withColumns({"_ident": F.xxhash64(*content), "_second": F.xxhash64(F.lit(1), *content)})
-    number = F.row_number().over(Window.partitionBy("_ident").orderBy("_second"))
-    numbered = named.withColumn(entity, F.concat_ws("-", F.hex("_ident"), number.cast("string")))
-    typed = parse_panel(parse_static(numbered.drop("_ident", "_second")))
-    return wide_to_panel(typed, entity)
+    numbered = with_content_ids(T.standardize_columns(raw), entity)
+    return wide_to_panel(parse_panel(parse_static(numbered)), entity)
+
+
+def with_content_ids(df: DataFrame, name: str, salts: int = 64) -> DataFrame:
+    """Adds an id of the row's content and its number among rows of the same content hash.
+
+    Rows are written once with a salt, so that the copies of a row that many rows repeat are
+    numbered in ``salts`` parts of a window; the parts' sizes, added up, give where each starts.
+    """
+    content = [F.col(f"`{c}`") for c in sorted(df.columns)]
+    keys = ["_ident", "_second", "_salt"]
+    salted = cut_lineage(df.withColumns({
+        "_ident": F.xxhash64(*content), "_second": F.xxhash64(F.lit(1), *content),
+        "_salt": F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")}))
+    before = Window.partitionBy("_ident").orderBy("_second", "_salt").rowsBetween(Window.unboundedPreceding, -1)
+    starts = salted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).select(
+        *keys, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    numbered = salted.withColumn("_no", F.row_number().over(Window.partitionBy(*keys).orderBy("_salt"))).join(starts, keys)
+    ids = F.concat_ws("-", F.hex("_ident"), (F.col("_start") + F.col("_no")).cast("string"))
+    return numbered.withColumn(name, ids).drop(*keys, "_no", "_start")
 
 
 def yearly_features(df: DataFrame, year: str = "year") -> DataFrame:

@@ -1,39 +1,37 @@
-"""Other live views: entity upsert, risk alerts, daily intake."""
+"""Other live views: risk alerts and daily intake."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from panelwright.functions.numeric import trend_class
-from panelwright.session import ensure_checkpoint_dir
 
 ALERT = "entity_id long, latest double, previous double, timestamp long"
-ALERT_STATE = "latest double, latest_at long, previous double, previous_at long"
-ROW = "entity_id long, failure_probability double, timestamp long"
+ALERT_STATE = "latest double, latest_at long, latest_no long, previous double, previous_at long, previous_no long"
+ROW = "entity_id long, failure_probability double, timestamp long, no long"
 
 
 def _newest_two(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """At most two rows per entity leave an Arrow batch: older ones cannot show."""
     for batch in batches:
-        ordered = batch.sort_values("timestamp", kind="stable")
+        ordered = batch.sort_values(["timestamp", "no"], kind="stable")
         yield ordered.groupby("entity_id", sort=False).tail(2)
 
 
 def _follow(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    known = []
+    known = []  # (timestamp, number, risk), oldest first
     if state.exists:
-        latest, latest_at, previous, previous_at = state.get
-        known = [(latest_at, latest)] + ([(previous_at, previous)] if previous_at >= 0 else [])
-        known.reverse()
+        latest, latest_at, latest_no, previous, previous_at, previous_no = state.get
+        known = ([(previous_at, previous_no, previous)] if previous_at >= 0 else []) + [(latest_at, latest_no, latest)]
     for batch in batches:
-        known += list(zip(batch["timestamp"].astype(int), batch["failure_probability"].astype(float)))
-        known = sorted(known, key=lambda pair: pair[0])[-2:]
-    at, latest = known[-1]
-    previous_at, previous = known[-2] if len(known) > 1 else (-1, 0.0)
-    state.update((latest, int(at), previous, int(previous_at)))
+        rows = zip(batch["timestamp"].astype(int), batch["no"].astype(int), batch["failure_probability"].astype(float))
+        known = sorted([*known, *rows], key=lambda row: row[:2])[-2:]
+    at, no, latest = known[-1]
+    previous_at, previous_no, previous = known[-2] if len(known) > 1 else (-1, -1, 0.0)
+    state.update((latest, int(at), int(no), previous, int(previous_at), int(previous_no)))
     yield pd.DataFrame(
         {
             "entity_id": [key[0]],
@@ -44,15 +42,17 @@ def _follow(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFram
     ).astype({"previous": "float64"})
 
 
-def risk_alerts(stream: DataFrame) -> DataFrame:
+def risk_alerts(stream: DataFrame, tie: str | None = None) -> DataFrame:
     """Latest and previous risk per entity with the trend, re-emitted when rows arrive.
 
-    Late rows count by their timestamp, not by their arrival.
+    Late rows count by their timestamp, not by their arrival; of equal timestamps the greater
+    ``tie`` (an integer column, such as the row's id) is the later one.
     """
     rows = stream.selectExpr(
         "cast(entity_id as long) entity_id",
         "cast(failure_probability as double) failure_probability",
         "cast(timestamp as long) timestamp",
+        f"cast({f'`{tie}`' if tie else 0} as long) no",
     ).mapInPandas(_newest_two, ROW)
     followed = rows.groupBy("entity_id").applyInPandasWithState(
         _follow, ALERT, ALERT_STATE, "update", "NoTimeout"
@@ -70,75 +70,3 @@ def daily_intake(stream: DataFrame, ts: str, event_id: str, late: str = "2 days"
     return unique.groupBy(F.window(ts, "1 day").alias("day"), "event_type").agg(
         F.count(F.lit(1)).alias("events")
     ).select(F.col("day.start").alias("day"), "event_type", "events")
-
-
-def latest_per_key(df: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
-
-
-def merge_records(
-    current: DataFrame | None, updates: DataFrame, key: str = "id", tie: str | None = None
-) -> DataFrame:
-    """One row per key, whatever the batches: the newest by ``updated_at`` over table and
-    updates, with the earliest ``created_at`` of them all.
-
-    Of rows equally new the one with the greater ``tie`` wins, then the one with the greater
-    content hash, so the order in which batches arrive makes no difference.
-    """
-    rows = updates if current is None else current.unionByName(updates.select(*current.columns))
-    content = F.xxhash64(*[F.col(c) for c in sorted(rows.columns) if c != "created_at"])
-    ties = [F.desc_nulls_last(tie)] if tie else []
-    newest = latest_per_key(rows, key, [F.desc_nulls_last("updated_at"), *ties, content.desc()])
-    created = rows.groupBy(F.col(key).alias("_key")).agg(F.min("created_at").alias("_created"))
-    joined = newest.join(created, newest[key].eqNullSafe(created["_key"]), "left")
-    return joined.withColumn("created_at", F.col("_created")).select(*newest.columns)
-
-
-def _on_store(spark: SparkSession, path: str):
-    """The path and the file system it lies in, as Hadoop objects."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target, target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Whether the path is there; any other trouble with it is the caller's error to see."""
-    target, store = _on_store(spark, path)
-    return store.exists(target)
-
-
-def upsert_sink(
-    spark: SparkSession, table_path: str, key: str = "id", buckets: int = 64, tie: str | None = None
-):
-    """foreachBatch function keeping one Parquet row per key under ``table_path``.
-
-    The table is stored in hash buckets as partition folders. A batch rewrites only the
-    buckets its keys fall in; new content is written aside first and a batch replayed after
-    a failure gives the same table.
-    """
-    from zlib import crc32
-
-    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        updates = batch.withColumn("_bucket", bucket)
-        touched = [r[0] for r in updates.select("_bucket").distinct().collect()]
-        if not touched:
-            return
-        current = None
-        if _exists(session, table_path):
-            table = session.read.parquet(table_path)
-            if "_bucket" not in table.columns:
-                raise ValueError(f"{table_path} is not a table of this sink: it has no _bucket folders")
-            current = table.filter(F.col("_bucket").isin(touched))
-        merged = merge_records(current, updates, key, tie)
-        aside = f"{ensure_checkpoint_dir(session)}/upsert-{crc32(table_path.encode())}-{batch_id}"
-        merged.write.mode("overwrite").partitionBy("_bucket").parquet(aside)
-        session.read.parquet(aside).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("_bucket").parquet(table_path)
-        staged, store = _on_store(session, aside)
-        store.delete(staged, True)
-
-    return write

@@ -12,6 +12,7 @@ from panelwright.operators.ordering import approx_quantiles, bucket_count
 from panelwright.plans.cleaning_run import run_cleaning
 from panelwright.plans.explanations import evaluate_cases
 from panelwright.plans.model_inputs import prepare_model_inputs
+from panelwright.plans.registry import clean_registers, with_content_ids
 from panelwright.sources.cases import read_cases
 from panelwright.spec import TableSpec
 
@@ -85,3 +86,19 @@ def test_sketched_quantiles_and_bucket_count(spark):
     df = spark.range(10001).select(F.col("id").cast("double").alias("x"))
     assert approx_quantiles(df, ["x"], {"m": 0.5}).first()["m"] == pytest.approx(5000, abs=2)
     assert bucket_count(df) == 256
+
+
+def test_a_thirteenth_month_is_parsed_like_the_others(spark):
+    raw = spark.createDataFrame([("1", "45kg", "50kgs", "n/a"), ("2", None, "bad", "40")], "`No.` string, M0_Weight string, M13_Weight string, M14_Height string")
+    _, panel = clean_registers(raw)
+    got = {(r["step"], r["weight"], r["height"]) for r in panel.collect() if r["weight"] or r["height"]}
+    assert got == {(0, 45.0, None), (13, 50.0, None), (14, None, 80.0)}
+
+
+def test_ids_of_a_row_that_most_rows_repeat(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") < 2000, F.lit("same")).otherwise(F.col("id").cast("string")).alias("a"))
+    got = with_content_ids(rows.repartition(5), "id")
+    assert got.columns == ["a", "id"] and got.select("id").distinct().count() == 3000
+    numbers = sorted(int(r["id"].rsplit("-", 1)[1]) for r in got.filter("a = 'same'").collect())
+    assert numbers == list(range(1, 2001))
+    assert {r["id"] for r in with_content_ids(rows.coalesce(1), "id").collect()} == {r["id"] for r in got.collect()}

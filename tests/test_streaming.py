@@ -1,12 +1,13 @@
 """Check-in rules as a stream and as a batch, upserts, alerts and daily counts."""
 
 import itertools
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from panelwright.streaming import checkins as C, live as L
+from panelwright.streaming import checkins as C, live as L, records as U
 
 
 def row(request, entity, month, taken=10, missed=0, at=None, p=0.5):
@@ -130,6 +131,14 @@ def test_risk_alerts(spark, tmp_path):
     assert last[1] == ("improving", 9, 0.8) and last[2] == (None, 1, None)
 
 
+def test_equal_timestamps_go_by_the_tie(spark, tmp_path):
+    schema = "entity_id long, failure_probability double, timestamp long, no long"
+    for name, batches in (("a", [[(1, 0.1, 5, 1)], [(1, 0.9, 5, 3), (1, 0.4, 5, 2)]]), ("b", [[(1, 0.9, 5, 3), (1, 0.1, 5, 1)], [(1, 0.4, 5, 2)]])):
+        stream = batches_to_stream(spark, tmp_path / name, batches, schema)
+        last = run_memory(L.risk_alerts(stream, "no"), f"ties_{name}", "update").collect()[-1]
+        assert (last["latest"], last["previous"]) == (0.9, 0.4)
+
+
 def test_daily_intake_counts_each_event_once(spark, tmp_path):
     schema = "event_id long, event_type string, ts timestamp_ntz"
     import datetime as dt
@@ -140,36 +149,84 @@ def test_daily_intake_counts_each_event_once(spark, tmp_path):
     assert {(r["event_type"], r["events"]) for r in got} == {("a", 2), ("b", 1)}
 
 
+RECORD = "id long, name string, created_at long, updated_at long"
+
+
+def records(spark, path, **how):
+    return {r["id"]: (r["name"], r["created_at"], r["updated_at"]) for r in U.RecordTable(spark, str(path), "id", **how).read().collect()}
+
+
 def test_upsert_keeps_creation_and_survives_replay(spark, tmp_path):
-    schema = "id long, name string, created_at long, updated_at long"
-    sink = L.upsert_sink(spark, str(tmp_path / "people"), "id", buckets=4)
-    one = spark.createDataFrame([(1, "a", 10, 10), (2, "b", 11, 11)], schema)
-    two = spark.createDataFrame([(1, "a2", 50, 50), (1, "a1", 40, 40), (3, "c", 51, 51)], schema)
+    path = str(tmp_path / "people")
+    sink, table = U.upsert_sink(spark, path, "id"), U.RecordTable(spark, path, "id")
+    one = spark.createDataFrame([(1, "a", 10, 10), (2, "b", 11, 11)], RECORD)
+    two = spark.createDataFrame([(1, "a2", 50, 50), (1, "a1", 40, 40), (3, "c", 51, 51)], RECORD)
+    assert table.read() is None and not table.fold()
+    want = {1: ("a2", 10, 50), 2: ("b", 11, 11), 3: ("c", 51, 51)}
     sink(one, 0)
     sink(two, 1)
     sink(two, 1)
-    got = {r["id"]: (r["name"], r["created_at"], r["updated_at"]) for r in spark.read.parquet(str(tmp_path / "people")).collect()}
-    assert got == {1: ("a2", 10, 50), 2: ("b", 11, 11), 3: ("c", 51, 51)}
-    assert L.merge_records(None, two, "id").filter("id = 1").first()["name"] == "a2"
-    assert spark.read.parquet(str(tmp_path / "people")).groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").count() == 0
+    assert records(spark, path) == want
+    assert table.fold() and not table.fold() and records(spark, path) == want
+    sink(two, 1)  # a replay of what is folded in already
+    table.clean()
+    assert records(spark, path) == want and sorted(n.split("-")[0] for n in os.listdir(path) if not n.startswith(".")) == ["bits", "folded"]
+    assert U.merge_records(None, two, "id").filter("id = 1").first()["name"] == "a2"
 
 
 def test_upsert_order_of_batches_makes_no_difference(spark, tmp_path):
-    schema = "id long, name string, created_at long, updated_at long"
-    new, old = spark.createDataFrame([(1, "new", 60, 60)], schema), spark.createDataFrame([(1, "old", 30, 30)], schema)
-    tie = spark.createDataFrame([(1, "tie", 20, 60)], schema)
+    frame = lambda *row: spark.createDataFrame([row], RECORD)
+    new, old, tie = frame(1, "new", 60, 60), frame(1, "old", 30, 30), frame(1, "tie", 20, 60)
     results = []
-    for name, batches in (("a", (new, old, tie)), ("b", (tie, old, new))):
-        sink = L.upsert_sink(spark, str(tmp_path / name), "id", buckets=2)
+    for name, batches, every in (("a", (new, old, tie), None), ("b", (tie, old, new), None), ("c", (old, tie, new), 1), ("d", (tie, new, old), 2)):
+        sink = U.upsert_sink(spark, str(tmp_path / name), "id", fold_every=every)
         for i, batch in enumerate(batches):
             sink(batch, i)
-        results.append(spark.read.parquet(str(tmp_path / name)).drop("_bucket").collect())
-    assert results[0] == results[1] and results[0][0]["created_at"] == 20 and results[0][0]["updated_at"] == 60
-
-
-def test_upsert_refuses_a_table_without_buckets(spark, tmp_path):
-    rows = spark.createDataFrame([(2, "b", 11, 11)], "id long, name string, created_at long, updated_at long")
+        results.append(records(spark, tmp_path / name))
+    assert all(r == results[0] for r in results) and results[0][1][1:] == (20, 60)
+
+
+def test_a_batch_writes_its_own_rows_whatever_the_table_holds(spark, tmp_path):
+    def size(path):
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names)
+
+    added = []
+    for n in (200, 20_000):
+        path = str(tmp_path / str(n))
+        table = U.RecordTable(spark, path, "id", bucket_rows=500)
+        rows = spark.range(n).selectExpr("id", "concat('name ', id) as name", "id as created_at", "id as updated_at")
+        table.write(rows, 0)
+        table.fold()
+        before = size(path)
+        table.write(rows.filter("id < 100").withColumn("updated_at", F.lit(10**9)).coalesce(1), 1)
+        added.append(size(path) - before)
+        assert table.read().filter(f"updated_at = {10**9}").count() == 100 and table.read().count() == n
+    assert abs(added[1] - added[0]) < 200
+
+
+def test_buckets_double_and_only_those_with_news_are_rewritten(spark, tmp_path):
+    path = str(tmp_path / "grown")
+    table = U.RecordTable(spark, path, "id", bucket_rows=50)
+    rows = spark.range(3000).selectExpr("id", "cast(id as string) as name", "id as created_at", "id as updated_at")
+    table.write(rows.filter("id < 300"), 0)
+    table.fold()
+    assert os.path.exists(f"{path}/folded-0-3")
+    table.write(rows.filter("id >= 300"), 1)
+    table.fold()
+    assert os.path.exists(f"{path}/folded-1-6")  # 64 buckets of about 50
+    table.write(rows.filter("id = 7").withColumn("updated_at", F.lit(9999)), 2)
+    table.fold()
+    assert sum(n.startswith("bucket=") for n in os.listdir(f"{path}/bits-6/upto=2")) == 1
+    assert table.read().count() == 3000 and records(spark, path)[7] == ("7", 7, 9999)
+    os.remove(f"{path}/folded-2-6")  # as if the job had ended before its marker
+    assert records(spark, path)[7] == ("7", 7, 9999) and table.fold()
+    table.clean()
+    assert table.read().count() == 3000 and records(spark, path)[7] == ("7", 7, 9999)
+
+
+def test_upsert_refuses_a_folder_with_files_of_its_own(spark, tmp_path):
+    rows = spark.createDataFrame([(2, "b", 11, 11)], RECORD)
     rows.write.parquet(str(tmp_path / "plain"))
     with pytest.raises(ValueError):
-        L.upsert_sink(spark, str(tmp_path / "plain"), "id")(rows, 0)
+        U.upsert_sink(spark, str(tmp_path / "plain"), "id")(rows, 0)
     assert spark.read.parquet(str(tmp_path / "plain")).count() == 1
