@@ -6,11 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from panelwright.operators.moments import ROUNDING, pair_moments
 from panelwright.operators.ordering import attach, medians
 from panelwright.operators.profile import one_pass, step_missing_rate
-from panelwright.operators.stats import chi2_tail, correlation_p, group_spearman, safe_corr
-
-PATTERN_CHUNK = 60
+from panelwright.operators.stats import chi2_tail, correlation_p, group_spearman
 
 
 def mcar_statistic(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -82,27 +81,28 @@ def missingness_correlation(
     """(column, max_abs_corr, top_predictors) of each gap indicator with the other columns.
 
     Predictors must be observed in more than half of the rows and are median-filled. All
-    coefficients come from one aggregation per block of pairs.
+    coefficients come from one pass.
     """
     predictors = list(predictors or columns)
-    wide = attach(
-        attach(df.select(*dict.fromkeys([*columns, *predictors])), medians(df, predictors), "_m"),
-        df.agg(*[F.avg(F.col(c).isNotNull().cast("double")).alias(c) for c in predictors]),
-        "_obs",
-    )
-    pairs = [(c, p) for c in columns for p in predictors if c != p]
-    out = None
-    for at in range(0, len(pairs), PATTERN_CHUNK):
-        cells = []
-        for c, p in pairs[at : at + PATTERN_CHUNK]:
-            x = F.coalesce(F.col(p).cast("double"), F.col(f"_m.{p}"))
-            r = F.when(F.max(f"_obs.{p}") > 0.5, F.abs(safe_corr(F.col(c).isNull().cast("double"), x)))
-            cells.append(
-                F.struct(F.lit(c).alias("column"), F.lit(p).alias("predictor"), r.alias("r"),
-                         F.count_if(F.col(c).isNull()).alias("gaps"))
-            )
-        rows = wide.agg(F.array(*cells).alias("_rows")).select(F.inline("_rows"))
-        out = rows if out is None else out.unionByName(rows)
+    wide = attach(df.select(*dict.fromkeys([*columns, *predictors])), medians(df, predictors), "_m")
+    gaps = {c: F.col(c).isNull().cast("double").alias(f"gap_{i}") for i, c in enumerate(columns)}
+    filled = {p: F.coalesce(F.col(p).cast("double"), F.col(f"_m.{p}")).alias(f"fill_{i}") for i, p in enumerate(predictors)}
+    seen = [F.col(p).isNull().cast("double").alias(f"lack_{i}") for i, p in enumerate(predictors)]
+    table = pair_moments(
+        wide.select(*gaps.values(), *filled.values(), *seen), [f"gap_{i}" for i in range(len(columns))],
+        [*[f"fill_{i}" for i in range(len(predictors))], *[f"lack_{i}" for i in range(len(predictors))]])
+    number = F.substring_index("b", "_", -1).cast("int")
+    table = table.withColumns({
+        "column": F.get(F.array(*[F.lit(c) for c in columns]), F.substring_index("a", "_", -1).cast("int")),
+        "predictor": F.get(F.array(*[F.lit(p) for p in predictors]), number)})
+    rows = table.groupBy("column", "predictor").agg(
+        F.max(F.when(F.col("b").startswith("fill_"), F.struct("n", "mean_a", "mean_b", "m2_a", "m2_b", "c"))).alias("m"),
+        F.max(F.when(F.col("b").startswith("lack_"), F.col("mean_b"))).alias("lack"))
+    flat = lambda s: F.col(f"m.m2_{s}") <= F.col("m.n") * F.pow(ROUNDING * F.abs(F.col(f"m.mean_{s}")), 2)
+    r = F.abs(F.try_divide("m.c", F.sqrt("m.m2_a") * F.sqrt("m.m2_b")))
+    out = rows.filter(F.col("column") != F.col("predictor")).select(
+        "column", "predictor", F.round(F.col("m.mean_a") * F.col("m.n")).alias("gaps"),
+        F.when((F.col("lack") < 0.5) & ~flat("a") & ~flat("b"), F.least(r, F.lit(1.0))).alias("r"))
     scored = out.filter("gaps > 0")
     ordered = F.array_sort(
         F.collect_list(

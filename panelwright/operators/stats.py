@@ -13,10 +13,9 @@ from panelwright.functions.numeric import clip
 from panelwright.operators.ordering import (
     attach, average_ranks, exact_quantiles, null_safe_join,
 )
+from panelwright.operators.moments import correlations
 from panelwright.operators.windows import by_step
 
-PAIR_CHUNK = 120
-
 
 def safe_corr(x: Column, y: Column) -> Column:
     """Pearson r over complete pairs; null where a side is constant, which built-in corr
@@ -29,21 +28,19 @@ def safe_corr(x: Column, y: Column) -> Column:
 def pearson_pairs(
     df: DataFrame, columns: Sequence[str], min_obs: int = 10, pairs: Sequence[tuple[str, str]] | None = None
 ) -> DataFrame:
-    """(a, b, r, n) on pairwise complete rows; pairs below ``min_obs`` have a null r."""
-    todo = list(pairs) if pairs is not None else list(combinations(columns, 2))
-    out = None
-    for at in range(0, len(todo), PAIR_CHUNK):
-        cells = []
-        for a, b in todo[at : at + PAIR_CHUNK]:
-            x, y = F.col(a).cast("double"), F.col(b).cast("double")
-            n = F.count_if(x.isNotNull() & y.isNotNull())
-            r = F.when(n >= min_obs, safe_corr(x, y))
-            cells.append(
-                F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("r"), n.alias("n"))
-            )
-        rows = df.agg(F.array(*cells).alias("_rows")).select(F.inline("_rows"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """(a, b, r, n) on pairwise complete rows; pairs below ``min_obs`` have a null r.
+
+    All pairs come from one pass over the table.
+    """
+    wanted = list(pairs) if pairs is not None else list(combinations(columns, 2))
+    left, right = (list(dict.fromkeys(side)) for side in zip(*wanted)) if wanted else ([], [])
+    if not wanted:
+        return df.sparkSession.createDataFrame([], "a string, b string, r double, n long")
+    table = correlations(df, left, right)
+    if len(wanted) < len(left) * len(right):
+        keep = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in wanted])
+        table = table.filter(F.array_contains(keep, F.struct("a", "b")))
+    return table.select("a", "b", F.when(F.col("n") >= min_obs, F.col("r")).alias("r"), "n")
 
 
 def lag_correlation(

@@ -10,6 +10,8 @@ FOLDER = "/root/testdata/sf0.001"
 LAZY = ("attribution", "cleaning", "evaluation", "panels", "profiles", "statistics")
 NAMES = sorted(n for n, q in REGISTRY.items() if q.run.__module__.rsplit(".", 1)[1] in LAZY)
 VECTORISED = {"lag_significance"}
+#: Partial moments, one line per task and column, merge in Python.
+MERGED = {"pearson_matrix", "step_correlation"}
 
 
 def plan_of(spark, name):
@@ -20,7 +22,7 @@ def plan_of(spark, name):
 def test_no_pairwise_joins_and_no_row_functions(spark, name):
     plan = plan_of(spark, name)
     for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "FlatMapGroups"):
-        assert operator not in plan
+        assert operator not in plan or (operator == "FlatMapGroups" and name in MERGED)
     assert name in VECTORISED or "ArrowEvalPython" not in plan
 
 
