@@ -9,6 +9,7 @@ from panelwright.catalog import (  # noqa: F401
     modelling,
     panels,
     profiles,
+    reports,
     statistics,
     streams,
     validation,
