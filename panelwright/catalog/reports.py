@@ -1,11 +1,18 @@
 """Reports: permuted courses, observed schemas, aligned codes and population roll-ups."""
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
-from panelwright.catalog.inputs import EVENT_PANEL, event_panel, r6
+from panelwright.catalog.inputs import (
+    CUSTOMER_STATIC, EVENT_PANEL, ORDER_METRICS, ORDER_PANEL, customer_static, event_panel, order_panel, r6,
+)
 from panelwright.catalog.registry import query
-from panelwright.operators import attribution as A, schema as S, windows as W
+from panelwright.operators import attribution as A, profile as P, schema as S, windows as W
+from panelwright.operators.missing import handle
+from panelwright.plans import audit
 from panelwright.plans.dashboard import population_rollup as rollup
+from panelwright.session import ensure_checkpoint_dir
 from panelwright.sources.tables import read_table
 
 _GROUPS = {"doses": ["doses"], "missed": ["missed"], "both": ["doses", "missed"]}
@@ -134,3 +141,61 @@ def population_rollup(spark, folder):
     entities = people.join(latest, F.col("user_id") == F.col("c_custkey"), "left").drop("user_id")
     records = events.select(F.col("user_id").alias("c_custkey"), F.expr(_ADHERENCE).alias("adherence"))
     return rollup(entities, records, "c_custkey").withColumns({c: r6(c) for c in ("mean_risk", "mean_days")})
+
+
+_STATIC = ("balance", "credit", "nation", "segment")
+
+
+def _nulls(table, columns):
+    return " + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in columns) + f" FROM {table}"
+
+
+@query("M18", "S11", "E12", sql=f"""
+WITH {CUSTOMER_STATIC}, {ORDER_PANEL}
+SELECT 'before' AS section, 'static.rows' AS name, count(*)::VARCHAR AS value FROM static
+UNION ALL SELECT 'before', 'panel.rows', count(*)::VARCHAR FROM order_panel
+UNION ALL SELECT 'before', 'static.columns', '{len(_STATIC) + 1}' UNION ALL SELECT 'before', 'panel.columns', '{len(ORDER_METRICS) + 2}'
+UNION ALL SELECT 'before', 'static.null_cells', ({_nulls("static", _STATIC).replace(" FROM", ")::VARCHAR FROM")}
+UNION ALL SELECT 'before', 'panel.null_cells', ({_nulls("order_panel", ORDER_METRICS).replace(" FROM", ")::VARCHAR FROM")}
+UNION ALL SELECT 'after', 'static.rows', count(*)::VARCHAR FROM static UNION ALL SELECT 'after', 'panel.rows', count(*)::VARCHAR FROM order_panel
+UNION ALL SELECT 'after', 'static.null_cells', '0' UNION ALL SELECT 'after', 'panel.null_cells', '0'
+{" ".join(f"UNION ALL SELECT 'before_nulls', 'static.{c}', count(*) FILTER (WHERE {c} IS NULL)::VARCHAR FROM static" for c in ("entity_id", *_STATIC))}
+{" ".join(f"UNION ALL SELECT 'before_nulls', 'panel.{c}', count(*) FILTER (WHERE {c} IS NULL)::VARCHAR FROM order_panel" for c in ("entity_id", "step", *ORDER_METRICS))}
+{" ".join(f"UNION ALL SELECT 'missing_rate', 'static.{c}', printf('%.2f', 100.0 * count(*) FILTER (WHERE {c} IS NULL) / count(*)) FROM static HAVING count({c}) < count(*)" for c in _STATIC)}
+{" ".join(f"UNION ALL SELECT 'missing_rate', 'panel.{c}', printf('%.2f', 100.0 * count(*) FILTER (WHERE {c} IS NULL) / count(*)) FROM order_panel HAVING count({c}) < count(*)" for c in ORDER_METRICS)}""")
+def missing_audit(spark, folder):
+    """The audit report of a missing-data run, written with its manifest and read back."""
+    before = {
+        "static": audit.watch(customer_static(spark, folder).select("entity_id", *_STATIC)),
+        "panel": audit.watch(order_panel(spark, folder).select("entity_id", "step", *ORDER_METRICS)),
+    }
+    done = handle.handle_missing(
+        before["static"].table, before["panel"].table, "entity_id", list(_STATIC), list(ORDER_METRICS), imputer="linear", max_rounds=1)
+    after = {"static": audit.watch(done.static), "panel": audit.watch(done.panel)}
+    facts = [{name: w.facts for name, w in side.items()} for side in (before, after)]
+    path = f"{ensure_checkpoint_dir(spark)}/audit-{uuid4().hex}"
+    audit.write_audit(spark, audit.audit_report(done, *facts, {"imputer": "linear"}), path)
+    rows = audit.audit_rows(spark, audit.read_audit(spark, path))
+    return rows.filter("section <> 'pathways' AND NOT (section = 'after' AND name LIKE '%.columns')")
+
+
+@query("M19", "P27", "S10", sql="""
+SELECT unnest(['o_orderkey', 'o_totalprice', 'weight', 'day', 'o_orderpriority', 'maybe']) AS "column", count(*) AS rows, count(*) AS rows_back, true AS passed FROM orders""")
+def export_checked(spark, folder):
+    """Orders as a readable CSV with units and dates, each column compared after reading it back."""
+    orders = read_table(spark, folder, "orders").select(
+        "o_orderkey", "o_totalprice", (F.col("o_custkey") % 90).cast("double").alias("weight"), F.col("o_orderdate").cast("date").alias("day"),
+        "o_orderpriority", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey")).alias("maybe"))
+    return audit.export_readable(orders, f"{ensure_checkpoint_dir(spark)}/export-{uuid4().hex}", "o_orderkey", {"weight": "kg"})
+
+
+@query("M19", "A10", sql="""
+WITH g AS (SELECT count(*) FILTER (WHERE c_custkey % 3 = 0) + count(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS nulls, count(*) FILTER (WHERE c_custkey % 7 = 0 AND c_custkey % 3 <> 0) AS odd FROM customer)
+SELECT unnest(['no_identifiers', 'no_nulls', 'no_text_columns', 'all_finite', 'not_empty']) AS "check", unnest([false, nulls = 0, false, odd = 0, true]) AS passed,
+  unnest([1, nulls, 1, odd, 0]::BIGINT[]) AS failures FROM g""")
+def quality_gates_failing(spark, folder):
+    """The gates on a table that breaks four of them."""
+    rows = read_table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("no"), F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).alias("segment"),
+        F.when(F.col("c_custkey") % 3 == 0, None).when(F.col("c_custkey") % 7 == 0, F.lit(float("inf"))).otherwise(F.col("c_acctbal")).alias("balance"))
+    return P.quality_gates(rows, ["name_of_treatment_unit", "no"])

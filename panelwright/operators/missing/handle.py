@@ -35,6 +35,7 @@ def importance_ranking(
     trees: int = 100,
     seed: int = 42,
     min_rows: int = 10,
+    depth: int = 12,
 ) -> DataFrame | None:
     """(source, column, importance) from a balanced forest on labelled rows.
 
@@ -60,7 +61,7 @@ def importance_ranking(
     indexed = StringIndexer(inputCol=label, outputCol="_label").fit(weighted).transform(weighted)
     vectors = VectorAssembler(inputCols=features, outputCol="_x").transform(indexed)
     model = RandomForestClassifier(
-        featuresCol="_x", labelCol="_label", weightCol="_weight", numTrees=trees, maxDepth=5, seed=seed
+        featuresCol="_x", labelCol="_label", weightCol="_weight", numTrees=trees, maxDepth=depth, seed=seed
     ).fit(vectors)
     rows = [
         ("panel" if at >= len(static_columns) else "static",
@@ -82,7 +83,7 @@ def handle_missing(
     step: str = "step",
     config: RouteConfig = RouteConfig(),
     imputer: str = "forest",
-    max_rounds: int | None = 5,
+    max_rounds: int | None = None,
     trees: int = 100,
 ) -> MissingResult:
     """Diagnose, rank, route, treat (drop, listwise, indicator, impute) and fill what is left.

@@ -10,8 +10,8 @@ from panelwright.operators.missing.handle import MissingResult, handle_missing
 from panelwright.operators.missing.route import RouteConfig
 from panelwright.operators.panel import join_static, panel_to_wide
 from panelwright.operators.profile import quality_gates
+from panelwright.plans.audit import audit_report, export_readable, watch, write_audit
 from panelwright.plans.registry import clean_registers
-from panelwright.session import cut_lineage
 from panelwright.sources import registers, sinks
 from panelwright.spec import TableSpec
 
@@ -22,6 +22,8 @@ class CleaningRun:
     panel: DataFrame
     missing: MissingResult
     gates: DataFrame
+    report: dict
+    export: DataFrame | None = None
 
 
 def run_cleaning(
@@ -35,24 +37,29 @@ def run_cleaning(
     """Reads, cleans, diagnoses and fills; with ``out`` also exports.
 
     The cleaned pair is written once before the missing-data passes, which read it many
-    times. Exports: the wide readable table as CSV, the panel as Parquet, the decisions as
-    JSON.
+    times; counts before and after are taken as it is written. Exports: the wide readable
+    table as CSV, checked against the table, the panel as Parquet, the decisions as JSON and
+    the audit report with its manifest, which is written last.
     """
     static, panel = clean_registers(registers.read_registers(spark, folder), spec.entity)
     columns = spec.present(static, (*spec.measures, *spec.categories))
     metrics = spec.present(panel, spec.metrics)
     kept = [spec.entity, *columns]
-    static = cut_lineage(static.select(*kept))
-    panel = cut_lineage(panel.select(spec.entity, spec.step, *metrics))
+    before = {"static": watch(static.select(*kept)), "panel": watch(panel.select(spec.entity, spec.step, *metrics))}
     done = handle_missing(
-        static, panel, spec.entity, columns, metrics,
+        before["static"].table, before["panel"].table, spec.entity, columns, metrics,
         label=spec.label if spec.label in columns else None, step=spec.step, config=config, **options,
     )
-    filled, steps = cut_lineage(done.static), cut_lineage(done.panel)
+    after = {"static": watch(done.static), "panel": watch(done.panel)}
+    filled, steps = after["static"].table, after["panel"].table
+    facts = [{name: w.facts for name, w in side.items()} for side in (before, after)]
+    report = audit_report(done, *facts, {"hard_drop": config.hard_drop, **{k: v for k, v in options.items()}})
+    export = None
     if out:
         left = [c for c in steps.columns if c not in (spec.entity, spec.step)]
         wide = join_static(filled, panel_to_wide(steps, spec.entity, left, step=spec.step), spec.entity)
-        sinks.write_csv(sinks.readable(wide), f"{out}/wide")
+        export = export_readable(wide, f"{out}/wide", spec.entity)
         sinks.write_parquet(steps, f"{out}/panel")
         sinks.write_report(done.decisions, f"{out}/decisions")
-    return CleaningRun(filled, steps, done, quality_gates(filled, spec.identifiers))
+        write_audit(spark, report, f"{out}/audit")
+    return CleaningRun(filled, steps, done, quality_gates(filled, spec.identifiers), report, export)
