@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from panelwright import fixed_values as V
 from panelwright.session import ensure_checkpoint_dir
+from panelwright.sources.headers import file_heads, opens_directly
 
 BOM = "\ufeff"
 CSV_OPTIONS = {"header": "false", "encoding": "UTF-8", "multiLine": "true", "quote": '"', "escape": '"'}
@@ -59,32 +60,37 @@ def _source_name(by_folder: bool) -> Column:
 
 
 def file_catalog(spark: SparkSession, folder: str, by_folder: bool = False) -> DataFrame:
-    """(path, source_file, facility, data_year, head) of every CSV file in a folder.
+    """(path, source_file, facility, data_year, head, second) of every CSV file in a folder.
 
-    ``head`` is the text of the two header rows. Files are listed and opened by tasks, one
-    file per row; nothing but the header text leaves them. With ``by_folder`` a source is a
-    folder ``source=name`` of part files that each carry the two header rows.
+    ``head`` is the text of the two header rows, ``second`` that of the second one. Tasks open
+    the files and read a few kilobytes of each, so data is read once, later; a line break in a
+    quoted header is part of it. A store that only Spark's readers reach is scanned as text.
+    With ``by_folder`` a source is a folder ``source=name`` of part files that each carry the
+    two header rows.
     """
-    files = spark.read.text(
-        folder, wholetext=False, pathGlobFilter="*.csv", recursiveFileLookup=by_folder
-    ).select(
-        plain_path("_metadata.file_path").alias("file_path"),
-        _source_name(by_folder).alias("file_name"), "_metadata.file_block_start",
+    listing = {"pathGlobFilter": "*.csv", "recursiveFileLookup": str(by_folder).lower()}
+    if opens_directly(spark, folder):
+        heads = file_heads(spark, folder, 2, **listing).select("file_path", "head", "second")
+    else:
+        heads = _scanned_heads(spark, folder, 2, listing)
+    path = F.col("file_path")
+    name = F.regexp_extract(path, r"/source=([^/]+)/", 1) if by_folder else F.element_at(F.split(path, "/"), -1)
+    head = F.regexp_replace("head", f"^{BOM}", "")
+    named = heads.filter("head <> ''").select(path.alias("path"), name.alias("source_file"), head.alias("head"), "second")
+    return named.select("path", "source_file", *file_facts(F.col("source_file")), "head", "second")
+
+
+def _scanned_heads(spark: SparkSession, folder: str, lines: int, listing: Mapping[str, str]) -> DataFrame:
+    """(file_path, head, second) from a scan of all lines, of which the first ``lines`` count."""
+    files = spark.read.options(**listing).text(folder).select(
+        plain_path("_metadata.file_path").alias("file_path"), "_metadata.file_block_start",
         F.col("value"), F.monotonically_increasing_id().alias("_at"),
     ).filter("file_block_start = 0")
-    # Header rows are the first lines of a file; only lines up to the second non-empty one count.
-    first = files.groupBy("file_path", "file_name").agg(F.min("_at").alias("_first"))
-    head = (
-        files.join(first, ["file_path", "file_name"])
-        .filter(F.col("_at") < F.col("_first") + 2)
-        .groupBy("file_path", "file_name")
-        .agg(F.array_sort(F.collect_list(F.struct("_at", "value"))).alias("_l"))
-    )
-    text = F.array_join(F.transform("_l", lambda s: s["value"]), "\n")
-    return head.select(
-        F.col("file_path").alias("path"), F.col("file_name").alias("source_file"),
-        *file_facts(F.col("file_name")), F.regexp_replace(text, f"^{BOM}", "").alias("head"),
-    )
+    first = files.groupBy("file_path").agg(F.min("_at").alias("_first"))
+    head = files.join(first, "file_path").filter(F.col("_at") < F.col("_first") + lines).groupBy("file_path").agg(
+        F.array_sort(F.collect_list(F.struct("_at", "value"))).alias("_l"))
+    return head.select("file_path", F.array_join(F.transform("_l", lambda s: s["value"]), "\n").alias("head"),
+                       F.coalesce(F.get("_l", F.lit(1))["value"], F.lit("")).alias("second"))
 
 
 def parse_head(head: str, first_step: str = V.FIRST_STEP_HEADER) -> tuple[tuple, tuple, int, int]:
@@ -115,7 +121,7 @@ def layouts(catalog: DataFrame) -> list[RegisterLayout]:
 
 def layout_drift(catalog: DataFrame) -> DataFrame:
     """(signature, files, example): how many files share each second header row."""
-    signature = F.sha2(F.element_at(F.split("head", "\n"), 2), 256)
+    signature = F.sha2("second", 256)
     return catalog.groupBy(signature.alias("signature")).agg(
         F.count(F.lit(1)).alias("files"), F.min("source_file").alias("example")
     )
@@ -131,11 +137,17 @@ def _all_blank(columns: Sequence[str]) -> Column:
     return F.coalesce(*[F.expr(f"nullif(trim(`{c}`), '')") for c in columns]).isNull()
 
 
-def read_layout(spark: SparkSession, layout: RegisterLayout, by_folder: bool = False) -> DataFrame:
-    """Data rows of the files of one layout, all text, with provenance columns."""
+def read_layout(
+    spark: SparkSession, layout: RegisterLayout, by_folder: bool = False, multi_line: bool = True
+) -> DataFrame:
+    """Data rows of the files of one layout, all text, with provenance columns.
+
+    Without ``multi_line`` no cell may hold a line break, and a large file is many tasks.
+    """
     raw_names = [f"_c{i}" for i in range(layout.width)]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in raw_names])
-    raw = spark.read.options(**CSV_OPTIONS).schema(schema).csv(list(layout.paths))
+    options = {**CSV_OPTIONS, "multiLine": str(multi_line).lower()}
+    raw = spark.read.options(**options).schema(schema).csv(list(layout.paths))
     names = layout.names
     first = F.regexp_replace(F.coalesce(F.trim("_c0"), F.lit("")), f"^{BOM}", "")
     header = (first == (layout.core[0] if not layout.core[0].startswith("col_") else ""))
@@ -179,7 +191,7 @@ def _landing(spark: SparkSession, landing: str | None) -> str:
 
 
 def read_registers(
-    spark: SparkSession, folder: str, landing: str | None = None, by_folder: bool = False
+    spark: SparkSession, folder: str, landing: str | None = None, by_folder: bool = False, multi_line: bool = True
 ) -> DataFrame:
     """All register files of a folder as one wide table of text columns.
 
@@ -187,7 +199,7 @@ def read_registers(
     checkpoint folder.
     """
     found = layouts(file_catalog(spark, folder, by_folder))
-    frames = (read_layout(spark, layout, by_folder) for layout in found)
+    frames = (read_layout(spark, layout, by_folder, multi_line) for layout in found)
     return land(frames, _landing(spark, landing), ["data_year"])
 
 
@@ -206,12 +218,11 @@ def read_yearly(
     """
     glob = "*.csv" if by_folder else "*_[0-9][0-9][0-9][0-9].csv"
     year_in_path = r"/year=(\d{4})/" if by_folder else r"_(\d{4})\.csv$"
-    listing = {"pathGlobFilter": glob, "recursiveFileLookup": by_folder}
-    heads = spark.read.text(folder, **listing).select(
-        plain_path("_metadata.file_path").alias("file_path"), "_metadata.file_block_start",
-        F.monotonically_increasing_id().alias("_at"), "value",
-    ).filter("file_block_start = 0")
-    first = heads.groupBy("file_path").agg(F.min_by("value", "_at").alias("head"))
+    listing = {"pathGlobFilter": glob, "recursiveFileLookup": str(by_folder).lower()}
+    if opens_directly(spark, folder):
+        first = file_heads(spark, folder, 1, **listing).filter("head <> ''").select("file_path", "head")
+    else:
+        first = _scanned_heads(spark, folder, 1, listing)
     groups: dict[str, list[str]] = {}
     for row in first.collect():
         groups.setdefault(row["head"].lstrip(BOM), []).append(row["file_path"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelwright.plans import registry as plan
 from panelwright.sources import cases as C, registers as R, sinks
+from panelwright.sources.headers import file_heads, records_end
 
 SUB = ["Monthly Doses Taken", "Cumulative Doses Taken", "Monthly Missed Doses", "%Adherence", "Weight", "Height",
        "Smear/TB Lamp", "Xpert MTB/RIF"]
@@ -158,3 +159,34 @@ def test_equal_register_rows_are_entities_of_their_own(spark, folder):
     static, panel = plan.clean_registers(rows.unionByName(rows))
     assert static.select("patient_id").distinct().count() == 6 and panel.count() == 78
     assert panel.groupBy("patient_id", "step").count().filter("count > 1").count() == 0
+
+
+def test_a_large_files_header_costs_a_few_kilobytes(spark, tmp_path):
+    folder = tmp_path / "big"
+    folder.mkdir()
+    line = ",".join(["x" * 30] * 30) + "\n"
+    with open(folder / "Asin - 2023.csv", "w", encoding="utf-8") as f:
+        f.write("\ufeffNo.,\"Name\nof unit\",Month 0,\r\n,,Weight,Height\n")
+        f.writelines([line] * (100_000_000 // len(line)))
+    (folder / "Empty - 2024.csv").write_text("")
+    (folder / "Short - 2024.csv").write_text("No.,Sex")
+    heads = {r.file_path.rsplit("/", 1)[1].replace("%20", " "): r for r in file_heads(spark, str(folder), 2).collect()}
+    big = heads["Asin - 2023.csv"]
+    assert big.length > 99_000_000 and big.bytes_read < 64 << 10 and big.records == 2
+    assert "Empty - 2024.csv" not in heads and (heads["Short - 2024.csv"].head, heads["Short - 2024.csv"].records) == ("No.,Sex", 1)
+    found = {r.source_file: r for r in R.file_catalog(spark, str(folder)).collect()}
+    assert sorted(found) == ["Asin - 2023.csv", "Short - 2024.csv"] and found["Asin - 2023.csv"].second == ",,Weight,Height"
+    assert R.parse_head(found["Asin - 2023.csv"].head) == (("No.", "Name\nof unit"), ("Weight", "Height"), 1, 4)
+
+
+def test_records_end_outside_quotes():
+    assert records_end('a,"b\nc"\nd', 1) == (7, 1) and records_end("a", 1) == (-1, 0) and records_end('"a""\n"\n', 1) == (6, 1)
+
+
+def test_scanned_heads_agree_with_opened_ones(spark, tmp_path, monkeypatch):
+    for name, text in (("A - 2023.csv", "No.,Month 0\n,Weight\n1,2\n"), ("B+ - 2024.csv", "No.,Month 0\n,Height\n")):
+        (tmp_path / name).write_text(text)
+    rows = lambda: sorted(map(tuple, R.file_catalog(spark, str(tmp_path)).drop("path").collect()))
+    opened = rows()
+    monkeypatch.setattr(R, "opens_directly", lambda *a: False)
+    assert rows() == opened and len(opened) == 2
