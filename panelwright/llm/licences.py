@@ -17,13 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm.common import ascii_lower, pieces
+from panelwright.llm.licence_texts import WHOLE
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 BETWEEN = re.compile("[\x00-\x2f\x3a-\x60\x7b-\x7f]")
 
 #: Base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Openings and notices of public licence texts by label.
+#: Openings and notices of public licence texts by label, and whole texts.
 TEMPLATES = {
     "mit_text": [
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
@@ -57,6 +58,7 @@ TEMPLATES = {
     "cc_by_nc_text": ["Licensed under CC BY-NC 4.0"],
     "cc_by_sa_text": ["Licensed under CC BY-SA 4.0"],
     "cc_by_text": ["Licensed under CC BY 4.0"],
+    **WHOLE,
 }
 
 
