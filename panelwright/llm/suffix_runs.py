@@ -11,12 +11,12 @@ the i bytes to the left are the repeated ones.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -27,8 +27,8 @@ from panelwright.llm.odd_sketches import text_keys
 GRAM = 32
 #: Bytes that are searched for anchors at a time, with an overlap, however long a text is.
 PART = 4 << 20
-#: A q-gram that occurs more often has its windows compared one by one, by digest.
-HOT, MOST_HOT = 20_000, 1 << 20
+#: Anchors at a q-gram that occurs more often are dealt by the bytes beside it as well.
+HOT = 20_000
 #: Suffixes that one merge takes, and bytes of suffixes that a task gathers for one run.
 MERGE, RUN_BYTES = 30_000, 24 << 20
 
@@ -196,17 +196,41 @@ def repeated(prefix: np.ndarray, lefts: list[bytes], low: np.ndarray, length: in
 
 #: ``at`` packs an anchor's place, how far before it its first window starts, and how many follow.
 ANCHOR = "h long, t1 long, t2 long, at long"
-RUN = "part int, prefix binary, sizes binary, rests binary, low binary, left_sizes binary, lefts binary, number binary, places binary"
+RUN = ("part int, prefix binary, sizes binary, rests binary, low binary, left_sizes binary, lefts binary, number binary, "
+       "places binary, done binary")
 
 
-def _write_run(part: int, suffixes: dict[tuple[bytes, bytes, int], list[tuple[int, int, int]]]) -> tuple:
+def entries(h: int, hot: bool, data: bytes, place: int, low: int, high: int, length: int, parts: int) -> Iterator[tuple[int, int, int]]:
+    """``part, low, high``: where an anchor's windows, with ``low`` to ``high`` bytes left of it, are merged.
+
+    Equal windows have equal bytes beside their equal anchors, so those of a frequent q-gram can
+    be dealt by these: by the bytes behind the q-gram if enough of the window lies there, else by
+    those before it.
+    """
+    if not hot:
+        yield h % parts, low, high
+        return
+    half = (length - GRAM) // 2
+    if low <= half:
+        behind = data[place + GRAM:place + length - half]
+        yield xxhash.xxh3_64_intdigest(behind, h & 0xFFFFFFFF) % parts, low, min(high, half)
+    if high > half:
+        before = data[place - half - 1:place]
+        yield xxhash.xxh3_64_intdigest(before, ~h & 0xFFFFFFFF) % parts, max(low, half + 1), high
+
+
+def _write_run(part: int, suffixes: dict[tuple[bytes, bytes, int], list[tuple[int, int, int]]], length: int) -> tuple:
+    """A sorted run. Of places with the same bytes two suffice to find others; the rest are done:
+    their windows occur twice already, and only their spans go on."""
     keys = sorted(suffixes)
+    done = [(t1, t2, p - len(k[1]), p - k[2] + length) for k in keys for t1, t2, p in suffixes[k][2:]]
+    suffixes = {k: suffixes[k][:2] for k in keys}
     prefix, rests = front_code([k[0] for k in keys])
     ints = lambda values: np.array(values, np.int32).tobytes()
     places = [p for k in keys for p in suffixes[k]]
     return (part, prefix.tobytes(), ints([len(r) for r in rests]), b"".join(rests), ints([k[2] for k in keys]),
             ints([len(k[1]) for k in keys]), b"".join(k[1] for k in keys), ints([len(suffixes[k]) for k in keys]),
-            np.array(places, np.int64).tobytes())
+            np.array(places, np.int64).tobytes(), np.array(done, np.int64).tobytes())
 
 
 def _cut(data: bytes, sizes: np.ndarray) -> list[bytes]:
@@ -224,10 +248,10 @@ def repeated_spans(docs: DataFrame, text: str, length: int = 200) -> DataFrame:
     that overlap; an empty table gives an empty result.
 
     What crosses the network is a line of numbers per anchor (about one in 85 bytes) and the
-    bytes around anchors whose q-gram occurs twice, front-coded. A q-gram that occurs over
-    20,000 times would make a large group; its windows meet one by one, by 128-bit digest.
+    bytes around anchors whose q-gram occurs twice, front-coded. No merge takes an unbounded
+    group: a frequent q-gram's anchors are dealt by the bytes beside it, and a run holds a
+    string and its surroundings twice at most, however often they occur.
     """
-    spark = docs.sparkSession
     keyed = text_keys(docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")), "text").filter(
         F.octet_length("text") >= length)
     keyed = keyed.select("t1", "t2", "text")
@@ -245,14 +269,11 @@ def repeated_spans(docs: DataFrame, text: str, length: int = 200) -> DataFrame:
 
     listed = landed(keyed.mapInArrow(list_anchors, ANCHOR), "anchors")
     counts = landed(listed.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
-    total = counts.agg(F.sum("n"), F.count("*")).first()
-    limit = max(HOT, (total[0] or 0) // MOST_HOT)
-    parts = max(1, -(-(total[0] or 0) // MERGE))
-    hot = counts.filter(F.col("n") > limit).select("h")
-    warm = counts.filter(F.col("n") <= limit).select("h")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    parts = max(1, -(-total // MERGE))
     chosen = (
-        listed.join(warm, "h").groupBy("t1", "t2")
-        .agg(F.collect_set(F.struct("at", "h")).alias("anchors"))
+        listed.join(counts.select("h", (F.col("n") > HOT).alias("hot")), "h").groupBy("t1", "t2")
+        .agg(F.collect_set(F.struct("at", "h", "hot")).alias("anchors"))
     )
     packed = keyed.withColumn("text", _pack("text"))
 
@@ -268,16 +289,17 @@ def repeated_spans(docs: DataFrame, text: str, length: int = 200) -> DataFrame:
                 data = unpack(value)
                 for a in own:
                     place, before, follow = a["at"] >> 32, a["at"] >> 16 & 0xFFFF, a["at"] & 0xFFFF
-                    first, last = place - before, place - before + follow
-                    # The suffix, what its windows hold to its left, and the least that they hold there.
-                    key = (data[place:last + length], data[first:place], place - last)
-                    runs.setdefault(a["h"] % parts, {}).setdefault(key, []).append((t1, t2, place))
-                    held += len(key[0]) + len(key[1])
+                    for part, low, high in entries(a["h"], a["hot"], data, place, before - follow, before, length, parts):
+                        # The suffix, what its windows hold to its left, and the least that they hold there.
+                        key = (data[place:place - low + length], data[place - high:place], low)
+                        own_ = runs.setdefault(part, {}).setdefault(key, [])
+                        held += len(key[0]) + len(key[1]) if not own_ else 100
+                        own_.append((t1, t2, place))
                 if held > RUN_BYTES:
-                    yield pd.DataFrame([_write_run(p, s) for p, s in runs.items()], columns=names)
+                    yield pd.DataFrame([_write_run(p, s, length) for p, s in runs.items()], columns=names)
                     runs, held = {}, 0
         if runs:
-            yield pd.DataFrame([_write_run(p, s) for p, s in runs.items()], columns=names)
+            yield pd.DataFrame([_write_run(p, s, length) for p, s in runs.items()], columns=names)
 
     def merge_runs(frame: pd.DataFrame) -> pd.DataFrame:
         read = lambda c: [np.frombuffer(x, np.int32) for x in frame[c]]
@@ -303,39 +325,15 @@ def repeated_spans(docs: DataFrame, text: str, length: int = 200) -> DataFrame:
         stop = np.nonzero(edge == -1)[1] - 1
         spread = np.repeat(np.arange(len(row)), number[row])
         spots = np.concatenate([places[r] for r in row]) if len(row) else np.empty((0, 3), np.int64)
-        return pd.DataFrame({"t1": spots[:, 0], "t2": spots[:, 1], "start": spots[:, 2] - stop[spread],
-                             "stop": spots[:, 2] - start[spread] + length})
+        done = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 4) for x in frame["done"]])
+        return pd.DataFrame({
+            "t1": np.concatenate([spots[:, 0], done[:, 0]]), "t2": np.concatenate([spots[:, 1], done[:, 1]]),
+            "start": np.concatenate([spots[:, 2] - stop[spread], done[:, 2]]),
+            "stop": np.concatenate([spots[:, 2] - start[spread] + length, done[:, 3]])})
 
     runs = packed.join(chosen, ["t1", "t2"]).mapInPandas(write_runs, RUN)
     spans = runs.groupBy("part").applyInPandas(merge_runs, "t1 long, t2 long, start long, stop long")
 
-    frequent = {r.h for r in hot.collect()}
-    if frequent:
-        shared = spark.sparkContext.broadcast(np.array(sorted(frequent), np.int64))
-
-        def list_windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                digest, ids, start = [], [], []
-                for t1, t2, value in zip(*(c.to_pylist() for c in batch.columns)):
-                    data = value.encode()
-                    h, _, first, last = anchors(np.frombuffer(data, np.uint8), length)
-                    for k in np.flatnonzero(np.isin(h.view(np.int64), shared.value)):
-                        for s in range(first[k], last[k] + 1):
-                            digest.append(hashlib.blake2b(data[s:s + length], digest_size=16).digest())
-                            ids.append((t1, t2))
-                            start.append(s)
-                if start:
-                    t = np.array(ids, np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(digest, pa.binary()), pa.array(t[:, 0]), pa.array(t[:, 1]), pa.array(start, pa.int64())],
-                        names=["d", "t1", "t2", "start"])
-
-        windows = landed(keyed.mapInArrow(list_windows, "d binary, t1 long, t2 long, start long"), "windows")
-        # Landed, so that the join has an exchange on either side and Spark can split a frequent digest.
-        twice = landed(windows.groupBy("d").agg(F.count("*").alias("n")).filter("n > 1").select("d"), "twice")
-        more = windows.join(twice, "d").select("t1", "t2", "start", (F.col("start") + length).alias("stop"))
-        spans = spans.unionByName(more)
-
     @F.pandas_udf("array<struct<start:long,stop:long>>")
     def united(parts: pd.Series) -> pd.Series:
         out = []
