@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from panelwright.functions.text import feature_family, feature_group
 from panelwright.operators.evaluate import binary_metrics, rank_metrics
-from panelwright.operators.ordering import hash_bucket, row_numbers
+from panelwright.operators.ordering import hash_bucket, looked_up, row_numbers
 from panelwright.operators.resample import digest_place
 from panelwright.operators.windows import last_rows, share_of_total
 from panelwright.session import cut_lineage
@@ -31,7 +31,7 @@ def uncovered(attributions: DataFrame, groups: DataFrame) -> DataFrame:
 
 def roll_up(attributions: DataFrame, groups: DataFrame, entity: str = "case_id") -> DataFrame:
     """Signed and absolute sums, sign and member count per (entity, group)."""
-    joined = attributions.join(groups.select("feature", "group"), "feature")
+    joined = looked_up(attributions, "feature", groups, "feature", "group", "group").filter(F.col("group").isNotNull())
     summed = joined.groupBy(entity, "group").agg(
         F.sum("value").alias("signed_sum"),
         F.sum(F.abs("value")).alias("abs_sum"),

@@ -281,6 +281,26 @@ def keyed_values(table: DataFrame, key: str, value: str) -> Column:
     return table.agg(F.map_from_entries(F.collect_list(F.struct(key, value)))).scalar()
 
 
+#: Rows of a lookup table that every task may hold as a map, and copies of a longer one's rows.
+LOOKUP_ROWS, LOOKUP_SALTS = 10_000, 16
+
+
+def looked_up(df: DataFrame, key: str, table: DataFrame, table_key: str, value: str, name: str) -> DataFrame:
+    """Adds ``name``: the ``value`` that ``table``, unique by ``table_key``, holds for ``key``; else null.
+
+    The table is counted first. A short one becomes a map in every task, so a key that a third
+    of the rows share moves nothing. A longer one is joined with its rows copied to salts, over
+    which a key's rows are spread by a hash of the whole row.
+    """
+    found = table.select(F.col(table_key).alias("_k"), F.col(value).alias("_v")).filter("_k is not null")
+    if found.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS:
+        return df.withColumn(name, F.try_element_at(keyed_values(found, "_k", "_v"), F.col(key).cast(found.schema["_k"].dataType)))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(LOOKUP_SALTS)))
+    copies = found.withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LOOKUP_SALTS - 1).cast("long"))))
+    joined = salted.join(copies, (F.col(key) == F.col("_k")) & (F.col("_salt") == F.col("_at")), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns if c != name], F.col("_v").alias(name))
+
+
 def attach(df: DataFrame, fit: DataFrame, name: str) -> DataFrame:
     """Adds a one-row fit table to every row as a struct column, as a scalar subquery."""
     return df.withColumn(name, fit.select(F.struct(*fit.columns)).scalar())

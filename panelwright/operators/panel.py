@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelwright.fixed_values import PANEL_STEPS
-from panelwright.operators.ordering import row_numbers
+from panelwright.operators.ordering import looked_up, row_numbers
 
 WIDE_COLUMN = re.compile(r"^m(\d+)_(.+)$")
 
@@ -161,10 +161,10 @@ def label_codes(df: DataFrame, column: str) -> DataFrame:
 
 
 def encode(df: DataFrame, column: str, codes: DataFrame) -> DataFrame:
-    table = codes.select(F.col("value").alias(column), F.col("code").alias(f"{column}_code"))
-    return df.join(table, column, "left")
+    """``df`` with the code of each value; null where the table lacks it."""
+    return looked_up(df, column, codes, "value", "code", f"{column}_code")
 
 
 def decode(df: DataFrame, code: str, codes: DataFrame, name: str) -> DataFrame:
-    table = codes.select(F.col("code").alias(code), F.col("value").alias(name))
-    return df.join(table, code, "left")
+    """``df`` with the value of each code; null where the table lacks it."""
+    return looked_up(df, code, codes, "code", "value", name)

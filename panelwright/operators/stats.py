@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from panelwright.functions.numeric import clip
 from panelwright.operators.ordering import (
-    attach, average_ranks, exact_quantiles, null_safe_join,
+    attach, average_ranks, exact_quantiles, keyed_values, looked_up, null_safe_join,
 )
 from panelwright.operators.moments import correlations
 from panelwright.operators.windows import by_step
@@ -168,7 +168,7 @@ def spearman(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
         ranked = cells
         for side in ("x", "y"):
             margin = cells.groupBy(side).agg(F.sum("w").alias("n"))
-            ranked = ranked.join(_weighted_ranks(margin, side), side)
+            ranked = looked_up(ranked, side, _weighted_ranks(margin, side), side, f"rank_{side}", f"rank_{side}")
         w, x, y = F.col("w"), F.col("rank_x"), F.col("rank_y")
         sums = ranked.agg(
             F.sum(w).alias("n"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"),
@@ -232,9 +232,11 @@ def cramers_v(
         F.count_distinct("va").alias("levels_a"),
         F.count_distinct("vb").alias("levels_b"),
     )
-    joined = (
-        cells.join(rows, ["a", "b", "va"]).join(cols, ["a", "b", "vb"]).join(size, ["a", "b"])
-    )
+    # One line per pair of columns: a map, since a join on so few keys would gather the cells.
+    pair = F.struct("a", "b")
+    facts = keyed_values(size.select(pair.alias("pair"), F.struct("n", "levels_a", "levels_b").alias("f")), "pair", "f")
+    joined = cells.join(rows, ["a", "b", "va"]).join(cols, ["a", "b", "vb"]).withColumn("_f", F.try_element_at(facts, pair)).select(
+        "*", "_f.*").drop("_f")
     n, r, c = F.col("n").cast("double"), F.col("row_n"), F.col("col_n")
     expected = r * c / n
     # Cells never observed still count: summing o^2/e over the seen cells and taking n off

@@ -65,3 +65,14 @@ def test_no_rows(spark):
     assert O.exact_quantiles(empty, ["x"], {"m": 0.5}).count() == 0
     assert O.medians(empty, ["x"]).first()["x"] is None
     assert O.modes(empty, ["s"]).first()["s"] is None
+
+
+@pytest.mark.parametrize("rows", [10_000, 3])
+def test_lookups_by_map_and_by_salted_join_agree(spark, monkeypatch, rows):
+    from panelwright.operators import ordering
+
+    monkeypatch.setattr(ordering, "LOOKUP_ROWS", rows)
+    df = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(60)] + [(99, None)], "id long, key string")
+    table = spark.createDataFrame([("hot", 1), *[(f"k{i}", i) for i in range(0, 60, 6)], (None, 7)], "name string, code int")
+    got = {r.id: r.code for r in ordering.looked_up(df, "key", table, "name", "code", "code").collect()}
+    assert got == {**{i: 1 if i % 3 else (i if i % 6 == 0 else None) for i in range(60)}, 99: None}
