@@ -83,7 +83,3 @@ def parse_lenient(c: Column) -> Column:
 
 def blank_to_null(c: Column) -> Column:
     return F.when(F.trim(c) != "", c)
-
-
-def sentinel_to_null(c: Column, sentinels: Sequence[str]) -> Column:
-    return F.when(~F.trim(c).isin(*sentinels), c)

@@ -286,8 +286,3 @@ def auc_over_folds(df: DataFrame, label: str, score: str, fold: str = "fold") ->
 
 def top_rows(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
-
-
-def running_share(df: DataFrame, by: str, value: str) -> DataFrame:
-    w = Window.partitionBy(by)
-    return df.withColumn("share", F.col(value) / F.sum(value).over(w))

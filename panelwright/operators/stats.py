@@ -353,13 +353,6 @@ def standardize(df: DataFrame, fit: DataFrame, columns: Sequence[str]) -> DataFr
     return wide.drop("_fit")
 
 
-def scaled_bounds(bounds: Mapping[str, tuple[float | None, float | None]], df: DataFrame) -> DataFrame:
-    for c, (low, high) in bounds.items():
-        if c in df.columns:
-            df = df.withColumn(c, clip(F.col(c), low, high))
-    return df
-
-
 def density(df: DataFrame, column: str, points: Sequence[float]) -> DataFrame:
     """Gaussian kernel density at fixed points with Scott's bandwidth, as one aggregation.
 
