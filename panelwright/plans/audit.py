@@ -7,7 +7,7 @@ import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from panelwright.functions.text import show_date
 from panelwright.operators.missing.handle import MissingResult
@@ -20,18 +20,21 @@ DATE_PATTERN = "MM/dd/yyyy"
 
 @dataclass
 class Watched:
-    """A table written once, with the counts that were taken while it passed."""
+    """A table written once, and what it holds."""
 
     table: DataFrame
     facts: dict = field(default_factory=dict)
 
 
 def watch(df: DataFrame) -> Watched:
-    """Writes ``df`` as a checkpoint and counts rows and nulls per column on the way, not by another scan."""
-    seen = Observation()
+    """Writes ``df`` as a checkpoint and counts its rows and nulls per column in one pass over that.
+
+    An ``Observation`` would count while the rows pass, but with one in a session Spark ML can no
+    longer serialise its tasks there (Spark 4.1), so the written table is read once instead.
+    """
+    table = cut_lineage(df)
     counts = [F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}") for i, c in enumerate(df.columns)]
-    table = cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("rows"), *counts))
-    got = seen.get
+    got = table.agg(F.count(F.lit(1)).alias("rows"), *counts).first()
     nulls = {c: int(got[f"n{i}"]) for i, c in enumerate(df.columns)}
     return Watched(table, {"rows": int(got["rows"]), "columns": len(df.columns), "null_cells": sum(nulls.values()), "nulls": nulls})
 

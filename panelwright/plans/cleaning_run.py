@@ -37,7 +37,7 @@ def run_cleaning(
     """Reads, cleans, diagnoses and fills; with ``out`` also exports.
 
     The cleaned pair is written once before the missing-data passes, which read it many
-    times; counts before and after are taken as it is written. Exports: the wide readable
+    times; counts before and after come from one pass over each. Exports: the wide readable
     table as CSV, checked against the table, the panel as Parquet, the decisions as JSON and
     the audit report with its manifest, which is written last.
     """

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from panelwright.plans import audit
 
 
-def test_counts_are_taken_while_the_table_is_written(spark):
+def test_counts_come_from_the_written_table(spark):
     seen = spark.sparkContext.accumulator(0)
     rows = spark.createDataFrame([(1, None), (2, "x"), (None, None)], "a int, b string")
     counted = rows.filter(F.udf(lambda a: seen.add(1) or True, "boolean")("a"))
