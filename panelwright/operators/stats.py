@@ -17,6 +17,10 @@ from panelwright.operators.moments import correlations
 from panelwright.operators.windows import by_step
 
 
+#: Pairs up to which one aggregation in the JVM is cheaper than batches in Python.
+FEW_PAIRS = 120
+
+
 def safe_corr(x: Column, y: Column) -> Column:
     """Pearson r over complete pairs; null where a side is constant, which built-in corr
     answers with a division error in ANSI mode."""
@@ -30,12 +34,23 @@ def pearson_pairs(
 ) -> DataFrame:
     """(a, b, r, n) on pairwise complete rows; pairs below ``min_obs`` have a null r.
 
-    All pairs come from one pass over the table.
+    All pairs come from one pass over the table: a few as one aggregation, many by
+    :func:`correlations`. Non-finite values are gaps.
     """
     wanted = list(pairs) if pairs is not None else list(combinations(columns, 2))
     left, right = (list(dict.fromkeys(side)) for side in zip(*wanted)) if wanted else ([], [])
     if not wanted:
         return df.sparkSession.createDataFrame([], "a string, b string, r double, n long")
+    if len(wanted) <= FEW_PAIRS:
+        value = lambda c: F.col(c).cast("double")
+        known = {c: F.when(~F.isnan(value(c)) & (F.abs(value(c)) < float("inf")), value(c)) for c in (*left, *right)}
+        cells = []
+        for a, b in wanted:
+            n = F.count_if(known[a].isNotNull() & known[b].isNotNull())
+            r = F.when(n >= min_obs, safe_corr(known[a], known[b]))
+            cells.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("r"), n.alias("n")))
+        table = df.agg(F.count(F.lit(1)).alias("_all"), F.array(*cells).alias("_rows"))
+        return table.filter("_all > 0").select(F.inline("_rows"))
     table = correlations(df, left, right)
     if len(wanted) < len(left) * len(right):
         keep = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in wanted])

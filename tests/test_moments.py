@@ -53,10 +53,14 @@ def test_parts_merge_in_any_grouping():
         assert np.allclose(total, whole, rtol=1e-9, atol=1e-6)
 
 
-def test_non_finite_values_are_gaps_and_no_rows_give_none(spark):
+@pytest.mark.parametrize("few", [120, 0])
+def test_non_finite_values_are_gaps_and_no_rows_give_none(spark, monkeypatch, few):
+    monkeypatch.setattr(S, "FEW_PAIRS", few)
     frame = spark.createDataFrame([(1.0, 2.0), (float("nan"), 1.0), (2.0, float("inf")), (3.0, 5.0), (4.0, 4.0)], "a double, b double")
     (r,) = S.pearson_pairs(frame, ["a", "b"], min_obs=2).collect()
     assert r.n == 3 and r.r == pytest.approx(np.corrcoef([1, 3, 4], [2, 5, 4])[0, 1])
     assert S.pearson_pairs(frame, ["a", "b"], min_obs=4).first().r is None
     assert S.pearson_pairs(frame.filter(F.lit(False)), ["a", "b"]).count() == 0
     assert S.pearson_pairs(frame, ["a"]).count() == 0
+    apart = spark.createDataFrame([(1.0, None), (None, 2.0)], "a double, b double")
+    assert [(r.n, r.r) for r in S.pearson_pairs(apart, ["a", "b"]).collect()] == [(0, None)]
