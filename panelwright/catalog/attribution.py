@@ -9,75 +9,109 @@ from panelwright.operators import attribution as A, explain as X
 from panelwright.sources import sinks
 from panelwright.sources.tables import read_table
 
-_WORDS = {
-    "1-URGENT": "Treatment Adherence strongly increases the risk, and Age reduces it slightly.",
-    "2-HIGH": "Body Weight is lower here. Smear Result shows a mixed effect.",
-    "3-MEDIUM": "We saw that Xpert MTB/RIF moderately raises risk while Missed Doses varied.",
-    "4-NOT SPECIFIED": "No factor was named.",
-    "5-LOW": "Age and Vital Signs were inconsistent.",
-}
+#: Two spellings of the feature that each line number stands for.
+_SPOKEN = (
+    ("Treatment Adherence", "treatment adherence"), ("Body Weight", "BODY WEIGHT"), ("Age", "age"),
+    ("Xpert Result", "Xpert MTB/RIF"), ("Missed Doses", "missed doses"), ("Smear Result", "Smear/TB Lamp"),
+    ("Vital Signs", "vital signs"),
+)
+_ADVERBS = ("strongly", "moderately", "slightly")
+_VERBS = {"A": "raises", "N": "lowers", "R": "has a mixed effect on"}
+_SILENT = "No factor was named."
 
 
 def explanations(spark, folder):
-    """One explanation per order: a sentence by priority, with the order's document-like tail."""
+    """One explanation per order: a sentence per line, and after the first the whole document of the order's number.
+
+    A sentence names the line's feature in one of two spellings, with an adverb (every fourth
+    supplier has none) and a direction by return flag; equal sentences of a line number stand
+    once. Orders without priority name no feature. Orders without lines and document have no text.
+    """
     from panelwright.catalog.cleaning import pick
 
-    return read_table(spark, folder, "orders").select(
-        F.col("o_orderkey").alias("case_id"), pick("o_orderpriority", _WORDS).alias("explanation")
-    )
+    spellings = F.array(*[F.array(*[F.lit(w) for w in pair]) for pair in _SPOKEN])
+    name = F.get(F.get(spellings, F.col("l_linenumber") - 1), (F.col("l_partkey") % 2).cast("int"))
+    adverb = F.get(F.array(*[F.lit(w) for w in _ADVERBS]), (F.col("l_suppkey") % 4).cast("int"))
+    sentence = F.concat_ws(" ", name, adverb, pick("l_returnflag", _VERBS), F.lit("the risk."))
+    said = F.collect_set(F.struct("l_linenumber", sentence.alias("said")))  # at most 168 a case
+    stated = read_table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("case_id")).agg(
+        F.array_sort(said)["said"].alias("said"))
+    texts = read_table(spark, folder, "documents").select(F.col("doc_id").alias("case_id"), "text")
+    cases = read_table(spark, folder, "orders").select(F.col("o_orderkey").alias("case_id"), "o_orderpriority")
+    silent = F.col("o_orderpriority") == "4-NOT SPECIFIED"
+    rest = F.when(~silent & (F.size("said") > 1), F.array_join(F.slice("said", 2, 168), " "))
+    whole = F.concat_ws("\n", F.when(silent, _SILENT).otherwise(F.get("said", F.lit(0))), "text", rest)
+    told = cases.join(stated, "case_id", "left").join(texts, "case_id", "left")
+    return told.select("case_id", F.nullif(whole, F.lit("")).alias("explanation"))
+
+
+def _listed(words):
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+_TEXTS = f"""
+said AS (
+  SELECT DISTINCT l_orderkey AS case_id, l_linenumber AS n, concat_ws(' ',
+         list_extract(list_extract([{", ".join(_listed(pair) for pair in _SPOKEN)}], l_linenumber), 1 + l_partkey % 2),
+         list_extract({_listed(_ADVERBS)}, 1 + l_suppkey % 4),
+         CASE l_returnflag {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _VERBS.items())} END, 'the risk.') AS said FROM lineitem),
+places AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY n, said) AS place FROM said),
+stated AS (SELECT case_id, max(said) FILTER (WHERE place = 1) AS opening,
+                  string_agg(said, ' ' ORDER BY place) FILTER (WHERE place > 1) AS rest FROM places GROUP BY 1),
+texts AS (SELECT o_orderkey AS case_id, nullif(concat_ws(chr(10),
+                 CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN '{_SILENT}' ELSE opening END, text,
+                 CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN rest END), '') AS explanation
+          FROM orders LEFT JOIN stated ON case_id = o_orderkey LEFT JOIN documents ON doc_id = o_orderkey)"""
+
+
+def _claims_sql(source, vocabulary, increase, decrease, mixed, magnitudes, around=V.CLAIM_CONTEXT_CHARS):
+    """Claims in ``source`` (case_id, explanation) as a table expression ``claims``."""
 
+    def has(words):
+        edge = "[^\\p{L}\\p{N}_]"
+        return f"regexp_matches(c, '(^|{edge})(?:{'|'.join(words)})($|{edge})')"
 
-_CLAIMS = """
-claims(o_orderpriority, feature, direction, magnitude) AS (VALUES
-  ('1-URGENT', 'Treatment Adherence', 'increase', 'strong'), ('1-URGENT', 'Age', 'increase', 'strong'),
-  ('2-HIGH', 'Body Weight', 'decrease', 'unspecified'), ('2-HIGH', 'Smear Result', 'decrease', 'unspecified'),
-  ('3-MEDIUM', 'Xpert MTB/RIF', 'increase', 'moderate'), ('3-MEDIUM', 'Missed Doses', 'increase', 'moderate'),
-  ('5-LOW', 'Age', 'mixed', 'unspecified'), ('5-LOW', 'Vital Signs', 'mixed', 'unspecified'))"""
+    sizes = " ".join(f"WHEN {has([word])} THEN '{label}'" for word, label in magnitudes)
+    return f"""
+vocabulary(feature) AS (VALUES {", ".join(f"('{w}')" for w in vocabulary)}),
+lowered AS (SELECT case_id, lower(explanation) AS t FROM {source}),
+mentions AS (SELECT case_id, feature, strpos(t, lower(feature)) AS position, t FROM lowered JOIN vocabulary ON contains(t, lower(feature))),
+contexts AS (SELECT case_id, feature, position, substr(t, GREATEST(1, position - {around}),
+             position + length(feature) + {around} - GREATEST(1, position - {around})) AS c FROM mentions),
+claims AS (
+  SELECT case_id, feature, CAST(position AS INTEGER) AS position,
+         CASE WHEN {has(increase)} THEN 'increase' WHEN {has(decrease)} THEN 'decrease' WHEN {has(mixed)} THEN 'mixed' END AS direction,
+         CASE {sizes} ELSE 'unspecified' END AS magnitude
+  FROM contexts WHERE {has([*increase, *decrease, *mixed])})"""
 
 
-@query("E7", sql=f"""
-WITH {_CLAIMS}
-SELECT o_orderkey AS case_id, feature, direction, magnitude FROM orders JOIN claims USING (o_orderpriority)""")
-def explanation_claims(spark, folder):
-    return X.claims(explanations(spark, folder), "explanation", "case_id").drop("position")
+_CLAIMS = f"""{_TEXTS},
+{_claims_sql("texts", V.KNOWN_FEATURES, V.INCREASE_PHRASES, V.DECREASE_PHRASES, V.MIXED_PHRASES, V.MAGNITUDE_WORDS)}"""
 
 
-def _text_claims_sql():
-    feats = [(w, w.lower()) for w in ("that", "and", "Age", "Sex", "Dates", "Height")]
-    up, down = "higher|the|increase", "lower|in|decrease"
-    rows = " UNION ALL ".join(
-        f"SELECT doc_id, '{n}' AS feature, strpos(lower(text), '{w}') AS position, lower(text) AS t FROM documents "
-        f"WHERE contains(lower(text), '{w}')" for n, w in feats
-    )
+@query("E7", sql=f"WITH {_CLAIMS} SELECT * FROM claims")
+def explanation_claims(spark, folder):
+    return X.claims(explanations(spark, folder), "explanation", "case_id")
 
-    def has(words):
-        edge = "[^\\p{L}\\p{N}_]"
-        return f"regexp_matches(c, '(^|{edge})(?:{words})($|{edge})')"
 
-    return f"""
-WITH m AS ({rows}), c AS (
-  SELECT doc_id, feature, position, substr(t, GREATEST(1, position - 250),
-         position + length(feature) + 250 - GREATEST(1, position - 250)) AS c FROM m)
-SELECT doc_id, feature, CAST(position AS INTEGER) AS position, CASE WHEN {has(up)} THEN 'increase'
-       WHEN {has(down)} THEN 'decrease' WHEN {has("of")} THEN 'mixed' END AS direction,
-       CASE WHEN {has("st")} THEN 'strong' ELSE 'unspecified' END AS magnitude
-FROM c WHERE {has(up)} OR {has(down)} OR {has("of")}"""
+_PROSE = dict(
+    vocabulary=["that", "and", "Age", "Sex", "Dates", "Height"], increase=["higher", "the", "increase"],
+    decrease=["lower", "in", "decrease"], mixed=["of"], magnitudes=[("st", "strong")],
+)
 
 
-@query("E7", sql=_text_claims_sql())
+@query("E7", sql=f"""
+WITH texts AS (SELECT doc_id AS case_id, text AS explanation FROM documents), {_claims_sql("texts", **_PROSE)}
+SELECT case_id AS doc_id, feature, position, direction, magnitude FROM claims""")
 def claims_in_documents(spark, folder):
-    return X.claims(
-        read_table(spark, folder, "documents"), "text", "doc_id",
-        vocabulary=["that", "and", "Age", "Sex", "Dates", "Height"], increase=["higher", "the", "increase"],
-        decrease=["lower", "in", "decrease"], mixed=["of"], magnitudes=[("st", "strong")],
-    )
+    return X.claims(read_table(spark, folder, "documents"), "text", "doc_id", **_PROSE)
 
 
 @query("E7", "A22", sql=f"""
-WITH {_CLAIMS}, n AS (SELECT o_orderpriority, count(*) AS n FROM claims GROUP BY 1)
-SELECT o_orderkey AS case_id, CASE WHEN n IS NULL THEN 'parse_failed' ELSE 'ok' END AS status,
+WITH {_CLAIMS}, n AS (SELECT case_id, count(*) AS n FROM claims GROUP BY 1)
+SELECT case_id, CASE WHEN n IS NULL THEN 'parse_failed' ELSE 'ok' END AS status,
        CAST(coalesce(n, 0) AS BIGINT) AS claims, round(coalesce(n, 0) / {len(V.KNOWN_FEATURES)}.0::DOUBLE, 6) AS coverage
-FROM orders LEFT JOIN n USING (o_orderpriority)""")
+FROM texts LEFT JOIN n USING (case_id)""")
 def claim_coverage(spark, folder):
     cases = explanations(spark, folder)
     table = X.coverage(X.claims(cases, "explanation", "case_id"), cases, "case_id")
@@ -99,10 +133,12 @@ def truth_rows(spark, folder):
     return X.truth_rows(attributions(spark, folder))
 
 
+_NAMES = {c.lower().replace("_", " "): c for c in V.CANONICAL_FEATURES} | V.FEATURE_ALIASES
 _SCORES = f"""
-{_TRUTH}, {_CLAIMS}, named AS (
-  SELECT o_orderkey AS case_id, CASE feature WHEN 'Xpert MTB/RIF' THEN 'Xpert_Result' ELSE replace(feature, ' ', '_') END AS feature,
-         direction, magnitude FROM orders JOIN claims USING (o_orderpriority)),
+{_TRUTH}, {_CLAIMS}, names(spoken, canonical) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in _NAMES.items())}),
+called AS (SELECT case_id, coalesce(canonical, feature) AS feature, direction, magnitude, position
+           FROM claims LEFT JOIN names ON spoken = lower(replace(feature, '_', ' '))),
+named AS (SELECT * FROM called QUALIFY row_number() OVER (PARTITION BY case_id, feature ORDER BY position DESC) = 1),
 b AS (SELECT coalesce(t.case_id, c.case_id) AS case_id, t.sign, t.magnitude_band, c.direction, c.magnitude
       FROM truth t FULL JOIN named c ON c.case_id = t.case_id AND c.feature = t.feature),
 n AS (SELECT case_id, count(sign)::DOUBLE AS nt, count(direction)::DOUBLE AS nc,
@@ -212,10 +248,11 @@ def family_importance(spark, folder):
 
 
 @query("E11", sql=f"""
-WITH {ATTRIBUTIONS}, {_CLAIMS}, a AS (SELECT DISTINCT case_id FROM attributions), k AS (SELECT DISTINCT o_orderpriority FROM claims)
-SELECT o_orderkey AS case_id, concat_ws(',', CASE WHEN a.case_id IS NULL THEN 'missing_attributions' END,
-       CASE WHEN k.o_orderpriority IS NULL THEN 'no_claims' END) AS issues
-FROM orders LEFT JOIN a ON a.case_id = o_orderkey LEFT JOIN k USING (o_orderpriority)""")
+WITH {ATTRIBUTIONS}, {_CLAIMS}, a AS (SELECT DISTINCT case_id FROM attributions), k AS (SELECT DISTINCT case_id FROM claims)
+SELECT t.case_id, concat_ws(',', CASE WHEN explanation IS NULL THEN 'missing_explanation' END,
+       CASE WHEN a.case_id IS NULL THEN 'missing_attributions' END,
+       CASE WHEN trim(explanation) <> '' AND k.case_id IS NULL THEN 'no_claims' END) AS issues
+FROM texts t LEFT JOIN a USING (case_id) LEFT JOIN k ON k.case_id = t.case_id""")
 def case_validation(spark, folder):
     cases = explanations(spark, folder)
     maps = attributions(spark, folder).groupBy("case_id").agg(
@@ -232,3 +269,22 @@ def case_documents(spark, folder):
     documents = sinks.case_documents(explanations(spark, folder), A.roll_up(rows, _groups(rows)), "sighted")
     manifest = sinks.run_manifest(documents, {"top_k": "5"})
     return manifest.select("condition", "cases", F.col("settings")["top_k"].alias("top_k"))
+
+
+@query("E12", "S11", sql=f"""
+WITH {_ROLL}, {_TEXTS},
+shown AS (SELECT case_id, string_agg("group" || ' ' || CAST(round(signed_sum * 1e5)::BIGINT AS VARCHAR), ', ' ORDER BY "group") AS sums,
+             string_agg("group" || ' ' || sign || members, ', ' ORDER BY "group") AS details FROM rolled GROUP BY 1)
+SELECT case_id, md5(explanation) AS explanation, 'sighted' AS condition, 12 AS month_of_prediction, sums, details
+FROM texts LEFT JOIN shown USING (case_id)""")
+def case_document_rows(spark, folder):
+    """What each case document holds: text digest, signed sums per group (in 1e-5) and the roll-up beside them."""
+    rows = attributions(spark, folder)
+    rolled = A.roll_up(rows, _groups(rows)).withColumn("signed_sum", r6("signed_sum", 5))
+    documents = sinks.case_documents(explanations(spark, folder), rolled, "sighted")
+    scaled = lambda v: F.round(v * 1e5).cast("long").cast("string")
+    sums = F.transform(F.map_entries("shap_values"), lambda e: F.concat(e["key"], F.lit(" "), scaled(e["value"])))
+    details = F.transform("shap_metadata", lambda m: F.concat(m["group"], F.lit(" "), m["sign"], m["members"].cast("string")))
+    return documents.select(
+        "case_id", F.md5("explanation").alias("explanation"), "condition", "month_of_prediction",
+        F.array_join(sums, ", ").alias("sums"), F.array_join(details, ", ").alias("details"))
