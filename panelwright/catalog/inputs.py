@@ -191,3 +191,17 @@ attributions AS (
          round(sum((l_discount - 0.05::DOUBLE) * l_quantity + l_tax), 6) + 0.0::DOUBLE AS value
   FROM lineitem GROUP BY 1, 2)
 """
+
+
+def correlation_p_sql(source: str, keep: str, r: str = "r", n: str = "n") -> str:
+    """(keep..., p) of the two-sided t test of each correlation ``r`` over ``n`` pairs in ``source``.
+
+    With sin(a) = |r|, the tail is one minus a multiple of the integral of cos^(n - 3) from 0
+    to a, taken here by Simpson's rule over 4,000 steps.
+    """
+    weight = "CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    scale = f"exp(lgamma(({n} - 1) / 2.0::DOUBLE) - lgamma(({n} - 2) / 2.0::DOUBLE)) / sqrt(pi())"
+    return f"""
+SELECT {keep}, round(GREATEST(0.0::DOUBLE, 1 - 2 * {scale} * angle / 12000 * sum({weight} * pow(cos(angle * i / 4000), {n} - 3))), 6) AS p
+FROM (SELECT *, asin(LEAST(abs({r}), 1.0::DOUBLE)) AS angle FROM {source} WHERE {n} >= 3 AND {r} IS NOT NULL AND NOT isnan({r})), range(4001) AS steps(i)
+GROUP BY {keep}, {n}, angle"""

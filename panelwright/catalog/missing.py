@@ -5,8 +5,8 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from panelwright.catalog.inputs import (
-    CUSTOMER_STATIC, EVENT_PANEL, ORDER_METRICS, ORDER_PANEL, STATIC_NUMBERS, customer_static,
-    event_panel, order_panel, r6,
+    CUSTOMER_STATIC, EVENT_PANEL, ORDER_METRICS, ORDER_PANEL, STATIC_NUMBERS, correlation_p_sql,
+    customer_static, event_panel, order_panel, r6,
 )
 from panelwright.catalog.registry import query
 from panelwright.operators.missing import chained, diagnose, fill, handle, route
@@ -68,9 +68,17 @@ def dropout_pattern(spark, folder):
     return table.select("column", "pattern")
 
 
-@query("M3")
+@query("M3", sql=f"""
+WITH {EVENT_PANEL}, long AS (
+  SELECT step, unnest(['doses', 'reading', 'weight']) AS "column",
+         unnest([doses IS NULL, reading IS NULL, weight IS NULL]) AS gap FROM panel), {_RHO},
+c AS (SELECT "column", corr(x, y) AS r, count(*) AS n FROM r GROUP BY 1), tails AS ({correlation_p_sql("c", '"column"')})
+SELECT "column", CASE WHEN NOT isnan(r) THEN round(r, 6) END AS rho, p AS p_value,
+       CASE WHEN n < 3 THEN 'N/A' WHEN r > 0.6 AND p < 0.05 THEN 'MNAR_dropout' ELSE 'random' END AS pattern
+FROM c LEFT JOIN tails USING ("column")""")
 def dropout_significance(spark, folder):
-    return diagnose.dropout_pattern(event_panel(spark, folder), ["doses", "reading", "weight"])
+    table = diagnose.dropout_pattern(event_panel(spark, folder), ["doses", "reading", "weight"])
+    return table.withColumns({"rho": r6("rho"), "p_value": r6("p_value")})
 
 
 _PREDICTORS = [c for c in _N if c != "rare"]
@@ -91,12 +99,12 @@ def missing_corr(spark, folder):
     return table.select("column", "max_abs_corr")
 
 
-def _diagnosed(spark, folder):
+def _diagnosed(spark, folder, is_mcar=False):
     static, panel = customer_static(spark, folder), order_panel(spark, folder)
     found = diagnose.diagnostics(
         static, panel, [*_N, "segment", "outcome"], ORDER_METRICS, list(_N)
     )
-    return diagnose.classify_mechanism(found, is_mcar=False)
+    return diagnose.classify_mechanism(found, is_mcar=is_mcar)
 
 
 _S = (*_N, "segment", "outcome")
@@ -136,6 +144,40 @@ def route_columns(spark, folder):
     return route.rationale(route.route_columns(_diagnosed(spark, folder), None, n))
 
 
+_OBSERVED = " UNION ALL ".join(
+    [f"SELECT 'static' AS source, '{c}' AS \"column\", count({c}) / count(*) AS importance FROM static" for c in _N]
+    + [f"SELECT 'panel', '{c}', count({c}) / count(*) FROM order_panel" for c in ORDER_METRICS]
+)
+
+
+@query("M7", "M18", sql=f"""
+WITH {_MECHANISM.replace("ELSE 'MNAR' END AS mechanism", "ELSE 'MCAR' END AS mechanism")}, weights AS ({_OBSERVED}),
+cuts AS (SELECT quantile_cont(importance, 0.25) AS low, quantile_cont(importance, 0.5) AS high FROM weights),
+weighed AS (SELECT j.*, coalesce(w.importance, 0) AS importance, low, high, (SELECT count(*) FROM static) * (1 - missing_rate) AS rest
+            FROM judged j LEFT JOIN weights w ON w.source = j.source AND w."column" = j."column" CROSS JOIN cuts),
+routed AS (
+  SELECT *, printf('%.1f%%', missing_rate * 100) AS pct,
+         CASE WHEN source = 'static' AND (missing_rate > 0.8 OR missing_rate > 0.5 AND importance <= low) THEN 'drop'
+              WHEN mechanism = 'MCAR' AND missing_rate < 0.15 AND rest > 100 THEN 'listwise'
+              WHEN mechanism = 'MAR' AND importance > high THEN 'impute' ELSE 'indicator' END AS pathway FROM weighed)
+SELECT source, "column", round(missing_rate * 100, 2) AS missing_rate_pct, mechanism, pattern AS temporal_pattern, pathway,
+       CASE WHEN pathway = 'drop' AND missing_rate > 0.8 THEN 'Dropped: ' || pct || ' missing, above the hard threshold.'
+            WHEN pathway = 'drop' THEN 'Dropped: ' || pct || ' missing and low feature importance.'
+            WHEN pathway = 'listwise' THEN 'Rows removed: ' || pct || ' missing, mechanism MCAR, enough rows remain.'
+            WHEN pathway = 'impute' THEN 'Imputed: ' || pct || ' missing, explained by observed columns.'
+            WHEN pattern = 'MNAR_dropout' THEN 'Indicator and fill: missing rate climbs with the step (dropout).'
+            ELSE 'Indicator and fill: mechanism ' || mechanism || ', ' || pct || ' missing.' END AS rationale FROM routed""")
+def route_by_importance(spark, folder):
+    """All five treatments: gaps count as random where nothing explains them, and observed share is the importance."""
+    static, panel = customer_static(spark, folder), order_panel(spark, folder)
+    share = lambda df, source, columns: df.agg(F.array(*[
+        F.struct(F.lit(source).alias("source"), F.lit(c).alias("column"), (F.count(c) / F.count(F.lit(1))).alias("importance"))
+        for c in columns]).alias("w")).select(F.inline("w"))
+    weights = share(static, "static", _N).unionByName(share(panel, "panel", ORDER_METRICS))
+    config = route.RouteConfig(listwise_min_rows=100)
+    return route.rationale(route.route_columns(_diagnosed(spark, folder, True), weights, static.count(), config))
+
+
 @query("M6")
 def importance_ranking(spark, folder):
     return handle.importance_ranking(

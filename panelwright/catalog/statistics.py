@@ -4,7 +4,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from panelwright.catalog.inputs import CUSTOMER_STATIC, EVENT_PANEL, customer_static, event_panel, r6
+from panelwright.catalog.inputs import CUSTOMER_STATIC, EVENT_PANEL, correlation_p_sql, customer_static, event_panel, r6
 from panelwright.catalog.registry import query
 from panelwright.operators import stats as S
 from panelwright.sources.tables import read_table
@@ -21,19 +21,26 @@ def pearson_matrix(spark, folder):
     return S.pearson_pairs(read_table(spark, folder, "lineitem"), _COLS).withColumn("r", r6("r"))
 
 
-@query("T-2", "J11", sql=f"""
+_LAGS = f"""
 WITH {EVENT_PANEL}, l AS (
-  SELECT step, doses AS now, lag(doses) OVER (PARTITION BY entity_id ORDER BY step) AS before FROM panel)
-SELECT step - 1 AS from_step, step AS to_step, count(*) AS n, round(corr(before, now), 6) AS r FROM l
-WHERE now IS NOT NULL AND before IS NOT NULL GROUP BY step HAVING count(*) >= 5""")
+  SELECT step, doses AS now, lag(doses) OVER (PARTITION BY entity_id ORDER BY step) AS before FROM panel),
+lags AS (
+  SELECT step - 1 AS from_step, step AS to_step, count(*) AS n, corr(before, now) AS r FROM l
+  WHERE now IS NOT NULL AND before IS NOT NULL GROUP BY step HAVING count(*) >= 5)"""
+
+
+@query("T-2", "J11", sql=f"{_LAGS} SELECT from_step, to_step, n, round(r, 6) AS r FROM lags")
 def lag_correlation(spark, folder):
     table = S.lag_correlation(event_panel(spark, folder), "doses", "entity_id")
     return table.select("from_step", "to_step", "n", r6("r").alias("r"))
 
 
-@query("T-2")
+@query("T-2", sql=f"""
+{_LAGS}, tails AS ({correlation_p_sql("lags", "to_step")})
+SELECT from_step, to_step, round(r, 6) AS r, n, p AS p_value, p < 0.05 AS significant FROM lags LEFT JOIN tails USING (to_step)""")
 def lag_significance(spark, folder):
-    return S.lag_correlation(event_panel(spark, folder), "doses", "entity_id")
+    table = S.lag_correlation(event_panel(spark, folder), "doses", "entity_id")
+    return table.withColumns({"r": r6("r"), "p_value": r6("p_value")})
 
 
 @query("T-2", sql=f"""
