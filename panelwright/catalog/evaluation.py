@@ -158,6 +158,18 @@ def stratified_folds(spark, folder):
     return folds(customers, "c_custkey", "segment").groupBy("segment", "fold").agg(F.count(F.lit(1)).alias("entities"))
 
 
+@query("R2", "R3", sql="""
+WITH c AS (SELECT c_custkey, c_mktsegment AS segment, ('0x' || substr(md5(concat_ws(':', c_custkey, 42)), 1, 15))::BIGINT AS h FROM customer),
+r AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY h, c_custkey) AS r, count(*) OVER (PARTITION BY segment) AS n FROM c)
+SELECT c_custkey, segment, CASE WHEN r <= round(n * 0.7::DOUBLE) THEN 'train' WHEN r <= round(n * (0.7::DOUBLE + 0.2::DOUBLE)) THEN 'validation'
+       ELSE 'test' END AS split, CAST((r - 1) % 5 AS INTEGER) AS fold FROM r""")
+def split_members(spark, folder):
+    """Which split and which fold each entity falls into."""
+    customers = read_table(spark, folder, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
+    dealt = folds(customers, "c_custkey", "segment").select("c_custkey", "fold")
+    return split(customers, "c_custkey", "segment").join(dealt, "c_custkey")
+
+
 @query("R2", "J3", sql="""
 SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""")
 def split_membership(spark, folder):

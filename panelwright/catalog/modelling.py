@@ -230,6 +230,10 @@ def smote_balance(spark, folder):
     return grown.groupBy("label", "synthetic").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def _millionths(vector):
+    return F.array_join(F.transform(vector, lambda x: F.round(x * 1e6).cast("long").cast("string")), ",")
+
+
 _DRAW = "(('0x' || substr(md5(concat_ws(':', id, draw, {seed})), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
 
 
@@ -249,8 +253,7 @@ FROM p JOIN near USING (id, place)""")
 def smote_vectors(spark, folder):
     """Every interpolated vector, in millionths, by draws that SQL repeats."""
     grown = R.interpolate_minority(_vectors(spark, folder), "embedding", "label", "vec_id", minority=1)
-    shown = F.array_join(F.transform("vec", lambda x: F.round(x * 1e6).cast("long").cast("string")), ",")
-    return grown.filter("synthetic").select("sample_id", shown.alias("vec"))
+    return grown.filter("synthetic").select("sample_id", _millionths("vec").alias("vec"))
 
 
 @query("R5", "J12", sql="""
@@ -288,6 +291,40 @@ def noise_and_mixup(spark, folder):
     return noisy.withColumn("kind", F.lit("noise")).unionByName(mixed.withColumn("kind", F.lit("mixup")))
 
 
+_DRAWN = "(('0x' || substr(md5(concat_ws(':', {key}, {seed})), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+_MILLIONTHS = "string_agg(CAST(round(1e6 * x)::BIGINT AS VARCHAR), ',' ORDER BY i) AS vec"
+
+
+@query("R6", sql=f"""
+WITH v AS (SELECT vec_id, copy, i, embedding[i + 1]::DOUBLE AS x FROM embeddings, range(1, 6) AS c(copy), range(64) AS p(i)
+           WHERE label = 0 AND i < len(embedding)),
+g AS (SELECT vec_id, copy, i, x + CASE WHEN i >= 32 THEN 0.025::DOUBLE ELSE 0.05::DOUBLE END
+        * sqrt(-2 * ln(GREATEST({_DRAWN.format(key="vec_id, copy, i", seed=42)}, 1e-300::DOUBLE)))
+        * cos(2 * pi() * {_DRAWN.format(key="vec_id, copy, i", seed=1_000_045)}) AS x FROM v)
+SELECT vec_id, CAST(copy AS INTEGER) AS copy, {_MILLIONTHS} FROM g GROUP BY 1, 2""")
+def noise_vectors(spark, folder):
+    """Every jittered vector, in millionths, by draws that SQL repeats."""
+    noisy = R.noise_copies(_vectors(spark, folder).filter("label = 1"), "embedding", "vec_id", static_from=32)
+    return noisy.select("vec_id", "copy", _millionths("embedding").alias("vec"))
+
+
+@query("R6", sql=f"""
+WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings WHERE label = 0),
+r AS (SELECT *, row_number() OVER (ORDER BY ('0x' || substr(md5(concat_ws(':', id, 42)), 1, 15))::BIGINT, id) AS r, count(*) OVER () AS n FROM v),
+d AS (SELECT *, unnest([1, 2]) AS draw FROM r WHERE n >= 2),
+a AS (SELECT *, (r - 1 + floor({_DRAWN.format(key="id, draw", seed=45)} * (n - 1))::BIGINT + 1) % n + 1 AS aim FROM d),
+t AS (SELECT id, draw, i, pow({_DRAWN.format(key="id, draw, i", seed=53)}, 2.5) AS x, pow({_DRAWN.format(key="id, draw, i", seed=54)}, 2.5) AS y
+      FROM d, range(1, 25) AS tries(i)),
+w AS (SELECT id, draw, coalesce(arg_min(x / (x + y), i) FILTER (WHERE x + y <= 1 AND x + y > 0), 0.5) AS weight FROM t GROUP BY 1, 2),
+m AS (SELECT a.id, a.draw, weight, o.id AS partner, i, weight * a.e[i] + (1 - weight) * o.e[i] AS x
+      FROM a JOIN w USING (id, draw) JOIN r o ON o.r = aim, range(1, 65) AS p(i) WHERE i <= len(a.e))
+SELECT id, draw, partner, round(weight, 6) AS weight, {_MILLIONTHS} FROM m GROUP BY 1, 2, 3, 4""")
+def mixup_vectors(spark, folder):
+    """Every mixed vector, in millionths, with partner and weight, by draws that SQL repeats."""
+    mixed = R.mixup_pairs(_vectors(spark, folder).filter("label = 1"), "embedding", "vec_id")
+    return mixed.select("id", "draw", "partner", r6("weight").alias("weight"), _millionths("vec").alias("vec"))
+
+
 @query("R8", "T-6", sql=f"""
 WITH {CUSTOMER_STATIC}, tr AS (SELECT * FROM static WHERE outcome IN ('Cured', 'Died')),
 m AS (SELECT (SELECT quantile_cont(balance, 0.5) FROM tr) AS mb, (SELECT quantile_cont(credit, 0.5) FROM tr) AS mc,

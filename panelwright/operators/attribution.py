@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from panelwright.functions.text import feature_family, feature_group
 from panelwright.operators.evaluate import binary_metrics, rank_metrics
-from panelwright.operators.ordering import hash_bucket, looked_up, row_numbers
-from panelwright.operators.resample import digest_place
+from panelwright.operators.ordering import digest_place, hash_bucket, looked_up, row_numbers
 from panelwright.operators.windows import last_rows, share_of_total
 from panelwright.session import cut_lineage
 

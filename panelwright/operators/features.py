@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelwright import fixed_values as V
 from panelwright.operators.missing.fill import carry_forward, numeric_columns
-from panelwright.operators.ordering import hash_bucket, hash_order, medians, modes, row_numbers
+from panelwright.operators.ordering import digest_order, medians, modes, row_numbers
 from panelwright.operators.panel import one_hot, vocabulary
 from panelwright.operators.profile import one_pass
 from panelwright.operators.windows import prefix_features
@@ -73,14 +73,12 @@ def stratified_split(
 ) -> DataFrame:
     """(entity, label, split): exact per-class proportions in a reproducible random order.
 
-    The order is a hash, ranked in hash buckets, so a class holding most of the table is
+    The order is an MD5 digest, ranked in buckets of it, so a class holding most of the table is
     spread over all tasks.
     """
-    digest, _ = hash_order(entity, seed=seed)
-    ordered = df.select(entity, label, digest.alias("_h"))
-    ranked = row_numbers(
-        ordered, ["_h", entity], "_rank", [label], bucket=hash_bucket("_h"), size="_n"
-    )
+    place, bucket = digest_order(entity, seed=seed)
+    ordered = df.select(entity, label, place.alias("_h"), bucket.alias("_b"))
+    ranked = row_numbers(ordered, ["_h", entity], "_rank", [label], bucket=F.col("_b"), size="_n")
     edge = F.round(F.col("_n") * train)
     edge2 = F.round(F.col("_n") * (train + validation))
     split = (
@@ -92,11 +90,10 @@ def stratified_split(
 
 
 def stratified_folds(df: DataFrame, entity: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
-    digest, _ = hash_order(entity, seed=seed)
-    ordered = df.select(entity, label, digest.alias("_h"))
-    ranked = row_numbers(
-        ordered, ["_h", entity], "_rank", [label], bucket=hash_bucket("_h")
-    )
+    """(entity, label, fold): per class, the same reproducible order dealt to ``k`` folds in turn."""
+    place, bucket = digest_order(entity, seed=seed)
+    ordered = df.select(entity, label, place.alias("_h"), bucket.alias("_b"))
+    ranked = row_numbers(ordered, ["_h", entity], "_rank", [label], bucket=F.col("_b"))
     return ranked.select(entity, label, ((F.col("_rank") - 1) % k).cast("int").alias("fold"))
 
 

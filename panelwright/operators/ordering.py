@@ -166,6 +166,18 @@ def hash_order(*key: str, seed: int = 0) -> tuple[Column, Column]:
     return digest, hash_bucket(digest)
 
 
+def digest_place(*key: Column, seed: int = 0, digits: int = 15) -> Column:
+    """The first hex digits of the MD5 of the key's text and the seed, as a number."""
+    text = F.concat_ws(":", *[k.cast("string") for k in key], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
+
+
+def digest_order(*key: str, seed: int = 0) -> tuple[Column, Column]:
+    """Like :func:`hash_order`, by a digest that any engine with MD5 repeats."""
+    place = digest_place(*[F.col(k) for k in key], seed=seed)
+    return place, F.shiftright(place, 60 - HASH_BITS).cast("int")
+
+
 def average_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """One row per distinct value: its count ``n`` and tie-averaged rank ``avg_rank``."""
     counts = (

@@ -5,19 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelwright.operators.neighbours import distinct_vectors, knn_join
-from panelwright.operators.ordering import hash_bucket, hash_order, row_numbers
-
-
-def uniform(*key: Column, seed: int = 0) -> Column:
-    """Reproducible draw from [0, 1) decided by the key, so a retried task repeats it."""
-    digest = F.xxhash64(*key, F.lit(seed))
-    return F.shiftrightunsigned(digest, 11).cast("double") / float(1 << 53)
-
-
-def digest_place(*key: Column, seed: int = 0, digits: int = 15) -> Column:
-    """The first hex digits of the MD5 of the key's text and the seed, as a number."""
-    text = F.concat_ws(":", *[k.cast("string") for k in key], F.lit(str(seed)))
-    return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
+from panelwright.operators.ordering import digest_order, digest_place, row_numbers
 
 
 def digest_uniform(*key: Column, seed: int = 0) -> Column:
@@ -27,8 +15,8 @@ def digest_uniform(*key: Column, seed: int = 0) -> Column:
 
 def gaussian(*key: Column, seed: int = 0) -> Column:
     """Reproducible standard normal draw (Box-Muller)."""
-    u = F.greatest(uniform(*key, seed=seed), F.lit(1e-300))
-    v = uniform(*key, seed=seed + 1_000_003)
+    u = F.greatest(digest_uniform(*key, seed=seed), F.lit(1e-300))
+    v = digest_uniform(*key, seed=seed + 1_000_003)
     return F.sqrt(-2 * F.log(u)) * F.cos(2 * F.pi() * v)
 
 
@@ -177,7 +165,8 @@ def beta(a: float, b: float, *key: Column, seed: int = 0, tries: int = 24) -> Co
     """Reproducible Beta(a, b) draw: the first of ``tries`` pairs of powers of uniform draws whose
     sum is at most one (Johnk's rule). For a and b up to 1, over half of all pairs are accepted."""
     def one(got: Column, i: Column) -> Column:
-        x, y = F.pow(uniform(*key, i, seed=seed), F.lit(1 / a)), F.pow(uniform(*key, i, seed=seed + 1), F.lit(1 / b))
+        x = F.pow(digest_uniform(*key, i, seed=seed), F.lit(1 / a))
+        y = F.pow(digest_uniform(*key, i, seed=seed + 1), F.lit(1 / b))
         return F.coalesce(got, F.when((x + y <= 1) & (x + y > 0), x / (x + y)))
 
     found = F.aggregate(F.sequence(F.lit(1), F.lit(tries)), F.lit(None).cast("double"), one)
@@ -192,17 +181,15 @@ def mixup_pairs(
     Rows are ranked in a hash order; the r-th row is mixed with the row a drawn distance
     further round the circle, so partners are found by an equi-join on rank.
     """
-    digest, _ = hash_order(identity, seed=seed)
-    ranked = row_numbers(
-        df.select(F.col(identity).alias("id"), F.col(vector).cast("array<double>").alias("vec"),
-                  digest.alias("_h")),
-        ["_h", "id"], "_r", bucket=hash_bucket("_h"),
-    ).select("id", "vec", "_r")
+    place, bucket = digest_order(identity, seed=seed)
+    placed = df.select(
+        F.col(identity).alias("id"), F.col(vector).cast("array<double>").alias("vec"), place.alias("_h"), bucket.alias("_b"))
+    ranked = row_numbers(placed, ["_h", "id"], "_r", bucket=F.col("_b")).select("id", "vec", "_r")
     n = ranked.agg(F.count(F.lit(1))).scalar()
     draws = ranked.select(
         "id", "vec", "_r", F.explode(F.sequence(F.lit(1), F.lit(factor))).alias("draw"),
     ).withColumn("_n", n).filter("_n >= 2")
-    hop = F.floor(uniform(F.col("id"), F.col("draw"), seed=seed + 3) * (F.col("_n") - 1)) + 1
+    hop = F.floor(digest_uniform(F.col("id"), F.col("draw"), seed=seed + 3) * (F.col("_n") - 1)) + 1
     aimed = draws.withColumn("_to", F.pmod(F.col("_r") - 1 + hop, F.col("_n")) + 1)
     partners = ranked.select(F.col("_r").alias("_to"), F.col("vec").alias("other"), F.col("id").alias("partner"))
     weight = beta(alpha, alpha, F.col("id"), F.col("draw"), seed=seed + 11)
