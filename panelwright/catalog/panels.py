@@ -287,3 +287,12 @@ WHERE lower(c_name) LIKE '%9%' OR CAST(c_custkey AS VARCHAR) LIKE '%9%'""")
 def entity_search(spark, folder):
     customers = read_table(spark, folder, "customer").select("c_custkey", "c_name")
     return search_entities(customers, "9", ["c_name", "c_custkey"])
+
+
+@query("X1", "X5", sql="""
+WITH d AS (SELECT CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 2 AS INTEGER) AS step FROM events)
+SELECT step, count(*) AS rows FROM d WHERE step IS NULL OR step NOT BETWEEN 0 AND 12 GROUP BY 1""")
+def steps_beyond_panel(spark, folder):
+    """Rows per step that a panel of steps 0 to 12 has no place for, with two days a step."""
+    day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
+    return P.steps_outside(read_table(spark, folder, "events").select(F.floor(day / 2).cast("int").alias("step")), "step")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from panelwright.functions.text import feature_family, feature_group
 from panelwright.operators.evaluate import binary_metrics, rank_metrics
-from panelwright.operators.ordering import digest_place, hash_bucket, looked_up, row_numbers
+from panelwright.operators.ordering import digest_order, digest_place, looked_up, row_numbers
 from panelwright.operators.windows import last_rows, share_of_total
 from panelwright.session import cut_lineage
 
@@ -68,8 +68,9 @@ def shuffled_partner(
     every = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")
 
     def ranked(rows: DataFrame, salt: int) -> DataFrame:
-        h = F.xxhash64(F.col(entity), F.col("repeat"), F.lit(seed + salt))
-        return row_numbers(rows.withColumn("_h", h), ["_h", entity], "_r", ["repeat"], bucket=hash_bucket("_h")).drop("_h")
+        place, bucket = digest_order(entity, "repeat", seed=seed + salt)
+        placed = rows.withColumns({"_h": place, "_b": bucket})
+        return row_numbers(placed, ["_h", entity], "_r", ["repeat"], bucket=F.col("_b")).drop("_h", "_b")
 
     source = ranked(df.select(entity, *features, every), 0)
     source = source.select("repeat", "_r", F.struct(*features).alias("_other"))

@@ -10,10 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-FEWEST_BUCKETS, MOST_BUCKETS = 256, 4096
-HASH_BITS = 12
+#: Buckets of an order axis: their totals meet in one task per group, their rows one bucket at a time.
+FEWEST_BUCKETS, MOST_BUCKETS = 256, 1 << 16
+HASH_BITS = 16
 _BUCKET = "_bucket"
 
 
@@ -54,7 +56,7 @@ def with_quantile_bucket(
     """
     buckets = buckets or bucket_count(df)
     source = df.filter(sum((F.col(c) for c in counts), F.lit(0)) >= 0) if counts else df
-    probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    probs = F.lit(np.arange(1, buckets) / buckets)
     bounds = F.percentile_approx(order, probs, buckets * 10).alias("_bounds")
     if by and few_groups:
         keyed = source.groupBy(*by).agg(bounds)
@@ -155,17 +157,6 @@ def row_numbers(
     return out.select(*df.columns, (F.col("before__one") + 1).alias(name), *extra)
 
 
-def hash_bucket(digest: str | Column) -> Column:
-    """Bucket number along a 64-bit hash: its leading bits, so buckets follow its order."""
-    return F.shiftright(digest, 64 - HASH_BITS).cast("int")
-
-
-def hash_order(*key: str, seed: int = 0) -> tuple[Column, Column]:
-    """A reproducible random order over ``key``, with the bucket number it implies."""
-    digest = F.xxhash64(*[F.col(k) for k in key], F.lit(seed))
-    return digest, hash_bucket(digest)
-
-
 def digest_place(*key: Column, seed: int = 0, digits: int = 15) -> Column:
     """The first hex digits of the MD5 of the key's text and the seed, as a number."""
     text = F.concat_ws(":", *[k.cast("string") for k in key], F.lit(str(seed)))
@@ -173,7 +164,8 @@ def digest_place(*key: Column, seed: int = 0, digits: int = 15) -> Column:
 
 
 def digest_order(*key: str, seed: int = 0) -> tuple[Column, Column]:
-    """Like :func:`hash_order`, by a digest that any engine with MD5 repeats."""
+    """A reproducible random order over ``key``, with the bucket number it implies: the digest's
+    leading bits, so buckets follow the order."""
     place = digest_place(*[F.col(k) for k in key], seed=seed)
     return place, F.shiftright(place, 60 - HASH_BITS).cast("int")
 

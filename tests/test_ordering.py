@@ -1,5 +1,7 @@
 """Distributed ranks, running sums and quantiles against numpy, with a value holding a third of all rows."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -48,10 +50,13 @@ def test_row_numbers_are_dense_and_ordered(spark):
         assert (part["total"] == len(part)).all()
 
 
-def test_hash_buckets_follow_the_hash(spark):
-    digest, bucket = O.hash_order("id", seed=3)
-    got = spark.range(2000).select(digest.alias("h"), bucket.alias("b")).sort("h").toPandas()
-    assert got["b"].is_monotonic_increasing
+def test_digest_buckets_follow_the_digest_and_spread(spark):
+    digest, bucket = O.digest_order("id", seed=3)
+    got = spark.range(2000).select("id", digest.alias("h"), bucket.alias("b")).sort("h").toPandas()
+    assert got["b"].is_monotonic_increasing and got["b"].between(0, (1 << O.HASH_BITS) - 1).all()
+    assert got["b"].nunique() > 1900
+    want = [int(hashlib.md5(f"{i}:3".encode()).hexdigest()[:15], 16) for i in got["id"]]
+    assert list(got["h"]) == want
 
 
 def test_modes_break_ties_to_the_smallest(spark):
