@@ -25,7 +25,7 @@ WORD_ROWS, GRAM_ROWS, WIDTH, HIDDEN, ATTEND = 1 << 15, 1 << 16, 16, 8, 8
 WORD = re.compile(r"[^\W_]+")
 #: Bytes of a word at most, and characters that two pieces of a longer one share.
 LONGEST, SHARED = 48, 4
-#: Documents of each label, and windows of a document, that training takes at most.
+#: Documents of each label, and windows of a document, that training takes at most by default.
 SAMPLE_DOCS, SAMPLE_WINDOWS = 2000, 6
 
 
@@ -304,12 +304,16 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return b
 
 
-def fit(docs: DataFrame, id_: str, text: str, labels: DataFrame, label: str, sample_docs: int = SAMPLE_DOCS) -> tuple | None:
+def fit(
+    docs: DataFrame, id_: str, text: str, labels: DataFrame, label: str, sample_docs: int = SAMPLE_DOCS,
+    sample_windows: int | None = SAMPLE_WINDOWS,
+) -> tuple | None:
     """Model and calibration from labelled rows whose crc32 of the id modulo 5 is not 0.
 
     At most ``sample_docs`` documents of each label, those of the least id hash, are used, and of
-    each at most six evenly spaced windows; the driver gets these words only. A fifth of them
-    calibrates instead of training. None if either label is absent.
+    each at most ``sample_windows`` evenly spaced windows (None: all); the driver gets these
+    words only. A fifth of them calibrates instead of training, on all windows of the whole
+    text. None if either label is absent.
     """
     known = labels.select(F.col(id_).alias("id"), F.col(label).cast("int").alias("y")).filter("y is not null and id is not null")
     known = known.filter(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("id"))
@@ -330,8 +334,8 @@ def fit(docs: DataFrame, id_: str, text: str, labels: DataFrame, label: str, sam
             for value in part:
                 words = words_of(value)
                 starts = np.array(starts_of(len(words)))
-                if len(starts) > SAMPLE_WINDOWS:
-                    starts = starts[np.linspace(0, len(starts) - 1, SAMPLE_WINDOWS).astype(int)]
+                if sample_windows is not None and len(starts) > sample_windows:
+                    starts = starts[np.linspace(0, len(starts) - 1, sample_windows).astype(int)]
                 out.append([" ".join(words[s:s + WINDOW]) for s in starts])
             yield pd.Series(out, dtype=object)
 

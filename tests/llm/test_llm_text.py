@@ -366,3 +366,24 @@ def test_toxicity_learns_and_scores_odd_rows(spark):
     assert all(0 <= r.score <= 1 for r in marked) and marked[0].score == 0
     assert toxicity.fit(docs, "doc_id", "text", labels.filter("toxic = 0"), "toxic") is None
     assert toxicity.score(docs.limit(0), "text", None).count() == 0
+
+
+@pytest.mark.parametrize("most", [6, 2, None])
+def test_training_takes_the_windows_it_is_told(spark, monkeypatch, most):
+    class Seen(Exception):
+        pass
+
+    def seen(windows, truth):
+        raise Seen(windows)
+
+    monkeypatch.setattr(toxicity, "train", seen)
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(1000))) for i in range(20)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "doc_id % 2 as toxic")
+    with pytest.raises(Seen) as found:
+        toxicity.fit(docs, "doc_id", "text", labels, "toxic", sample_windows=most)
+    windows = found.value.args[0]
+    own = [w for w in windows if w.split(" ")[0].startswith(windows[0].split("x")[0] + "x")]
+    assert len(own) == (most or len(toxicity.starts_of(1000)))
+    if most is None:
+        name = windows[0].split("x")[0]
+        assert {w for window in own for w in window.split(" ")} == {f"{name}x{j}" for j in range(1000)}
