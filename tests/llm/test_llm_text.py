@@ -382,8 +382,7 @@ def test_training_takes_the_windows_it_is_told(spark, monkeypatch, most):
     with pytest.raises(Seen) as found:
         toxicity.fit(docs, "doc_id", "text", labels, "toxic", sample_windows=most)
     windows = found.value.args[0]
-    own = [w for w in windows if w.split(" ")[0].startswith(windows[0].split("x")[0] + "x")]
+    name = windows[0][0].split("x")[0]
+    own = [w for w in windows if w[0].startswith(f"{name}x")]
     assert len(own) == (most or len(toxicity.starts_of(1000)))
-    if most is None:
-        name = windows[0].split("x")[0]
-        assert {w for window in own for w in window.split(" ")} == {f"{name}x{j}" for j in range(1000)}
+    assert most or {w for window in own for w in window} == {f"{name}x{j}" for j in range(1000)}
