@@ -230,3 +230,35 @@ def test_upsert_refuses_a_folder_with_files_of_its_own(spark, tmp_path):
     with pytest.raises(ValueError):
         U.upsert_sink(spark, str(tmp_path / "plain"), "id")(rows, 0)
     assert spark.read.parquet(str(tmp_path / "plain")).count() == 1
+
+
+def test_register_state_is_judged_without_a_frame_per_entity(spark):
+    """An entity's rows pass as they are; state that does not change is not written."""
+    import pandas as pd
+
+    class State:
+        def __init__(self, value):
+            self.value, self.writes = value, 0
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value, self.writes = value, self.writes + 1
+
+        put = update
+
+    def judged(rows):
+        judge = C.RegisteredCheckins()
+        judge.progress, judge.recent = State((3, 40)), State([(3, 0.4)])
+        names = [c.split()[0] for c in C.INPUT.split(", ")]
+        full = [C.Row(**dict(zip(names, r)), early=None, registers=False) for r in rows]
+        out = list(judge.handleInputRows((2,), iter(full), None))
+        assert not any(isinstance(r, pd.DataFrame) for r in out)
+        return {r["request_id"]: r["reason"] for r in out}, judge
+
+    got, judge = judged([row(1, 2, 3), row(2, 2, 9), row(3, 2, 3)])
+    assert got == {1: "duplicate_or_past", 2: "unexpected_month", 3: "repeated"}
+    assert judge.progress.writes == judge.recent.writes == 0
+    got, judge = judged([row(2, 2, 5, 1, p=None), row(1, 2, 4, 2, p=0.7)])
+    assert got == {1: None, 2: None} and judge.progress.value == (5, 43) and judge.recent.value == [(3, 0.4), (4, 0.7)]
