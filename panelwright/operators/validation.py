@@ -18,7 +18,7 @@ from panelwright.operators.models import classifier, score, with_class_weights
 from panelwright.operators.ordering import attach, medians
 from panelwright.operators.resample import balance, class_sizes
 from panelwright.operators.stats import scale_fit
-from panelwright.session import cut_lineage
+from panelwright.session import cut_lineage, fit_rows
 
 
 @dataclass(frozen=True)
@@ -74,7 +74,7 @@ def fit_recipe(
         raise ValueError(f"the training rows hold only the classes {sorted(sizes)}")
     if recipe.resample:
         minority = min(sizes, key=lambda c: (sizes[c], c))
-        rows = cut_lineage(balance(cut_lineage(rows), "vec", "label", entity, minority, seed))
+        rows = fit_rows(balance(cut_lineage(rows), "vec", "label", entity, minority, seed))
     ready = with_class_weights(rows, "label") if recipe.weighted else rows
     ready = ready.withColumn("_x", array_to_vector("vec"))
     return Fitted(fill, scale, classifier(recipe.kind, "label", recipe.weighted, seed, **recipe.options).fit(ready))
@@ -97,7 +97,7 @@ def cross_validate(
         labelled = labelled.drop("fold").join(folds, entity)
     else:
         labelled = labelled.withColumn("fold", F.col(fold).cast("int"))
-    coded = cut_lineage(labelled.select(entity, label, "fold", *features))
+    coded = fit_rows(labelled.select(entity, label, "fold", *features))
     found = sorted(r[0] for r in coded.select("fold").distinct().collect())
 
     def one(at: int) -> DataFrame:

@@ -53,3 +53,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: iterative jobs survive executor loss and keep short plans."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Rows that one task of an iterative fit should hold at most.
+FIT_ROWS = 10_000
+
+
+def fit_rows(df: DataFrame) -> DataFrame:
+    """Rows of a fit, written once, in as many even parts as their number asks for.
+
+    A join of a few numbers per row ends in one or two partitions, as these are cut by bytes; a fit
+    that passes over them hundreds of times would use as many cores. Small tables stay as they are.
+    """
+    rows = cut_lineage(df)
+    parts = -(-rows.count() // FIT_ROWS)
+    return cut_lineage(rows.repartition(parts)) if parts > rows.rdd.getNumPartitions() else rows

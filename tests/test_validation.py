@@ -73,3 +73,12 @@ def test_the_best_candidate_is_chosen_and_kept(spark, rows, tmp_path):
     assert made.threshold == best.threshold
     auc = rank_metrics(made.fitted.score(rows.filter("y is not null")), "y", "probability").first()["roc_auc"]
     assert auc > 0.7
+
+
+def test_rows_of_a_fit_are_spread_by_their_number(spark):
+    from panelwright.session import FIT_ROWS, fit_rows
+
+    narrow = spark.range(3 * FIT_ROWS + 1).coalesce(1)
+    spread = fit_rows(narrow)
+    assert spread.rdd.getNumPartitions() == 4 and spread.count() == spread.distinct().count() == 3 * FIT_ROWS + 1
+    assert fit_rows(spark.range(100).coalesce(1)).rdd.getNumPartitions() == 1
