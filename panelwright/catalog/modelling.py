@@ -13,7 +13,7 @@ from panelwright.operators.features import features_at_step as at_step, stratifi
 from panelwright.operators.missing.fill import fill_central
 from panelwright.operators.panel import panel_to_wide
 from panelwright.operators.stats import scale_fit, standardize
-from panelwright.session import cut_lineage
+from panelwright.session import cut_lineage, fit_rows
 from panelwright.sources.tables import read_table
 
 _DOC = ["length", "lang_en", "lang_de", "lang_fr", "words", "lines"]
@@ -170,6 +170,7 @@ def panel_model_per_step(spark, folder):
     split = stratified_split(label, "entity_id", "label").select("entity_id", "split")
     rows = features.join(label, "entity_id").join(split, "entity_id")
     names = [c for c in features.columns if c.startswith(("mean_", "std_", "trend_", "latest_", "months_"))]
+    rows = fit_rows(rows.select("entity_id", "step", "label", "split", *names))
     model = M.fit_classifier(rows.filter("split = 'train'"), names, "label", "forest", numTrees=200)
     return per_step_evaluation(M.score(model, rows.filter("split = 'test'")), "label", "probability", 0.5)
 
