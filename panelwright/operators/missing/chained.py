@@ -9,7 +9,7 @@ from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from panelwright.operators.missing.fill import carry_forward, fill_central
-from panelwright.session import cut_lineage
+from panelwright.session import cut_lineage, fit_rows
 
 
 def iteration_count(missing_rate: float, low: int = 20, high: int = 100) -> int:
@@ -49,7 +49,7 @@ def chained_impute(
         return df
     was = {c: f"_was_{c}" for c in columns}
     marked = df.withColumns({was[c]: F.col(c).isNull() for c in columns})
-    state = cut_lineage(fill_central(marked, columns))
+    state = fit_rows(fill_central(marked, columns))
     first = state.agg(
         *[F.count_if(F.col(was[c])).alias(was[c]) for c in columns],
         *[F.stddev_pop(c).alias(c) for c in columns],

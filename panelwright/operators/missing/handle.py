@@ -13,6 +13,7 @@ from panelwright.operators.missing import chained, diagnose, fill, route
 from panelwright.operators.missing.route import RouteConfig
 from panelwright.operators.models import with_class_weights
 from panelwright.operators.profile import class_balance
+from panelwright.session import fit_rows
 
 
 @dataclass
@@ -51,7 +52,7 @@ def importance_ranking(
         .join(means, entity, "left")
         .filter(F.col(label).isNotNull())
     )
-    ready = fill.fill_central(flat, features)
+    ready = fit_rows(fill.fill_central(flat, features))
     facts = class_balance(flat, label).agg(
         F.sum("count").alias("n"), F.count(F.lit(1)).alias("k")
     ).first()
