@@ -338,12 +338,32 @@ def outlier_report(df: DataFrame, columns: Sequence[str], z: float = 3.0) -> Dat
     return wide.agg(F.array(*rows).alias("_rows")).select(F.inline("_rows"))
 
 
+#: Columns up to which their figures are one row of aggregates; of more, each value is a row.
+WIDE_FIT = 32
+_PLAIN = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
 def scale_fit(train: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Mean and population sd per column from the rows given (the training rows)."""
-    return train.agg(
+    """Mean and population sd per column from the rows given (the training rows).
+
+    Hundreds of aggregates side by side are too long a method to be compiled, so of a wide table
+    each task folds (column number, value) rows instead: same sums, in the same order.
+    """
+    kinds = dict(train.dtypes)
+    if len(columns) <= WIDE_FIT or any(kinds.get(c) not in _PLAIN for c in columns):
+        return train.agg(
+            *[
+                F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("sd")).alias(c)
+                for c in columns
+            ]
+        )
+    values = F.array(*[F.col(c).cast("double") for c in columns])
+    figures = train.select(F.posexplode(values).alias("_at", "_value")).groupBy("_at").agg(
+        F.avg("_value").alias("mean"), F.stddev_pop("_value").alias("sd"))
+    return figures.agg(
         *[
-            F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("sd")).alias(c)
-            for c in columns
+            F.struct(*[F.max(F.when(F.col("_at") == i, F.col(f))).alias(f) for f in ("mean", "sd")]).alias(c)
+            for i, c in enumerate(columns)
         ]
     )
 
