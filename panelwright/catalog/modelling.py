@@ -278,7 +278,7 @@ SELECT qid, pid, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank F
 def nearest_neighbours(spark, folder):
     from panelwright.operators.neighbours import distinct_vectors, knn_join
 
-    points = distinct_vectors(_vectors(spark, folder), "embedding", "vec_id")
+    points = fit_rows(distinct_vectors(_vectors(spark, folder), "embedding", "vec_id"))
     return knn_join(points, points, 3).withColumn("distance", r6("distance"))
 
 

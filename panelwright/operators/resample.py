@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelwright.operators.neighbours import distinct_vectors, knn_join
 from panelwright.operators.ordering import digest_order, digest_place, row_numbers
+from panelwright.session import fit_rows
 
 
 def digest_uniform(*key: Column, seed: int = 0) -> Column:
@@ -53,7 +54,7 @@ def interpolate_minority(
     rows = df.filter(F.col(label) == minority).select(
         F.col(identity).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec")
     )
-    points = distinct_vectors(rows, "vec", "id")
+    points = fit_rows(distinct_vectors(rows, "vec", "id"))
     neighbours = knn_join(points, points, k)
     sized = neighbours.join(points.select(F.col("vid").alias("pid"), F.col("vec").alias("nvec"), "copies"), "pid")
     slots = sized.groupBy("qid").agg(
@@ -111,7 +112,7 @@ def edited_neighbours(
         F.min("_id").alias("vid"), F.count(F.lit(1)).alias("copies"),
         F.min("_label").alias("low"), F.max("_label").alias("high"),
     )
-    points = labelled.select("vid", F.col("_vec").alias("vec"), "copies", "low", "high")
+    points = fit_rows(labelled.select("vid", F.col("_vec").alias("vec"), "copies", "low", "high"))
     near = knn_join(points, points, k).join(
         points.select(F.col("vid").alias("pid"), "copies", "low", "high"), "pid"
     )

@@ -144,3 +144,19 @@ def test_a_query_is_sent_once_per_slab_where_no_bound_rules_any_cell_out(spark,
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
     np.fill_diagonal(d, np.inf)
     assert got["pid"].tolist() == np.argsort(d, axis=1, kind="stable")[:, :3].ravel().tolist()
+
+
+def test_tasks_of_a_join_go_by_rows_and_not_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(N, "FIT_ROWS", 100)
+    monkeypatch.setattr(N, "QUERY_ROWS", 50)
+    x = np.random.default_rng(6).normal(size=(1000, 6))
+    frame = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vid long, vec array<double>").coalesce(1)
+    tree, _, seeds = N.seeded(frame, frame, 3, 40, 64)
+    assert seeds.rdd.getNumPartitions() == 10
+    sent = N.routed(tree, seeds).groupBy("slab").agg(F.count("vid").alias("n"), F.max("part").alias("last")).collect()
+    assert {r["slab"]: -(-r["n"] // 50) for r in sent} == {s: n for s, n in enumerate(tree.parts) if n}
+    assert max(r["last"] for r in sent) > 0
+    got = N.knn_join(frame, frame, 3, cells=40, block_rows=64).toPandas().sort_values(["qid", "rank"])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    assert got["pid"].tolist() == np.argsort(d, axis=1, kind="stable")[:, :3].ravel().tolist()
