@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelwright.operators.neighbours import distinct_vectors, knn_join
 from panelwright.operators.ordering import digest_order, digest_place, row_numbers
-from panelwright.session import fit_rows
+from panelwright.session import cut_lineage, fit_rows
 
 
 def digest_uniform(*key: Column, seed: int = 0) -> Column:
@@ -136,8 +136,8 @@ def edited_neighbours(
 def balance(
     df: DataFrame, vector: str, label: str, identity: str, minority: int, seed: int = 42
 ) -> DataFrame:
-    """Interpolated minority rows, then neighbour cleaning of both classes."""
-    grown = interpolate_minority(df, vector, label, identity, minority, seed=seed)
+    """Interpolated minority rows, written once, then neighbour cleaning of both classes."""
+    grown = cut_lineage(interpolate_minority(df, vector, label, identity, minority, seed=seed))
     return edited_neighbours(grown, "vec", "label", "sample_id")
 
 

@@ -160,3 +160,12 @@ def test_tasks_of_a_join_go_by_rows_and_not_by_bytes(spark, monkeypatch):
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
     np.fill_diagonal(d, np.inf)
     assert got["pid"].tolist() == np.argsort(d, axis=1, kind="stable")[:, :3].ravel().tolist()
+
+
+def test_editing_reads_interpolated_rows_that_were_written(spark, points, monkeypatch):
+    seen = []
+    monkeypatch.setattr(R, "edited_neighbours", lambda df, *_: seen.append(df) or df)
+    grown = R.balance(spark_points(spark, points), "vec", "label", "id", minority=1)
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" in plan and "Join" not in plan and "Generate" not in plan
+    assert {r["label"]: r["count"] for r in grown.groupBy("label").count().collect()} == dict.fromkeys((0, 1), int((points["label"] == 0).sum()))
