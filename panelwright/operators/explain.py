@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import IntegerType, StringType, StructType
 
 from panelwright import fixed_values as V
 from panelwright.operators.windows import last_rows
 
+#: Texts that a task holds as Python strings at a time.
+SEEK_ROWS = 1000
+
 
 def truth_rows(attributions: DataFrame, k: int = 5, case: str = "case_id") -> DataFrame:
     """Top-k features per case by absolute value: sign, rank and magnitude band."""
@@ -38,22 +43,34 @@ def _escaped(phrase: str) -> str:
     return "".join(ch if ch.isalnum() or ch == " " else f"\\{ch}" for ch in phrase)
 
 
-def _any(phrases: Sequence[str]) -> str:
-    """Any phrase as whole words; letters of every script count as word characters.
+#: A letter, number or underscore of any script: what continues a word.
+_WORD = r"[\p{L}\p{N}_]"
+
+
+def _whole(phrase: str) -> str:
+    """The phrase as whole words. The look behind follows the phrase, so a search can skip ahead to its letters."""
+    p = _escaped(phrase)
+    return f"{p}(?<!{_WORD}{p})(?!{_WORD})"
 
-    The look at the next letter spares most places the dearer look behind.
-    """
-    word = r"[\p{L}\p{N}_]"
-    first = "".join(sorted({_escaped(p[:1]) for p in phrases}))
-    ahead = f"(?=[{first}])" if phrases and all(phrases) else ""
-    return f"{ahead}(?<!{word})(?:" + "|".join(_escaped(p) for p in phrases) + f")(?!{word})"
+
+def _inside(short: str, phrase: str) -> bool:
+    """Whether ``phrase`` holds the whole words of ``short`` and more."""
+    return short != phrase and f" {short} " in f" {phrase} "
 
 
 def _states(text: Column, phrases: Sequence[str]) -> Column:
-    """Whether ``text`` holds any phrase as whole words; the pattern is tried only where a phrase occurs at all."""
-    shortest = [p for p in phrases if not any(q != p and q in p for q in phrases)]
-    found = text.rlike(_any(phrases))
-    return reduce(Column.__or__, [text.contains(p) for p in shortest]) & found if shortest else found
+    """Whether ``text`` holds any phrase as whole words.
+
+    A phrase that holds another one's words adds nothing. Phrases that begin a longer one are sought first,
+    and the patterns only where that beginning occurs at all.
+    """
+    least = [p for p in phrases if not any(_inside(q, p) for q in phrases)]
+    stems = [p for p in least if not any(q != p and p.startswith(q) for q in least)]
+    found = []
+    for stem in stems:
+        whole = [text.rlike(_whole(p)) for p in least if p.startswith(stem)]
+        found.append(text.contains(stem) & reduce(Column.__or__, whole))
+    return reduce(Column.__or__, found) if found else text.rlike(_whole(""))
 
 
 def claims(
@@ -70,39 +87,55 @@ def claims(
     """(case, feature, direction, magnitude, position) stated in each text.
 
     A feature counts where it first occurs; the words around it give direction (increase
-    before decrease before mixed) and magnitude. The vocabulary is tested inside the row, on
-    the whole text; a mention takes only the words around it along, and the phrases are
-    sought in those once, before mentions become rows. Each step is a pass of its own over the
-    mentions, so place and direction of a mention are worked out once; its magnitude is a column
-    of the claim, which a query that doesn't read it leaves out.
+    before decrease before mixed) and magnitude. The names are sought in the whole text; a
+    mention takes only the words around it along, and the phrases are sought in those. The
+    direction of a mention is worked out once, as an array that is empty without one; its
+    magnitude is a column of the claim, which a query that doesn't read it leaves out.
     """
-    lowered = texts.select(F.col(case), F.lower(F.col(text)).alias("_t"))
-
-    def mention(name: str) -> Column:
-        found = F.struct(F.lit(name).alias("feature"), F.locate(name.lower(), F.col("_t")).alias("position"))
-        return F.when(F.col("_t").contains(name.lower()), found)
-
-    def placed(found: Column) -> Column:
-        position, start = found["position"], F.greatest(F.lit(1), found["position"] - context_chars)
-        around = F.substring("_t", start, position + F.length(found["feature"]) + context_chars - start)
-        return F.struct(found["feature"].alias("feature"), position.alias("position"), around.alias("around"))
-
-    def directed(found: Column) -> Column:
-        around = found["around"]
-        direction = (
-            F.when(_states(around, increase), "increase")
-            .when(_states(around, decrease), "decrease")
-            .when(_states(around, mixed), "mixed")
-        )
-        return F.struct(*[found[c].alias(c) for c in ("feature", "position", "around")], direction.alias("direction"))
-
-    mentions = F.array_compact(F.array(*[mention(name) for name in vocabulary]))
-    told = F.filter(F.transform(F.transform(mentions, placed), directed), lambda m: m["direction"].isNotNull())
+    lowered = texts.select(F.col(case), F.make_valid_utf8(F.lower(F.col(text))).alias("_t"))
+    around = F.col("around")
+    direction = (
+        F.when(_states(around, increase), "increase")
+        .when(_states(around, decrease), "decrease")
+        .when(_states(around, mixed), "mixed")
+    )
+    told = mentions(lowered, "_t", case, vocabulary, context_chars).select(
+        "*", F.explode(F.array_compact(F.array(direction))).alias("direction"))
     size = F.when(F.lit(False), "")
     for word, label in magnitudes:
-        size = size.when(_states(F.col("around"), [word]), label)
-    return lowered.select(case, F.inline(told)).select(
-        case, "feature", "direction", size.otherwise("unspecified").alias("magnitude"), "position")
+        size = size.when(_states(around, [word]), label)
+    return told.select(case, "feature", "direction", size.otherwise("unspecified").alias("magnitude"), "position")
+
+
+def mentions(lowered: DataFrame, text: str, case: str, vocabulary: Sequence[str], context_chars: int) -> DataFrame:
+    """(case, feature, position, around): where each name first stands in a lower-cased text, and the words there.
+
+    Names are sought as substrings by Python's search, which skips most places of a text; Spark's
+    compares at every place for every name.
+    """
+    names, sought = list(vocabulary), [name.lower() for name in vocabulary]
+
+    def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = pa.array(names, pa.string())
+        for batch in batches:
+            for start in range(0, batch.num_rows, SEEK_ROWS):
+                part = batch.slice(start, SEEK_ROWS)
+                rows, which, places, words = [], [], [], []
+                for row, told in enumerate(part.column(1).to_pylist()):
+                    for i, name in enumerate(sought if told is not None else ()):
+                        at = told.find(name)
+                        if at >= 0:
+                            rows.append(row)
+                            which.append(i)
+                            places.append(at + 1)
+                            words.append(told[max(0, at - context_chars) : at + len(names[i]) + context_chars])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(rows, pa.int64())), features.take(pa.array(which, pa.int64())),
+                     pa.array(places, pa.int32()), pa.array(words, pa.string())],
+                    names=[case, "feature", "position", "around"])
+
+    schema = StructType([lowered.schema[case]]).add("feature", StringType()).add("position", IntegerType()).add("around", StringType())
+    return lowered.select(case, text).mapInArrow(seek, schema)
 
 
 def coverage(claimed: DataFrame, cases: DataFrame, case: str, vocabulary_size: int = len(V.KNOWN_FEATURES)) -> DataFrame:

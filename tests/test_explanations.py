@@ -49,6 +49,20 @@ def test_magnitude_is_sought_only_where_it_is_read(spark):
     assert "moderately" in plan(claimed) and "moderately" not in plan(claimed.select("case_id").distinct())
 
 
+def test_names_and_phrases_beside_other_words_and_scripts(spark):
+    got = claims_of(spark, "ÄÖ 𝒳 age_x raise𝒳 lowers; Xpert MTB/RIF", None, "", "Smear/TB Lamp was both increased and decreased")
+    assert got == [{"Age": ("decrease", "unspecified"), "Xpert MTB/RIF": ("decrease", "unspecified")}, {}, {},
+                   {"Smear/TB Lamp": ("mixed", "unspecified"), "TB Lamp": ("mixed", "unspecified")}]
+    df = spark.createDataFrame([(1, "ÄÖ 𝒳 age lowers")] * 2, "case_id int, t string")
+    assert [r["position"] for r in X.claims(df, "t", "case_id").collect()] == [6, 6]
+
+
+def test_names_are_not_compared_at_every_place_of_a_text(spark):
+    df = spark.createDataFrame([(1, "Age raises")], "case_id int, t string")
+    plan = X.claims(df, "t", "case_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Contains(_t" not in plan
+
+
 def test_empty_phrase_lists(spark):
     df = spark.createDataFrame([(1, "Age raises the risk."), (2, None)], "case_id int, t string")
     got = X.claims(df, "t", "case_id", decrease=[], mixed=["no such words"], magnitudes=[]).collect()
