@@ -55,19 +55,38 @@ def vector(fill: Mapping[str, float], scale: Mapping[str, tuple[float, float]])
     ])
 
 
+@dataclass(frozen=True)
+class Figures:
+    """Median and (mean, deviation) of every feature over some training rows."""
+
+    fill: Mapping[str, float]
+    scale: Mapping[str, tuple[float, float]]
+
+
+def _filled(train: DataFrame, fill: Mapping[str, float], *keys: str) -> DataFrame:
+    return train.select(*keys, *[F.coalesce(F.col(c).cast("double"), F.lit(v)).alias(c) for c, v in fill.items()])
+
+
+def train_figures(train: DataFrame, features: Sequence[str]) -> Figures:
+    """What filling and scaling learn from ``train``; they hold for every recipe fitted on these rows."""
+    middle = medians(train, list(features)).first()
+    fill = {c: float(middle[c]) if middle[c] is not None else 0.0 for c in features}
+    figures = scale_fit(_filled(train, fill), list(features)).first()
+    return Figures(fill, {c: (figures[c]["mean"], figures[c]["sd"]) for c in features})
+
+
 def fit_recipe(
-    train: DataFrame, entity: str, label: str, features: Sequence[str], recipe: Recipe, seed: int = 42
+    train: DataFrame, entity: str, label: str, features: Sequence[str], recipe: Recipe, seed: int = 42,
+    figures: Figures | None = None,
 ) -> Fitted:
     """Medians, means and deviations, resampled rows and classifier from ``train`` alone.
 
-    The driver sees one row of figures. Labels are 0 and 1; both must occur.
+    The driver sees one row of figures; ``figures`` are those of the same rows, if known already.
+    Labels are 0 and 1; both must occur.
     """
-    features = list(features)
-    middle = medians(train, features).first()
-    fill = {c: float(middle[c]) if middle[c] is not None else 0.0 for c in features}
-    filled = train.select(entity, label, *[F.coalesce(F.col(c).cast("double"), F.lit(fill[c])).alias(c) for c in features])
-    figures = scale_fit(filled, features).first()
-    scale = {c: (figures[c]["mean"], figures[c]["sd"]) for c in features}
+    known = figures or train_figures(train, features)
+    fill, scale = known.fill, known.scale
+    filled = _filled(train, fill, entity, label)
     rows = filled.select(entity, F.col(label).cast("int").alias("label"), vector(fill, scale).alias("vec"))
     sizes = class_sizes(rows, "label")
     if len(sizes) < 2:
@@ -80,28 +99,35 @@ def fit_recipe(
     return Fitted(fill, scale, classifier(recipe.kind, "label", recipe.weighted, seed, **recipe.options).fit(ready))
 
 
+def folded(rows: DataFrame, entity: str, label: str, features: Sequence[str], k: int = 5, seed: int = 42) -> DataFrame:
+    """(entity, label, fold, features) of the labelled rows, dealt to stratified folds and written once."""
+    labelled = rows.filter(F.col(label).isNotNull())
+    folds = stratified_folds(labelled, entity, label, k, seed).select(entity, "fold")
+    return fit_rows(labelled.drop("fold").join(folds, entity).select(entity, label, "fold", *features))
+
+
 def cross_validate(
     rows: DataFrame, entity: str, label: str, features: Sequence[str], recipe: Recipe, k: int = 5,
-    fold: str | None = None, seed: int = 42, parallel: int = 4,
+    fold: str | None = None, seed: int = 42, parallel: int = 4, figures: Mapping[int, Figures] | None = None,
 ) -> DataFrame:
     """(entity, label, fold, probability): every labelled row scored by a model that never saw its fold.
 
     Folds are stratified by class, or those of the column ``fold``. The matrix is written once
     with its fold number; each fold fits on the others, up to ``parallel`` at a time, as Spark
     jobs of their own. Resampling sees training rows only, so no synthetic row and no neighbour
-    of a held-out row leaks into its score.
+    of a held-out row leaks into its score. ``figures`` are those of the rows outside each fold, if
+    known already.
     """
-    labelled = rows.filter(F.col(label).isNotNull())
     if fold is None:
-        folds = stratified_folds(labelled, entity, label, k, seed).select(entity, "fold")
-        labelled = labelled.drop("fold").join(folds, entity)
+        coded = folded(rows, entity, label, features, k, seed)
     else:
-        labelled = labelled.withColumn("fold", F.col(fold).cast("int"))
-    coded = fit_rows(labelled.select(entity, label, "fold", *features))
+        labelled = rows.filter(F.col(label).isNotNull()).withColumn("fold", F.col(fold).cast("int"))
+        coded = fit_rows(labelled.select(entity, label, "fold", *features))
     found = sorted(r[0] for r in coded.select("fold").distinct().collect())
 
     def one(at: int) -> DataFrame:
-        fitted = fit_recipe(coded.filter(F.col("fold") != at), entity, label, features, recipe, seed)
+        known = (figures or {}).get(at)
+        fitted = fit_recipe(coded.filter(F.col("fold") != at), entity, label, features, recipe, seed, known)
         held = fitted.score(coded.filter(F.col("fold") == at))
         return cut_lineage(held.select(entity, label, "fold", "probability"))
 

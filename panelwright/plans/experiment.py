@@ -12,8 +12,10 @@ from panelwright.operators.evaluate import (
 )
 from panelwright.operators.features import stratified_split
 from panelwright.operators.models import template_rows
-from panelwright.operators.validation import Fitted, Recipe, cross_validate, fit_recipe, together
-from panelwright.session import cut_lineage
+from panelwright.operators.validation import (
+    Figures, Fitted, Recipe, cross_validate, fit_recipe, folded, together, train_figures,
+)
+from panelwright.session import cut_lineage, fit_rows
 
 FIGURES = (
     "threshold", "cv_auc_mean", "cv_auc_sd", "train_balanced", "val_balanced", "test_balanced", "val_auc", "test_auc",
@@ -33,13 +35,24 @@ class Choice:
 
 
 def evaluate_candidate(
-    rows: DataFrame, entity: str, label: str, features: Sequence[str], recipe: Recipe,
-    templates: Mapping[str, Mapping[str, float]], k: int, seed: int,
+    rows: DataFrame, dealt: DataFrame, entity: str, label: str, features: Sequence[str], recipe: Recipe,
+    templates: Mapping[str, Mapping[str, float]], figures: Mapping[int | None, Figures], seed: int,
 ) -> tuple[Fitted, dict]:
-    """The model fitted on the training split and its figures on all three."""
+    """The model fitted on the training split and its figures on all three.
+
+    ``dealt`` are the training rows with their folds; ``figures`` those outside each fold, and of the
+    whole training split under None. Folds and final fit run side by side.
+    """
     train = rows.filter("split = 'train'")
-    folds = auc_over_folds(cross_validate(train, entity, label, features, recipe, k, seed=seed), label, "probability").first()
-    fitted = fit_recipe(train, entity, label, features, recipe, seed)
+
+    def folds():
+        scored = cross_validate(dealt, entity, label, features, recipe, fold="fold", seed=seed, figures=figures)
+        return auc_over_folds(scored, label, "probability").first()
+
+    def whole():
+        return fit_recipe(train, entity, label, features, recipe, seed, figures[None])
+
+    folds, fitted = together(rows.sparkSession, lambda work: work(), [folds, whole], 2)
     scored = cut_lineage(fitted.score(rows).select(entity, label, "split", "probability"))
     held = scored.filter("split = 'validation'")
     limit = best_threshold(threshold_table(held, label, "probability")).first()["threshold"]
@@ -68,16 +81,23 @@ def choose_model(
 ) -> Choice:
     """Fits every recipe on the training entities and chooses by candidate score.
 
-    Folds and resampling stay inside the training split; the threshold comes from the
+    Folds and resampling stay inside the training split; folds and the figures that filling and
+    scaling learn are the same for every recipe and found once. The threshold comes from the
     validation split and the test split decides nothing. ``templates`` may hold a ``low`` and a
     ``high`` risk row (feature values; others at their mean). With ``out`` the candidate table
     is written there. Equal scores go by name.
     """
     labelled = rows.filter(F.col(label).isNotNull())
     split = stratified_split(labelled, entity, label, seed=seed).select(entity, "split")
-    coded = cut_lineage(labelled.select(entity, label, *features).join(split, entity))
+    coded = fit_rows(labelled.select(entity, label, *features).join(split, entity))
+    spark, train = coded.sparkSession, coded.filter("split = 'train'")
+    dealt = folded(train, entity, label, features, k, seed)
+    held = [*sorted(r[0] for r in dealt.select("fold").distinct().collect()), None]
+    seen = together(spark, lambda at: train_figures(
+        train if at is None else dealt.filter(F.col("fold") != at), features), held, 4)
+    figures = dict(zip(held, seen))
     made = together(
-        coded.sparkSession, lambda r: evaluate_candidate(coded, entity, label, features, r, templates or {}, k, seed), recipes, parallel)
+        spark, lambda r: evaluate_candidate(coded, dealt, entity, label, features, r, templates or {}, figures, seed), recipes, parallel)
     lines = [(r.name, *[None if f[c] is None else float(f[c]) for c in FIGURES]) for r, (_, f) in zip(recipes, made)]
     table = coded.sparkSession.createDataFrame(lines, "candidate string, " + ", ".join(f"{c} double" for c in FIGURES))
     first = Window.orderBy(F.desc_nulls_last("candidate_score"), "candidate")  # one row per recipe

@@ -82,3 +82,13 @@ def test_rows_of_a_fit_are_spread_by_their_number(spark):
     spread = fit_rows(narrow)
     assert spread.rdd.getNumPartitions() == 4 and spread.count() == spread.distinct().count() == 3 * FIT_ROWS + 1
     assert fit_rows(spark.range(100).coalesce(1)).rdd.getNumPartitions() == 1
+
+
+def test_candidates_share_folds_and_figures_and_the_final_fit_is_spread(spark, rows, monkeypatch):
+    monkeypatch.setattr("panelwright.session.FIT_ROWS", 50)
+    seen, parts, figures, fit = [], [], C.train_figures, C.fit_recipe
+    for module in (C, X):
+        monkeypatch.setattr(module, "train_figures", lambda *a: seen.append(1) or figures(*a))
+    monkeypatch.setattr(X, "fit_recipe", lambda train, *a: parts.append(train.rdd.getNumPartitions()) or fit(train, *a))
+    X.choose_model(rows.coalesce(1), "id", "y", FEATURES, [C.Recipe("logistic"), C.Recipe("logistic", weighted=False)], k=2)
+    assert len(seen) == 3 and min(parts) >= 6
