@@ -276,10 +276,9 @@ WITH d AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, pid) AS rank FROM d)
 SELECT qid, pid, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3""")
 def nearest_neighbours(spark, folder):
-    from panelwright.operators.neighbours import distinct_vectors, knn_join
+    from panelwright.operators.neighbours import nearest_rows
 
-    points = fit_rows(distinct_vectors(_vectors(spark, folder), "embedding", "vec_id"))
-    return knn_join(points, points, 3).withColumn("distance", r6("distance"))
+    return nearest_rows(_vectors(spark, folder), "embedding", "vec_id", 3).withColumn("distance", r6("distance"))
 
 
 @query("R6", sql="""

@@ -169,3 +169,38 @@ def test_editing_reads_interpolated_rows_that_were_written(spark, points, monkey
     plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
     assert "LogicalRDD" in plan and "Join" not in plan and "Generate" not in plan
     assert {r["label"]: r["count"] for r in grown.groupBy("label").count().collect()} == dict.fromkeys((0, 1), int((points["label"] == 0).sum()))
+
+
+def nearest_by_hand(rows, k):
+    """(qid, pid, distance, rank) of a join of all rows whose identities differ; unknown distances come last."""
+    pools = {}
+    for q, a in rows:
+        for p, b in rows:
+            if q is not None and p is not None and p != q:
+                d = None if a is None or b is None else round(sum((x - y) ** 2 for x, y in zip(a, b)) ** 0.5, 6)
+                pools.setdefault(q, []).append((d is None, d, p))
+    return sorted((q, p, d, i + 1) for q, pool in pools.items() for i, (_, d, p) in enumerate(sorted(pool, key=lambda t: (t[0], t[1] or 0.0, t[2]))[:k]))
+
+
+def test_every_row_has_its_neighbours_copies_among_them(spark):
+    rng = np.random.default_rng(3)
+    spots = [[float(v) for v in r] for r in rng.integers(0, 3, size=(9, 3))]
+    copies = [(i, spots[rng.integers(9)]) for i in range(60)] + [(100 + i, [float(i), 9.0, 9.0]) for i in range(20)]
+    several = [(int(rng.integers(0, 25)), [float(rng.integers(0, 6)), 0.0]) for _ in range(60)] + [(7, [50.0, 0.0])] * 2
+    unknown = [(i if i % 6 else None, None if i % 4 == 0 else [float(i % 5)]) for i in range(30)]
+    for rows in (copies, several, unknown, [(1, [0.0]), (2, None), (3, None), (4, [0.5])], [(1, None), (2, None)]):
+        frame = spark.createDataFrame(rows, "id long, vec array<double>")
+        got = N.nearest_rows(frame, "vec", "id", 3)
+        assert got.columns == ["qid", "pid", "distance", "rank"]
+        assert sorted((r["qid"], r["pid"], r["distance"] if r["distance"] is None else round(r["distance"], 6), r["rank"]) for r in got.collect()) == nearest_by_hand(rows, 3)
+
+
+def test_nearest_neighbours_leaves_no_copy_out(spark, tmp_path):
+    from panelwright.catalog.modelling import nearest_neighbours
+
+    rows = [(i, [0.0, float(max(0, i - 5))], 0) for i in range(10)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r["qid"], r["rank"]): (r["pid"], r["distance"]) for r in nearest_neighbours(spark, str(tmp_path)).collect()}
+    assert len(got) == 30
+    assert [got[5, i] for i in (1, 2, 3)] == [(0, 0.0), (1, 0.0), (2, 0.0)]
+    assert [got[6, i] for i in (1, 2, 3)] == [(0, 1.0), (1, 1.0), (2, 1.0)]
