@@ -166,13 +166,15 @@ def features_at_step(spark, folder):
 def panel_model_per_step(spark, folder):
     """Fit on training entities at every step, evaluate the held-out ones step by step."""
     features = steps(event_panel(spark, folder), list(METRICS), "entity_id")
+    names = [c for c in features.columns if c.startswith(("mean_", "std_", "trend_", "latest_", "months_"))]
+    features = cut_lineage(features.select("entity_id", "step", *names))
     label = features.groupBy("entity_id").agg((F.sum("latest_missed") > F.lit(16)).cast("int").alias("label"))
     split = stratified_split(label, "entity_id", "label").select("entity_id", "split")
     rows = features.join(label, "entity_id").join(split, "entity_id")
-    names = [c for c in features.columns if c.startswith(("mean_", "std_", "trend_", "latest_", "months_"))]
-    rows = fit_rows(rows.select("entity_id", "step", "label", "split", *names))
-    model = M.fit_classifier(rows.filter("split = 'train'"), names, "label", "forest", numTrees=200)
-    return per_step_evaluation(M.score(model, rows.filter("split = 'test'")), "label", "probability", 0.5)
+    rows = fit_rows(rows.select("entity_id", "step", "label", "split", *names), spark.sparkContext.defaultParallelism)
+    model = M.fit_classifier(rows.filter("split = 'train'"), names, "label", "forest", numTrees=200, cacheNodeIds=True)
+    scored = M.score(model, rows.filter("split = 'test'")).select("step", "label", "probability")
+    return per_step_evaluation(cut_lineage(scored), "label", "probability", 0.5)
 
 
 @query("E1")

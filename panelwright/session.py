@@ -59,12 +59,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 FIT_ROWS = 10_000
 
 
-def fit_rows(df: DataFrame) -> DataFrame:
+def fit_rows(df: DataFrame, most: int | None = None) -> DataFrame:
     """Rows of a fit, written once, in as many even parts as their number asks for.
 
     A join of a few numbers per row ends in one or two partitions, as these are cut by bytes; a fit
     that passes over them hundreds of times would use as many cores. Small tables stay as they are.
+    ``most`` bounds the parts where every task sends all that the fit learns, as a forest does with
+    the histograms of all nodes of all trees: parts beyond the cores then only multiply what is sent.
     """
     rows = cut_lineage(df)
-    parts = -(-rows.count() // FIT_ROWS)
-    return cut_lineage(rows.repartition(parts)) if parts > rows.rdd.getNumPartitions() else rows
+    have, parts = rows.rdd.getNumPartitions(), -(-rows.count() // FIT_ROWS)
+    if most is not None:
+        have, parts = (0, most) if have > most else (have, min(parts, most))
+    return cut_lineage(rows.repartition(parts)) if parts > have else rows

@@ -84,6 +84,36 @@ def test_rows_of_a_fit_are_spread_by_their_number(spark):
     assert fit_rows(spark.range(100).coalesce(1)).rdd.getNumPartitions() == 1
 
 
+def test_rows_of_a_fit_can_be_bounded_in_parts(spark, monkeypatch):
+    from panelwright import session
+
+    monkeypatch.setattr(session, "FIT_ROWS", 10)
+    parts = lambda have, most: session.fit_rows(spark.range(100).repartition(have), most).rdd.getNumPartitions()
+    assert [parts(1, None), parts(1, 4), parts(1, 40), parts(7, 4), parts(3, 4), parts(4, 4)] == [10, 4, 10, 4, 4, 4]
+    monkeypatch.setattr(session, "FIT_ROWS", 1000)
+    assert [parts(1, 4), parts(3, 4)] == [1, 3]
+
+
+def test_the_forest_of_a_panel_reads_written_rows_in_no_more_parts_than_cores(spark, monkeypatch, tmp_path):
+    from panelwright.catalog import modelling
+
+    spark.range(1200).select(
+        F.col("id").alias("event_id"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval((F.col("id") * 7 % 30).cast("int"))).alias("ts"),
+        (F.col("id") % 20).alias("user_id"), F.when(F.col("id") * 13 % 50 < F.col("id") % 20 * 2, "error").otherwise("click").alias("event_type"),
+        (F.col("id") % 90).cast("double").alias("value"), F.lit("{}").alias("props"),
+    ).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr("panelwright.session.FIT_ROWS", 5)
+    seen, fit, evaluate = {}, modelling.M.fit_classifier, modelling.per_step_evaluation
+    monkeypatch.setattr(modelling.M, "fit_classifier", lambda train, *a, **o: seen.update(train=train, options=o) or fit(train, *a, **{**o, "numTrees": 3}))
+    monkeypatch.setattr(modelling, "per_step_evaluation", lambda scored, *a: seen.update(scored=scored) or evaluate(scored, *a))
+    table = modelling.panel_model_per_step(spark, str(tmp_path)).collect()
+    assert sorted(r["step"] for r in table) == list(range(13))
+    assert seen["options"]["numTrees"] == 200
+    assert seen["train"].rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    plan = seen["scored"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" in plan and "UDF" not in plan
+
+
 def test_candidates_share_folds_and_figures_and_the_final_fit_is_spread(spark, rows, monkeypatch):
     monkeypatch.setattr("panelwright.session.FIT_ROWS", 50)
     seen, parts, figures, fit = [], [], C.train_figures, C.fit_recipe
